@@ -22,6 +22,8 @@ from ._common import doc_columns, map_batches
 
 #: Texts given to the library at once.
 AT_ONCE = 64
+#: Distinct units (see `ByteBpe.packed`) whose ids a worker keeps.
+CACHE = 400_000
 
 
 def byte_characters() -> list[str]:
@@ -53,6 +55,13 @@ class ByteBpe:
         self.bytes_of = [b""] * (max(ranks.values()) + 1)
         for characters, i in self.library.get_vocab(with_added_tokens=False).items():
             self.bytes_of[i] = bytes(to_byte[c] for c in characters)
+        self.sizes = np.array([len(b) for b in self.bytes_of], np.int64)
+        self.places = np.cumsum(self.sizes) - self.sizes
+        self.all_bytes = np.frombuffer(b"".join(self.bytes_of), np.uint8)
+        self.units = Units(self)
+        #: The pattern takes a lone space with what follows it, so a text can be cut there.
+        probe = "Ab 1c, d. é - e's"
+        self.cuts = [i for i, _ in self.encode(probe.replace(" ", "\n ").split("\n"))] == self._parts(probe)
 
     def encode(self, texts: list[str], offsets: bool = False) -> Iterator[tuple[list[int], list[tuple[int, int]] | None]]:
         """Ids of each text and, if asked for, the span of characters that each id lies in."""
@@ -61,8 +70,64 @@ class ByteBpe:
             for x in call(texts[i : i + AT_ONCE], add_special_tokens=False):
                 yield x.ids, x.offsets if offsets else None
 
-    def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.bytes_of.__getitem__, ids))
+    def _parts(self, text: str) -> list[list[int]]:
+        """The ids of a text, dealt by the unit that they lie in."""
+        (ids, spans), = self.encode([text], offsets=True)
+        ends = [i for i, c in enumerate(text) if c == " "]
+        out: list[list[int]] = [[] for _ in range(len(ends) + 1)]
+        for i, (a, _) in zip(ids, spans, strict=True):
+            out[sum(e <= a for e in ends)].append(i)
+        return out
+
+    def packed(self, text: str) -> bytes:
+        """Ids of a text as little-endian u32, each distinct unit encoded once while it stays in the cache.
+
+        Units are what spaces part, each with the space before it. No match of the pattern goes over a space that
+        stands between two characters which aren't white, so units encode alone as they do in the text. A text
+        with a unit that is empty, or begins or ends with white space, goes to the library whole.
+        """
+        if self.cuts and " " in text:
+            head, *units = text.split(" ")
+            try:
+                if _sound(head):
+                    return self.library_ids(head) + b"".join(map(self.units.__getitem__, units))
+            except ValueError:
+                pass
+        return self.library_ids(text)
+
+    def library_ids(self, text: str) -> bytes:
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def decode(self, ids: list[int] | np.ndarray) -> bytes:
+        """The tokens' bytes, read back from the byte table; a character may be split over tokens."""
+        ids = np.asarray(ids, np.int64)
+        sizes = self.sizes[ids]
+        if not sizes.sum():
+            return b""
+        at = np.repeat(self.places[ids] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+        return self.all_bytes[at].tobytes()
+
+
+def _sound(unit: str) -> bool:
+    return bool(unit) and not unit[0].isspace() and not unit[-1].isspace()
+
+
+class Units(dict):
+    """Unit -> its packed ids behind a space; a unit that can't be encoded alone is a ValueError."""
+
+    def __init__(self, table: ByteBpe) -> None:
+        super().__init__()
+        self.table = table
+
+    def __missing__(self, unit: str) -> bytes:
+        if not _sound(unit):
+            raise ValueError(unit)
+        if len(self) >= CACHE:
+            self.clear()
+        ids = self.table.library_ids(" " + unit)
+        if len(unit) <= 64:
+            self[unit] = ids
+        return ids
 
 
 def last_merge(token: bytes, rank: int, ranks: dict[bytes, int]) -> tuple[bytes, bytes] | None:
@@ -114,10 +179,11 @@ def round_trip(docs: DataFrame, rank_path: str, pattern: str) -> DataFrame:
 
     def batch(rows: pa.RecordBatch) -> pa.RecordBatch:
         table, n, of_ids, of_bytes = tokenizer(rank_path, pattern), [], [], []
-        for ids, _ in table.encode([t or "" for t in rows.column("text").to_pylist()]):
-            n.append(len(ids))
-            of_ids.append(hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest())
-            of_bytes.append(hashlib.sha256(table.decode(ids)).hexdigest())
+        for text in rows.column("text").to_pylist():
+            ids = table.packed(text or "")
+            n.append(len(ids) // 4)
+            of_ids.append(hashlib.sha256(ids).hexdigest())
+            of_bytes.append(hashlib.sha256(table.decode(np.frombuffer(ids, "<u4"))).hexdigest())
         return pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(n, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_bytes, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return map_batches(doc_columns(docs, "doc_id", "text"), batch, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
