@@ -7,6 +7,8 @@ splitting bytes equals splitting code points.
 from __future__ import annotations
 
 import atexit
+import gc
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -16,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes that are worked on at once; one longer text makes a larger chunk of its own.
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 20
 
 WHITE = bytes([0x20, *range(0x09, 0x0E)])
 #: ASCII that is neither a digit nor a lower-case letter (texts are lower-cased before).
@@ -50,16 +52,36 @@ def written(df: DataFrame, name: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     if not _written:
         atexit.register(_clean)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
     _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    free_shuffles(spark)
+    return out
+
+
+def free_shuffles(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of finished plans now: it does so when the driver collects its garbage."""
+    for _ in range(3):  # what the first round finds, Spark's cleaner lets go of before the next
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes what `written` wrote, once all that was made from it is written too."""
+    _delete(df.sparkSession, df.written_to)
+    _written.remove((df.sparkSession, df.written_to))
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def _clean() -> None:
     for spark, path in _written:
-        jvm = spark.sparkContext._jvm
-        if jvm is not None and spark.sparkContext._jsc is not None:
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        if spark.sparkContext._jsc is not None:
+            _delete(spark, path)
 
 
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch] | pa.RecordBatch | None], schema: str) -> DataFrame:

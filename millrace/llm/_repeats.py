@@ -25,12 +25,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import U64, doc_columns, map_batches, mixed, signed, text_bytes, written
+from ._common import U64, discard, doc_columns, map_batches, signed, text_bytes, written
 
-#: Super-k-mers of one minimiser that one task may hold; more are dealt by window.
-HOT = 4096
+#: Super-k-mers of one minimiser that one task may hold (a few MB of strings); more are dealt by window.
+HOT = 20_000
 #: Bytes of packed strings that a bucket task works on at once.
-BUCKET_BYTES = 1 << 22
+BUCKET_BYTES = 1 << 20
 #: Ids are compared; a null id counts as the smallest.
 NO_ID = -(1 << 63) + 1
 
@@ -107,10 +107,12 @@ def find(docs: DataFrame, kind: Windows, name: str, hot: int | None = None) -> t
     hot = HOT if hot is None else hot
     rows = identified(docs)
     twins = written(copies(rows), f"{name}-copies")
-    runs = written(map_batches(rows, lambda b: _anchor_rows(b, kind), "h long, place long, did long, sig long, start int, n int"), f"{name}-runs")
-    shared = runs.groupBy("h").agg(F.min("place").alias("lo"), F.max("place").alias("hi"), F.count(F.lit(1)).alias("strings")).filter("lo != hi").select("h", "strings")
+    runs = written(map_batches(rows, lambda b: _anchor_rows(b, kind), "h long, did long, sig long, start int, n int"), f"{name}-runs")
+    place = F.xxhash64("sig", "start")  # a copy's place is that of the text it copies
+    shared = runs.select("h", place.alias("place")).groupBy("h").agg(F.min("place").alias("lo"), F.max("place").alias("hi"), F.count(F.lit(1)).alias("strings")).filter("lo != hi").select("h", "strings")
     others = twins.filter("did != rep").select("did", "sig")
-    flagged = written(runs.drop("place").join(shared, "h").join(others, ["did", "sig"], "left_anti"), f"{name}-flagged")
+    flagged = written(runs.join(shared.hint("shuffle_hash"), "h").join(others, ["did", "sig"], "left_anti"), f"{name}-flagged")
+    discard(runs)
 
     def listed(part: DataFrame) -> DataFrame:
         lists = part.groupBy("did", "sig").agg(F.collect_list(F.struct("h", "start", "n")).alias("runs"))
@@ -134,17 +136,16 @@ def _anchor_rows(batch: pa.RecordBatch, kind: Windows) -> Iterator[pa.RecordBatc
     data, offsets = text_bytes(batch.column("text"))
     did, sig = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("did", "sig"))
     for text, start, n, h in kind.anchors(data, offsets):
-        place = signed(mixed(sig[text].view(U64) + mixed(start.astype(U64))))
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h, place, did[text], sig[text], start.astype(np.int32), n.astype(np.int32))], ["h", "place", "did", "sig", "start", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h, did[text], sig[text], start.astype(np.int32), n.astype(np.int32))], ["h", "did", "sig", "start", "n"])
 
 
 def _per_text(batch: pa.RecordBatch) -> Iterator[tuple[int, int, bytes, np.ndarray, np.ndarray, np.ndarray]]:
     lists = batch.column("runs")
     flat, at = lists.flatten(), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))])
     h, start, n = (flat.field(k).to_numpy(zero_copy_only=False) for k in range(3))
-    for i, (did, sig, text) in enumerate(zip(batch.column("did").to_pylist(), batch.column("sig").to_pylist(), batch.column("text"), strict=True)):
+    for i, (did, sig, text) in enumerate(zip(batch.column("did").to_pylist(), batch.column("sig").to_pylist(), batch.column("text").cast(pa.binary()), strict=True)):
         own = slice(at[i], at[i + 1])
-        yield did, sig, text.as_py().encode(), h[own], start[own], n[own]
+        yield did, sig, text.as_py(), h[own], start[own], n[own]
 
 
 def _packed_rows(batch: pa.RecordBatch, kind: Windows) -> Iterator[pa.RecordBatch]:
@@ -165,6 +166,14 @@ def _digest_rows(batch: pa.RecordBatch, kind: Windows) -> Iterator[pa.RecordBatc
         yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(np.full(k, did)), pa.array(np.full(k, sig)), pa.array(np.array(at, np.int32))], ["w", "did", "sig", "a"])
 
 
+def spans_of(lists: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The starts and ends of each row's spans; none for a null row."""
+    flat, sizes = lists.flatten(), np.nan_to_num(lists.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
+    a, b = (flat.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(2))
+    at = np.concatenate([[0], np.cumsum(sizes)])
+    return [(a[i:j], b[i:j]) for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+
+
 def digest(window: bytes) -> bytes:
     return hashlib.blake2b(window, digest_size=16).digest()
 

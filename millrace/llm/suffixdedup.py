@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from ._common import U64, chunks, map_batches, merged, mixed
-from ._repeats import Windows, digest, doc_id, find, super_runs
+from ._repeats import Windows, digest, doc_id, find, spans_of, super_runs
 
 LENGTH, GRAM = 100, 32
 #: Ends a string in a bucket's text; UTF-8 has no such byte.
@@ -180,13 +180,11 @@ def removed_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
         for k in range(0, part.num_rows, 512):
             some = part.slice(k, 512)
             size, removed, count, kept = [], [], [], []
-            for text, spans, copies in zip(*(some.column(c).to_pylist() for c in ("text", "spans", "copies")), strict=True):
-                raw = text.encode()
-                a = b = np.zeros(0, np.int64)
+            for raw, (a, b), copies in zip(some.column("text").cast(pa.binary()).to_pylist(), spans_of(some.column("spans")), some.column("copies").to_pylist(), strict=True):
                 if copies and len(raw) >= length:
                     a, b = np.array([0]), np.array([len(raw)])
-                elif spans:
-                    a, b = merged(np.array([s["a"] for s in spans]), np.array([s["b"] for s in spans]) + length - 1)
+                elif len(a):
+                    a, b = merged(a, b + length - 1)
                 left = b"".join(raw[i:j] for i, j in zip([0, *b.tolist()], [*a.tolist(), len(raw)], strict=True))
                 size.append(len(raw)), removed.append(len(raw) - len(left)), count.append(len(a)), kept.append(left)
             longs = [pa.array(x, pa.int64()) for x in (size, removed, count)]
