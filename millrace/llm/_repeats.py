@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import U64, discard, doc_columns, map_batches, signed, text_bytes, written
+from ._common import U64, discard, map_batches, signed, text_bytes, written
 
 #: Super-k-mers of one minimiser that one task may hold (a few MB of strings); more are dealt by window.
 HOT = 20_000
@@ -53,11 +53,13 @@ class Windows:
     first_stays: bool
 
 
+def identity() -> list[F.Column]:
+    """did (never null) and sig (of the text): what the steps join by. Rows of one id and text share them."""
+    return [F.coalesce(F.col("`doc_id`").cast("long"), F.lit(NO_ID)).alias("did"), F.xxhash64(F.coalesce(F.col("`text`"), F.lit(""))).alias("sig")]
+
+
 def identified(docs: DataFrame) -> DataFrame:
-    """did (never null), sig (of the text), text: what the steps join by. Rows of one id and text share them."""
-    rows = doc_columns(docs, "doc_id", "text")
-    did = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
-    return rows.select(did.alias("did"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("sig"), F.coalesce("text", F.lit("")).alias("text"))
+    return docs.select(*identity(), F.coalesce(F.col("`text`"), F.lit("")).alias("text"))
 
 
 def doc_id() -> F.Column:

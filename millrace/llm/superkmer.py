@@ -15,15 +15,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import IS_WHITE, U64, chunks, map_batches, merged, span_hashes, window_starts, word_hashes, words
-from ._repeats import Windows, digest, doc_id, find
+from ._repeats import Windows, digest, doc_id, find, identity, spans_of, super_runs
 
 WINDOW, GRAM = 35, 12
 
 
 def word_windows(window: int = WINDOW, gram: int = GRAM) -> Windows:
     def anchors(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
-        from ._repeats import super_runs
-
         for i, j in chunks(offsets):
             part = data[offsets[i] : offsets[j]]
             starts, ends, of_text = words(part, offsets[i : j + 1] - offsets[i], IS_WHITE)
@@ -74,38 +72,60 @@ def repeated(numbers: np.ndarray, at: np.ndarray, window: int) -> np.ndarray:
     return out
 
 
-def cleaned(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int | None = None) -> DataFrame:
-    """doc_id, text, n_words, n_removed, kept (bytes of the kept words, joined by one space) of every row.
+def _lined(rows: DataFrame, spans: DataFrame, twins: DataFrame, *more: str) -> DataFrame:
+    once = twins.select("did", "sig", "copies").distinct()
+    return rows.join(spans, ["did", "sig"], "left").join(once, ["did", "sig"], "left").select("did", "text", "spans", "copies", *more)
+
+
+def _kept(batch: pa.RecordBatch, window: int) -> Iterator[tuple[pa.RecordBatch, list[int], list[int], list[bytes]]]:
+    """Parts of a batch, with the number of words of each text, that of words removed, and what is left."""
+    for k in range(0, batch.num_rows, 512):
+        some = batch.slice(k, 512)
+        n, removed, kept = [], [], []
+        for raw, (a, b), copies in zip(some.column("text").cast(pa.binary()).to_pylist(), spans_of(some.column("spans")), some.column("copies").to_pylist(), strict=True):
+            own = raw.split()
+            n.append(len(own))
+            if copies and len(own) >= window:
+                own = []
+            elif len(a):
+                a, b = merged(a, b + window - 1)
+                ends = [0, *b.tolist()]
+                own = [w for i, j in zip(ends, [*a.tolist(), len(own)], strict=True) for w in own[i:j]]
+            removed.append(n[-1] - len(own))
+            kept.append(b" ".join(own))
+        yield some, n, removed, kept
+
+
+def digested(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int | None = None) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_sha256 (of the kept words, joined by one space) of every row.
 
     Words are runs of other than ASCII white space. Null and empty texts have no words and keep nothing; a text
     under `window` words loses nothing. Rows that repeat a text, under whatever id, repeat its windows. Null ids
     are kept. Other columns are not looked at. An empty table gives an empty result.
     """
     rows, spans, twins = find(docs, word_windows(window, gram), "superkmer", hot)
-    joined = rows.join(spans, ["did", "sig"], "left").join(twins.select("did", "sig", "copies").distinct(), ["did", "sig"], "left")
-    lined = joined.select("did", "text", "spans", "copies")
 
     def batch(part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        for k in range(0, part.num_rows, 512):
-            some = part.slice(k, 512)
-            n, removed, kept = [], [], []
-            for text, spans, copies in zip(*(some.column(c).to_pylist() for c in ("text", "spans", "copies")), strict=True):
-                own = text.encode().split()
-                n.append(len(own))
-                if copies and len(own) >= window:
-                    own = []
-                elif spans:
-                    a, b = merged(np.array([s["a"] for s in spans]), np.array([s["b"] for s in spans]) + window - 1)
-                    ends = [0, *b.tolist()]
-                    own = [w for i, j in zip(ends, [*a.tolist(), len(own)], strict=True) for w in own[i:j]]
-                removed.append(n[-1] - len(own))
-                kept.append(b" ".join(own))
-            yield pa.RecordBatch.from_arrays([some.column("did"), some.column("text"), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary())], ["did", "text", "n_words", "n_removed", "kept"])
-
-    out = map_batches(lined, batch, "did long, text string, n_words long, n_removed long, kept binary")
-    return out.select(doc_id(), "text", "n_words", "n_removed", "kept")
+        for some, n, removed, kept in _kept(part, window):
+            yield pa.RecordBatch.from_arrays([some.column("did"), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary())], ["did", "n_words", "n_removed", "kept"])
 
+    out = map_batches(_lined(rows, spans, twins), batch, "did long, n_words long, n_removed long, kept binary")
+    return out.select(doc_id(), "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
-def digested(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int | None = None) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256 of every row of `cleaned`."""
-    return cleaned(docs, window, gram, hot).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+def applied(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int | None = None) -> DataFrame:
+    """Every row of docs with its own columns; a text that loses words becomes its kept words, joined by one space,
+    and n_chars, if there is one, their number of characters. Other texts stay as they are. See `digested`."""
+    _, spans, twins = find(docs, word_windows(window, gram), "superkmer", hot)
+    whole = docs.select(*identity(), F.coalesce(F.col("`text`"), F.lit("")).alias("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    lined = _lined(whole, spans, twins, "row")
+    schema = lined.select("row").withColumn("left", F.lit(None).cast("string")).schema
+
+    def batch(part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for some, _, removed, kept in _kept(part, window):
+            left = pa.array([k.decode() if r else None for k, r in zip(kept, removed, strict=True)], pa.string())
+            yield pa.RecordBatch.from_arrays([some.column("row"), left], ["row", "left"])
+
+    out = map_batches(lined, batch, schema)
+    new = {"text": F.coalesce("left", "row.text"), "n_chars": F.when(F.col("left").isNotNull(), F.length("left")).otherwise(F.col("row").getField("n_chars")) if "n_chars" in docs.columns else None}
+    return out.select(*[(new[c].cast(docs.schema[c].dataType) if c in new else F.col("row").getField(c)).alias(c) for c in docs.columns])
