@@ -1,4 +1,4 @@
-"""The registry of queries and of their oracle SQL."""
+"""The registry of the engine's queries and of their oracle SQL."""
 
 from __future__ import annotations
 
@@ -6,14 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import graph_queries, retrieval_queries, text_queries  # noqa: F401  queries register on import
+from .registry import ORACLES, QUERIES
+
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/embeddings.parquet").limit(5)
+    return retrieval_queries.structured_search(spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
