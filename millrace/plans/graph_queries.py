@@ -31,7 +31,7 @@ def tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(category, name_zh, name_en, pos) in reading order."""
     parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_type", "p_name")
     rows = table(spark, sf_dir, "lineitem").join(parts, "l_partkey")
-    return rows.select(F.col("l_returnflag").alias("category"), F.col("p_type").alias("name_zh"), F.col("p_name").alias("name_en"), (F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("pos"), "l_orderkey")
+    return rows.select(F.col("l_returnflag").alias("category"), F.col("p_type").alias("name_zh"), F.col("p_name").alias("name_en"), ((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 1_000_000 + F.col("l_partkey")).alias("pos"), "l_orderkey")
 
 
 def tag_records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,12 +51,12 @@ def top_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.most_common(tag_records(spark, sf_dir))
 
 
-@query("select l_returnflag as category, p_type as name_zh, arg_max(p_name, l_orderkey * 100 + l_linenumber) as name_en, min(l_orderkey * 100 + l_linenumber) as first_pos from lineitem join part on p_partkey = l_partkey group by 1, 2")
+@query("select l_returnflag as category, p_type as name_zh, arg_max(p_name, (l_orderkey * 10 + l_linenumber) * 1000000 + l_partkey) as name_en, min((l_orderkey * 10 + l_linenumber) * 1000000 + l_partkey) as first_pos from lineitem join part on p_partkey = l_partkey group by 1, 2")
 def flatten_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.flattened(tagged(spark, sf_dir))
 
 
-@query("select p_type as name_zh, arg_min(p_name, l_orderkey * 100 + l_linenumber) as name_en, arg_min(l_returnflag, l_orderkey * 100 + l_linenumber) as category from lineitem join part on p_partkey = l_partkey group by 1")
+@query("select p_type as name_zh, arg_min(p_name, (l_orderkey * 10 + l_linenumber) * 1000000 + l_partkey) as name_en, arg_min(l_returnflag, (l_orderkey * 10 + l_linenumber) * 1000000 + l_partkey) as category from lineitem join part on p_partkey = l_partkey group by 1")
 def first_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.first_of_name(tagged(spark, sf_dir), "name_zh").select("name_zh", "name_en", "category")
 
@@ -182,9 +182,9 @@ def graph_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("id", F.array_join(F.transform("syndromes", lambda s: s.cast("string")), ",").alias("syndromes"))
 
 
-@query("select l_partkey, l_orderkey, l_quantity from (select *, row_number() over (partition by l_partkey order by l_orderkey desc, l_linenumber desc) as rn from lineitem) where rn = 1")
+@query("select l_partkey, l_orderkey, l_quantity from (select *, row_number() over (partition by l_partkey order by l_orderkey desc, l_linenumber desc, l_quantity desc) as rn from lineitem) where rn = 1")
 def upsert_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "lineitem").withColumn("seq", F.col("l_orderkey") * 100 + F.col("l_linenumber"))
+    rows = table(spark, sf_dir, "lineitem").withColumn("seq", F.struct("l_orderkey", "l_linenumber", "l_quantity"))
     return T.latest(rows, ["l_partkey"], "seq").select("l_partkey", "l_orderkey", "l_quantity")
 
 

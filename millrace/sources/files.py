@@ -151,14 +151,18 @@ def snapshot(df: DataFrame, folder: str, version: int) -> None:
     df.write.mode("overwrite").parquet(f"{folder}/version={version}")
 
 
-def restore(spark: SparkSession, folder: str, version: int | None = None) -> tuple[DataFrame, int]:
-    """A version of a table (the latest by default) and its number."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    path = jvm.org.apache.hadoop.fs.Path(folder)
-    fs = path.getFileSystem(conf)
-    done = [int(s.getPath().getName().split("=")[1]) for s in fs.listStatus(path) if s.getPath().getName().startswith("version=") and fs.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
-    chosen = max(done) if version is None else version
-    return spark.read.parquet(f"{folder}/version={chosen}"), chosen
+def versions(spark: SparkSession, folder: str) -> list[int]:
+    """Complete versions of a table, in order; none if there is no such folder."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    path = hadoop.Path(folder)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = [s.getPath() for s in fs.listStatus(path)] if fs.exists(path) else []
+    return sorted(int(p.getName().split("=")[1]) for p in found if p.getName().startswith("version=") and fs.exists(hadoop.Path(p, "_SUCCESS")))
+
+
+def restore(spark: SparkSession, folder: str, version: int | None = None) -> DataFrame:
+    """A version of a table, the latest by default."""
+    return spark.read.parquet(f"{folder}/version={versions(spark, folder)[-1] if version is None else version}")
 
 
 def drop_run(rows: DataFrame, run_id: str) -> DataFrame:
