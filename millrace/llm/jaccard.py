@@ -11,7 +11,7 @@ document's tokens). Candidates must do so under every one of three orders:
 
 Equal token sets fold into one representative first. Then the candidates of a token are compared with one pivot
 (its smallest id) only, linked ones become one component, and what is left to compare are pairs of different
-components in a common token: each is made once, at the first prefix token that both have. So a large group of
+components in a common token, as far as that token can be the first that a similar pair has in common. So a large group of
 near copies isn't expanded into pairs, and no link between components is lost.
 """
 
@@ -72,20 +72,36 @@ def _texts(batch: pa.RecordBatch, n: int) -> Iterator[tuple[slice, np.ndarray, n
         yield slice(i, j), grams, at
 
 
-def frequencies(rows: DataFrame, n: int) -> np.ndarray:
-    """The sketch: how many shingles (one a text) fall on each counter."""
-
-    def batch(part: pa.RecordBatch) -> pa.RecordBatch:
-        counts = sum((np.bincount((grams & U64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS) for _, grams, _ in _texts(part, n)), np.zeros(COUNTERS, np.int64))
-        at = np.flatnonzero(counts)
-        return pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(counts[at])], ["counter", "n"])
-
+def _sketch(every: DataFrame) -> np.ndarray:
+    """How many shingles (one a text) fall on each counter, summed up from the rows that `_set_rows` adds for it."""
+    parts = every.filter("counters is not null").select(F.explode(F.arrays_zip("counters", "counts")).alias("c"))
     out = np.zeros(COUNTERS, np.int64)
-    for r in map_batches(rows, batch, "counter int, n long").groupBy("counter").agg(F.sum("n").alias("n")).toPandas().itertuples():  # COUNTERS rows at most
+    for r in parts.groupBy(F.col("c.counters").alias("counter")).agg(F.sum("c.counts").alias("n")).toPandas().itertuples():  # COUNTERS rows at most
         out[r.counter] = r.n
     return out
 
 
+#: Bits of the filter that keeps texts which no candidate needs from being moved; its only purpose is that.
+FILTER_BITS = 1 << 23
+
+
+def among(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """rows(did, text), most of those left out whose did isn't among ids(id): a filter of fixed size, without shuffle."""
+    spot = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
+    bits = ids.select(spot("id").alias("at")).groupBy((F.col("at") / 32768).cast("int").alias("page")).agg(F.bitmap_construct_agg(F.col("at") % 32768).alias("bits"))
+    found = np.zeros((FILTER_BITS // 32768, 4096), np.uint8)
+    for r in bits.toLocalIterator():  # FILTER_BITS / 32768 pages of 4 KB at most
+        found[r.page] = np.frombuffer(r.bits, np.uint8)
+    table = rows.sparkSession.sparkContext.broadcast(found.reshape(-1))
+
+    def batch(part: pa.RecordBatch) -> pa.RecordBatch:
+        at = part.column("at").to_numpy()
+        keep = pa.array((table.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1)
+        return pa.RecordBatch.from_arrays([part.column("did").filter(keep), part.column("text").filter(keep)], ["did", "text"])
+
+    return map_batches(rows.select("did", "text", spot("did").alias("at")), batch, "did long, text string")
+
+
 # --- components ----------------------------------------------------------------------------------
 
 def components(edges: DataFrame, name: str) -> DataFrame:
@@ -111,9 +127,8 @@ def components(edges: DataFrame, name: str) -> DataFrame:
 # --- the join ------------------------------------------------------------------------------------
 
 def _prefix_rows(batch: pa.RecordBatch, n: int, percent: int, counts) -> Iterator[pa.RecordBatch]:
-    """(t, did, same, n, pos) of the tokens in each text's prefix under the first order."""
-    did = batch.column("did").to_numpy()
-    for part, grams, at in _texts(batch, n):
+    """(t, same, n, pos) of the tokens in each text's prefix under the first order; same: the first mark of its set."""
+    for _, grams, at in _texts(batch, n):
         sizes = np.diff(at)
         text = np.repeat(np.arange(len(sizes)), sizes)
         order = np.lexsort((mixed(grams), counts.value[(grams & U64(COUNTERS - 1)).astype(np.int64)], text))
@@ -121,8 +136,8 @@ def _prefix_rows(batch: pa.RecordBatch, n: int, percent: int, counts) -> Iterato
         keep = pos < np.repeat(prefix_size(sizes, percent), sizes)
         same, _ = _set_marks(grams, at)
         t, text, pos = grams[order][keep], text[keep], pos[keep]
-        columns = (signed(t), did[part][text], same[text], sizes[text].astype(np.int32), pos.astype(np.int32))
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["t", "did", "same", "n", "pos"])
+        columns = (signed(t), same[text], sizes[text].astype(np.int32), pos.astype(np.int32))
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["t", "same", "n", "pos"])
 
 
 def _set_marks(grams: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -134,15 +149,24 @@ def _set_marks(grams: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return sums[0], sums[1]
 
 
+_SET = "did long, sig long, n long, a long, b long, second array<long>, counters array<int>, counts array<long>"
+
+
 def _set_rows(batch: pa.RecordBatch, n: int, percent: int) -> Iterator[pa.RecordBatch]:
-    """(did, sig, n, a, b, second): the size and marks of each text's set, its prefix under the second order."""
+    """(did, sig, n, a, b, second): the size and marks of each text's set, its prefix under the second order. One more
+    row has only counters and counts, the batch's part of the frequency sketch."""
     did, sig = (batch.column(c).to_numpy() for c in ("did", "sig"))
+    names = [x.split()[0] for x in _SET.split(", ")]
+    total = np.zeros(COUNTERS, np.int64)
     for part, grams, at in _texts(batch, n):
         sizes = np.diff(at)
         a, b = _set_marks(grams, at)
-        second = _prefixes(grams, at, percent, 0)
-        arrays = [pa.array(did[part]), pa.array(sig[part]), pa.array(sizes.astype(np.int64)), pa.array(a), pa.array(b), second]
-        yield pa.RecordBatch.from_arrays(arrays, ["did", "sig", "n", "a", "b", "second"])
+        total += np.bincount((grams & U64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
+        empty = [pa.nulls(len(sizes), pa.list_(t)) for t in (pa.int32(), pa.int64())]
+        yield pa.RecordBatch.from_arrays([pa.array(did[part]), pa.array(sig[part]), pa.array(sizes.astype(np.int64)), pa.array(a), pa.array(b), _prefixes(grams, at, percent, 0), *empty], names)
+    used = np.flatnonzero(total)
+    lists = [pa.array([x], pa.list_(t)) for x, t in ((used.astype(np.int32), pa.int32()), (total[used], pa.int64()))]
+    yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64())] * 5 + [pa.nulls(1, pa.list_(pa.int64())), *lists], names)
 
 
 def _prefixes(grams: np.ndarray, at: np.ndarray, percent: int, order: int) -> pa.ListArray:
@@ -201,20 +225,22 @@ def linked(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -> tuple[D
     representatives of different sets, enough of them to connect all that is similar."""
     rows = docs.select(*_keyed(docs), F.coalesce(F.col("`text`"), F.lit("")).alias("text"))
     spark = docs.sparkSession
-    every = written(map_batches(rows, lambda b: _set_rows(b, n, percent), "did long, sig long, n long, a long, b long, second array<long>"), "jaccard-sets")
+    rows_of_sets = written(map_batches(rows, lambda b: _set_rows(b, n, percent), _SET), "jaccard-sets")
+    every = rows_of_sets.filter("counters is null")
     classes = every.filter("n > 0").groupBy("a", "b", "n").agg(F.min("did").alias("rep"))
     sets = written(every.select("did", "sig", "n", "a", "b").distinct().join(classes, ["a", "b", "n"], "left"), "jaccard-classes")
-    counts = spark.sparkContext.broadcast(frequencies(rows.select("text"), n))
-    prefixes = written(map_batches(rows.select("did", "text"), lambda b: _prefix_rows(b, n, percent, counts), "t long, did long, same long, n int, pos int"), "jaccard-prefixes")
+    counts = spark.sparkContext.broadcast(_sketch(rows_of_sets))
+    prefixes = written(map_batches(rows.select("text"), lambda b: _prefix_rows(b, n, percent, counts), "t long, same long, n int, pos int"), "jaccard-prefixes")
     shared = prefixes.groupBy("t").agg(F.min("same").alias("lo"), F.max("same").alias("hi")).filter("lo != hi").select("t")
-    others = sets.filter("did != rep").select("did", F.col("a").alias("same")).distinct()
-    found = written(prefixes.join(shared.hint("shuffle_hash"), "t").join(others, ["did", "same"], "left_anti").select("t", "did", "n", "pos").distinct(), "jaccard-shared")
+    reps = sets.filter("did = rep").select("did", F.col("a").alias("same")).distinct()
+    found = written(prefixes.join(shared.hint("shuffle_hash"), "t").distinct().join(reps, "same").select("t", "did", "n", "pos").distinct(), "jaccard-shared")
     discard(prefixes)
 
     def fits(i: str, j: str) -> F.Column:
-        """Sizes, and the places of a common token, that leave enough room for similarity."""
+        """Whether sizes and the places of a common token leave room for similarity, if it is the first that both have.
+        A similar pair passes at its first common token, so what fails at one token is made at another or not at all."""
         nx, ny, px, py = (F.col(f"{x}.{c}") for c in ("n", "pos") for x in (i, j))
-        room = F.least(px, py) + 1 + F.least(nx - px, ny - py) - 1
+        room = F.least(nx - px, ny - py)
         return (100 * F.least(nx, ny) >= percent * F.greatest(nx, ny)) & (room * (100 + percent) >= percent * (nx + ny))
 
     second = every.select("did", "second").join(sets.filter("did = rep").select("did").distinct(), "did", "left_semi")
@@ -223,7 +249,7 @@ def linked(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -> tuple[D
         """Pairs (u, v) that also share a prefix token under the second order, then those that are similar."""
         near = pairs.join(second.select(F.col("did").alias("u"), F.col("second").alias("su")), "u").join(second.select(F.col("did").alias("v"), F.col("second").alias("sv")), "v")
         near = written(near.filter(F.arrays_overlap("su", "sv")).select("u", "v").distinct(), f"{name}-near")
-        text = rows.select("did", "text")
+        text = among(rows, near.select(F.explode(F.array("u", "v")).alias("id")))
         sides = near.join(text.select(F.col("did").alias("v"), F.col("text").alias("text_v")), "v").join(text.select(F.col("did").alias("u"), F.col("text").alias("text_u")), "u")
         return written(sides.mapInArrow(lambda b: _verified(b, n, percent), "u long, v long").distinct(), name)
 
@@ -233,11 +259,10 @@ def linked(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -> tuple[D
     roots = components(first, "jaccard-roots")
     placed = found.join(roots.withColumnRenamed("node", "did"), "did", "left").withColumn("root", F.coalesce("root", "did"))
     open_tokens = placed.groupBy("t").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo != hi").select("t")
-    opened = placed.join(open_tokens, "t").groupBy("did", "n", "root").agg(F.array_sort(F.collect_list(F.struct("pos", "t"))).alias("own"))
-    tokens = opened.select("did", "n", "root", "own", F.posexplode("own").alias("k", "at")).select("did", "n", "root", F.col("at.t").alias("t"), F.col("at.pos").alias("pos"), F.slice("own.t", F.lit(1), F.col("k")).alias("before"))
+    tokens = placed.join(open_tokens, "t")
     x, y = tokens.alias("x"), tokens.alias("y")
-    cross = x.join(y, (F.col("x.t") == F.col("y.t")) & (F.col("x.did") > F.col("y.did")) & (F.col("x.root") != F.col("y.root")) & fits("x", "y") & ~F.arrays_overlap("x.before", "y.before"))
-    rest = checked(cross.select(F.col("x.did").alias("u"), F.col("y.did").alias("v")), "jaccard-rest")
+    cross = x.join(y, (F.col("x.t") == F.col("y.t")) & (F.col("x.did") > F.col("y.did")) & (F.col("x.root") != F.col("y.root")) & fits("x", "y"))
+    rest = checked(cross.select(F.col("x.did").alias("u"), F.col("y.did").alias("v")).distinct(), "jaccard-rest")
     several = sets.filter("n > 0").select("did", "rep").distinct().groupBy("did").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).filter("lo != hi")
     joined = several.select(F.col("did").alias("u"), F.col("lo").alias("v")).unionByName(several.select(F.col("did").alias("u"), F.col("hi").alias("v")))
     return rows, sets, reduce(DataFrame.unionByName, [first, rest, joined])
