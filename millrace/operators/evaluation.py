@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordering import consecutive
+
 #: Criteria of a rating besides the overall one (fixed values).
 CRITERIA = ("accuracy_rating", "completeness_rating", "clarity_rating", "clinical_relevance_rating", "safety_rating")
 #: States in which a batch job isn't active any more (fixed values).
@@ -33,7 +35,7 @@ def batch_results(lines: DataFrame, prompts: DataFrame, by_rank: bool = False) -
     of an incomplete batch would shift): prompt_index, prompt, response, failed, tokens_used."""
     rows = lines.select(F.from_json("value", RESULT).alias("r")).select("r.*").withColumn("number", F.get(F.split("custom_id", "-"), F.lit(1)).try_cast("long"))
     if by_rank:
-        rows = rows.withColumn("number", (F.row_number().over(Window.orderBy("number")) - 1).cast("long"))
+        rows = consecutive(rows, ["number", "custom_id"], "rank").drop("number").withColumnRenamed("rank", "number")
     failed = F.col("error").isNotNull()
     usage = F.col("response.body.usage")
     tokens = F.coalesce(usage["prompt_tokens"], F.lit(0)) + F.coalesce(usage["completion_tokens"], F.lit(0))

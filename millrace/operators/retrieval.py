@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import cosine, norm, present, weighted
+from .ordering import placed
 
 #: Query rows that are broadcast at most; a larger set is to be asked in blocks.
 MOST_QUERIES = 10_000
@@ -88,15 +89,14 @@ def search_types(records: DataFrame) -> list[str]:
 def adjacent(records: DataFrame, hits: DataFrame, id_column: str, reach: int = 2, chapter: bool = False) -> DataFrame:
     """(hit, id, dist): records beside each hit in its book, by (chapter, section, id); or all of its chapter.
 
-    Of records with one chapter and section the first stays. hits: ids, few. Positions are numbered by a window over
-    the book, which Spark sorts outside memory; records are only ids here, without vectors or texts.
+    Of records with one chapter and section the first stays. hits: ids, few. Records are only ids here, without vectors
+    or texts.
     """
-    order = Window.partitionBy("book_id").orderBy("chapter_index", "section_index", id_column)
     keys = records.select("book_id", "chapter_index", "section_index", id_column)
-    placed = keys.withColumn("pos", F.row_number().over(order))
-    asked = few(placed.join(few(hits.select(id_column)), id_column).select("book_id", F.col(id_column).alias("hit"), F.col("chapter_index").alias("hit_chapter"), F.col("pos").alias("hit_pos")))
+    places = placed(keys, "book_id", ["chapter_index", "section_index"], id_column)
+    asked = few(places.join(few(hits.select(id_column)), id_column).select("book_id", F.col(id_column).alias("hit"), F.col("chapter_index").alias("hit_chapter"), F.col("pos").alias("hit_pos")))
     near = (F.col("chapter_index") == F.col("hit_chapter")) if chapter else F.col("pos").between(F.col("hit_pos") - reach, F.col("hit_pos") + reach)
-    pairs = placed.join(asked, "book_id").filter(near)
+    pairs = places.join(asked, "book_id").filter(near)
     first = Window.partitionBy("hit", "chapter_index", "section_index").orderBy("pos")
     once = pairs.withColumn("rn", F.row_number().over(first)).filter("rn = 1")
     return once.select("hit", F.col(id_column).alias("adjacent"), (F.col("pos") - F.col("hit_pos")).alias("dist"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.text import is_blank, word_count
 from ..sources.providers import Providers, answered, both_languages, embedded, extracted, parse_arguments
 from . import chunking, graph, parsing, retrieval, tags
+from .ordering import consecutive
 
 NOTHING_FOUND = "未找到相关内容。\n\n---\n\nNo relevant content was found."
 WORKFLOWS = ("no_rag", "chunk_rag", "tag_rag")
@@ -21,16 +22,7 @@ def flat_index(files: DataFrame, providers: Providers, method: str = "regular",
     embedded are left out. vec_id numbers the chunks in order of file and place."""
     rows = chunking.process_documents(files, method, size, **options).filter(~is_blank(F.col("text")))
     vectors = rows.withColumn("embedding", embedded(F.col("text"), providers.embed)).filter("embedding is not null")
-    return numbered(vectors, ["file_path", "chunk_index"])
-
-
-def numbered(rows: DataFrame, order: Sequence[str], name: str = "vec_id") -> DataFrame:
-    """rows with consecutive numbers in an order, without gathering them in one task: ranges are sorted apart, and each
-    adds the number of rows in those before it."""
-    parts = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).withColumn("_in", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
-    sizes = parts.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
-    starts = sizes.withColumn("_start", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_part", "_start")  # a row for each partition
-    return parts.join(F.broadcast(starts), "_part").withColumn(name, (F.col("_start") + F.col("_in") - 1).cast("long")).drop("_part", "_start", "_in")
+    return consecutive(vectors, ["file_path", "chunk_index"])
 
 
 def structured_index(books: DataFrame, providers: Providers, chapter_pattern: str, section_pattern: str, tagged: DataFrame | None = None, kinds: Sequence[str] = ("symptoms", "organs", "formulas", "patterns")) -> DataFrame:
@@ -42,7 +34,7 @@ def structured_index(books: DataFrame, providers: Providers, chapter_pattern: st
     rows = rows.withColumn("full_content", tags.enhanced(F.col("content"), F.col("tags")))
     for kind in kinds:
         rows = rows.withColumn(kind, extracted(F.col("content"), kind, providers.words)).withColumn(f"{kind}_vector", embedded(F.col(kind), providers.embed))
-    return numbered(rows.withColumn("full_content_vector", embedded(F.col("full_content"), providers.embed)), ["book_id", "pos", "inner_pos", "subsection_index"])
+    return consecutive(rows.withColumn("full_content_vector", embedded(F.col("full_content"), providers.embed)), ["book_id", "pos", "inner_pos", "subsection_index"])
 
 
 def ask_flat(index: DataFrame, question: str, providers: Providers, top_n: int = 3, adjacent: bool = True) -> DataFrame:

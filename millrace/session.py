@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 
@@ -11,3 +15,26 @@ def session(name: str = "millrace", **conf: str) -> SparkSession:
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
     return builder.getOrCreate()
+
+
+def ship(spark: SparkSession) -> None:
+    """Gives the package to the executors, once a session, so that its functions run there wherever it is installed."""
+    context = spark.sparkContext
+    if getattr(context, "_millrace_shipped", False):
+        return
+    top = Path(__file__).resolve().parent
+    path = Path(tempfile.mkdtemp()) / "millrace.zip"
+    with zipfile.ZipFile(path, "w") as z:
+        for f in sorted(top.rglob("*.py")):
+            z.write(f, f.relative_to(top.parent))
+    context.addPyFile(str(path))
+    context._millrace_shipped = True
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir, which all executors share; one of our own only where it is unset."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        base = "/tmp/checkpoints"
+        spark.conf.set("spark.checkpoint.dir", base)
+    return base.rstrip("/")
