@@ -153,3 +153,34 @@ def _applied(nodes: DataFrame, edges: DataFrame, op: str, args: dict) -> tuple[D
         edges = graph.split(edges, spark.createDataFrame([(parent, m) for m in made], "parent string, child string"))
         return nodes, edges, f"OK: Split {parent} into: {', '.join(made)}"
     return nodes, edges, f"WARNING: unknown operation: {op}"
+
+
+# --- tagging books and running evaluations -------------------------------------------------------
+
+def tagged_books(books: DataFrame, tag: DataFrame) -> DataFrame:
+    """Tags of books (book_id, text) in one table per category: sections are parsed, given to a tagger's result
+    tag(book_id, chapter_idx, section_idx, seq, tags: category -> array of (name_zh, name_en)), of which the last for a
+    section counts, and flattened: of each name the last tag, at the first one's place."""
+    sections = parsing.tagging_sections(books, ["book_id"])
+    keys = ["book_id", "chapter_idx", "section_idx"]
+    rows = sections.join(tags.latest(tag, keys, "seq"), keys).select(*keys, F.explode("tags").alias("key", "list"))
+    rows = rows.select(*keys, tags.category_of(F.col("key")).alias("category"), F.posexplode("list").alias("k", "t")).filter("category is not null")
+    place = F.struct(*keys, "k")
+    return rows.select("category", F.col("t.name_zh").alias("name_zh"), F.col("t.name_en").alias("name_en"), place.alias("pos")).transform(tags.flattened)
+
+
+def evaluated(cases: DataFrame, index: DataFrame, providers: Providers, top_n: int = 3) -> list[dict]:
+    """Answers to cases (prompt_index, prompt) with the seconds that each took; one that fails has an error."""
+    import time
+
+    out = []
+    for case in cases.orderBy("prompt_index").collect():  # prompts that a person wrote
+        began = time.perf_counter()
+        row = {"case_number": case.prompt_index + 1, "prompt": case.prompt}
+        try:
+            found = ask_flat(index, case.prompt, providers, top_n).first()
+            row |= {"response": found.response, "num_chunks_used": found.chunks_used, "error": found.error}
+        except Exception as e:  # noqa: BLE001  one case mustn't end the run
+            row |= {"response": None, "num_chunks_used": 0, "error": f"{type(e).__name__}: {e}"}
+        out.append(row | {"processing_time": time.perf_counter() - began})
+    return out

@@ -163,3 +163,33 @@ def test_structured_index(spark):
     assert [(r.symptoms, r.word_count, len(r.tags)) for r in rows] == [("cough", 20, 1), ("fever", 20, 0)]
     assert rows[0].full_content.endswith("[Related Tags]\n- 风 (wind)") and rows[0].organs_vector is None
     assert S.ask_structured(idx, "fever", providers, "symptoms", top_k=1).first().chunks_used == 1
+
+
+def test_tagged_books(spark):
+    books = spark.createDataFrame([("b", "#CHAPTER\nOne\n#SECTION\nS\ntext\n#SECTION\nT\nmore")], "book_id string, text string")
+    kind = "book_id string, chapter_idx int, section_idx int, seq int, tags map<string,array<struct<name_zh:string,name_en:string>>>"
+    tag = spark.createDataFrame([("b", 1, 0, 1, {"herb_tags": [("x", "early")]}), ("b", 1, 0, 2, {"herbs_tags": [("x", "first")], "odd": [("z", "z")]}), ("b", 1, 1, 1, {"herb_tags": [("x", "last"), ("y", "y")]})], kind)
+    got = {r.name_zh: (r.category, r.name_en, r.first_pos.section_idx) for r in S.tagged_books(books, tag).collect()}
+    assert got == {"x": ("herb", "last", 0), "y": ("herb", "y", 1)}
+
+
+def test_evaluation_run(spark, tmp_path):
+    from millrace.operators import results
+
+    files = spark.createDataFrame([("in/a.txt", "cough and fever")], "path string, text string")
+    idx = S.flat_index(files, Providers())
+    cases = spark.createDataFrame([(0, "cough"), (1, "bad")], "prompt_index int, prompt string")
+
+    def embed(texts):
+        if texts == ["bad"]:
+            raise OSError("down")
+        return Providers().embed(texts)
+
+    rows = S.evaluated(cases, idx, Providers(embed=embed))
+    assert [bool(r["error"]) for r in rows] == [False, True] and rows[0]["num_chunks_used"] == 1
+    table = spark.createDataFrame(rows)
+    assert tuple(results.summary(table).first())[:3] == (2, 1, 1)
+    results.write_run(results.consolidated(table), results.summary(table), str(tmp_path), "r1", batch=True)
+    assert spark.read.json(str(tmp_path / "responses_batch_r1")).count() == 2
+    with pytest.raises(ValueError):
+        results.require(table, ["prompt", "missing"])
