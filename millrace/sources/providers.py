@@ -108,3 +108,41 @@ def parse_arguments(text: str | None) -> dict:
     return value if isinstance(value, dict) else {}
 
 
+
+
+@dataclass
+class LocalBatches:
+    """Batch jobs as a remote service has them (submit, status, results), run here by a chat function: the interface
+    that a remote one implements too."""
+
+    chat: Chat = echo_chat
+    jobs: dict[str, dict] = field(default_factory=dict)
+
+    def submit(self, lines: Sequence[str]) -> str:
+        job = f"batch-{len(self.jobs) + 1:04d}"
+        self.jobs[job] = {"status": "submitted", "lines": list(lines), "request_counts": {"total": len(lines), "completed": 0, "failed": 0}}
+        return job
+
+    def status(self, job: str) -> dict:
+        """The job's state; asking for it is what lets the job go on."""
+        own = self.jobs[job]
+        if own["status"] == "submitted":
+            own["results"] = [self._result(json.loads(line)) for line in own["lines"]]
+            failed = sum('"error": {' in r for r in own["results"])
+            own |= {"status": "completed", "request_counts": {"total": len(own["lines"]), "completed": len(own["lines"]) - failed, "failed": failed}}
+        return {k: own[k] for k in ("status", "request_counts")}
+
+    def results(self, job: str) -> list[str]:
+        if self.status(job)["status"] not in ("completed", "downloaded"):
+            raise ValueError(f"{job} isn't completed")
+        self.jobs[job]["status"] = "downloaded"
+        return self.jobs[job]["results"]
+
+    def _result(self, request: dict) -> str:
+        prompt = request["body"]["messages"][-1]["content"]
+        try:
+            text = self.chat([prompt])[0]
+        except Exception as e:  # noqa: BLE001  a request that fails is one failed result
+            return json.dumps({"custom_id": request["custom_id"], "error": {"message": str(e)}}, ensure_ascii=False)
+        usage = {"prompt_tokens": len(prompt.split()), "completion_tokens": len(text.split())}
+        return json.dumps({"custom_id": request["custom_id"], "response": {"body": {"model": request["body"]["model"], "choices": [{"message": {"content": text}}], "usage": usage}}}, ensure_ascii=False)

@@ -193,3 +193,50 @@ def test_evaluation_run(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "responses_batch_r1")).count() == 2
     with pytest.raises(ValueError):
         results.require(table, ["prompt", "missing"])
+
+
+def knowledge(spark):
+    from millrace.operators.dialog import Knowledge
+
+    symptoms = spark.createDataFrame([("a", "咳", "cough", 1, "d"), ("b", "热", "fever", 2, "")], "id string, zh string, en string, seq long, description string")
+    syndromes = spark.createDataFrame([("s", "风寒", "wind", 1, "cold", "herb"), ("t", "", "heat", 2, "", "")], "id string, zh string, en string, seq long, description string, herbal_treatments string")
+    edges = spark.createDataFrame([("s", "a", 0), ("t", "b", 0), ("t", "gone", 1)], "syndrome string, symptom string, pos int")
+    return Knowledge(symptoms, syndromes, edges)
+
+
+def test_dialog_tools(spark):
+    import json
+
+    kb = knowledge(spark)
+    assert json.loads(kb.expand_symptom("a"))["syndromes"] == ["s"] and kb.expand_symptom("x").startswith("WARNING")
+    found = json.loads(kb.search_syndromes(["b", "a", "x"]))
+    assert [r["syndrome_id"] for r in found["results"]] == ["t", "s"] and len(found["warnings"]) == 1
+    assert found["results"][0]["symptoms"][1] == {"id": "gone", "name": "<missing>"} and found["results"][0]["score"] == 1.005
+    assert kb.search_syndromes(["x"]) == kb.search_syndromes([]) == "WARNING: No valid symptom ids provided."
+    assert kb.call("fly", {}).startswith("WARNING") and kb.call("give_diagnosis", {"x": 1}).startswith("ERROR")
+
+
+def test_conversation_ends(spark):
+    kb = knowledge(spark)
+    turns = iter([{"tool": "search_syndromes", "arguments": {"symptom_ids": ["a"]}}, {"tool": "give_diagnosis", "arguments": {"syndrome_id": "s"}}])
+    log = kb.converse([{"role": "user", "content": "cough"}], lambda _: next(turns))
+    assert [m["role"] for m in log] == ["user", "assistant", "tool", "assistant", "tool"] and "herb" in log[-1]["content"]
+    assert kb.converse([], lambda _: {"tool": "fly"}, budget=2)[-1]["role"] == "system"
+    assert kb.converse([], lambda _: {"content": "hello"})[-1]["content"] == "hello"
+
+
+def test_local_batches(spark):
+    from millrace.sources.providers import LocalBatches
+
+    def chat(prompts):
+        if prompts == ["p1"]:
+            raise OSError("quota")
+        return ["fine"]
+
+    prompts = spark.createDataFrame([(k, f"p{k}") for k in range(3)], "prompt_index long, prompt string")
+    service = LocalBatches(chat)
+    job = service.submit([r.line for r in E.batch_requests(prompts, "m", "s").orderBy("prompt_index").collect()])
+    assert service.status(job)["request_counts"] == {"total": 3, "completed": 2, "failed": 1}
+    lines = spark.createDataFrame([(x,) for x in service.results(job)], "value string")
+    assert {r.prompt: r.response for r in E.batch_results(lines, prompts).collect()} == {"p0": "fine", "p1": "Error: quota", "p2": "fine"}
+    assert service.jobs[job]["status"] == "downloaded"
