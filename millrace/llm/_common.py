@@ -18,7 +18,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes that are worked on at once; one longer text makes a larger chunk of its own.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
+
+#: A stage that took less has left too little in shuffle files to be worth a collection of the driver's garbage.
+SHORT_S = 2.0
 
 WHITE = bytes([0x20, *range(0x09, 0x0E)])
 #: ASCII that is neither a digit nor a lower-case letter (texts are lower-cased before).
@@ -45,17 +48,22 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df, written as Parquet to the shared folder and read again: lineage is cut and survives lost executors."""
+def written(df: DataFrame, name: str, free: bool = True) -> DataFrame:
+    """df, written as Parquet to the shared folder and read again: lineage is cut and survives lost executors.
+
+    free: see `free_shuffles`; without, for what is written without a large shuffle.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    began = time.monotonic()
     df.write.option("compression", "zstd").parquet(path)
     if not _written:
         atexit.register(_clean)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_to = path
     _written.append((spark, path))
-    free_shuffles(spark)
+    if free and time.monotonic() - began > SHORT_S:
+        free_shuffles(spark)
     return out
 
 

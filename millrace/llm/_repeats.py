@@ -39,7 +39,7 @@ NO_ID = -(1 << 63) + 1
 class Windows:
     """What differs between byte and word windows.
 
-    anchors: texts' bytes and offsets -> (text index, first window, windows, minimiser) of all super-k-mers.
+    anchors: texts' bytes and offsets -> (text index, first window, windows, minimiser, again) of all super-k-mers.
     cut: a text's bytes, first windows, numbers of windows -> packed strings.
     digests: a text's bytes, first windows, numbers -> (window start, 16 bytes that identify its content).
     bucket: strings (distinct), their place (document, first window) -> flags of their windows, one array each.
@@ -87,18 +87,22 @@ def minimisers(hashes: np.ndarray, width: int) -> np.ndarray:
 
 
 def super_runs(of_text: np.ndarray, firsts: np.ndarray, grams: np.ndarray, width: int) -> tuple[np.ndarray, ...]:
-    """(text, first, windows, minimiser) of runs of windows that share a minimiser.
+    """(text, first, windows, minimiser, again) of runs of windows whose minimisers have one hash.
 
     of_text: the text of each window; firsts: its place; grams: hashes of the grams at all places. Windows cover
-    the grams at firsts .. firsts + width - 1.
+    the grams at firsts .. firsts + width - 1. again: the minimiser stands at several places of the run, as in
+    periodic text, so windows within the run may be equal; else they can't be.
     """
     if not len(firsts):
         z = np.zeros(0, np.int64)
-        return z, z, z, z
+        return z, z, z, z, z.astype(bool)
     at = minimisers(grams, width)[firsts]
-    new = np.concatenate([[True], (at[1:] != at[:-1]) | (of_text[1:] != of_text[:-1]) | (firsts[1:] != firsts[:-1] + 1)])
+    low = grams[at]
+    new = np.concatenate([[True], (low[1:] != low[:-1]) | (of_text[1:] != of_text[:-1]) | (firsts[1:] != firsts[:-1] + 1)])
     runs = np.flatnonzero(new)
-    return of_text[runs], firsts[runs], np.diff(np.append(runs, len(firsts))), signed(grams[at[runs]])
+    moved = np.concatenate([[False], (at[1:] != at[:-1]) & ~new[1:]])
+    again = np.add.reduceat(moved.astype(np.int64), runs) > 0
+    return of_text[runs], firsts[runs], np.diff(np.append(runs, len(firsts))), signed(low[runs]), again
 
 
 def find(docs: DataFrame, kind: Windows, name: str, hot: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -108,19 +112,22 @@ def find(docs: DataFrame, kind: Windows, name: str, hot: int | None = None) -> t
     """
     hot = HOT if hot is None else hot
     rows = identified(docs)
-    twins = written(copies(rows), f"{name}-copies")
-    runs = written(map_batches(rows, lambda b: _anchor_rows(b, kind), "h long, did long, sig long, start int, n int"), f"{name}-runs")
+    twins = written(copies(rows), f"{name}-copies", free=False)
+    runs = written(map_batches(rows, lambda b: _anchor_rows(b, kind), "h long, did long, sig long, start int, n int, again boolean"), f"{name}-runs", free=False)
     place = F.xxhash64("sig", "start")  # a copy's place is that of the text it copies
-    shared = runs.select("h", place.alias("place")).groupBy("h").agg(F.min("place").alias("lo"), F.max("place").alias("hi"), F.count(F.lit(1)).alias("strings")).filter("lo != hi").select("h", "strings")
+    places = runs.select("h", "again", place.alias("place")).groupBy("h").agg(F.min("place").alias("lo"), F.max("place").alias("hi"), F.max("again").alias("again"), F.count(F.lit(1)).alias("strings"))
+    # written first, so that the join has two plain exchanges and Spark can split a minimiser of many rows
+    shared = written(places.filter("lo != hi or again").select("h", "strings"), f"{name}-shared")
     others = twins.filter("did != rep").select("did", "sig")
-    flagged = written(runs.join(shared.hint("shuffle_hash"), "h").join(others, ["did", "sig"], "left_anti"), f"{name}-flagged")
+    flagged = written(runs.join(shared, "h").join(others, ["did", "sig"], "left_anti"), f"{name}-flagged")
     discard(runs)
+    discard(shared)
 
     def listed(part: DataFrame) -> DataFrame:
-        lists = part.groupBy("did", "sig").agg(F.collect_list(F.struct("h", "start", "n")).alias("runs"))
+        lists = part.groupBy("did", "sig").agg(F.collect_list(F.struct("h", "start", "n", "again")).alias("runs"))
         return rows.join(lists, ["did", "sig"])
 
-    packed = map_batches(listed(flagged.filter(F.col("strings") <= hot)), lambda b: _packed_rows(b, kind), "h long, did long, sig long, start int, n int, s binary")
+    packed = map_batches(listed(flagged.filter(F.col("strings") <= hot)), lambda b: _packed_rows(b, kind), "h long, did long, sig long, start int, n int, again boolean, s binary")
     dealt = packed.repartition("h").sortWithinPartitions("h")
     found = dealt.mapInArrow(lambda batches: _buckets(batches, kind), "did long, sig long, a int, b int")
     if not flagged.filter(F.col("strings") > hot).isEmpty():
@@ -134,35 +141,45 @@ def find(docs: DataFrame, kind: Windows, name: str, hot: int | None = None) -> t
     return rows, spans, twins
 
 
+def without_copies(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """Of rows with one text (sig) in a batch only the one of the smallest id, as a pre-aggregation: a group of copies
+    leaves a row a batch. The smallest id of all is among them."""
+    did, sig = (batch.column(c).to_numpy() for c in ("did", "sig"))
+    order = np.lexsort((did, sig))
+    first = np.concatenate([[True], sig[order][1:] != sig[order][:-1]])
+    return batch if first.all() else batch.take(pa.array(np.sort(order[first])))
+
+
 def _anchor_rows(batch: pa.RecordBatch, kind: Windows) -> Iterator[pa.RecordBatch]:
+    batch = without_copies(batch)
     data, offsets = text_bytes(batch.column("text"))
-    did, sig = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("did", "sig"))
-    for text, start, n, h in kind.anchors(data, offsets):
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h, did[text], sig[text], start.astype(np.int32), n.astype(np.int32))], ["h", "did", "sig", "start", "n"])
+    did, sig = (batch.column(c).to_numpy() for c in ("did", "sig"))
+    for text, start, n, h, again in kind.anchors(data, offsets):
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h, did[text], sig[text], start.astype(np.int32), n.astype(np.int32), again)], ["h", "did", "sig", "start", "n", "again"])
 
 
-def _per_text(batch: pa.RecordBatch) -> Iterator[tuple[int, int, bytes, np.ndarray, np.ndarray, np.ndarray]]:
+def _per_text(batch: pa.RecordBatch) -> Iterator[tuple[int, int, bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     lists = batch.column("runs")
     flat, at = lists.flatten(), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))])
-    h, start, n = (flat.field(k).to_numpy(zero_copy_only=False) for k in range(3))
+    h, start, n, again = (flat.field(k).to_numpy(zero_copy_only=False) for k in range(4))
     for i, (did, sig, text) in enumerate(zip(batch.column("did").to_pylist(), batch.column("sig").to_pylist(), batch.column("text").cast(pa.binary()), strict=True)):
         own = slice(at[i], at[i + 1])
-        yield did, sig, text.as_py(), h[own], start[own], n[own]
+        yield did, sig, text.as_py(), h[own], start[own], n[own], again[own]
 
 
 def _packed_rows(batch: pa.RecordBatch, kind: Windows) -> Iterator[pa.RecordBatch]:
     for part in range(0, batch.num_rows, 512):
-        hs, dids, sigs, starts, ns, strings = [], [], [], [], [], []
-        for did, sig, raw, h, start, n in _per_text(batch.slice(part, 512)):
+        hs, dids, sigs, starts, ns, agains, strings = [], [], [], [], [], [], []
+        for did, sig, raw, h, start, n, again in _per_text(batch.slice(part, 512)):
             strings += kind.cut(raw, start.tolist(), n.tolist())
-            hs.append(h), starts.append(start), ns.append(n)
+            hs.append(h), starts.append(start), ns.append(n), agains.append(again)
             dids.append(np.full(len(h), did)), sigs.append(np.full(len(h), sig))
-        arrays = [pa.array(np.concatenate(x)) for x in (hs, dids, sigs, starts, ns)]
-        yield pa.RecordBatch.from_arrays([*arrays, pa.array(strings, pa.binary())], ["h", "did", "sig", "start", "n", "s"])
+        arrays = [pa.array(np.concatenate(x)) for x in (hs, dids, sigs, starts, ns, agains)]
+        yield pa.RecordBatch.from_arrays([*arrays, pa.array(strings, pa.binary())], ["h", "did", "sig", "start", "n", "again", "s"])
 
 
 def _digest_rows(batch: pa.RecordBatch, kind: Windows) -> Iterator[pa.RecordBatch]:
-    for did, sig, raw, _, start, n in _per_text(batch):
+    for did, sig, raw, _, start, n, _ in _per_text(batch):
         at, digests = kind.digests(raw, start.tolist(), n.tolist())
         k = len(at)
         yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(np.full(k, did)), pa.array(np.full(k, sig)), pa.array(np.array(at, np.int32))], ["w", "did", "sig", "a"])
@@ -234,14 +251,14 @@ def _compared(table: pa.Table, kind: Windows) -> pa.RecordBatch:
         member[i] = g
     first = np.array(firsts)
     repeated = np.array(many)
-    found: list[tuple[np.ndarray, np.ndarray]] = []  # rows and window offsets
     if kind.first_stays:
         whole = np.flatnonzero((did != did[first[member]]) | (start != start[first[member]]))
     else:
         whole = np.flatnonzero(repeated[member])
     spans = [(whole, start[whole], start[whole] + n[whole])]
     _, inverse, counts = np.unique(h[first], return_inverse=True, return_counts=True)
-    mixed_ones = np.flatnonzero(counts[inverse] > 1)
+    again = table.column("again").to_numpy(zero_copy_only=False)[first]
+    mixed_ones = np.flatnonzero((counts[inverse] > 1) | again)  # where windows of different strings, or of one, may be equal
     if len(mixed_ones):
         at = first[mixed_ones]
         flags = kind.bucket([strings[i] for i in at.tolist()], did[at], start[at], n[at])

@@ -134,8 +134,8 @@ def byte_windows(length: int = LENGTH, gram: int = GRAM) -> Windows:
                 continue
             text = np.repeat(np.arange(j - i), counts)
             firsts = np.repeat(own[:-1] - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
-            got, first, n, low = super_runs(text, firsts, gram_hashes(part, gram), length - gram + 1)
-            yield got + i, first - own[got], n, low
+            got, first, n, low, again = super_runs(text, firsts, gram_hashes(part, gram), length - gram + 1)
+            yield got + i, first - own[got], n, low, again
 
     def cut(raw: bytes, starts: list[int], ns: list[int]) -> list[bytes]:
         return [raw[s : s + n + length - 1] for s, n in zip(starts, ns, strict=True)]

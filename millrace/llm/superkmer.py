@@ -31,8 +31,8 @@ def word_windows(window: int = WINDOW, gram: int = GRAM) -> Windows:
             h = word_hashes(part, starts, ends)
             at = np.arange(len(h) - gram + 1)
             text = np.searchsorted(of_text, firsts, side="right") - 1
-            got, first, n, low = super_runs(text, firsts, span_hashes(h, at, at + gram), window - gram + 1)
-            yield got + i, first - of_text[got], n, low
+            got, first, n, low, again = super_runs(text, firsts, span_hashes(h, at, at + gram), window - gram + 1)
+            yield got + i, first - of_text[got], n, low, again
 
     def cut(raw: bytes, starts: list[int], ns: list[int]) -> list[bytes]:
         own = raw.split()
