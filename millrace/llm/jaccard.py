@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import IS_WHITE, LOWER, U64, chunks, discard, map_batches, mixed, signed, span_hashes, text_bytes, word_hashes, words, written
+from ._repeats import without_copies
 
 SHINGLE, PERCENT = 5, 80
 #: Counters of the frequency sketch (its only purpose is the first order of tokens).
@@ -106,12 +107,14 @@ def among(rows: DataFrame, ids: DataFrame) -> DataFrame:
 
 def components(edges: DataFrame, name: str) -> DataFrame:
     """(node, root): the smallest node that each node of edges (u, v) reaches, by large-star and small-star steps."""
-    edges = written(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u != v").distinct(), name)
+    edges = written(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u != v").distinct(), name, free=False)
     before = None
     while True:
         state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before or not state[0]:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
+            out = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
+            out.written_to = edges.written_to
+            return out
         before = state
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("low"))
@@ -119,7 +122,7 @@ def components(edges: DataFrame, name: str) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("low"))
         joined = large.join(low, "u")
         small = joined.filter("v != low").select(F.col("v").alias("u"), F.col("low").alias("v")).unionByName(low.select("u", F.col("low").alias("v"))).distinct()
-        after = written(small, name)
+        after = written(small, name, free=False)
         discard(edges)
         edges = after
 
@@ -128,7 +131,7 @@ def components(edges: DataFrame, name: str) -> DataFrame:
 
 def _prefix_rows(batch: pa.RecordBatch, n: int, percent: int, counts) -> Iterator[pa.RecordBatch]:
     """(t, same, n, pos) of the tokens in each text's prefix under the first order; same: the first mark of its set."""
-    for _, grams, at in _texts(batch, n):
+    for _, grams, at in _texts(without_copies(batch), n):
         sizes = np.diff(at)
         text = np.repeat(np.arange(len(sizes)), sizes)
         order = np.lexsort((mixed(grams), counts.value[(grams & U64(COUNTERS - 1)).astype(np.int64)], text))
@@ -225,16 +228,18 @@ def linked(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -> tuple[D
     representatives of different sets, enough of them to connect all that is similar."""
     rows = docs.select(*_keyed(docs), F.coalesce(F.col("`text`"), F.lit("")).alias("text"))
     spark = docs.sparkSession
-    rows_of_sets = written(map_batches(rows, lambda b: _set_rows(b, n, percent), _SET), "jaccard-sets")
+    rows_of_sets = written(map_batches(rows, lambda b: _set_rows(b, n, percent), _SET), "jaccard-sets", free=False)
     every = rows_of_sets.filter("counters is null")
     classes = every.filter("n > 0").groupBy("a", "b", "n").agg(F.min("did").alias("rep"))
-    sets = written(every.select("did", "sig", "n", "a", "b").distinct().join(classes, ["a", "b", "n"], "left"), "jaccard-classes")
+    sets = written(every.select("did", "sig", "n", "a", "b").distinct().join(classes, ["a", "b", "n"], "left"), "jaccard-classes", free=False)
     counts = spark.sparkContext.broadcast(_sketch(rows_of_sets))
-    prefixes = written(map_batches(rows.select("text"), lambda b: _prefix_rows(b, n, percent, counts), "t long, same long, n int, pos int"), "jaccard-prefixes")
-    shared = prefixes.groupBy("t").agg(F.min("same").alias("lo"), F.max("same").alias("hi")).filter("lo != hi").select("t")
+    prefixes = written(map_batches(rows, lambda b: _prefix_rows(b, n, percent, counts), "t long, same long, n int, pos int"), "jaccard-prefixes", free=False)
+    # written first, so that the join has two plain exchanges and Spark can split a token of many rows
+    shared = written(prefixes.groupBy("t").agg(F.min("same").alias("lo"), F.max("same").alias("hi")).filter("lo != hi").select("t"), "jaccard-tokens")
     reps = sets.filter("did = rep").select("did", F.col("a").alias("same")).distinct()
-    found = written(prefixes.join(shared.hint("shuffle_hash"), "t").distinct().join(reps, "same").select("t", "did", "n", "pos").distinct(), "jaccard-shared")
+    found = written(prefixes.join(shared, "t").join(reps, "same").select("t", "did", "n", "pos").distinct(), "jaccard-shared")
     discard(prefixes)
+    discard(shared)
 
     def fits(i: str, j: str) -> F.Column:
         """Whether sizes and the places of a common token leave room for similarity, if it is the first that both have.
@@ -251,18 +256,25 @@ def linked(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -> tuple[D
         near = written(near.filter(F.arrays_overlap("su", "sv")).select("u", "v").distinct(), f"{name}-near")
         text = among(rows, near.select(F.explode(F.array("u", "v")).alias("id")))
         sides = near.join(text.select(F.col("did").alias("v"), F.col("text").alias("text_v")), "v").join(text.select(F.col("did").alias("u"), F.col("text").alias("text_u")), "u")
-        return written(sides.mapInArrow(lambda b: _verified(b, n, percent), "u long, v long").distinct(), name)
+        found = written(sides.mapInArrow(lambda b: _verified(b, n, percent), "u long, v long").distinct(), name)
+        discard(near)
+        return found
 
     pivots = found.groupBy("t").agg(F.min(F.struct("did", "n", "pos")).alias("pivot"))
     stars = found.alias("x").join(pivots.select("t", "pivot.*").alias("y"), "t").filter((F.col("x.did") != F.col("y.did")) & fits("x", "y"))
     first = checked(stars.select(F.col("x.did").alias("u"), F.col("y.did").alias("v")).distinct(), "jaccard-stars")
     roots = components(first, "jaccard-roots")
     placed = found.join(roots.withColumnRenamed("node", "did"), "did", "left").withColumn("root", F.coalesce("root", "did"))
-    open_tokens = placed.groupBy("t").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo != hi").select("t")
-    tokens = placed.join(open_tokens, "t")
-    x, y = tokens.alias("x"), tokens.alias("y")
-    cross = x.join(y, (F.col("x.t") == F.col("y.t")) & (F.col("x.did") > F.col("y.did")) & (F.col("x.root") != F.col("y.root")) & fits("x", "y"))
+    # of a token's components the largest isn't compared within, so a pair has one side at least outside it
+    sizes = placed.groupBy("t", "root").agg(F.count(F.lit(1)).alias("size"))
+    largest = written(sizes.groupBy("t").agg(F.max_by("root", F.struct("size", "root")).alias("largest"), F.count(F.lit(1)).alias("roots")).filter("roots > 1").select("t", "largest"), "jaccard-open", free=False)
+    tokens = written(placed.join(largest, "t").withColumn("outside", F.col("root") != F.col("largest")).drop("largest"), "jaccard-placed")
+    x, y = tokens.alias("x"), tokens.filter("outside").alias("y")
+    once = ~F.col("x.outside") | (F.col("x.did") > F.col("y.did"))
+    cross = x.join(y, (F.col("x.t") == F.col("y.t")) & (F.col("x.root") != F.col("y.root")) & once & fits("x", "y"))
     rest = checked(cross.select(F.col("x.did").alias("u"), F.col("y.did").alias("v")).distinct(), "jaccard-rest")
+    for done in (largest, tokens, found, rows_of_sets, roots):
+        discard(done)
     several = sets.filter("n > 0").select("did", "rep").distinct().groupBy("did").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).filter("lo != hi")
     joined = several.select(F.col("did").alias("u"), F.col("lo").alias("v")).unionByName(several.select(F.col("did").alias("u"), F.col("hi").alias("v")))
     return rows, sets, reduce(DataFrame.unionByName, [first, rest, joined])
