@@ -22,7 +22,7 @@ from ._common import NOT_ALNUM, doc_columns, map_batches, merged
 
 WINDOW = 10
 #: Bytes of item text whose windows are broadcast and searched for at once.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 2 << 20
 
 _FOLD = bytes(32 if b in NOT_ALNUM and not 65 <= b <= 90 else b + 32 if 65 <= b <= 90 else b for b in range(256))
 

@@ -183,7 +183,7 @@ def learned(rows: DataFrame) -> dict[tuple[int, bytes], frozenset[bytes]]:
 
 def fit(docs: DataFrame, labels: DataFrame, held_out: F.Column) -> Model:
     """The model of the labelled rows; with labels of one kind, or none, every score is their mean (or 0)."""
-    rows = written(training_rows(docs, labels, held_out), "toxicity-training")
+    rows = written(training_rows(docs, labels, held_out), "toxicity-training", free=False)
     lexicons = learned(rows)
     sent = docs.sparkSession.sparkContext.broadcast(lexicons)
 
