@@ -7,6 +7,7 @@ splitting bytes equals splitting code points.
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
 import time
 import uuid
@@ -92,10 +93,27 @@ def _clean() -> None:
             _delete(spark, path)
 
 
-def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch] | pa.RecordBatch | None], schema: str) -> DataFrame:
-    """mapInArrow with a function of one batch."""
+def mapped(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema, after: Callable[[], None] | None = None) -> DataFrame:
+    """mapInArrow whose workers, which Spark keeps for later tasks, give their memory back when a task is over.
+
+    after: what is to be dropped before that.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from fn(batches)
+        finally:
+            if after is not None:
+                after()
+            _give_back()
+
+    return df.mapInArrow(run, schema)
+
+
+def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch] | pa.RecordBatch | None], schema, after: Callable[[], None] | None = None) -> DataFrame:
+    """`mapped` with a function of one batch that gives one, several or none."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 out = fn(batch)
@@ -104,7 +122,16 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.Record
                 elif out is not None:
                     yield from out
 
-    return df.mapInArrow(run, schema)
+    return mapped(df, each, schema, after)
+
+
+def _give_back() -> None:
+    """Returns freed memory to the system: the allocators of Arrow and of C keep it otherwise."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim is not None:
+        trim(0)
 
 
 # --- texts as bytes ------------------------------------------------------------------------------

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import U64, discard, map_batches, signed, text_bytes, written
+from ._common import U64, discard, map_batches, mapped, signed, text_bytes, written
 
 #: Super-k-mers of one minimiser that one task may hold (a few MB of strings); more are dealt by window.
 HOT = 20_000
@@ -70,6 +70,7 @@ def copies(rows: DataFrame) -> DataFrame:
     """did, sig, rep, copies of every document whose whole text another row has too; rep is the smallest id."""
     narrow = rows.select("did", "sig", F.octet_length("text").alias("bytes"))
     classes = narrow.groupBy("sig", "bytes").agg(F.min("did").alias("rep"), F.count(F.lit(1)).alias("copies")).filter("copies > 1")
+    classes = written(classes, "copies-classes", free=False)  # so that Spark can split a text of many copies in the join
     return narrow.distinct().join(classes, ["sig", "bytes"]).select("did", "sig", "rep", "copies")
 
 
@@ -129,7 +130,7 @@ def find(docs: DataFrame, kind: Windows, name: str, hot: int | None = None) -> t
 
     packed = map_batches(listed(flagged.filter(F.col("strings") <= hot)), lambda b: _packed_rows(b, kind), "h long, did long, sig long, start int, n int, again boolean, s binary")
     dealt = packed.repartition("h").sortWithinPartitions("h")
-    found = dealt.mapInArrow(lambda batches: _buckets(batches, kind), "did long, sig long, a int, b int")
+    found = mapped(dealt, lambda batches: _buckets(batches, kind), "did long, sig long, a int, b int")
     if not flagged.filter(F.col("strings") > hot).isEmpty():
         single = map_batches(listed(flagged.filter(F.col("strings") > hot)), lambda b: _digest_rows(b, kind), "w binary, did long, sig long, a int")
         seen = single.groupBy("w").agg(F.min(F.struct("did", "a", "sig")).alias("lo"), F.max(F.struct("did", "a", "sig")).alias("hi")).filter("lo != hi")

@@ -22,8 +22,8 @@ from ._common import doc_columns, map_batches
 
 #: Texts given to the library at once.
 AT_ONCE = 64
-#: Distinct units (see `ByteBpe.packed`) whose ids a worker keeps.
-CACHE = 400_000
+#: Distinct units (see `ByteBpe.packed`) whose ids a task keeps.
+CACHE = 200_000
 
 
 def byte_characters() -> list[str]:
@@ -186,4 +186,5 @@ def round_trip(docs: DataFrame, rank_path: str, pattern: str) -> DataFrame:
             of_bytes.append(hashlib.sha256(table.decode(np.frombuffer(ids, "<u4"))).hexdigest())
         return pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(n, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_bytes, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return map_batches(doc_columns(docs, "doc_id", "text"), batch, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    columns = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+    return map_batches(doc_columns(docs, "doc_id", "text"), batch, columns, after=lambda: tokenizer(rank_path, pattern).units.clear())

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import IS_WHITE, LOWER, U64, chunks, discard, map_batches, mixed, signed, span_hashes, text_bytes, word_hashes, words, written
+from ._common import IS_WHITE, LOWER, U64, chunks, discard, map_batches, mapped, mixed, signed, span_hashes, text_bytes, word_hashes, words, written
 from ._repeats import without_copies
 
 SHINGLE, PERCENT = 5, 80
@@ -230,7 +230,7 @@ def linked(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -> tuple[D
     spark = docs.sparkSession
     rows_of_sets = written(map_batches(rows, lambda b: _set_rows(b, n, percent), _SET), "jaccard-sets", free=False)
     every = rows_of_sets.filter("counters is null")
-    classes = every.filter("n > 0").groupBy("a", "b", "n").agg(F.min("did").alias("rep"))
+    classes = written(every.filter("n > 0").groupBy("a", "b", "n").agg(F.min("did").alias("rep")), "jaccard-equal", free=False)
     sets = written(every.select("did", "sig", "n", "a", "b").distinct().join(classes, ["a", "b", "n"], "left"), "jaccard-classes", free=False)
     counts = spark.sparkContext.broadcast(_sketch(rows_of_sets))
     prefixes = written(map_batches(rows, lambda b: _prefix_rows(b, n, percent, counts), "t long, same long, n int, pos int"), "jaccard-prefixes", free=False)
@@ -256,7 +256,7 @@ def linked(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -> tuple[D
         near = written(near.filter(F.arrays_overlap("su", "sv")).select("u", "v").distinct(), f"{name}-near")
         text = among(rows, near.select(F.explode(F.array("u", "v")).alias("id")))
         sides = near.join(text.select(F.col("did").alias("v"), F.col("text").alias("text_v")), "v").join(text.select(F.col("did").alias("u"), F.col("text").alias("text_u")), "u")
-        found = written(sides.mapInArrow(lambda b: _verified(b, n, percent), "u long, v long").distinct(), name)
+        found = written(mapped(sides, lambda b: _verified(b, n, percent), "u long, v long").distinct(), name)
         discard(near)
         return found
 
