@@ -138,7 +138,9 @@ def find(docs: DataFrame, kind: Windows, name: str, hot: int | None = None) -> t
         if kind.first_stays:
             alone = alone.filter((F.col("did") != F.col("lo.did")) | (F.col("a") != F.col("lo.a")))
         found = found.unionByName(alone.select("did", "sig", "a", (F.col("a") + 1).alias("b")))
-    spans = found.groupBy("did", "sig").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
+    # written, so that texts are dealt once for each of two plans, whatever Spark reuses, and never both at a time
+    spans = written(found.groupBy("did", "sig").agg(F.collect_list(F.struct("a", "b")).alias("spans")), f"{name}-spans")
+    discard(flagged)
     return rows, spans, twins
 
 
