@@ -1,14 +1,16 @@
 """License scan by an exact set-similarity join of text blocks with license templates, in DataFrame functions only.
 
-Blocks are lines, as sets of words. A block matches a template if it contains `PERCENT` of the template's words.
-Words are put in one global order, the rarest in the corpus first (document frequency over the whole table). Then,
+Blocks are lines, as sets of words, and runs of words across line ends, of 100 / `PERCENT` times the template's length,
+so that a notice is found however its lines are wrapped. A block matches a template if it contains `PERCENT` of the
+template's words. Words are put in one global order, the rarest in the corpus first (document frequency over the whole table). Then,
 for a template of t words of which `need` must be there,
 
 * prefix filter: the block has one of the template's first t - need + 1 words;
 * length filter: the block has `need` words of the vocabulary at least;
 * positional filter: after the first prefix word that both have, both still have words enough to come to `need`.
 
-What passes all three is counted exactly. Templates are a parameter of bounded size, so they go with the plan as
+What passes all three is counted exactly. Runs are looked for only in texts of several lines that have `need` words of
+a template, and begin only at a word of it that is followed by enough others within the run. Templates are a parameter of bounded size, so they go with the plan as
 literals: rows are neither shuffled nor keyed.
 """
 
@@ -19,6 +21,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import bound
 from ._common import doc_columns
 
 #: Share of a template's words that a block must contain.
@@ -51,23 +54,24 @@ def lowered(text: Column) -> Column:
     return F.lower(F.coalesce(text, F.lit("")))
 
 
-def ordered_templates(docs: DataFrame, percent: int = PERCENT) -> list[tuple[str, list[str], int]]:
-    """(label, words in the global order, words that a block needs); the corpus' counts of template words give it."""
+def ordered_templates(docs: DataFrame, percent: int = PERCENT) -> list[tuple[str, list[str], int, int]]:
+    """(label, words in the global order, words that a block needs, words of a run); the corpus' counts of template
+    words give the order."""
     vocabulary = sorted({w for _, t in TEMPLATES for w in t.split()})
     found = docs.select(F.explode(F.array_intersect(words(lowered(F.col("text"))), _strings(vocabulary))).alias("w")).groupBy("w").count()
     counts = {r.w: r["count"] for r in found.collect()}  # a row for each word of the templates at most
     rank = {w: k for k, w in enumerate(sorted(vocabulary, key=lambda w: (counts.get(w, 0), w)))}
-    sets = [(label, sorted(set(t.split()), key=rank.__getitem__)) for label, t in TEMPLATES]
-    return [(label, own, -(-percent * len(own) // 100)) for label, own in sets]
+    sets = [(label, sorted(set(t.split()), key=rank.__getitem__), len(t.split())) for label, t in TEMPLATES]
+    return [(label, own, -(-percent * len(own) // 100), -(-100 * n // percent)) for label, own, n in sets]
 
 
 def _strings(values: list[str]) -> Column:
     return F.array(*[F.lit(v) for v in values]) if values else F.array().cast("array<string>")
 
 
-def matches(tokens: Column, templates: list[tuple[str, list[str], int]]) -> Column:
+def matches(tokens: Column, templates: list[tuple[str, list[str], int, int]]) -> Column:
     """Array of (label, containment) of the templates that a block of these distinct words matches."""
-    order = list(dict.fromkeys(w for _, own, _ in templates for w in own))
+    order = list(dict.fromkeys(w for _, own, _, _ in templates for w in own))
     known = F.array_intersect(tokens, _strings(order))
 
     def one(label: str, own: list[str], need: int, known: Column) -> Column:
@@ -78,10 +82,32 @@ def matches(tokens: Column, templates: list[tuple[str, list[str], int]]) -> Colu
         passes = (F.size(known) >= need) & (at + need <= len(own))
         return F.when(passes & (both >= need), F.struct(F.lit(label).alias("label"), (both / F.lit(len(own))).alias("part")))
 
-    found = F.transform(F.array(known), lambda k: F.filter(F.array(*[one(*t, k) for t in templates]), lambda m: m.isNotNull()))
+    found = F.transform(F.array(known), lambda k: F.filter(F.array(*[one(*t[:3], k) for t in templates]), lambda m: m.isNotNull()))
     return F.element_at(found, 1)
 
 
+def run_matches(w: Column, known: Column, templates: list[tuple[str, list[str], int, int]]) -> Column:
+    """Array of (label, containment) of the templates that a run of the words w matches; known: the distinct words of
+    templates among w."""
+    order = list(dict.fromkeys(x for _, own, _, _ in templates for x in own))
+    each = F.array(*[F.struct(F.lit(label).alias("label"), _strings(own).alias("own"), F.lit(need).alias("need"), F.lit(run).alias("run")) for label, own, need, run in templates])
+    enough = lambda t: F.size(F.array_intersect(known, t["own"])) >= t["need"]
+    places = F.filter(F.transform(w, lambda x, i: F.when(x.isin(order), F.struct(x.alias("w"), i.alias("i")))), lambda p: p.isNotNull())
+
+    def most(at: Column, t: Column) -> Column:
+        """Words of the template t in the run that has most; at: their places."""
+        within = lambda p, k: F.filter(F.slice(at, k + 1, t["run"]), lambda q: q["i"] < p["i"] + t["run"])
+        return F.array_max(F.transform(at, lambda p, k: F.when(F.get(at, k + t["need"] - 1)["i"] < p["i"] + t["run"], F.size(F.array_distinct(F.transform(within(p, k), lambda q: q["w"]))))))
+
+    def found(all_places: Column) -> Column:
+        own = F.transform(F.filter(each, enough), lambda t: F.struct(t.alias("t"), F.filter(all_places, lambda p: F.array_contains(t["own"], p["w"])).alias("at")))
+        counted = F.transform(own, lambda o: F.struct(o["t"].alias("t"), most(o["at"], o["t"]).alias("n")))
+        return F.transform(F.filter(counted, lambda c: c["n"] >= c["t"]["need"]), lambda c: F.struct(c["t"]["label"].alias("label"), (c["n"] / F.size(c["t"]["own"])).alias("part")))
+
+    none = F.array().cast("array<struct<label:string,part:double>>")
+    return F.when(F.exists(each, enough), bound(places, found)).otherwise(none)
+
+
 def scan(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score of every row.
 
@@ -91,7 +117,7 @@ def scan(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """
     rows = doc_columns(docs, "doc_id", "text")
     templates = ordered_templates(rows, percent)
-    prefixes = sorted({w for _, own, need in templates for w in own[: len(own) - need + 1]})
+    prefixes = sorted({w for _, own, need, _ in templates for w in own[: len(own) - need + 1]})
     low = rows.select("doc_id", lowered(F.col("text")).alias("low"))
     split = low.select("doc_id", "low", words(F.col("low")).alias("w"))
     gap = BREAKS
@@ -104,7 +130,10 @@ def scan(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     blocks = F.transform(F.split("low", "\n"), lambda line: F.array_distinct(F.split(line, BREAKS)))
     near = F.filter(blocks, lambda b: F.arrays_overlap(b, _strings(prefixes)))
     empty = F.array().cast("array<struct<label:string,part:double>>")
-    matched = placed.withColumn("hits", F.when(some, F.flatten(F.transform(near, lambda b: matches(b, templates)))).otherwise(empty))
+    vocabulary = sorted({w for _, own, _, _ in templates for w in own})
+    wrapped = placed.withColumn("known", F.when(some & F.contains("low", F.lit("\n")), F.array_intersect("w", _strings(vocabulary))).otherwise(F.array().cast("array<string>")))
+    lines = F.when(some, F.flatten(F.transform(near, lambda b: matches(b, templates)))).otherwise(empty)
+    matched = wrapped.withColumn("hits", F.concat(lines, run_matches(F.col("w"), F.col("known"), templates)))
     every = F.concat(*[f"at_{k}" for k in range(len(starts))])
     labels = F.filter(F.array(*[F.when(F.size(f"at_{k}") > 0, F.lit(label)) for k, label in enumerate(starts)]), lambda x: x.isNotNull())
     n_base = reduce(lambda a, b: a + b, [F.size(f"at_{k}") for k in range(len(starts))])

@@ -62,6 +62,34 @@ def test_filters_lose_no_match(docs):
         assert set(got.labels.split(",")) - {""} == want | (set(got.base_labels.split(",")) - {""})
 
 
+WRAPPED = [
+    ("mit", "# Permission is hereby granted, free of charge, to any person obtaining a copy\n# of this software and associated documentation files (the Software)"),
+    ("bsd", "x y z\nRedistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions\r\nare met:"),
+    ("mpl", "dnl This Source Code Form is subject to the terms of the Mozilla Public\ndnl License, v. 2.0."),
+    ("gpl", "This\nprogram is free software;\n\nyou can redistribute\nit and/or modify it\nunder the terms of the\nGNU General Public\nLicense"),
+    ("apache", "Licensed under\nthe Apache\nLicense, Version\n2.0"),
+    ("", "Released for all\n" + "other words stand here\n" * 9 + "under the roof\n" + "and more of them\n" * 9 + "the MIT"),
+]
+
+
+def test_wrapped_notices_are_found(spark):
+    """Every run of words that contains enough of a template is found, wherever lines end in it."""
+    alone = [(10 * k, label, t) for k, (label, t) in enumerate(WRAPPED)]
+    long = [(10 * k + 1, label, "some prose of the document and its license\n" * 300 + t + "\nmore of it to be read" * 300) for k, (label, t) in enumerate(WRAPPED)]
+    got = {r.doc_id: r for r in license.scan(spark.createDataFrame([(d, t) for d, _, t in alone + long], "doc_id long, text string")).collect()}
+    for d, label, t in alone + long:
+        want, best = set(), 0.0
+        words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", t.lower())
+        for name, s in license.TEMPLATES:
+            own, run = set(s.split()), -(-100 * len(s.split()) // 80)
+            share = max(len(own & set(words[i : i + run])) / len(own) for i in range(len(words)))
+            if share >= 0.8:
+                want, best = want | {name}, max(best, share)
+        assert label in want or not label and not want
+        assert set(got[d].labels.split(",")) - {""} == want | (set(got[d].base_labels.split(",")) - {""})
+        assert got[d].score == (1.0 if got[d].n_base else best)
+
+
 def test_native_and_empty(docs):
     for f in (license.scan, quality.rules, quality.clean):
         df = f(docs)
