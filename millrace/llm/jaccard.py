@@ -223,10 +223,10 @@ def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(x) + len(y) - both)
 
 
-def linked(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -> tuple[DataFrame, DataFrame, DataFrame]:
+def linked(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, apart: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(sets, twins, links): sets(did, sig, n, a, b, rep) of every distinct (id, text); links(u, v) between
     representatives of different sets, enough of them to connect all that is similar."""
-    rows = docs.select(*_keyed(docs), F.coalesce(F.col("`text`"), F.lit("")).alias("text"))
+    rows = docs.select(*_keyed(docs, apart), F.coalesce(F.col("`text`"), F.lit("")).alias("text"))
     spark = docs.sparkSession
     rows_of_sets = written(map_batches(rows, lambda b: _set_rows(b, n, percent), _SET), "jaccard-sets", free=False)
     every = rows_of_sets.filter("counters is null")
@@ -280,14 +280,17 @@ def linked(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -> tuple[D
     return rows, sets, reduce(DataFrame.unionByName, [first, rest, joined])
 
 
-def _keyed(docs: DataFrame) -> list[F.Column]:
-    return [F.coalesce(F.col("`doc_id`").cast("long"), F.lit(NO_ID)).alias("did"), F.xxhash64(F.coalesce(F.col("`text`"), F.lit(""))).alias("sig")]
+def _keyed(docs: DataFrame, apart: bool = False) -> list[F.Column]:
+    """did and sig of rows; apart: each text of a null id has a did of its own, a hash of 63 bits under 0."""
+    sig = F.xxhash64(F.coalesce(F.col("`text`"), F.lit("")))
+    none = sig.bitwiseOR(F.lit(-(1 << 63))) if apart else F.lit(NO_ID)
+    return [F.coalesce(F.col("`doc_id`").cast("long"), none).alias("did"), sig.alias("sig")]
 
 
-def grouped(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+def grouped(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, apart: bool = False) -> DataFrame:
     """did (doc_id, NO_ID for null), sig (xxhash64 of the text, null as empty), n_shingles and root (the did of the
-    component) of each distinct id and text; see `report`."""
-    _, sets, links = linked(docs, n, percent)
+    component) of each distinct id and text; see `report`. apart: null ids aren't one document, see `_keyed`."""
+    _, sets, links = linked(docs, n, percent, apart)
     roots = components(links, "jaccard-components")
     found = sets.join(roots.withColumnRenamed("node", "rep"), "rep", "left")
     return found.select("did", "sig", F.col("n").alias("n_shingles"), F.coalesce("root", "rep", "did").alias("root"))
@@ -308,9 +311,10 @@ def report(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -> DataFra
 def kept(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """The rows of docs, with their own columns, of which one is left of each component: that of the smallest id.
 
-    If that id has several rows, the one whose text has the least hash stays, and of equal texts any one.
+    Rows of a null id are documents of their own, linked by similarity only; they stand before all ids from 0 on. If
+    another id has several rows, the one whose text has the least hash stays, and of equal texts any one.
     """
-    first = grouped(docs, n, percent).filter("did = root").groupBy("did").agg(F.min("sig").alias("sig"))
-    rows = docs.select(*_keyed(docs), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    first = grouped(docs, n, percent, apart=True).filter("did = root").groupBy("did").agg(F.min("sig").alias("sig"))
+    rows = docs.select(*_keyed(docs, apart=True), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     left = rows.join(first, ["did", "sig"]).dropDuplicates(["did", "sig"])
     return left.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])

@@ -63,6 +63,15 @@ def test_one_of_each_component_is_kept(docs):
     assert collections.Counter(r.doc_id for r in kept.collect()) == collections.Counter({c for _, _, c in components(pair_cases())})
 
 
+def test_texts_of_null_ids_are_kept(spark):
+    text = lambda k: " ".join(f"{k}x{i}" for i in range(60))
+    rows = [(None, text(k)) for k in range(6)] + [(None, text(0)), (None, text(1) + " more"), (3, text(2)), (4, text(3) + " more"), (5, text(9)), (None, None), (None, "a b")]
+    got = jaccard.kept(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    short = collections.Counter((r.text or "").split("x")[0] for r in got)
+    assert short == collections.Counter({**{str(k): 1 for k in range(6)}, "9": 1, "": 1, "a b": 1})
+    assert [r.doc_id for r in got if r.doc_id is not None] == [5]
+
+
 def test_verification_uses_exact_counts():
     import numpy as np
 
