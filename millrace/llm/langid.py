@@ -5,136 +5,238 @@ product of their numbers of n-grams. A Nyström map over landmark texts makes ke
 one-versus-rest kernel ridge regression has one column per language. Texts are scored by two products of matrices:
 presence by the landmarks' presence, and kernel rows by the fitted coefficients.
 
-Grams are those that landmarks have, so presence is a matrix of texts by grams. The fit is bounded by SAMPLE and
-LANDMARKS texts a language; scoring reads every whole text.
+Grams are those that landmarks have, so presence is a matrix of texts by grams. Only the fit is bounded, in labelled
+rows: SAMPLE and LANDMARKS texts a language, whole and whatever their length, SAMPLES and ALL_LANDMARKS together (of many
+languages each gets an equal share, one at least). The letters and the languages are all that those texts have.
+Executors turn training texts into grams and kernel rows; the driver holds these, and no text.
 """
 
 from __future__ import annotations
 
 import unicodedata
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import chunks, doc_columns, map_batches, text_bytes
+from ._common import chunks, discard, doc_columns, map_batches, mapped, text_bytes, written
 
-#: Training texts and landmarks of each language, and languages, at most.
-SAMPLE, LANDMARKS, LANGUAGES = 150, 16, 400
-#: Training texts are drawn among those of at most so many bytes, so that the driver holds a bounded sample.
-SAMPLE_BYTES = 20_000
-#: Letters that are told apart; all others count as one, and what isn't a letter as another.
-ALPHABET = 126
+#: Training texts of a language, and of all languages, at most (but one of each).
+SAMPLE, SAMPLES = 150, 20_000
+#: Landmarks of a language, and of all languages, at most (but one of each).
+LANDMARKS, ALL_LANDMARKS = 16, 2_048
+#: Numbers of grams are looked up in a table up to this size, beyond it by bisection; both find the same.
+TABLE = 1 << 24
+#: Cells of a presence matrix that is worked on at once.
+CELLS = 4 << 20
 RIDGE = 1e-3
 
 
+@lru_cache(maxsize=1)
+def _is_letter() -> np.ndarray:
+    return np.array([unicodedata.category(chr(p))[0] == "L" for p in range(0x110000)])
+
+
+def letters_of(text: str) -> np.ndarray:
+    """Code points of a text in lower case between two blanks, 0 for what isn't a letter."""
+    points = np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "surrogatepass"), np.uint32)
+    return np.where(_is_letter()[points], points, 0)
+
+
+def grams_of(symbols: np.ndarray, base: int) -> np.ndarray:
+    """Numbers of the 1-, 2- and 3-grams of symbols below base - 1; those of different n differ."""
+    one = symbols.astype(np.int64) + 1
+    two = one[:-1] * base + one[1:]
+    return np.concatenate([one, two, two[:-1] * base + one[2:]])
+
+
+#: More than any code point and a bit, so that grams of code points fit 64 bits.
+POINTS = 1 << 21
+
+
 @dataclass
 class Model:
     langs: list[str]
-    letters: np.ndarray  # code points of the alphabet, sorted
-    classes: np.ndarray  # their classes
-    grams: np.ndarray  # gram -> column of presence, or -1
-    width: int
-    landmarks: np.ndarray  # columns by landmarks, scaled
-    weights: np.ndarray  # landmarks by languages
-    bias: np.ndarray
-
-
-def training_rows(docs: DataFrame, keep: F.Column, sample: int = SAMPLE) -> list[tuple[str, str]]:
-    """At most `sample` (lang, text) of each language, those with the least hash of the id."""
-    rows = docs.select("doc_id", "lang", "text").filter(keep & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    rows = rows.filter((F.octet_length("text") <= SAMPLE_BYTES) & F.col("text").rlike(r"\p{L}")).select("doc_id", "lang")
-    langs = sorted(r.lang for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect())
-    ranked = rows.filter(F.col("lang").isin(langs)).withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))).filter(F.col("rank") <= sample)
-    chosen = [r.doc_id for r in ranked.collect() if r.doc_id is not None]  # sample x languages ids
-    texts = docs.filter(keep & F.col("doc_id").isin(chosen) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text", "doc_id")
-    found = sorted((r.lang, r.doc_id, r.text) for r in texts.collect())
-    return [(lang, text) for lang, _, text in found]
-
-
-def _classes(model: Model, text: str) -> np.ndarray:
-    """Class of each character: 0 for what isn't a letter (and at both ends), 1 for letters outside the alphabet."""
-    points = np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "surrogatepass"), np.uint32)
-    at = np.minimum(np.searchsorted(model.letters, points), len(model.letters) - 1)
-    known = model.letters[at] == points
-    out = np.where(known, model.classes[at], 0)
-    odd = ~known & (points >= 0x80)
-    if odd.any():
-        unique, inverse = np.unique(points[odd], return_inverse=True)
-        out[odd] = np.array([unicodedata.category(chr(p))[0] == "L" for p in unique.tolist()])[inverse]
-    return out
+    letters: np.ndarray  # code points that landmarks have, sorted
+    grams: np.ndarray  # numbers of the grams that landmarks have, sorted
+    landmarks: np.ndarray  # grams by landmarks, scaled
+    weights: np.ndarray | None = None  # landmarks by languages
+    bias: np.ndarray | None = None
+    tables: tuple | None = field(default=None, repr=False)
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"tables": None}  # made where they are needed
+
+    @property
+    def base(self) -> int:
+        return len(self.letters) + 3  # besides letters: what isn't one, a letter that no landmark has, and no symbol
+
+    def columns(self, text: str) -> np.ndarray:
+        """Columns of the grams of a text that landmarks have, some several times; len(self.grams) for others."""
+        if self.tables is None:
+            of_point = np.where(_is_letter(), 1, 0).astype(np.int32)
+            of_point[self.letters] = np.arange(2, len(self.letters) + 2)
+            table = None
+            if self.base**3 <= TABLE:
+                table = np.full(self.base**3, len(self.grams), np.int32)
+                table[self.grams] = np.arange(len(self.grams))
+            self.tables = (of_point, table)
+        of_point, table = self.tables
+        points = np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "surrogatepass"), np.uint32)
+        found = grams_of(of_point[points], self.base)
+        if table is not None:
+            return table[found]
+        found = np.unique(found)
+        at = np.minimum(np.searchsorted(self.grams, found), len(self.grams) - 1)
+        return np.where(self.grams[at] == found, at, len(self.grams))
 
 
 def presence(model: Model, texts: list[str]) -> np.ndarray:
     """texts by grams: 1 where the text has the gram. Scaled so that a row's own kernel is 1."""
-    out = np.zeros((len(texts), model.width + 1), np.float32)
+    out = np.zeros((len(texts), len(model.grams) + 1), np.float32)
     for i, text in enumerate(texts):
-        c = _classes(model, text)
-        for n in (1, 2, 3):
-            out[i, model.grams[_grams(c, n)]] = 1
+        out[i, model.columns(text)] = 1
     out = out[:, :-1]
     return out / np.sqrt(np.maximum(out.sum(1, keepdims=True), 1))
 
 
-def _grams(classes: np.ndarray, n: int) -> np.ndarray:
-    """Numbers of the n-grams; those of different n differ."""
-    size = ALPHABET + 2
-    out = classes.astype(np.int64) + 1
-    for k in range(1, n):
-        out = out[:-1] * (size + 1) + classes[k:] + 1
-    return out
+def kernel(model: Model, texts: list[str]) -> np.ndarray:
+    """texts by landmarks, a bounded number of presence cells at a time."""
+    step = max(1, CELLS // (len(model.grams) + 1))
+    parts = [presence(model, texts[i : i + step]) @ model.landmarks for i in range(0, len(texts), step)]
+    return np.concatenate(parts) if parts else np.zeros((0, model.landmarks.shape[1]), np.float32)
 
 
-def fit(rows: list[tuple[str, str]], landmarks: int = LANDMARKS) -> Model | None:
-    """The model of (lang, text) rows; None without any."""
-    if not rows:
-        return None
-    langs = sorted({lang for lang, _ in rows})
-    of_lang = {lang: [t for x, t in rows if x == lang] for lang in langs}
-    # landmarks: the texts of most grams would be long ones; take them evenly over the lengths instead
-    marks = [t for lang in langs for t in (lambda ts: [ts[i] for i in np.unique(np.linspace(0, len(ts) - 1, min(landmarks, len(ts))).astype(int))])(sorted(of_lang[lang], key=lambda t: (len(t), t)))]
-    points, counts = np.unique(np.frombuffer("".join(t.lower() for t in marks).encode("utf-32-le", "surrogatepass"), np.uint32), return_counts=True)
-    letter = np.array([unicodedata.category(chr(p))[0] == "L" for p in points.tolist()], bool)
-    points, counts = points[letter], counts[letter]
-    top = np.sort(points[np.lexsort((points, -counts))][:ALPHABET])
-    model = Model(langs, top, np.arange(len(top)) + 2, np.zeros(0, np.int32), 0, np.zeros((0, 0)), np.zeros((0, 0)), np.zeros(0))
-    seen = np.unique(np.concatenate([np.unique(_grams(_classes(model, t), n)) for t in marks for n in (1, 2, 3)]))
-    size = ALPHABET + 3
-    model.grams, model.width = np.full(size**3, len(seen), np.int32), len(seen)
-    model.grams[seen] = np.arange(len(seen))
-    model.landmarks = presence(model, marks).T.copy()
+def from_landmarks(langs: list[str], marks: list[np.ndarray]) -> Model:
+    """A model yet without weights. marks: the distinct grams of each landmark, as `grams_of` its code points."""
+    every = np.unique(np.concatenate(marks))
+    last = every % POINTS - 1
+    letters = np.unique(last[last > 0])
+    own = lambda g: np.where(g, np.where(g > 1, np.searchsorted(letters, g - 1) + 2, 0) + 1, 0)  # noqa: E731  symbol + 1, or 0 for none
+    base = len(letters) + 3
+    # a gram has its first symbols in its upper bits
+    numbered = [np.unique((own(m // POINTS**2) * base + own(m // POINTS % POINTS)) * base + own(m % POINTS)) for m in marks]
+    grams = np.unique(np.concatenate(numbered))
+    rows = np.zeros((len(marks), len(grams)), np.float32)
+    for i, m in enumerate(numbered):
+        rows[i, np.searchsorted(grams, m)] = 1
+    return Model(langs, letters, grams, (rows / np.sqrt(rows.sum(1, keepdims=True))).T.copy())
+
+
+def fitted(model: Model, labels: list[str], rows: np.ndarray) -> Model:
+    """The model with the weights of a ridge regression on kernel rows of labelled texts."""
     values, vectors = np.linalg.eigh((model.landmarks.T @ model.landmarks).astype(np.float64))
     keep = values > 1e-6 * values.max()
     root = vectors[:, keep] / np.sqrt(values[keep])
-    features = np.concatenate([presence(model, [t for _, t in rows[i : i + 64]]) @ model.landmarks for i in range(0, len(rows), 64)]).astype(np.float64) @ root
-    target = np.array([[1.0 if lang == x else -1.0 for x in langs] for lang, _ in rows])
+    features = rows.astype(np.float64) @ root
+    target = np.where(np.array(labels, object)[:, None] == np.array(model.langs, object), 1.0, -1.0)
     mean_x, mean_y = features.mean(0), target.mean(0)
     x, y = features - mean_x, target - mean_y
     solved = np.linalg.solve(x.T @ x + RIDGE * len(rows) * np.eye(x.shape[1]), x.T @ y)
-    model.weights = (root @ solved).astype(np.float32)
-    model.bias = mean_y - mean_x @ solved
+    model.weights, model.bias = (root @ solved).astype(np.float32), mean_y - mean_x @ solved
     return model
 
 
 def score(model: Model, texts: list[str]) -> np.ndarray:
     """texts by languages: about 1 for the text's language and -1 for others."""
-    return presence(model, texts) @ model.landmarks @ model.weights + model.bias
+    return kernel(model, texts) @ model.weights + model.bias
+
+
+# --- fitting on Spark ----------------------------------------------------------------------------
+
+def training_rows(rows: DataFrame, sample: int = SAMPLE) -> list[tuple[str, int, int, int]]:
+    """(lang, sig, doc_id, bytes) of at most `sample` different texts of each language, those of least hash.
+
+    rows: lang, sig, doc_id, bytes. Each task passes on its own least ones only, so no group of copies, nor a language of most
+    rows, comes together in one task.
+    """
+
+    def least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[str, dict[int, tuple[int, int]]] = {}
+        for batch in batches:
+            for lang, sig, doc, size in zip(*(batch.column(c).to_pylist() for c in ("lang", "sig", "doc_id", "bytes")), strict=True):
+                own = best.setdefault(lang, {})
+                if sig not in own or (doc, size) < own[sig]:
+                    own[sig] = (doc, size)
+                    if len(own) >= 4 * sample:
+                        best[lang] = {k: own[k] for k in sorted(own)[:sample]}
+        found = [(lang, k, *own[k]) for lang, own in best.items() for k in sorted(own)[:sample]]
+        for i in range(0, len(found), 10_000):
+            columns = zip(*found[i : i + 10_000], strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["lang", "sig", "doc_id", "bytes"])
+
+    some = mapped(rows.select("lang", "sig", "doc_id", "bytes"), least, "lang string, sig long, doc_id long, bytes long")
+    some = some.groupBy("lang", "sig").agg(F.min(F.struct("doc_id", "bytes")).alias("least"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("sig"))
+    found = some.withColumn("rank", rank).filter(F.col("rank") <= sample).collect()  # `sample` narrow rows a language
+    return sorted((r.lang, r.sig, r.least.doc_id, r.least.bytes) for r in found)
+
+
+def fit(docs: DataFrame, keep: F.Column) -> Model | None:
+    """The model of the rows with a lang and a letter that `keep` leaves; None without any."""
+    sig = F.xxhash64("text").alias("sig")
+    rows = docs.filter(keep & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("lang", F.col("doc_id").cast("long").alias("doc_id"), sig, F.octet_length("text").cast("long").alias("bytes"), "text")
+    found = training_rows(rows)
+    if not found:
+        return None
+    spark, langs = docs.sparkSession, sorted({r[0] for r in found})
+    each, marked = max(1, min(SAMPLE, SAMPLES // len(langs))), max(1, min(LANDMARKS, ALL_LANDMARKS // len(langs)))
+    chosen, marks = [], set()
+    for lang in langs:
+        own = [r for r in found if r[0] == lang][:each]
+        chosen += own
+        by_size = sorted(own, key=lambda r: (r[3], r[1]))  # landmarks evenly over the lengths: long texts have most grams
+        marks |= {by_size[i][:2] for i in np.linspace(0, len(own) - 1, min(marked, len(own))).astype(int).tolist()}
+    wanted = F.broadcast(spark.createDataFrame([(*r[:3], r[:2] in marks) for r in chosen], "lang string, sig long, doc_id long, mark boolean"))  # SAMPLES narrow rows
+    texts = rows.select("lang", "sig", "doc_id", "text").join(wanted, ["lang", "sig", "doc_id"]).select("lang", "sig", "mark", "text")
+    sample = written(map_batches(texts, _once(), "lang string, sig long, mark boolean, text string"), "langid-sample", free=False)
+
+    def grams(batch: pa.RecordBatch) -> pa.RecordBatch:
+        lists = [np.unique(grams_of(letters_of(t), POINTS)) for t in batch.column("text").to_pylist()]
+        return pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("sig"), pa.array(lists, pa.list_(pa.int64()))], ["lang", "sig", "grams"])
+
+    got = {(r.lang, r.sig): r.grams for r in map_batches(sample.filter("mark"), grams, "lang string, sig long, grams array<long>").toLocalIterator()}
+    model = from_landmarks(langs, [np.array(got[k], np.int64) for k in sorted(got)])
+    sent = spark.sparkContext.broadcast(model)
+
+    def kernels(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("sig"), pa.array(list(kernel(sent.value, batch.column("text").to_pylist())), pa.list_(pa.float32()))], ["lang", "sig", "k"])
+
+    rows_of = {(r.lang, r.sig): r.k for r in map_batches(sample, kernels, "lang string, sig long, k array<float>").toLocalIterator()}
+    discard(sample)
+    keys = sorted(rows_of)
+    return fitted(model, [lang for lang, _ in keys], np.array([rows_of[k] for k in keys], np.float32))
+
+
+def _once():
+    """A function of batches that passes on one row of each (lang, sig): rows may be repeated without end."""
+    seen: set[tuple[str, int]] = set()  # each task unpickles its own, and no more than SAMPLES come
+
+    def first(batch: pa.RecordBatch) -> pa.RecordBatch:
+        new = []
+        for key in zip(batch.column("lang").to_pylist(), batch.column("sig").to_pylist(), strict=True):
+            new.append(key not in seen)
+            seen.add(key)
+        return batch.filter(pa.array(new, pa.bool_()))
+
+    return first
 
 
 def identify(docs: DataFrame, held_out: F.Column) -> DataFrame:
     """doc_id, held_out, lang_pred, score of every row; fitted on rows that held_out (of doc_id) leaves out.
 
     A null text, or one without a letter, is `und` with score 0, as is every text if there is no row to learn
-    from. Rows with null lang are scored, not learned from; null ids too. Repeated rows are scored each. Other
-    columns are not looked at. An empty table gives an empty result.
+    from. Rows with null lang are scored, not learned from; null ids too. Repeated rows are scored each, and learned
+    from once. Texts of any length are learned from. doc_id is an integer. Other columns are not looked at. An empty
+    table gives an empty result.
     """
     rows = doc_columns(docs, "doc_id", "text", "lang")
     held = F.coalesce(held_out, F.lit(False))
-    fitted = fit(training_rows(rows, ~held & F.col("doc_id").isNotNull()))
-    model = docs.sparkSession.sparkContext.broadcast(fitted)
+    model = docs.sparkSession.sparkContext.broadcast(fit(rows, ~held))
 
     def batch(part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         own = model.value
