@@ -9,6 +9,8 @@ from __future__ import annotations
 import atexit
 import ctypes
 import gc
+import hashlib
+import tempfile
 import time
 import uuid
 from collections.abc import Callable, Iterator
@@ -41,10 +43,13 @@ def doc_columns(df: DataFrame, *names: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which all executors share; one of our own only if it is unset."""
+    """The folder in spark.checkpoint.dir, which all executors share; one of our own only where it is unset and all
+    runs in one process. A cluster without the setting is an error: its executors share no local folder."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
-        base = "/tmp/checkpoints"
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="checkpoints-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
 
@@ -195,32 +200,47 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
-_tables: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+_tables: list[np.ndarray] = []
 
 
-def _table(salt: int, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Random values of the bytes, powers of the base and of its inverse, for positions below n."""
-    if salt not in _tables or len(_tables[salt][1]) < n:
+def _table(n: int) -> list[np.ndarray]:
+    """Powers of the base and of its inverse, for positions below n."""
+    if not _tables or len(_tables[0]) < n:
         n = max(n, CHUNK_BYTES + 4096)
-        base = (_BASE + 2 * salt * 0x1234567) % (1 << 64) | 1
-        inverse = pow(base, -1, 1 << 64)
-        values = mixed(np.arange(1, 257, dtype=U64) * U64(0xD1342543DE82EF95) + U64(salt))
-        powers = [np.multiply.accumulate(np.concatenate([np.ones(1, U64), np.full(n - 1, b, U64)])) for b in (base, inverse)]
-        _tables[salt] = (values, *powers)
-    values, up, down = _tables[salt]
-    return values, up, down
-
-
-def span_hashes(items: np.ndarray, starts: np.ndarray, ends: np.ndarray, salt: int = 0, as_bytes: bool = False) -> np.ndarray:
-    """64-bit hash of each span of items (bytes or 64-bit hashes): equal spans are equal wherever they lie."""
-    values, up, down = _table(salt, len(items) + 1)
+        _tables[:] = [np.multiply.accumulate(np.concatenate([np.ones(1, U64), np.full(n - 1, b, U64)])) for b in (_BASE, pow(_BASE, -1, 1 << 64))]
+    return _tables
+
+
+def span_hashes(items: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hash of each span of 64-bit items: equal spans are equal wherever they lie. For dealing and ordering
+    only: whoever uses it compares what lies behind equal hashes."""
+    up, down = _table(len(items) + 1)
     sums = np.zeros(len(items) + 1, U64)
-    np.cumsum((values[items] if as_bytes else items) * up[: len(items)], out=sums[1:])
+    np.cumsum(items * up[: len(items)], out=sums[1:])
     return mixed((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(U64) * U64(0xA0761D6478BD642F))
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, salt: int = 0) -> np.ndarray:
-    return span_hashes(data, starts, ends, salt, as_bytes=True)
+#: Words of more bytes are hashed one by one.
+LONG_WORD = 64
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], U64)
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hash of each word, by mixing in 8 bytes after 8 bytes; words of one length up to 8 bytes never collide."""
+    sizes = ends - starts
+    h = mixed(sizes.astype(U64) * U64(0xA0761D6478BD642F) + U64(_BASE))
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))  # the 8 bytes from each place on
+    live = np.flatnonzero(sizes <= LONG_WORD)
+    for k in range(0, LONG_WORD, 8):
+        if not len(live):
+            break
+        left = sizes[live] - k
+        h[live] = mixed(h[live] ^ (eight[starts[live] + k] & _MASKS[np.minimum(left, 8)]))
+        live = live[left > 8]
+    for i in np.flatnonzero(sizes > LONG_WORD).tolist():
+        h[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
+    return h
 
 
 def window_starts(of_text: np.ndarray, n: int) -> np.ndarray:

@@ -9,7 +9,8 @@ document's tokens). Candidates must do so under every one of three orders:
 2. a hash order: candidates' prefixes under it are joined to them and must overlap, before any text is moved;
 3. another hash order, compared when the texts are there, before the exact intersection.
 
-Equal token sets fold into one representative first. Then the candidates of a token are compared with one pivot
+Equal token sets (by a 128-bit digest) fold into one representative first. Tokens are 64-bit hashes that mix every byte; a
+link between different sets counts only after the shingles' words themselves have been compared. Then the candidates of a token are compared with one pivot
 (its smallest id) only, linked ones become one component, and what is left to compare are pairs of different
 components in a common token, as far as that token can be the first that a similar pair has in common. So a large group of
 near copies isn't expanded into pairs, and no link between components is lost.
@@ -17,6 +18,7 @@ near copies isn't expanded into pairs, and no link between components is lost.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from functools import reduce
 
@@ -25,14 +27,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import IS_WHITE, LOWER, U64, chunks, discard, map_batches, mapped, mixed, signed, span_hashes, text_bytes, word_hashes, words, written
+from ._common import IS_WHITE, LOWER, U64, chunks, discard, map_batches, mapped, mixed, signed, text_bytes, word_hashes, words, written
 from ._repeats import without_copies
 
 SHINGLE, PERCENT = 5, 80
-#: Counters of the frequency sketch (its only purpose is the first order of tokens).
-COUNTERS = 1 << 18
+#: Counters of the frequency sketch (its only purpose is the first order of tokens), least and most: one for four texts.
+COUNTERS, MOST_COUNTERS = 1 << 18, 1 << 22
 #: A null id is taken for this one, so that it compares as the smallest.
 NO_ID = -(1 << 63) + 1
+_FOLD = LOWER.tobytes()
 _ORDERS = (U64(0x8CB92BA72F3D8DD7), U64(0xC6A4A7935BD1E995))
 
 
@@ -47,7 +50,11 @@ def shingles(data: np.ndarray, offsets: np.ndarray, n: int = SHINGLE) -> tuple[n
     sizes = np.where(counts >= n, counts - n + 1, np.minimum(counts, 1))
     text = np.repeat(np.arange(len(counts)), sizes)
     first = np.repeat(of_text[:-1] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
-    grams = span_hashes(h, first, np.minimum(first + n, of_text[1:][text])) if len(first) else np.zeros(0, U64)
+    grams = mixed(h[first] + U64(0x51ED270B7A1F1E25))
+    left = of_text[1:][text] - first  # words from the first on
+    for k in range(1, n):
+        more = left > k
+        grams = np.where(more, mixed(grams ^ h[np.minimum(first + k, len(h) - 1)]), grams) if len(h) else grams
     order = np.lexsort((grams, text))
     grams, text = grams[order], text[order]
     new = np.ones(len(grams), bool)
@@ -56,6 +63,12 @@ def shingles(data: np.ndarray, offsets: np.ndarray, n: int = SHINGLE) -> tuple[n
     return grams, np.searchsorted(text, np.arange(len(counts) + 1))
 
 
+def shingle_set(text: str, n: int = SHINGLE) -> set[bytes]:
+    """The distinct shingles themselves."""
+    own = text.encode().translate(_FOLD).split()
+    return {b" ".join(own[i : i + n]) for i in range(max(len(own) - n + 1, min(len(own), 1)))}
+
+
 def prefix_size(n: np.ndarray | int, percent: int) -> np.ndarray | int:
     """Tokens of which two similar sets share one, whatever the order; 0 of an empty set."""
     return (n - (percent * n + 99) // 100 + 1) * (n > 0)
@@ -73,25 +86,31 @@ def _texts(batch: pa.RecordBatch, n: int) -> Iterator[tuple[slice, np.ndarray, n
         yield slice(i, j), grams, at
 
 
-def _sketch(every: DataFrame) -> np.ndarray:
+def sized(n: int, least: int, most: int) -> int:
+    """The power of two from n on, between two others."""
+    return min(most, max(least, 1 << max(n - 1, 0).bit_length()))
+
+
+def _sketch(every: DataFrame, size: int) -> np.ndarray:
     """How many shingles (one a text) fall on each counter, summed up from the rows that `_set_rows` adds for it."""
     parts = every.filter("counters is not null").select(F.explode(F.arrays_zip("counters", "counts")).alias("c"))
-    out = np.zeros(COUNTERS, np.int64)
-    for r in parts.groupBy(F.col("c.counters").alias("counter")).agg(F.sum("c.counts").alias("n")).toPandas().itertuples():  # COUNTERS rows at most
+    out = np.zeros(size, np.int64)
+    for r in parts.groupBy(F.col("c.counters").alias("counter")).agg(F.sum("c.counts").alias("n")).toPandas().itertuples():  # MOST_COUNTERS rows at most
         out[r.counter] = r.n
     return out
 
 
-#: Bits of the filter that keeps texts which no candidate needs from being moved; its only purpose is that.
-FILTER_BITS = 1 << 23
+#: Bits of the filter that keeps texts which no candidate needs from being moved (its only purpose), least and most: eight an id.
+FILTER_BITS, MOST_FILTER_BITS = 1 << 23, 1 << 28
 
 
 def among(rows: DataFrame, ids: DataFrame) -> DataFrame:
-    """rows(did, text), most of those left out whose did isn't among ids(id): a filter of fixed size, without shuffle."""
-    spot = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
+    """rows(did, text), most of those left out whose did isn't among ids(id): a filter of bounded size, without shuffle."""
+    size = sized(8 * ids.count(), FILTER_BITS, MOST_FILTER_BITS)
+    spot = lambda c: F.pmod(F.xxhash64(c), F.lit(size))
     bits = ids.select(spot("id").alias("at")).groupBy((F.col("at") / 32768).cast("int").alias("page")).agg(F.bitmap_construct_agg(F.col("at") % 32768).alias("bits"))
-    found = np.zeros((FILTER_BITS // 32768, 4096), np.uint8)
-    for r in bits.toLocalIterator():  # FILTER_BITS / 32768 pages of 4 KB at most
+    found = np.zeros((size // 32768, 4096), np.uint8)
+    for r in bits.toLocalIterator():  # size / 32768 pages of 4 KB at most
         found[r.page] = np.frombuffer(r.bits, np.uint8)
     table = rows.sparkSession.sparkContext.broadcast(found.reshape(-1))
 
@@ -134,7 +153,7 @@ def _prefix_rows(batch: pa.RecordBatch, n: int, percent: int, counts) -> Iterato
     for _, grams, at in _texts(without_copies(batch), n):
         sizes = np.diff(at)
         text = np.repeat(np.arange(len(sizes)), sizes)
-        order = np.lexsort((mixed(grams), counts.value[(grams & U64(COUNTERS - 1)).astype(np.int64)], text))
+        order = np.lexsort((mixed(grams), counts.value[(grams & U64(len(counts.value) - 1)).astype(np.int64)], text))
         pos = np.arange(len(grams)) - np.repeat(at[:-1], sizes)
         keep = pos < np.repeat(prefix_size(sizes, percent), sizes)
         same, _ = _set_marks(grams, at)
@@ -144,27 +163,26 @@ def _prefix_rows(batch: pa.RecordBatch, n: int, percent: int, counts) -> Iterato
 
 
 def _set_marks(grams: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two 64-bit sums that equal sets share (0 for empty sets)."""
-    sums = []
-    for k in range(2):
-        s = np.concatenate([[U64(0)], np.cumsum(mixed(grams ^ U64(0x51ED270B7A1F1E25 * (k + 1) % (1 << 64))), dtype=U64)])
-        sums.append(signed(mixed(s[at[1:]] - s[at[:-1]])))
-    return sums[0], sums[1]
+    """128 bits, as two numbers, that identify each set: a digest of its sorted shingles."""
+    raw, ends = memoryview(grams.tobytes()), (8 * at).tolist()
+    digests = b"".join(hashlib.blake2b(raw[i:j], digest_size=16).digest() for i, j in zip(ends, ends[1:], strict=False))
+    marks = np.frombuffer(digests, np.int64).reshape(-1, 2)
+    return marks[:, 0].copy(), marks[:, 1].copy()
 
 
 _SET = "did long, sig long, n long, a long, b long, second array<long>, counters array<int>, counts array<long>"
 
 
-def _set_rows(batch: pa.RecordBatch, n: int, percent: int) -> Iterator[pa.RecordBatch]:
+def _set_rows(batch: pa.RecordBatch, n: int, percent: int, counters: int) -> Iterator[pa.RecordBatch]:
     """(did, sig, n, a, b, second): the size and marks of each text's set, its prefix under the second order. One more
     row has only counters and counts, the batch's part of the frequency sketch."""
     did, sig = (batch.column(c).to_numpy() for c in ("did", "sig"))
     names = [x.split()[0] for x in _SET.split(", ")]
-    total = np.zeros(COUNTERS, np.int64)
+    total = np.zeros(counters, np.int64)
     for part, grams, at in _texts(batch, n):
         sizes = np.diff(at)
         a, b = _set_marks(grams, at)
-        total += np.bincount((grams & U64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
+        total += np.bincount((grams & U64(counters - 1)).astype(np.int64), minlength=counters)
         empty = [pa.nulls(len(sizes), pa.list_(t)) for t in (pa.int32(), pa.int64())]
         yield pa.RecordBatch.from_arrays([pa.array(did[part]), pa.array(sig[part]), pa.array(sizes.astype(np.int64)), pa.array(a), pa.array(b), _prefixes(grams, at, percent, 0), *empty], names)
     used = np.flatnonzero(total)
@@ -202,8 +220,9 @@ def _verified(batches: Iterator[pa.RecordBatch], n: int, percent: int) -> Iterat
         u, v, keep = batch.column("u"), batch.column("v"), []
         for k, (a, b) in enumerate(zip(u.to_pylist(), v.to_pylist(), strict=True)):
             # ids may come with several texts; a text's own hash tells which set is kept
-            x, y = ((lambda t, d: sets((d, hash(t)), t))(batch.column(c)[k].as_py(), d) for c, d in (("text_u", a), ("text_v", b)))
-            keep.append(similar(x, y, percent))
+            s, t = (batch.column(c)[k].as_py() for c in ("text_u", "text_v"))
+            near = similar(sets((a, hash(s)), s), sets((b, hash(t)), t), percent)
+            keep.append(near and really_similar(s, t, n, percent))
         mask = pa.array(keep, pa.bool_())
         yield pa.RecordBatch.from_arrays([u.filter(mask), v.filter(mask)], ["u", "v"])
 
@@ -223,16 +242,24 @@ def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(x) + len(y) - both)
 
 
+def really_similar(s: str, t: str, n: int, percent: int) -> bool:
+    """`similar` by the shingles' words: what hashes say is true only if no two of them stand for different words."""
+    x, y = shingle_set(s, n), shingle_set(t, n)
+    both = len(x & y)
+    return both > 0 and 100 * both >= percent * (len(x) + len(y) - both)
+
+
 def linked(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, apart: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(sets, twins, links): sets(did, sig, n, a, b, rep) of every distinct (id, text); links(u, v) between
     representatives of different sets, enough of them to connect all that is similar."""
     rows = docs.select(*_keyed(docs, apart), F.coalesce(F.col("`text`"), F.lit("")).alias("text"))
     spark = docs.sparkSession
-    rows_of_sets = written(map_batches(rows, lambda b: _set_rows(b, n, percent), _SET), "jaccard-sets", free=False)
+    counters = sized(docs.count() // 4, COUNTERS, MOST_COUNTERS)
+    rows_of_sets = written(map_batches(rows, lambda b: _set_rows(b, n, percent, counters), _SET), "jaccard-sets", free=False)
     every = rows_of_sets.filter("counters is null")
     classes = written(every.filter("n > 0").groupBy("a", "b", "n").agg(F.min("did").alias("rep")), "jaccard-equal", free=False)
     sets = written(every.select("did", "sig", "n", "a", "b").distinct().join(classes, ["a", "b", "n"], "left"), "jaccard-classes", free=False)
-    counts = spark.sparkContext.broadcast(_sketch(rows_of_sets))
+    counts = spark.sparkContext.broadcast(_sketch(rows_of_sets, counters))
     prefixes = written(map_batches(rows, lambda b: _prefix_rows(b, n, percent, counts), "t long, same long, n int, pos int"), "jaccard-prefixes", free=False)
     # written first, so that the join has two plain exchanges and Spark can split a token of many rows
     shared = written(prefixes.groupBy("t").agg(F.min("same").alias("lo"), F.max("same").alias("hi")).filter("lo != hi").select("t"), "jaccard-tokens")
@@ -275,8 +302,9 @@ def linked(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, apart: boo
     rest = checked(cross.select(F.col("x.did").alias("u"), F.col("y.did").alias("v")).distinct(), "jaccard-rest")
     for done in (largest, tokens, found, rows_of_sets, roots):
         discard(done)
-    several = sets.filter("n > 0").select("did", "rep").distinct().groupBy("did").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).filter("lo != hi")
-    joined = several.select(F.col("did").alias("u"), F.col("lo").alias("v")).unionByName(several.select(F.col("did").alias("u"), F.col("hi").alias("v")))
+    own = sets.filter("n > 0").select("did", "rep").distinct()
+    several = own.groupBy("did").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).filter("lo != hi").select("did")
+    joined = own.join(several, "did").filter("did != rep").select(F.col("did").alias("u"), F.col("rep").alias("v"))
     return rows, sets, reduce(DataFrame.unionByName, [first, rest, joined])
 
 
