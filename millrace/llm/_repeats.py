@@ -8,8 +8,12 @@ minimiser travel together, as one packed string (super-k-mer), to the minimiser'
    copies of a text don't count as other places: the document with the smallest id stands for its copies.
 3. Only what is left is cut out of the texts as packed strings and dealt by minimiser; within a bucket
    identical strings fold first, and the caller's `bucket` compares the windows of those that differ.
-4. A minimiser of more than HOT strings doesn't go to one task: its windows are dealt one by one, by a digest of
-   their content, and pre-aggregated before the shuffle.
+4. A minimiser of more than HOT strings, or HOT_BYTES, doesn't go to one task. Its strings are grouped by their bytes
+   first, pre-aggregated before the shuffle: all windows of a string that stands twice are repeated, and one of
+   each is enough to compare with others. If a minimiser has too many different strings even so, their windows are
+   dealt one by one, by a digest of their content, pre-aggregated too.
+
+A super-k-mer has LONGEST windows at most, so a periodic text doesn't travel as one string.
 
 The result has, for each document with such windows, the ranges of its window starts that are repeated.
 """
@@ -27,8 +31,12 @@ from pyspark.sql import functions as F
 
 from ._common import U64, discard, map_batches, mapped, signed, text_bytes, written
 
-#: Super-k-mers of one minimiser that one task may hold (a few MB of strings); more are dealt by window.
-HOT = 20_000
+#: Super-k-mers of one minimiser, and bytes of them, that one task may hold; more are grouped by content first.
+HOT, HOT_BYTES = 1_000, 1 << 18
+#: Windows of a super-k-mer at most.
+LONGEST = 4_096
+#: Places whose minimisers are looked for at once: so many fit the lower bits of a key.
+PLACES = 1 << 24
 #: Bytes of packed strings that a bucket task works on at once.
 BUCKET_BYTES = 1 << 20
 #: Ids are compared; a null id counts as the smallest.
@@ -39,9 +47,9 @@ NO_ID = -(1 << 63) + 1
 class Windows:
     """What differs between byte and word windows.
 
-    anchors: texts' bytes and offsets -> (text index, first window, windows, minimiser, again) of all super-k-mers.
+    anchors: texts' bytes and offsets -> (text index, first window, windows, minimiser, again, bytes) of all super-k-mers.
     cut: a text's bytes, first windows, numbers of windows -> packed strings.
-    digests: a text's bytes, first windows, numbers -> (window start, 16 bytes that identify its content).
+    digests: a packed string, its number of windows -> 16 bytes that identify each window's content.
     bucket: strings (distinct), their place (document, first window) -> flags of their windows, one array each.
     first_stays: the earliest place of a window isn't repeated, only the others are.
     """
@@ -54,8 +62,9 @@ class Windows:
 
 
 def identity() -> list[F.Column]:
-    """did (never null) and sig (of the text): what the steps join by. Rows of one id and text share them."""
-    return [F.coalesce(F.col("`doc_id`").cast("long"), F.lit(NO_ID)).alias("did"), F.xxhash64(F.coalesce(F.col("`text`"), F.lit(""))).alias("sig")]
+    """did (never null) and sig (60 bits of the text's SHA-256): what the steps join by. Rows of one id and text share them."""
+    sha = F.sha2(F.coalesce(F.col("`text`"), F.lit("")), 256)
+    return [F.coalesce(F.col("`doc_id`").cast("long"), F.lit(NO_ID)).alias("did"), F.conv(F.substring(sha, 1, 15), 16, 10).cast("long").alias("sig")]
 
 
 def identified(docs: DataFrame) -> DataFrame:
@@ -66,25 +75,31 @@ def doc_id() -> F.Column:
     return F.when(F.col("did") != NO_ID, F.col("did")).alias("doc_id")
 
 
-def copies(rows: DataFrame) -> DataFrame:
-    """did, sig, rep, copies of every document whose whole text another row has too; rep is the smallest id."""
-    narrow = rows.select("did", "sig", F.octet_length("text").alias("bytes"))
-    classes = narrow.groupBy("sig", "bytes").agg(F.min("did").alias("rep"), F.count(F.lit(1)).alias("copies")).filter("copies > 1")
-    classes = written(classes, "copies-classes", free=False)  # so that Spark can split a text of many copies in the join
-    return narrow.distinct().join(classes, ["sig", "bytes"]).select("did", "sig", "rep", "copies")
+def copies(rows: DataFrame, name: str) -> DataFrame:
+    """did, sig, rep, copies of every document whose whole text another row has too, written; rep is the smallest id. Texts are
+    told apart by their SHA-256."""
+    narrow = rows.select("did", "sig", F.unhex(F.sha2("text", 256)).alias("sha"))
+    classes = narrow.groupBy("sha").agg(F.min("did").alias("rep"), F.count(F.lit(1)).alias("copies")).filter("copies > 1")
+    classes = written(classes, f"{name}-classes", free=False)  # so that Spark can split a text of many copies in the join
+    twins = written(narrow.distinct().join(classes, "sha").select("did", "sig", "rep", "copies"), f"{name}-copies", free=False)
+    discard(classes)
+    return twins
 
 
 def minimisers(hashes: np.ndarray, width: int) -> np.ndarray:
-    """For each run of `width` grams, the index of its least hash, the first of equals. len(hashes) - width + 1."""
+    """For each run of `width` grams, the index of its least hash (by 40 bits), the first of equals. len(hashes) - width + 1."""
     n = len(hashes)
-    keys = (hashes & U64(0xFFFFFFFFFF000000 if n < 1 << 24 else 0xFFFFFFFF00000000)) | np.arange(n, dtype=U64)
+    if n > PLACES:
+        step = PLACES - width + 1
+        return np.concatenate([minimisers(hashes[i : i + PLACES], width) + i for i in range(0, n - width + 1, step)])
+    keys = (hashes & U64(0xFFFFFFFFFF000000)) | np.arange(n, dtype=U64)
     span = 1
     while span * 2 <= width:
         keys = np.minimum(keys[: len(keys) - span], keys[span:])
         span *= 2
     if span < width:
         keys = np.minimum(keys[: len(keys) - (width - span)], keys[width - span :])
-    return (keys & U64(0xFFFFFF if n < 1 << 24 else 0xFFFFFFFF)).astype(np.int64)
+    return (keys & U64(0xFFFFFF)).astype(np.int64)
 
 
 def super_runs(of_text: np.ndarray, firsts: np.ndarray, grams: np.ndarray, width: int) -> tuple[np.ndarray, ...]:
@@ -101,11 +116,18 @@ def super_runs(of_text: np.ndarray, firsts: np.ndarray, grams: np.ndarray, width
     low = grams[at]
     new = np.concatenate([[True], (low[1:] != low[:-1]) | (of_text[1:] != of_text[:-1]) | (firsts[1:] != firsts[:-1] + 1)])
     runs = np.flatnonzero(new)
+    sizes = np.diff(np.append(runs, len(firsts)))
+    if sizes.max() > LONGEST:
+        new |= (np.arange(len(firsts)) - np.repeat(runs, sizes)) % LONGEST == 0
+        runs = np.flatnonzero(new)
     moved = np.concatenate([[False], (at[1:] != at[:-1]) & ~new[1:]])
     again = np.add.reduceat(moved.astype(np.int64), runs) > 0
     return of_text[runs], firsts[runs], np.diff(np.append(runs, len(firsts))), signed(low[runs]), again
 
 
+_RUNS = "h long, did long, sig long, start int, n int, again boolean"
+
+
 def find(docs: DataFrame, kind: Windows, name: str, hot: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(rows of `identified`, ranges(did, sig, spans) of repeated window starts, copies(did, sig, rep, copies)).
 
@@ -113,52 +135,85 @@ def find(docs: DataFrame, kind: Windows, name: str, hot: int | None = None) -> t
     """
     hot = HOT if hot is None else hot
     rows = identified(docs)
-    twins = written(copies(rows), f"{name}-copies", free=False)
-    runs = written(map_batches(rows, lambda b: _anchor_rows(b, kind), "h long, did long, sig long, start int, n int, again boolean"), f"{name}-runs", free=False)
+    twins = copies(rows, name)
+    runs = written(map_batches(rows, lambda b: _anchor_rows(b, kind), f"{_RUNS}, bytes int"), f"{name}-runs", free=False)
     place = F.xxhash64("sig", "start")  # a copy's place is that of the text it copies
-    places = runs.select("h", "again", place.alias("place")).groupBy("h").agg(F.min("place").alias("lo"), F.max("place").alias("hi"), F.max("again").alias("again"), F.count(F.lit(1)).alias("strings"))
+    places = runs.select("h", "again", "bytes", place.alias("place")).groupBy("h")
+    places = places.agg(F.min("place").alias("lo"), F.max("place").alias("hi"), F.max("again").alias("again"), F.count(F.lit(1)).alias("strings"), F.sum("bytes").alias("bytes"))
+    too_hot = ((F.col("strings") > hot) | (F.col("bytes") > HOT_BYTES)).alias("hot")
     # written first, so that the join has two plain exchanges and Spark can split a minimiser of many rows
-    shared = written(places.filter("lo != hi or again").select("h", "strings"), f"{name}-shared")
+    shared = written(places.filter("lo != hi or again").select("h", too_hot), f"{name}-shared")
     others = twins.filter("did != rep").select("did", "sig")
-    flagged = written(runs.join(shared, "h").join(others, ["did", "sig"], "left_anti"), f"{name}-flagged")
+    flagged = written(runs.drop("bytes").join(shared, "h").join(others, ["did", "sig"], "left_anti"), f"{name}-flagged")
     discard(runs)
     discard(shared)
 
-    def listed(part: DataFrame) -> DataFrame:
+    def packed(part: DataFrame) -> DataFrame:
         lists = part.groupBy("did", "sig").agg(F.collect_list(F.struct("h", "start", "n", "again")).alias("runs"))
-        return rows.join(lists, ["did", "sig"])
+        return map_batches(rows.join(lists, ["did", "sig"]), lambda b: _packed_rows(b, kind), f"{_RUNS}, s binary")
+
+    dealt, known, done = packed(flagged.filter("not hot")), [], [flagged]
+    if not flagged.filter("hot").isEmpty():
+        known, few, more = _grouped(packed(flagged.filter("hot")), kind, name, hot)
+        dealt = dealt.unionByName(few)
+        done += more
+    found = mapped(dealt.repartition("h").sortWithinPartitions("h"), lambda batches: _buckets(batches, kind), "did long, sig long, a int, b int")
+    for part in known:
+        found = found.unionByName(part)
+    # written, so that texts are dealt once for each of two plans, whatever Spark reuses, and never both at a time
+    spans = written(found.groupBy("did", "sig").agg(F.collect_list(F.struct("a", "b")).alias("spans")), f"{name}-spans")
+    for df in done:
+        discard(df)
+    return rows, spans, twins
 
-    packed = map_batches(listed(flagged.filter(F.col("strings") <= hot)), lambda b: _packed_rows(b, kind), "h long, did long, sig long, start int, n int, again boolean, s binary")
-    dealt = packed.repartition("h").sortWithinPartitions("h")
-    found = mapped(dealt, lambda batches: _buckets(batches, kind), "did long, sig long, a int, b int")
-    if not flagged.filter(F.col("strings") > hot).isEmpty():
-        single = map_batches(listed(flagged.filter(F.col("strings") > hot)), lambda b: _digest_rows(b, kind), "w binary, did long, sig long, a int")
+
+def _grouped(strings: DataFrame, kind: Windows, name: str, hot: int) -> tuple[list[DataFrame], DataFrame, list[DataFrame]]:
+    """Of the strings of hot minimisers: ranges known by their bytes, strings still to compare, tables written."""
+    strings = written(strings, f"{name}-strings")
+    member = F.struct("did", "start", "sig")
+    classes = strings.groupBy("h", "s").agg(F.min(F.struct("did", "start", "sig", "n", "again")).alias("first"), F.max(member).alias("last"))
+    classes = written(classes.select("h", "s", "first", (F.struct("first.did", "first.start", "first.sig") != F.col("last")).alias("many")), f"{name}-classes")
+    whole = strings.join(classes.filter("many").select("h", "s", "first"), ["h", "s"])
+    if kind.first_stays:
+        whole = whole.filter(member != F.struct("first.did", "first.start", "first.sig"))
+    known = [whole.select("did", "sig", F.col("start").alias("a"), (F.col("start") + F.col("n")).alias("b"))]
+    sizes = classes.groupBy("h").agg(F.count(F.lit(1)).alias("strings"), F.sum(F.octet_length("s")).alias("bytes"))
+    too_hot = written(sizes.filter((F.col("strings") > hot) | ((F.col("bytes") > HOT_BYTES) & (F.col("strings") > 1))).select("h"), f"{name}-hot")
+    one_each = classes.select("h", "first.did", "first.sig", "first.start", "first.n", "first.again", "s")
+    few, done = one_each.join(too_hot, "h", "left_anti"), [strings, classes, too_hot]
+    if not too_hot.isEmpty():
+        single = written(map_batches(one_each.join(too_hot, "h"), lambda b: _digest_rows(b, kind), "w binary, did long, sig long, a int"), f"{name}-single")
         seen = single.groupBy("w").agg(F.min(F.struct("did", "a", "sig")).alias("lo"), F.max(F.struct("did", "a", "sig")).alias("hi")).filter("lo != hi")
+        seen = written(seen.select("w", "lo"), f"{name}-seen")
         alone = single.join(seen, "w")
         if kind.first_stays:
-            alone = alone.filter((F.col("did") != F.col("lo.did")) | (F.col("a") != F.col("lo.a")))
-        found = found.unionByName(alone.select("did", "sig", "a", (F.col("a") + 1).alias("b")))
-    # written, so that texts are dealt once for each of two plans, whatever Spark reuses, and never both at a time
-    spans = written(found.groupBy("did", "sig").agg(F.collect_list(F.struct("a", "b")).alias("spans")), f"{name}-spans")
-    discard(flagged)
-    return rows, spans, twins
+            alone = alone.filter(F.struct("did", "a", "sig") != F.col("lo"))
+        known.append(alone.select("did", "sig", "a", (F.col("a") + 1).alias("b")))
+        done += [single, seen]
+    return known, few, done
 
 
 def without_copies(batch: pa.RecordBatch) -> pa.RecordBatch:
-    """Of rows with one text (sig) in a batch only the one of the smallest id, as a pre-aggregation: a group of copies
-    leaves a row a batch. The smallest id of all is among them."""
+    """Of rows with one text in a batch only the one of the smallest id, as a pre-aggregation: a group of copies leaves a
+    row a batch. The smallest id of all is among them. sig finds them, their bytes decide."""
     did, sig = (batch.column(c).to_numpy() for c in ("did", "sig"))
     order = np.lexsort((did, sig))
-    first = np.concatenate([[True], sig[order][1:] != sig[order][:-1]])
-    return batch if first.all() else batch.take(pa.array(np.sort(order[first])))
+    same = np.flatnonzero(sig[order][1:] == sig[order][:-1])
+    if not len(same):
+        return batch
+    data, offsets = text_bytes(batch.column("text"))
+    stays = np.ones(len(did), bool)
+    for i, j in zip(order[same].tolist(), order[same + 1].tolist(), strict=True):
+        stays[j] = not np.array_equal(data[offsets[i] : offsets[i + 1]], data[offsets[j] : offsets[j + 1]])
+    return batch.filter(pa.array(stays))
 
 
 def _anchor_rows(batch: pa.RecordBatch, kind: Windows) -> Iterator[pa.RecordBatch]:
     batch = without_copies(batch)
     data, offsets = text_bytes(batch.column("text"))
     did, sig = (batch.column(c).to_numpy() for c in ("did", "sig"))
-    for text, start, n, h, again in kind.anchors(data, offsets):
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h, did[text], sig[text], start.astype(np.int32), n.astype(np.int32), again)], ["h", "did", "sig", "start", "n", "again"])
+    for text, start, n, h, again, size in kind.anchors(data, offsets):
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h, did[text], sig[text], start.astype(np.int32), n.astype(np.int32), again, size.astype(np.int32))], ["h", "did", "sig", "start", "n", "again", "bytes"])
 
 
 def _per_text(batch: pa.RecordBatch) -> Iterator[tuple[int, int, bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -182,10 +237,9 @@ def _packed_rows(batch: pa.RecordBatch, kind: Windows) -> Iterator[pa.RecordBatc
 
 
 def _digest_rows(batch: pa.RecordBatch, kind: Windows) -> Iterator[pa.RecordBatch]:
-    for did, sig, raw, _, start, n, _ in _per_text(batch):
-        at, digests = kind.digests(raw, start.tolist(), n.tolist())
-        k = len(at)
-        yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(np.full(k, did)), pa.array(np.full(k, sig)), pa.array(np.array(at, np.int32))], ["w", "did", "sig", "a"])
+    for did, sig, start, n, string in zip(*(batch.column(c).to_pylist() for c in ("did", "sig", "start", "n", "s")), strict=True):
+        places = np.arange(start, start + n, dtype=np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array(kind.digests(string, n), pa.binary()), pa.array(np.full(n, did)), pa.array(np.full(n, sig)), pa.array(places)], ["w", "did", "sig", "a"])
 
 
 def spans_of(lists: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:

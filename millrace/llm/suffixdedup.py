@@ -135,14 +135,13 @@ def byte_windows(length: int = LENGTH, gram: int = GRAM) -> Windows:
             text = np.repeat(np.arange(j - i), counts)
             firsts = np.repeat(own[:-1] - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
             got, first, n, low, again = super_runs(text, firsts, gram_hashes(part, gram), length - gram + 1)
-            yield got + i, first - own[got], n, low, again
+            yield got + i, first - own[got], n, low, again, n + length - 1
 
     def cut(raw: bytes, starts: list[int], ns: list[int]) -> list[bytes]:
         return [raw[s : s + n + length - 1] for s, n in zip(starts, ns, strict=True)]
 
-    def digests(raw: bytes, starts: list[int], ns: list[int]) -> tuple[list[int], list[bytes]]:
-        at = [k for s, n in zip(starts, ns, strict=True) for k in range(s, s + n)]
-        return at, [digest(raw[k : k + length]) for k in at]
+    def digests(string: bytes, n: int) -> list[bytes]:
+        return [digest(string[k : k + length]) for k in range(n)]
 
     def bucket(strings: list[bytes], did: np.ndarray, start: np.ndarray, n: np.ndarray) -> np.ndarray:
         data = np.frombuffer(b"".join(s + bytes([END]) for s in strings), np.uint8)

@@ -32,16 +32,15 @@ def word_windows(window: int = WINDOW, gram: int = GRAM) -> Windows:
             at = np.arange(len(h) - gram + 1)
             text = np.searchsorted(of_text, firsts, side="right") - 1
             got, first, n, low, again = super_runs(text, firsts, span_hashes(h, at, at + gram), window - gram + 1)
-            yield got + i, first - of_text[got], n, low, again
+            yield got + i, first - of_text[got], n, low, again, ends[first + n + window - 2] - starts[first]
 
     def cut(raw: bytes, starts: list[int], ns: list[int]) -> list[bytes]:
         own = raw.split()
         return [b" ".join(own[s : s + n + window - 1]) for s, n in zip(starts, ns, strict=True)]
 
-    def digests(raw: bytes, starts: list[int], ns: list[int]) -> tuple[list[int], list[bytes]]:
-        own = raw.split()
-        at = [k for s, n in zip(starts, ns, strict=True) for k in range(s, s + n)]
-        return at, [digest(b" ".join(own[k : k + window])) for k in at]
+    def digests(string: bytes, n: int) -> list[bytes]:
+        own = string.split(b" ")
+        return [digest(b" ".join(own[k : k + window])) for k in range(n)]
 
     def bucket(strings: list[bytes], did: np.ndarray, start: np.ndarray, n: np.ndarray) -> np.ndarray:
         ids: dict[bytes, int] = {}

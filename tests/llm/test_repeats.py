@@ -108,3 +108,45 @@ def test_word_hashes_don_t_depend_on_place():
     starts, ends, of_text = C.words(data, np.array([0, 8, 15]), C.IS_WHITE)
     h = C.word_hashes(data, starts, ends)
     assert of_text.tolist() == [0, 3, 5] and h[0] == h[2] == h[4] != h[1] == h[3]
+
+
+def periodic():
+    rng = random.Random(5)
+    rows = [(1, "ab" * 30_000), (2, "ab" * 20_000 + "x" + "ab" * 9_000), (3, "na " * 9_000), (4, "na " * 5_000 + "q " + "na " * 100), (5, "".join(rng.choice("xyz ") for _ in range(20_000)))]
+    return [*rows, (6, rows[4][1][:9_000] + "ab" * 400), (7, "na na na " * 40)]
+
+
+@pytest.mark.parametrize("hot", [None, 2])
+def test_periodic_texts(spark, hot):
+    df = spark.createDataFrame(periodic(), "doc_id long, text string")
+    assert collections.Counter(map(tuple, suffixdedup.removed_spans(df, hot=hot).drop("kept").collect())) == brute_bytes(periodic())
+    assert collections.Counter(map(tuple, superkmer.digested(df, hot=hot).collect())) == brute_words(periodic())
+
+
+def test_super_kmers_have_a_longest():
+    from millrace.llm import _repeats
+
+    raw = np.frombuffer(b"ab" * 500_000, np.uint8)
+    runs = [r for part in suffixdedup.byte_windows().anchors(raw, np.array([0, len(raw)])) for r in zip(part[1].tolist(), part[2].tolist(), part[5].tolist())]
+    assert max(n for _, n, _ in runs) <= _repeats.LONGEST and max(b for _, _, b in runs) <= _repeats.LONGEST + 99
+    assert sorted(k for s, n, _ in runs for k in (s, s + n)) == sorted([0, len(raw) - 99, *[k for s, _, _ in runs for k in (s, s) if s]])
+
+
+def test_minimisers_of_parts(monkeypatch):
+    from millrace.llm import _repeats
+
+    h = C.mixed(np.arange(500, dtype=np.uint64) % np.uint64(37))
+    want = [i + int((h[i : i + 9] >> np.uint64(24)).argmin()) for i in range(492)]
+    assert _repeats.minimisers(h, 9).tolist() == want
+    monkeypatch.setattr(_repeats, "PLACES", 64)
+    assert _repeats.minimisers(h, 9).tolist() == want
+
+
+def test_texts_of_one_signature_are_compared():
+    import pyarrow as pa
+
+    from millrace.llm import _repeats
+
+    batch = pa.RecordBatch.from_pydict({"did": [3, 1, 2, 0], "sig": [7, 7, 7, 7], "text": ["a", "a", "b", "a"]})
+    left = _repeats.without_copies(batch).to_pydict()
+    assert set(zip(left["did"], left["text"])) >= {(0, "a"), (2, "b")} and len(left["did"]) < 4
