@@ -4,25 +4,30 @@ The test strings are the windows of benchmark items. For windows of m words, a t
 far a search may skip when a block ends at the current place; only where a block ends a test string does the
 search look into the bucket of that suffix and compare the words themselves.
 
-Test strings are broadcast in blocks of at most BLOCK_BYTES of item text, each with a pass of its own over the
-documents' rows (no shuffle), so a larger benchmark takes more passes instead of more memory.
+Test strings are broadcast in blocks of about BLOCK_BYTES of item text (long items are cut into pieces that share no
+window). One block is searched for in the rows as they come, without a shuffle. Of a larger benchmark each block has
+a job of its own, which writes what it hits by the text's digest, before the next block's table is made; then rows take
+theirs by a join. So a larger benchmark takes more passes and no more memory, of the driver or of a worker.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import NOT_ALNUM, doc_columns, map_batches, merged
+from ._common import NOT_ALNUM, discard, doc_columns, map_batches, merged, written
 
 WINDOW = 10
-#: Bytes of item text whose windows are broadcast and searched for at once.
-BLOCK_BYTES = 2 << 20
+#: Bytes of item text whose windows are broadcast and searched for at once; windows that begin in a piece of an item.
+BLOCK_BYTES, PIECE = 2 << 20, 10_000
+#: What parts words, in Java's regular expressions.
+BREAKS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 _FOLD = bytes(32 if b in NOT_ALNUM and not 65 <= b <= 90 else b + 32 if 65 <= b <= 90 else b for b in range(256))
 
@@ -35,16 +40,18 @@ def words_of(text: str | None) -> list[bytes]:
 class WuManber:
     """Search for many strings of words; strings of one length share their tables."""
 
-    def __init__(self, items: list[tuple[str, list[bytes]]], window: int) -> None:
+    def __init__(self, items: list[tuple[str | None, list[bytes]]], window: int) -> None:
         self.ids: dict[bytes, int] = {}
-        self.items = sorted({item for item, _ in items})
+        self.items = sorted({item for item, _ in items if item is not None})
         number = {item: k for k, item in enumerate(self.items)}
         strings: dict[int, dict[tuple[int, ...], set[int]]] = {}
         for item, words in items:
             own = [self.ids.setdefault(w, len(self.ids) + 1) for w in words]
             m = min(window, len(own))
             for i in range(len(own) - m + 1 if m else 0):
-                strings.setdefault(m, {}).setdefault(tuple(own[i : i + m]), set()).add(number[item])
+                of = strings.setdefault(m, {}).setdefault(tuple(own[i : i + m]), set())
+                if item is not None:  # its windows are searched for, but there is no name to report
+                    of.add(number[item])
         self.base = len(self.ids) + 1  # 0 is a word that no string has
         self.tables = [(m, *self._table(m, found)) for m, found in strings.items()]
 
@@ -83,52 +90,111 @@ class WuManber:
         return starts, stops, items
 
 
+def words(text: Column) -> Column:
+    return F.filter(F.split(F.coalesce(text, F.lit("")), BREAKS), lambda w: w != "")
+
+
+def pieces(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """item_id (string or null) and text of all items with a text, in pieces of PIECE windows at most."""
+    items = doc_columns(benchmark, "item_id", "text").select(F.col("item_id").cast("string").alias("item_id"), "text").filter("text is not null").distinct()
+    split = items.select("item_id", words(F.col("text")).alias("w"))
+    last = F.greatest(F.size("w") - window, F.lit(0))
+    part = lambda k: F.array_join(F.slice("w", k * PIECE + 1, PIECE + window - 1), " ")
+    return split.select("item_id", F.explode(F.transform(F.sequence(F.lit(0), F.floor(last / PIECE).cast("int")), part)).alias("text"))
+
+
+_FOUND = "starts array<int>, ends array<int>, items array<string>"
+
+
 def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Every row of docs as the struct `row`, with n_words, starts and ends (merged spans of hit words) and items
     (ids, as sorted strings) of what it holds of the benchmark.
 
     Null and empty texts have no words; null, empty and repeated items are taken once or not at all. An item of
-    fewer words than a window is one window. With an empty benchmark nothing is hit; an empty table of documents
-    gives an empty result. Columns of docs may have any names.
+    fewer words than a window is one window. Windows of an item whose id is null hit like others, only items doesn't
+    name it. With an empty benchmark nothing is hit; an empty table of documents gives an empty result. Columns of
+    docs may have any names.
     """
     spark = docs.sparkSession
-    items = doc_columns(benchmark, "item_id", "text").select(F.col("item_id").cast("string").alias("item_id"), "text").filter("item_id is not null and text is not null").distinct()
+    items = pieces(benchmark, window)
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     passes = max(1, math.ceil(size / block_bytes))
-    out = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("`text`").alias("text"), F.lit(0).cast("long").alias("n_words"), *[F.array().cast(t).alias(c) for c, t in (("starts", "array<int>"), ("ends", "array<int>"), ("items", "array<string>"))])
+    row, text = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("`text`").alias("text")
+
+    def block(k: int):
+        own = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == k)  # at most about block_bytes
+        return spark.sparkContext.broadcast(WuManber([(r.item_id, words_of(r.text)) for r in own.toLocalIterator()], window))
+
+    if passes == 1:
+        table = block(0)
+        schema = docs.select(row).withColumns({"n_words": F.lit(0).cast("long"), **{c: F.array().cast(t) for c, t in (("starts", "array<int>"), ("ends", "array<int>"), ("items", "array<string>"))}}).schema
+        return map_batches(docs.select(row, text), lambda batch: _searched(batch, table), schema)
+    digest = F.unhex(F.sha2(F.coalesce(F.col("`text`"), F.lit("")), 256)).alias("digest")
+    parts = []
     for k in range(passes):
-        own = items.filter(F.pmod(F.xxhash64("item_id"), F.lit(passes)) == k)  # at most about block_bytes
-        table = spark.sparkContext.broadcast(WuManber([(r.item_id, words_of(r.text)) for r in own.toLocalIterator()], window))
-        out = map_batches(out, lambda batch, table=table: _searched(batch, table), out.schema)
-    return out.drop("text")
-
-
-def _searched(batch: pa.RecordBatch, table) -> Iterator[pa.RecordBatch]:
+        table = block(k)
+        found = map_batches(docs.select(digest, text), lambda batch, table=table: _hits(batch, table), f"digest binary, {_FOUND}")
+        parts.append(written(found, "decontamination-pass", free=False))
+        table.destroy()
+    one = F.collect_set(F.struct("starts", "ends", "items")).alias("found")  # of copies one, of each pass one
+    hits = written(map_batches(reduce(DataFrame.unionByName, parts).groupBy("digest").agg(one), _joined, f"digest binary, {_FOUND}"), "decontamination-hits")
+    for part in parts:
+        discard(part)
+    out = docs.select(row, digest, F.size(words(F.col("`text`"))).cast("long").alias("n_words")).join(hits, "digest", "left")
+    none = {"starts": "array<int>", "ends": "array<int>", "items": "array<string>"}
+    return out.select("row", "n_words", *[F.coalesce(c, F.array().cast(t)).alias(c) for c, t in none.items()])
+
+
+def _found_in(batch: pa.RecordBatch, table) -> Iterator[tuple[pa.RecordBatch, list[int], list[list[int]], list[list[int]], list[list[str]]]]:
+    """Parts of a batch, with the number of words of each text, starts and ends of hit words, and items."""
     found = table.value
     for k in range(0, batch.num_rows, 1000):
         some = batch.slice(k, 1000)
         n, starts, ends, items = [], [], [], []
-        for text, a, b, names in zip(*(some.column(c).to_pylist() for c in ("text", "starts", "ends", "items")), strict=True):
-            words = words_of(text)
-            n.append(len(words))
-            more_a, more_b, numbers = found.search(words)
-            if numbers:
-                x, y = merged(np.array(a + more_a, np.int32), np.array(b + more_b, np.int32))
+        for text in some.column("text").to_pylist():
+            own = words_of(text)
+            a, b, numbers = found.search(own)
+            if a:
+                x, y = merged(np.array(a, np.int32), np.array(b, np.int32))
                 a, b = x.tolist(), y.tolist()
-                names = sorted({*names, *(found.items[i] for i in numbers)})
-            starts.append(a), ends.append(b), items.append(names)
-        new = {"n_words": pa.array(n, pa.int64()), "starts": pa.array(starts, pa.list_(pa.int32())), "ends": pa.array(ends, pa.list_(pa.int32())), "items": pa.array(items, pa.list_(pa.string()))}
-        yield pa.RecordBatch.from_arrays([new.get(c, some.column(c)) for c in some.schema.names], some.schema.names)
+            n.append(len(own)), starts.append(a), ends.append(b), items.append([found.items[i] for i in sorted(numbers)])
+        yield some, n, starts, ends, items
+
+
+def _lists(starts: list, ends: list, items: list) -> list[pa.Array]:
+    return [pa.array(starts, pa.list_(pa.int32())), pa.array(ends, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))]
+
+
+def _searched(batch: pa.RecordBatch, table) -> Iterator[pa.RecordBatch]:
+    for some, n, *found in _found_in(batch, table):
+        yield pa.RecordBatch.from_arrays([some.column("row"), pa.array(n, pa.int64()), *_lists(*found)], ["row", "n_words", "starts", "ends", "items"])
+
+
+def _hits(batch: pa.RecordBatch, table) -> Iterator[pa.RecordBatch]:
+    """Only the rows that hold something."""
+    for some, _, *found in _found_in(batch, table):
+        hit = pa.array([bool(a) for a in found[0]], pa.bool_())
+        yield pa.RecordBatch.from_arrays([some.column("digest"), *_lists(*found)], ["digest", "starts", "ends", "items"]).filter(hit)
+
+
+def _joined(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """What the passes found in a text, as one."""
+    starts, ends, items = [], [], []
+    for found in batch.column("found").to_pylist():
+        a, b = (np.array([x for f in found for x in f[c]], np.int32) for c in ("starts", "ends"))
+        a, b = merged(a, b)
+        starts.append(a.tolist()), ends.append(b.tolist()), items.append(sorted({x for f in found for x in f["items"]}))
+    return pa.RecordBatch.from_arrays([batch.column("digest"), *_lists(starts, ends, items)], ["digest", "starts", "ends", "items"])
 
 
 def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of every row; see `scan`."""
     found = scan(doc_columns(docs, "doc_id", "text"), benchmark, window, block_bytes)
     n_hit = F.aggregate(F.zip_with("starts", "ends", lambda a, b: (b - a).cast("long")), F.lit(0).cast("long"), lambda x, y: x + y)
-    return found.select(F.col("row.doc_id").alias("doc_id"), "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.size("items") > 0).alias("contaminated"))
+    return found.select(F.col("row.doc_id").alias("doc_id"), "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows of docs, with their own columns, that hold no window of the benchmark."""
-    found = scan(docs, benchmark, window, block_bytes).filter(F.size("items") == 0)
+    found = scan(docs, benchmark, window, block_bytes).filter(F.size("starts") == 0)
     return found.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
