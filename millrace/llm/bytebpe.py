@@ -4,6 +4,10 @@ A rank file (token bytes -> rank) is turned into the library's vocabulary by the
 each byte is written as one printable character, so a token may end inside a character of the text. Decoding
 goes the other way: characters of the tokens -> bytes, joined first, and only then read as UTF-8, so that
 characters which are split over tokens come out whole.
+
+Words come again and again, so of an Arrow batch only the units between spaces that a task hasn't met yet go to the
+library, many in one string; the tokens' offsets tell which unit each belongs to. Where the pattern or a text doesn't
+allow such cuts, the library is given whole texts.
 """
 
 from __future__ import annotations
@@ -11,6 +15,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import os
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -18,11 +23,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from ._common import doc_columns, map_batches
+from ._common import chunks, doc_columns, map_batches, text_bytes
 
-#: Texts given to the library at once.
-AT_ONCE = 64
-#: Distinct units (see `ByteBpe.packed`) whose ids a task keeps.
+#: Texts given to the library at once, units in one such text, and bytes of text whose units are looked up at once.
+AT_ONCE, UNITS, CHUNK = 64, 256, 1 << 20
+#: Distinct units (see `ByteBpe.packed`) whose ids a task keeps, but for those of one chunk.
 CACHE = 200_000
 
 
@@ -58,10 +63,8 @@ class ByteBpe:
         self.sizes = np.array([len(b) for b in self.bytes_of], np.int64)
         self.places = np.cumsum(self.sizes) - self.sizes
         self.all_bytes = np.frombuffer(b"".join(self.bytes_of), np.uint8)
-        self.units = Units(self)
-        #: The pattern takes a lone space with what follows it, so a text can be cut there.
-        probe = "Ab 1c, d. é - e's"
-        self.cuts = [i for i, _ in self.encode(probe.replace(" ", "\n ").split("\n"))] == self._parts(probe)
+        self.cuts = cuts_at_spaces(pattern)
+        self.units: dict[str, bytes] = {}
 
     def encode(self, texts: list[str], offsets: bool = False) -> Iterator[tuple[list[int], list[tuple[int, int]] | None]]:
         """Ids of each text and, if asked for, the span of characters that each id lies in."""
@@ -70,33 +73,36 @@ class ByteBpe:
             for x in call(texts[i : i + AT_ONCE], add_special_tokens=False):
                 yield x.ids, x.offsets if offsets else None
 
-    def _parts(self, text: str) -> list[list[int]]:
-        """The ids of a text, dealt by the unit that they lie in."""
-        (ids, spans), = self.encode([text], offsets=True)
-        ends = [i for i, c in enumerate(text) if c == " "]
-        out: list[list[int]] = [[] for _ in range(len(ends) + 1)]
-        for i, (a, _) in zip(ids, spans, strict=True):
-            out[sum(e <= a for e in ends)].append(i)
-        return out
-
-    def packed(self, text: str) -> bytes:
-        """Ids of a text as little-endian u32, each distinct unit encoded once while it stays in the cache.
+    def packed(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as little-endian u32; each distinct unit is encoded once while it stays in the cache.
 
-        Units are what spaces part, each with the space before it. No match of the pattern goes over a space that
-        stands between two characters which aren't white, so units encode alone as they do in the text. A text
-        with a unit that is empty, or begins or ends with white space, goes to the library whole.
+        Units are what spaces part, each with the space before it; see `cuts_at_spaces`. A text with a unit that is
+        empty, or begins or ends with white space, goes to the library whole, as does the part before the first space.
         """
-        if self.cuts and " " in text:
-            head, *units = text.split(" ")
-            try:
-                if _sound(head):
-                    return self.library_ids(head) + b"".join(map(self.units.__getitem__, units))
-            except ValueError:
-                pass
-        return self.library_ids(text)
-
-    def library_ids(self, text: str) -> bytes:
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        parts = [t.split(" ") if self.cuts else [t] for t in texts]
+        met = set().union(*(p[1:] for p in parts))
+        odd = {u for u in met if not _sound(u)}
+        whole = [len(p) > 1 and not (_sound(p[0]) and odd.isdisjoint(p[1:])) for p in parts]
+        new = met - odd - self.units.keys()
+        if len(self.units) + len(new) > CACHE:
+            self.units.clear()
+            new = met - odd
+        self._learn(sorted(new))
+        heads = self.encode([t if w else p[0] for t, p, w in zip(texts, parts, whole, strict=True)])
+        out = [np.array(ids, "<u4").tobytes() + (b"" if w else b"".join(map(self.units.__getitem__, p[1:]))) for (ids, _), p, w in zip(heads, parts, whole, strict=True)]
+        for u in [u for u in new if len(u) > 64]:
+            del self.units[u]
+        return out
+
+    def _learn(self, units: list[str]) -> None:
+        """Encodes units, many in one text, and deals the ids by the unit that they lie in."""
+        groups = [units[i : i + UNITS] for i in range(0, len(units), UNITS)]
+        for group, (ids, spans) in zip(groups, self.encode(["".join(" " + u for u in g) for g in groups], offsets=True), strict=True):
+            ends = np.cumsum([len(u) + 1 for u in group])
+            firsts = np.fromiter((a for a, _ in spans), np.int64, len(spans))
+            cut = [0, *np.searchsorted(firsts, ends).tolist()]
+            raw = np.array(ids, "<u4").tobytes()
+            self.units.update((u, raw[4 * i : 4 * j]) for u, i, j in zip(group, cut, cut[1:], strict=False))
 
     def decode(self, ids: list[int] | np.ndarray) -> bytes:
         """The tokens' bytes, read back from the byte table; a character may be split over tokens."""
@@ -112,22 +118,25 @@ def _sound(unit: str) -> bool:
     return bool(unit) and not unit[0].isspace() and not unit[-1].isspace()
 
 
-class Units(dict):
-    """Unit -> its packed ids behind a space; a unit that can't be encoded alone is a ValueError."""
+#: What the alternatives of a pattern may be, so that it never matches over a lone space (fixed values).
+_WORDS = {r" ?\p{L}+", r" ?\p{N}+", r" ?[^\s\p{L}\p{N}]+"}
+_BLANKS = {r"\s+(?!\S)", r"\s+"}
 
-    def __init__(self, table: ByteBpe) -> None:
-        super().__init__()
-        self.table = table
 
-    def __missing__(self, unit: str) -> bytes:
-        if not _sound(unit):
-            raise ValueError(unit)
-        if len(self) >= CACHE:
-            self.clear()
-        ids = self.table.library_ids(" " + unit)
-        if len(unit) <= 64:
-            self[unit] = ids
-        return ids
+def cuts_at_spaces(pattern: str) -> bool:
+    """Whether it follows from the pattern that a match begins at each space that stands alone between characters which
+    aren't white: then what stands before it, and it with all that follows, match as they do in the whole text.
+
+    It does if every alternative is an apostrophe with letters, an optional space with a run of one class, or white space,
+    the three classes hold all that isn't white, and they come before white space. Nothing of it matches a space after
+    another character but white space, which the character before isn't; and at the space, the class of the character
+    behind it matches before `\\s+` is tried, with the space as its first character.
+    """
+    parts = pattern.split("|")
+    blank = [i for i, p in enumerate(parts) if p in _BLANKS]
+    word = [i for i, p in enumerate(parts) if p in _WORDS]
+    short = [p for p in parts if re.fullmatch(r"'[a-z]+", p)]
+    return len(parts) == len(blank) + len(word) + len(short) and {parts[i] for i in word} == _WORDS and max(word) < min(blank, default=len(parts))
 
 
 def last_merge(token: bytes, rank: int, ranks: dict[bytes, int]) -> tuple[bytes, bytes] | None:
@@ -177,14 +186,16 @@ def round_trip(docs: DataFrame, rank_path: str, pattern: str) -> DataFrame:
     null ids stay as they are; other columns are not looked at; an empty table gives an empty result.
     """
 
-    def batch(rows: pa.RecordBatch) -> pa.RecordBatch:
-        table, n, of_ids, of_bytes = tokenizer(rank_path, pattern), [], [], []
-        for text in rows.column("text").to_pylist():
-            ids = table.packed(text or "")
-            n.append(len(ids) // 4)
-            of_ids.append(hashlib.sha256(ids).hexdigest())
-            of_bytes.append(hashlib.sha256(table.decode(np.frombuffer(ids, "<u4"))).hexdigest())
-        return pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(n, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_bytes, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+    def batch(rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        table = tokenizer(rank_path, pattern)
+        _, offsets = text_bytes(rows.column("text"))
+        for i, j in chunks(offsets, CHUNK):
+            some = rows.slice(i, j - i)
+            packed = table.packed([t or "" for t in some.column("text").to_pylist()])
+            n = [len(ids) // 4 for ids in packed]
+            of_ids = [hashlib.sha256(ids).hexdigest() for ids in packed]
+            of_bytes = [hashlib.sha256(table.decode(np.frombuffer(ids, "<u4"))).hexdigest() for ids in packed]
+            yield pa.RecordBatch.from_arrays([some.column("doc_id"), pa.array(n, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_bytes, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     columns = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
     return map_batches(doc_columns(docs, "doc_id", "text"), batch, columns, after=lambda: tokenizer(rank_path, pattern).units.clear())
