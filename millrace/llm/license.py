@@ -49,9 +49,13 @@ def words(text: Column) -> Column:
     return F.filter(F.split(text, BREAKS), lambda w: w != "")
 
 
+#: The one character beyond ASCII that `lower` turns into a letter of ASCII (into k); I with a dot becomes an i with a mark of its own.
+KELVIN = "\u212a"
+
+
 def lowered(text: Column) -> Column:
-    """A-Z in lower case. Other letters change too, but none of them turns into one of a phrase or of a break."""
-    return F.lower(F.coalesce(text, F.lit("")))
+    """A-Z in lower case. Other letters change too, but no word becomes one of a phrase or of a template by that."""
+    return F.lower(F.replace(F.coalesce(text, F.lit("")), F.lit(KELVIN), F.lit("\ufffd")))
 
 
 def ordered_templates(docs: DataFrame, percent: int = PERCENT) -> list[tuple[str, list[str], int, int]]:

@@ -18,9 +18,18 @@ MOST_LOST = 40
 MOST_MARKS = 10
 #: Words of a repeated window, and the share of words in such windows that a document may have.
 WINDOW, MOST_REPEATED, LEAST_WORDS = 5, 20, 10
-#: Phrases of navigation, where they begin a line of six words at most, and of boilerplate, anywhere (fixed values).
-NAVIGATION = r"^\W*(?:home|menu|log ?in|sign in|sign up|next|previous|back to top|skip to content|read more|share this|search|site ?map)\b(?:\W+\w+){0,4}\W*$"
-BOILERPLATE = r"\b(?:all rights reserved|cookies?|javascript|privacy policy|terms of (?:use|service)|lorem ipsum|click here|subscribe to|powered by|copyright \d{4})\b"
+#: Phrases of navigation, where they begin a line of six words at most (fixed values).
+NAVIGATION = r"^\W*(?:home|menu|log ?in|sign in|sign up|next|previous|back to top|skip to content|read more|share this|search|site ?map|startseite|zurück|weiterlesen|accueil|suivant|inicio|siguiente|leer más)(?:\W+\w+){0,4}\W*$"
+#: Phrases of boilerplate (fixed values), where they are a line but for a few words: prose that mentions one stays.
+PHRASES = (
+    "all rights reserved|privacy policy|terms of (?:use|service)|lorem ipsum|click here|subscribe to|powered by|copyright(?: ©| \\(c\\))? \\d{4}"
+    "|(?:uses?|using|accept|enable|allow|disable|manage|our) (?:all )?cookies?|cookies? (?:policy|settings|notice|consent|preferences)"
+    "|(?:enable|requires?|without|disabled?) javascript|javascript (?:is |must be )?(?:required|disabled|enabled)"
+    "|alle rechte vorbehalten|datenschutzerklärung|tous droits réservés|politique de confidentialité|todos los derechos reservados|política de privacidad"
+)
+#: Words that may stand before, and behind, such a phrase.
+AROUND = 6
+BOILERPLATE = rf"^\W*(?:\w+\W+){{0,{AROUND}}}(?:{PHRASES})(?:\W+\w+){{0,{AROUND}}}\W*$"
 
 
 def words(text: Column) -> Column:
