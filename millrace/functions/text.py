@@ -11,13 +11,17 @@ from pyspark.sql import functions as F
 SPACE = r"[\t-\r\x1c- \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
 
+#: The same characters, one after the other.
+STRIPPED = "".join(map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+
+
 def bound(value: Column, use: Callable[[Column], Column]) -> Column:
     """use(value), with value evaluated once."""
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, rf"\A{SPACE}+|{SPACE}+\z", "")
+    return F.btrim(text, F.lit(STRIPPED))
 
 
 def is_blank(text: Column) -> Column:

@@ -12,7 +12,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import bound, cut, is_blank, rfind, strip, token_estimate
+from ..functions.text import SPACE, bound, cut, is_blank, rfind, strip, token_estimate
 
 Tokens = Callable[[Column], Column]
 MAX_TOKENS = 7500
@@ -30,9 +30,9 @@ def regular_spans(text: Column, size: int = 500, overlap: int = 50) -> Column:
     least = max(1, size - 197 - overlap)
     state = F.struct(F.lit(0).alias("start"), F.array().cast("array<struct<start:int,end:int>>").alias("spans"))
 
-    def end_of(start: Column) -> Column:
+    def end_of(blocks: Column, start: Column) -> Column:
         hard = start + size
-        window = cut(text, start, hard)
+        window = within(blocks, start, hard, size)
 
         def soft(w: Column) -> Column:
             stop, blank = rfind(w, "."), rfind(w, "\n\n")
@@ -40,17 +40,29 @@ def regular_spans(text: Column, size: int = 500, overlap: int = 50) -> Column:
 
         return F.when(hard < n, bound(window, soft)).otherwise(hard)
 
-    def step(s: Column, _: Column) -> Column:
-        grown = bound(end_of(s["start"]), lambda end: F.struct(F.greatest(end - overlap, s["start"] + 1).alias("start"), F.concat(s["spans"], F.array(F.struct(s["start"].alias("start"), end.alias("end")))).alias("spans")))
+    def step(blocks: Column, s: Column) -> Column:
+        grown = bound(end_of(blocks, s["start"]), lambda end: F.struct(F.greatest(end - overlap, s["start"] + 1).alias("start"), F.concat(s["spans"], F.array(F.struct(s["start"].alias("start"), end.alias("end")))).alias("spans")))
         return F.when(s["start"] < n, grown).otherwise(s)
 
     steps = F.sequence(F.lit(1), F.floor(n / least).cast("int") + 1)
-    return F.aggregate(steps, state, step)["spans"]
+    return bound(blocked(text, size), lambda blocks: F.aggregate(steps, state, lambda s, _: step(blocks, s))["spans"])
+
+
+def blocked(text: Column, size: int) -> Column:
+    """The text in blocks of `size` characters, so that a window of it is found without reading what stands before."""
+    return F.regexp_extract_all(text, F.lit(rf"(?s).{{1,{size}}}"), F.lit(0))
+
+
+def within(blocks: Column, start: Column, end: Column, size: int) -> Column:
+    """text[start:end] of a text in blocks, at most `size` characters of it: of two blocks."""
+    k = F.floor(start / size).cast("int")
+    two = F.concat(F.coalesce(F.get(blocks, k), F.lit("")), F.coalesce(F.get(blocks, k + 1), F.lit("")))
+    return cut(two, start - k * size, end - k * size)
 
 
 def regular_pieces(text: Column, size: int = 500, overlap: int = 50) -> Column:
     """The stripped texts of `regular_spans`, blank ones left out; none of a blank text."""
-    pieces = F.transform(regular_spans(text, size, overlap), lambda s: strip(cut(text, s["start"], s["end"])))
+    pieces = bound(blocked(text, size), lambda blocks: F.transform(regular_spans(text, size, overlap), lambda s: strip(within(blocks, s["start"], s["end"], size))))
     return F.when(is_blank(text), F.array().cast("array<string>")).otherwise(F.filter(pieces, lambda p: p != ""))
 
 
@@ -73,24 +85,32 @@ def _null() -> Column:
 
 # --- markers -------------------------------------------------------------------------------------
 
+#: Lines that are a marker when stripped (fixed values), and the places where they begin.
+MARKERS = {"#CHAPTER": "chapter", "#SECTION": "section", "#FORMULA": "formula"}
+_INLINE = SPACE.replace(r"[\t-\r", r"[\t\x0b-\r")  # white space within a line
+_AT_MARKER = rf"(?md)^(?={_INLINE}*(?:{'|'.join(MARKERS)}){_INLINE}*$)"
+
+
 def markers(text: Column) -> Column:
     """Array of (kind, position, line_number, title) of the lines that are #CHAPTER, #SECTION or #FORMULA when
-    stripped; the title is the next line, stripped."""
-    lines = F.split(text, "\n")
-    state = F.struct(F.lit(0).alias("at"), F.lit(0).alias("line"), F.array().cast("array<struct<kind:string,position:int,line_number:int,title:string>>").alias("found"))
-    names = {"#CHAPTER": "chapter", "#SECTION": "section", "#FORMULA": "formula"}
-
-    def read(all_lines: Column) -> Column:
-        def step(s: Column, line: Column) -> Column:
-            kind = F.coalesce(*[F.when(strip(line) == mark, F.lit(kind)) for mark, kind in names.items()])
-            unknown = F.concat(F.lit("Unknown "), F.initcap(kind))
-            title = F.coalesce(strip(F.get(all_lines, s["line"] + 1)), unknown)
+    stripped; the title is the next line, stripped. The text is parted at these lines, so the fold goes over markers."""
+    state = F.struct(F.lit(0).alias("i"), F.lit(0).alias("at"), F.lit(0).alias("line"), F.array().cast("array<struct<kind:string,position:int,line_number:int,title:string>>").alias("found"))
+
+    def read(pieces: Column) -> Column:
+        def step(s: Column, piece: Column) -> Column:
+            head = F.substring_index(piece, "\n", 1)
+            behind = F.substring(piece, F.length(head) + 2, F.length(piece))
+            after = F.get(pieces, s["i"] + 1)  # begins with a marker's line
+            line = F.when(F.length(piece) > F.length(head), F.substring_index(F.when((behind == "") & after.isNotNull(), after).otherwise(behind), "\n", 1))
+            kind = F.coalesce(*[F.when(strip(head) == mark, F.lit(kind)) for mark, kind in MARKERS.items()])
+            title = F.coalesce(strip(line), F.concat(F.lit("Unknown "), F.initcap(kind)))
             found = F.struct(kind.alias("kind"), s["at"].alias("position"), (s["line"] + 1).alias("line_number"), title.alias("title"))
-            return F.struct((s["at"] + F.length(line) + 1).alias("at"), (s["line"] + 1).alias("line"), F.when(F.startswith(strip(line), F.lit("#")) & kind.isNotNull(), F.concat(s["found"], F.array(found))).otherwise(s["found"]).alias("found"))
+            lines = F.length(piece) - F.length(F.replace(piece, F.lit("\n"), F.lit("")))
+            return F.struct((s["i"] + 1).alias("i"), (s["at"] + F.length(piece)).alias("at"), (s["line"] + lines).alias("line"), F.when(kind.isNotNull(), F.concat(s["found"], F.array(found))).otherwise(s["found"]).alias("found"))
 
-        return F.aggregate(all_lines, state, step)["found"]
+        return F.aggregate(pieces, state, step)["found"]
 
-    return bound(lines, read)
+    return bound(F.split(text, _AT_MARKER), read)
 
 
 def marker_rows(docs: DataFrame, keys: Sequence[str]) -> DataFrame:

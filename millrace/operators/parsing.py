@@ -20,6 +20,15 @@ def _split(text: Column, mark: str) -> Column:
     return F.split(text, rf"(?md)^{mark}\s*")
 
 
+def _parts(text: Column) -> Column:
+    """Array of (n, place, part, body) of the n parts that #SECTION makes: their place, and the part as it is and
+    stripped; blank ones are left out unless there is no other. All that a row needs lies in its own struct, so that an
+    explode carries neither the text nor the array along."""
+    part = lambda p, i, n: F.struct(n.alias("n"), i.alias("place"), p.alias("part"), strip(p).alias("body"))
+    listed = lambda ps: F.filter(F.transform(ps, lambda p, i: part(p, i, F.size(ps))), lambda x: (x["n"] == 1) | (x["body"] != ""))
+    return bound(_split(text, "#SECTION"), listed)
+
+
 def _lines(text: Column) -> Column:
     """Lines at any line break; an ending one makes no empty line after it."""
     return F.split(F.regexp_replace(text, r"(\r\n|[\n\r\x0b\f\x1c-\x1e\x{85}\x{2028}\x{2029}])\z", ""), r"\r\n|[\n\r\x0b\f\x1c-\x1e\x{85}\x{2028}\x{2029}]")
@@ -38,9 +47,8 @@ def tagging_sections(docs: DataFrame, keys: Sequence[str]) -> DataFrame:
     section_title, section_text. Text ahead of the first section is a section called <Chapter description>."""
     blocks = docs.select(*keys, F.posexplode(_split(F.col("text"), "#CHAPTER")).alias("chapter_idx", "block")).filter("block <> ''")
     lines = blocks.select(*keys, "chapter_idx", _lines(F.col("block")).alias("lines"))
-    chapters = lines.select(*keys, "chapter_idx", _first(F.col("lines")).alias("chapter_title"), _split(_rest(F.col("lines")), "#SECTION").alias("parts"))
-    parts = chapters.select(*keys, "chapter_idx", "chapter_title", F.size("parts").alias("n"), F.posexplode("parts").alias("place", "part"))
-    parts = parts.withColumn("body", strip(F.col("part"))).filter((F.col("n") == 1) | (F.col("body") != "")).withColumn("lines", _lines(F.col("part")))
+    chapters = lines.select(*keys, "chapter_idx", _first(F.col("lines")).alias("chapter_title"), _parts(_rest(F.col("lines"))).alias("parts"))
+    parts = chapters.select(*keys, "chapter_idx", "chapter_title", F.inline("parts")).withColumn("lines", _lines(F.col("part")))
     described = F.col("place") == 0
     text = F.when(described, F.col("body")).otherwise(strip(_rest(F.col("lines"))))
     order = Window.partitionBy(*keys, "chapter_idx").orderBy("place")
@@ -57,9 +65,8 @@ def graph_sections(docs: DataFrame, keys: Sequence[str]) -> DataFrame:
     (whole chapter); text ahead of the first section is one whose title is its first line."""
     blocks = docs.select(*keys, F.posexplode(_split(F.col("text"), "#CHAPTER")).alias("block_no", "block")).withColumn("block", strip(F.col("block"))).filter("block <> ''")
     lines = blocks.select(*keys, "block_no", _lines(F.col("block")).alias("lines"))
-    chapters = lines.select(*keys, "block_no", _first(F.col("lines")).alias("chapter"), _rest(F.col("lines")).alias("rest"))
-    parts = chapters.select(*keys, "block_no", "chapter", F.size(_split(F.col("rest"), "#SECTION")).alias("n"), F.posexplode(_split(F.col("rest"), "#SECTION")).alias("place", "part")).withColumn("part", strip(F.col("part")))
-    parts = parts.filter("n = 1 or part <> ''").withColumn("lines", _lines(F.col("part")))
+    chapters = lines.select(*keys, "block_no", _first(F.col("lines")).alias("chapter"), _parts(_rest(F.col("lines"))).alias("parts"))
+    parts = chapters.select(*keys, "block_no", "chapter", F.inline("parts")).withColumn("part", F.col("body")).withColumn("lines", _lines(F.col("part")))
     whole = F.col("n") == 1
     order = Window.partitionBy(*keys).orderBy("block_no", "place")
     return parts.select(
@@ -108,6 +115,8 @@ def structured_sections(docs: DataFrame, keys: Sequence[str], chapter_pattern: s
     kept = bodies.filter(~F.col("is_section") & (F.length("content") > least))
     pieces = F.transform(F.sequence(F.lit(0), F.floor((F.length("content") - 1) / most).cast("int")), lambda k: strip(cut(F.col("content"), k * most, (k + 1) * most)))
     pieces = F.filter(pieces, lambda p: p != "")
-    parts = kept.select("*", F.posexplode(bound(pieces, lambda x: x)).alias("k", "part"), (F.length("content") > most).alias("long"))
+    long = F.length("content") > most
+    listed = F.transform(pieces, lambda p, k: F.struct(k.alias("k"), p.alias("part"), long.alias("long")))
+    parts = kept.select(*keys, "outer", "place", "chapter_index", "chapter_title", "section_index", "section_title", F.inline(listed))
     title = F.when(F.col("long"), F.concat("section_title", F.lit(" (Part "), (F.col("k") + 1).cast("string"), F.lit(")"))).otherwise(F.col("section_title"))
     return parts.select(*keys, F.col("outer").alias("pos"), F.col("place").alias("inner_pos"), "chapter_index", "chapter_title", "section_index", title.alias("section_title"), F.when(F.col("long"), F.col("k") + 1).otherwise(F.lit(0)).alias("subsection_index"), F.col("part").alias("content"))
