@@ -6,10 +6,13 @@ in, frames out; name indexes are derived, never stored.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import bilingual, halves, name_keys, norm, numbered_id, strip
+from .ordering import consecutive, written
 
 
 def name_index(nodes: DataFrame) -> DataFrame:
@@ -27,30 +30,47 @@ def lookup(asked: DataFrame, index: DataFrame) -> DataFrame:
 
 
 def added(nodes: DataFrame, new: DataFrame, prefix: str, start: int) -> DataFrame:
-    """New nodes (zh, en, seq, description) that no node has a name of, with ids from start + 1 on.
+    """New nodes (zh, en, seq, description) that no node has a name of, with ids from start + 1 on in order of seq.
 
-    Of new nodes that share a name key with an earlier new one, the earlier stays, also over a chain of such: the
-    chain is followed by `rounds` of taking the least seq that a key reaches, until none changes.
+    As if they were added one after the other: a new node is left out if a node that was added before it has one of its
+    names. Those whose names no undecided node before them has are added, whatever shares a name with them is left out,
+    and so on until all are decided, so there are as many rounds as the longest chain of shared names, each written.
     """
     keys = new.select("seq", F.explode(name_keys(bilingual(F.col("zh"), F.col("en")), F.col("zh"), F.col("en"))).alias("key"))
     known = keys.join(name_index(nodes), "key", "left_semi").select("seq").distinct()
-    fresh = keys.join(known, "seq", "left_anti")
-    # in order of seq a node is added unless a key of it belongs to one that was added before
-    owner = fresh.groupBy("key").agg(F.min("seq").alias("owner"))
-    first = fresh.join(owner, "key").groupBy("seq").agg(F.min("owner").alias("least")).filter("least = seq").select("seq")
-    rows = new.join(first, "seq")
-    return rows.select(numbered_id(prefix, F.row_number().over(Window.orderBy("seq")) + start).alias("id"), "zh", "en", "seq", "description")
+    undecided = written(keys.join(known, "seq", "left_anti"), "undecided")
+    chosen = []
+    while not undecided.isEmpty():
+        owner = undecided.groupBy("key").agg(F.min("seq").alias("owner"))
+        first = undecided.join(owner, "key").groupBy("seq").agg(F.min("owner").alias("least")).filter("least = seq").select("seq")
+        first = written(first, "added")
+        taken = undecided.join(first, "seq", "left_semi").select("key").distinct()
+        out = undecided.join(taken, "key", "left_semi").select("seq").distinct()
+        undecided = written(undecided.join(out, "seq", "left_anti"), "undecided")
+        chosen.append(first)
+    if not chosen:
+        chosen = [new.select("seq").limit(0)]
+    rows = consecutive(new.join(reduce(DataFrame.unionByName, chosen), "seq"), ["seq"], "n")
+    return rows.select(numbered_id(prefix, (F.col("n") + start + 1).cast("int")).alias("id"), "zh", "en", "seq", "description")
 
 
 def edited(nodes: DataFrame, changes: DataFrame) -> DataFrame:
-    """nodes with the non-empty fields of changes(id, new_zh, new_en, new_desc_zh, new_desc_en) in place of theirs."""
+    """nodes with the non-empty fields of changes(id, new_zh, new_en, new_desc_zh, new_desc_en, and for nodes that have
+    herbal_treatments new_herbal_zh, new_herbal_en) in place of theirs; a half that is empty keeps what was."""
     rows = nodes.join(changes, "id", "left")
     full = lambda c: F.nullif(F.coalesce(F.col(c), F.lit("")), F.lit(""))
     old_zh, old_en = halves(F.coalesce(F.col("description"), F.lit("")))
     touched = F.col("new_desc_zh").isNotNull() | F.col("new_desc_en").isNotNull()
     description = F.when(touched, bilingual(F.coalesce(full("new_desc_zh"), old_zh), F.coalesce(full("new_desc_en"), old_en))).otherwise(F.col("description"))
     zh, en = F.coalesce(full("new_zh"), F.col("zh")), F.coalesce(full("new_en"), F.col("en"))
-    return rows.select("id", zh.alias("zh"), en.alias("en"), "seq", description.alias("description"), bilingual(zh, en).alias("name"))
+    herbal = []
+    if "herbal_treatments" in nodes.columns and {"new_herbal_zh", "new_herbal_en"} <= set(changes.columns):
+        old_zh, old_en = halves(F.coalesce(F.col("herbal_treatments"), F.lit("")))
+        touched = F.col("new_herbal_zh").isNotNull() | F.col("new_herbal_en").isNotNull()
+        herbal = [F.when(touched, bilingual(F.coalesce(full("new_herbal_zh"), old_zh), F.coalesce(full("new_herbal_en"), old_en))).otherwise(F.col("herbal_treatments")).alias("herbal_treatments")]
+    elif "herbal_treatments" in nodes.columns:
+        herbal = [F.col("herbal_treatments")]
+    return rows.select("id", zh.alias("zh"), en.alias("en"), "seq", description.alias("description"), bilingual(zh, en).alias("name"), *herbal)
 
 
 def linked(edges: DataFrame, new: DataFrame) -> DataFrame:

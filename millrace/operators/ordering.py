@@ -11,17 +11,20 @@ from pyspark.sql import functions as F
 from ..session import shared_folder
 
 
+def written(rows: DataFrame, name: str) -> DataFrame:
+    """rows, written to the shared folder and read again: the same whenever they are read, and with a plan of one scan."""
+    path = f"{shared_folder(rows.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def consecutive(rows: DataFrame, order: Sequence[str], name: str = "vec_id") -> DataFrame:
     """rows with consecutive numbers from 0 in an order of unique keys.
 
     Ranges of the order are dealt to tasks and written to the shared folder, so that they are the same whenever they are
     read; each range then adds the number of rows in those before it, of which there are as many as tasks.
     """
-    spark = rows.sparkSession
-    path = f"{shared_folder(spark)}/ordered-{uuid.uuid4().hex}"
-    dealt = rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id())
-    dealt.write.parquet(path)
-    dealt = spark.read.schema(dealt.schema).parquet(path)
+    dealt = written(rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ordered")
     sizes = dealt.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
     before = F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
     starts = sizes.select("_range", F.coalesce(before, F.lit(0)).alias("_start"))  # a row for each task

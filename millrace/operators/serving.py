@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import is_blank, word_count
-from ..sources.providers import Providers, answered, both_languages, embedded, extracted, parse_arguments
-from . import chunking, graph, parsing, retrieval, tags
+from ..sources.providers import Providers, answered, both_languages, embedded, extracted
+from . import chunking, parsing, retrieval, tags
+from .oplog import apply_log  # noqa: F401  part of what a service offers
 from .ordering import consecutive
 
 NOTHING_FOUND = "未找到相关内容。\n\n---\n\nNo relevant content was found."
@@ -85,76 +85,6 @@ def diagnosed(cases: DataFrame, workflow: str, providers: Providers, index: Data
     return out
 
 
-# --- changing the graph by a log of operations ---------------------------------------------------
-
-def apply_log(nodes: DataFrame, edges: DataFrame, log: list[dict]) -> tuple[DataFrame, DataFrame, list[str]]:
-    """Applies tool calls ({op, args}) in order to the nodes (id, kind, zh, en, seq, description) and edges of a graph;
-    each leaves a message, and an unknown or failing one changes nothing. A log is what one model round asks for, so it
-    is short; consecutive calls of one kind are applied as one step of the set operators."""
-    messages: list[str] = []
-    for call in log:
-        args = parse_arguments(call["args"]) if isinstance(call.get("args"), str) else call.get("args") or {}
-        try:
-            nodes, edges, message = _applied(nodes, edges, call.get("op", ""), args)
-        except (KeyError, TypeError) as e:
-            message = f"ERROR: {call.get('op')}: {json.dumps(str(e))}"
-        messages.append(message)
-    return nodes, edges, messages
-
-
-def _find(nodes: DataFrame, kind: str, name: str) -> str | None:
-    own = nodes.filter(F.col("kind") == kind)
-    asked = own.sparkSession.createDataFrame([(name or "",)], "name string")
-    row = graph.lookup(asked, graph.name_index(own)).first()
-    return row.id if row else None
-
-
-def _applied(nodes: DataFrame, edges: DataFrame, op: str, args: dict) -> tuple[DataFrame, DataFrame, str]:
-    spark = nodes.sparkSession
-    kind = "syndrome" if op.endswith("syndrome") else "symptom"
-    prefix = {"symptom": "symp", "syndrome": "syn"}
-    name = " / ".join(x for x in (str(args.get("name_zh") or "").strip(), str(args.get("name_en") or "").strip()) if x)
-
-    def add(kind: str, zh: str, en: str, dzh: str, den: str) -> tuple[DataFrame, str]:
-        for known in (" / ".join(x for x in (zh.strip(), en.strip()) if x), zh, en):
-            if known and (found := _find(nodes, kind, known)):
-                return nodes, found
-        last = nodes.agg(F.coalesce(F.max("seq"), F.lit(0)).alias("s"), F.coalesce(F.max(F.when(F.col("kind") == kind, F.get(F.split("id", "-"), F.lit(1)).try_cast("int"))), F.lit(0)).alias("n")).first()
-        new_id = f"{prefix[kind]}-{last.n + 1:04d}"
-        row = spark.createDataFrame([(new_id, kind, zh, en, last.s + 1, " / ".join(x for x in (dzh.strip(), den.strip()) if x))], nodes.schema)
-        return nodes.unionByName(row), new_id
-
-    if op in ("add_symptom", "add_syndrome"):
-        nodes, got = add(kind, args.get("name_zh", ""), args.get("name_en", ""), args.get("description_zh", ""), args.get("description_en", ""))
-        return nodes, edges, f"OK: {got} {name}"
-    if op in ("edit_symptom", "edit_syndrome"):
-        target = _find(nodes, kind, args["target"])
-        if target is None:
-            return nodes, edges, f"WARNING: {kind.title()} not found: {args['target']}"
-        change = spark.createDataFrame([(target, args.get("name_zh"), args.get("name_en"), args.get("description_zh"), args.get("description_en"))], "id string, new_zh string, new_en string, new_desc_zh string, new_desc_en string")
-        done = graph.edited(nodes.drop("kind"), change).drop("name").join(nodes.select("id", "kind"), "id").select(nodes.columns)
-        return done, edges, f"OK: {kind.title()} updated: {target}"
-    if op == "link":
-        syn, sym = _find(nodes, "syndrome", args["syndrome"]), _find(nodes, "symptom", args["symptom"])
-        asked = spark.createDataFrame([(args["syndrome"], syn, args["symptom"], sym)], "syndrome_name string, syndrome string, symptom_name string, symptom string")
-        message = graph.link_status(asked).first().status
-        if syn and sym:
-            at = edges.filter(F.col("syndrome") == syn).count()
-            edges = graph.linked(edges, spark.createDataFrame([(syn, sym, at)], edges.schema))
-        return nodes, edges, message
-    if op == "split_symptom":
-        parent = _find(nodes, "symptom", args["original"])
-        if parent is None:
-            return nodes, edges, f"WARNING: Symptom not found: {args['original']}"
-        made = []
-        for c in args["children"]:
-            nodes, got = add("symptom", c.get("name_zh", ""), c.get("name_en", ""), c.get("description_zh", ""), c.get("description_en", ""))
-            made.append(got)
-        edges = graph.split(edges, spark.createDataFrame([(parent, m) for m in made], "parent string, child string"))
-        return nodes, edges, f"OK: Split {parent} into: {', '.join(made)}"
-    return nodes, edges, f"WARNING: unknown operation: {op}"
-
-
 # --- tagging books and running evaluations -------------------------------------------------------
 
 def tagged_books(books: DataFrame, tag: DataFrame) -> DataFrame:

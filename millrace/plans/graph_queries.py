@@ -192,3 +192,52 @@ def upsert_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
 def top_two_per_brand(spark: SparkSession, sf_dir: str) -> DataFrame:
     order = Window.partitionBy("p_brand").orderBy("p_partkey")
     return table(spark, sf_dir, "part").select("p_partkey", F.row_number().over(order).alias("rank")).filter("rank <= 2")
+
+
+#: Names of new nodes: chains of customers share one or the other name, some have that of a part.
+_ZH = "case when c_custkey % 11 = 0 then 'BRAND#' || (c_custkey % 5 + 1) || (c_custkey % 4 + 1) else 'z' || (c_custkey % 37) end"
+_EN = "case when c_custkey % 7 = 0 then '' else 'E' || (c_custkey % 23) || ' / e' || (c_custkey % 101) end"
+
+
+@query(f"""with recursive c as (select row_number() over (order by c_custkey) as i, c_custkey, {_ZH} as zh, {_EN} as en from customer),
+k as (select *, list_distinct(list_filter([lower(zh || case when en = '' then '' else ' / ' || en end), lower(zh), lower(en)] || list_transform(string_split(en, '/'), lambda x: lower(trim(x))), lambda x: x <> '')) as keys from c),
+known as (select distinct lower(p_brand) as key from part union select lower(p_name) from part union select lower(p_brand || ' / ' || p_name) from part),
+fresh as (select *, row_number() over (order by i) as j from k where not list_has_any(keys, (select list(key) from known))),
+r as (select 0 as j, cast([] as varchar[]) as taken, false as ok union all select r.j + 1, case when list_has_any(r.taken, f.keys) then r.taken else list_concat(r.taken, f.keys) end, not list_has_any(r.taken, f.keys) from r join fresh f on f.j = r.j + 1)
+select printf('symp-%04d', 7 + row_number() over (order by c_custkey)) as id, c_custkey as seq, zh, en from r join fresh using (j) where ok""")
+def add_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as new symptoms, in order of their ids, unless a node before has one of their names."""
+    new = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("seq"), F.expr(_ZH).alias("zh"), F.expr(_EN).alias("en"), F.lit("").alias("description"))
+    return G.added(nodes(spark, sf_dir), new, "symp", 7).select("id", "seq", "zh", "en")
+
+
+@query("""with e as (select distinct c_nationkey as symptom, o_orderpriority as syndrome from orders join customer on c_custkey = o_custkey),
+n as (select n_nationkey, case when n_regionkey = 0 then upper(n_name) || ' (edited)' else n_name end as name from nation),
+kids as (select r_regionkey, k, 'part ' || k || ' of ' || (select min(n_name) from nation where n_regionkey = r_regionkey) as name from region, (select unnest([1, 2]) as k))
+select syndrome, name from e join n on n_nationkey = symptom
+union select syndrome, kids.name from e join nation on n_nationkey = symptom and n_name = (select min(n_name) from nation m where m.n_regionkey = nation.n_regionkey) join kids on r_regionkey = n_regionkey
+union select 'region ' || r_name, kids.name from region join kids using (r_regionkey)
+union select 'region ' || r_name, n.name from region join nation on n_regionkey = r_regionkey join n using (n_nationkey) where n_name = (select min(n_name) from nation m where m.n_regionkey = r_regionkey)""")
+def apply_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations as symptoms, priorities of their orders as syndromes. A log adds a syndrome for each region, links the region's first
+    nation to it, splits that nation in two, and then renames the nations of region 0."""
+    from ..operators.oplog import apply_log as run
+
+    nation = table(spark, sf_dir, "nation")
+    symptoms = nation.select(F.format_string("symp-%04d", F.col("n_nationkey").cast("int")).alias("id"), F.lit("symptom").alias("kind"), F.lit("").alias("zh"), F.col("n_name").alias("en"), F.col("n_nationkey").cast("long").alias("seq"), F.lit("").alias("description"))
+    pairs = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("c_custkey") == F.col("o_custkey")).select("o_orderpriority", "c_nationkey").distinct()
+    number = F.substring("o_orderpriority", 1, 1).cast("int")
+    syndromes = pairs.select("o_orderpriority").distinct().select(F.format_string("syn-%04d", number).alias("id"), F.lit("syndrome").alias("kind"), F.lit("").alias("zh"), F.col("o_orderpriority").alias("en"), (100 + number).cast("long").alias("seq"), F.lit("").alias("description"))
+    links = pairs.select(F.format_string("syn-%04d", number).alias("syndrome"), F.format_string("symp-%04d", F.col("c_nationkey").cast("int")).alias("symptom"), F.col("c_nationkey").cast("long").alias("pos"))
+    regions = nation.join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")).groupBy("r_regionkey", "r_name").agg(F.min("n_name").alias("first")).collect()  # five
+    log: list[dict] = []
+    for r in sorted(regions):
+        log.append({"op": "add_syndrome_node", "args": {"name_zh": "", "name_en": f"region {r.r_name}"}})
+        log.append({"op": "link_syndrome_symptom", "args": {"syndrome_name": f"REGION {r.r_name}", "symptom_name": r["first"].lower()}})
+        log.append({"op": "split_symptom_node", "args": {"original_name": r["first"], "children": [{"name_zh": "", "name_en": f"part {k} of {r['first']}"} for k in (1, 2)]}})
+    names = [r.n_name for r in nation.filter("n_regionkey = 0").collect()]
+    log += [{"op": "edit_symptom_node", "args": {"target_name": n, "new_name_en": f"{n.upper()} (edited)"}} for n in names]
+    after, edges_after, _ = run(symptoms.unionByName(syndromes), links, log)
+    named = after.select("id", X.bilingual(F.col("zh"), F.col("en")).alias("name"))
+    named_edges = edges_after.join(named.withColumnRenamed("name", "syndrome_name"), F.col("syndrome") == F.col("id")).drop("id").join(named, F.col("symptom") == F.col("id"))
+    return named_edges.select(F.col("syndrome_name").alias("syndrome"), "name")

@@ -32,9 +32,12 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which all executors share; one of our own only where it is unset."""
+    """The folder in spark.checkpoint.dir, which all executors share; one of our own only where it is unset and all runs in
+    one process. A cluster without the setting is an error: its executors share no local folder."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
-        base = "/tmp/checkpoints"
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="checkpoints-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
