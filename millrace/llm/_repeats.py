@@ -33,6 +33,8 @@ from ._common import U64, discard, map_batches, mapped, signed, text_bytes, writ
 
 #: Super-k-mers of one minimiser, and bytes of them, that one task may hold; more are grouped by content first.
 HOT, HOT_BYTES = 1_000, 1 << 18
+#: Different repeated windows among the strings of hot minimisers that are looked up in a broadcast table at most; more are joined.
+MOST_SEEN = 1 << 16
 #: Windows of a super-k-mer at most.
 LONGEST = 4_096
 #: Places whose minimisers are looked for at once: so many fit the lower bits of a key.
@@ -182,14 +184,19 @@ def _grouped(strings: DataFrame, kind: Windows, name: str, hot: int) -> tuple[li
     one_each = classes.select("h", "first.did", "first.sig", "first.start", "first.n", "first.again", "s")
     few, done = one_each.join(too_hot, "h", "left_anti"), [strings, classes, too_hot]
     if not too_hot.isEmpty():
-        single = written(map_batches(one_each.join(too_hot, "h"), lambda b: _digest_rows(b, kind), "w binary, did long, sig long, a int"), f"{name}-single")
+        many = one_each.join(too_hot, "h")
+        single = map_batches(many, lambda b: _digest_rows(b, kind), "w binary, did long, sig long, a int")
         seen = single.groupBy("w").agg(F.min(F.struct("did", "a", "sig")).alias("lo"), F.max(F.struct("did", "a", "sig")).alias("hi")).filter("lo != hi")
         seen = written(seen.select("w", "lo"), f"{name}-seen")
-        alone = single.join(seen, "w")
-        if kind.first_stays:
-            alone = alone.filter(F.struct("did", "a", "sig") != F.col("lo"))
-        known.append(alone.select("did", "sig", "a", (F.col("a") + 1).alias("b")))
-        done += [single, seen]
+        done.append(seen)
+        if seen.count() <= MOST_SEEN:  # few windows, at however many places: looked up where the strings are
+            table = many.sparkSession.sparkContext.broadcast({bytes(r.w): (r.lo.did, r.lo.a, r.lo.sig) for r in seen.collect()})
+            known.append(map_batches(many, lambda b: _seen_ranges(b, kind, table), "did long, sig long, a int, b int"))
+        else:
+            alone = single.join(seen, "w")
+            if kind.first_stays:
+                alone = alone.filter(F.struct("did", "a", "sig") != F.col("lo"))
+            known.append(alone.select("did", "sig", "a", (F.col("a") + 1).alias("b")))
     return known, few, done
 
 
@@ -242,6 +249,18 @@ def _digest_rows(batch: pa.RecordBatch, kind: Windows) -> Iterator[pa.RecordBatc
         yield pa.RecordBatch.from_arrays([pa.array(kind.digests(string, n), pa.binary()), pa.array(np.full(n, did)), pa.array(np.full(n, sig)), pa.array(places)], ["w", "did", "sig", "a"])
 
 
+def _seen_ranges(batch: pa.RecordBatch, kind: Windows, table) -> pa.RecordBatch:
+    """Ranges of the windows whose digests are in the table (digest -> first place)."""
+    found: list[tuple[int, int, int, int]] = []
+    for did, sig, start, n, string in zip(*(batch.column(c).to_pylist() for c in ("did", "sig", "start", "n", "s")), strict=True):
+        places = [table.value.get(w) for w in kind.digests(string, n)]
+        hit = [first is not None and not (kind.first_stays and first == (did, start + k, sig)) for k, first in enumerate(places)]
+        edges = np.flatnonzero(np.diff(np.array([False, *hit, False], np.int8)))
+        found += [(did, sig, start + a, start + b) for a, b in edges.reshape(-1, 2).tolist()]
+    columns = zip(*found, strict=True) if found else [[]] * 4
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], ["did", "sig", "a", "b"])
+
+
 def spans_of(lists: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
     """The starts and ends of each row's spans; none for a null row."""
     flat, sizes = lists.flatten(), np.nan_to_num(lists.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)

@@ -150,3 +150,13 @@ def test_texts_of_one_signature_are_compared():
     batch = pa.RecordBatch.from_pydict({"did": [3, 1, 2, 0], "sig": [7, 7, 7, 7], "text": ["a", "a", "b", "a"]})
     left = _repeats.without_copies(batch).to_pydict()
     assert set(zip(left["did"], left["text"])) >= {(0, "a"), (2, "b")} and len(left["did"]) < 4
+
+
+@pytest.mark.parametrize("most", [0, 1 << 16])
+def test_hot_windows_are_joined_or_looked_up(spark, monkeypatch, most):
+    from millrace.llm import _repeats
+
+    monkeypatch.setattr(_repeats, "MOST_SEEN", most)
+    df = spark.createDataFrame(cases()[:45], "doc_id long, text string")
+    assert collections.Counter(map(tuple, suffixdedup.removed_spans(df, hot=1).drop("kept").collect())) == brute_bytes(cases()[:45])
+    assert collections.Counter(map(tuple, superkmer.digested(df, hot=1).collect())) == brute_words(cases()[:45])
