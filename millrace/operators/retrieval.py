@@ -6,8 +6,11 @@ rows, of checked size, that is broadcast. A null or empty query vector finds not
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
+from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,6 +30,14 @@ def few(queries: DataFrame) -> DataFrame:
     return F.broadcast(queries)
 
 
+def settled(rows: DataFrame, most: int = MOST_QUERIES) -> DataFrame:
+    """Few rows, computed once: whatever is made of them doesn't scan the index again."""
+    found = rows.limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"more than {most} rows")
+    return rows.sparkSession.createDataFrame(found, rows.schema)
+
+
 def scored(index: DataFrame, query: DataFrame, vector: str = "embedding") -> DataFrame:
     """Every row of the index with its similarity to the one row of query(q)."""
     asked = few(query.select(F.col("q"), norm(F.col("q")).alias("q_norm")).filter(present(F.col("q"))))
@@ -38,11 +49,11 @@ def top(rows: DataFrame, k: int, id_column: str, score: str = "score") -> DataFr
     return rows.orderBy(F.col(score).desc(), F.col(id_column)).limit(k)
 
 
-def with_neighbours(index_scores: DataFrame, hits: DataFrame, id_column: str, reach: int = 1) -> DataFrame:
-    """Hits and the rows up to `reach` positions beside them, once each, with score and is_hit, in index order."""
+def with_neighbours(index: DataFrame, hits: DataFrame, id_column: str, reach: int = 1) -> DataFrame:
+    """Hits and the rows up to `reach` positions beside them, once each, with is_hit, in index order."""
     near = hits.select(F.col(id_column).alias("hit"), F.explode(F.sequence(F.lit(-reach), F.lit(reach))).alias("d"))
     wanted = near.groupBy((F.col("hit") + F.col("d")).alias(id_column)).agg(F.max(F.col("d") == 0).alias("is_hit"))
-    return index_scores.join(F.broadcast(wanted), id_column).orderBy(id_column)  # hits x (2 reach + 1) rows
+    return index.join(F.broadcast(wanted), id_column).orderBy(id_column)  # hits x (2 reach + 1) rows
 
 
 def retrieve(index: DataFrame, query: DataFrame, id_column: str, top_n: int = 3, adjacent: bool = True, mode: str = "true", mocked: DataFrame | None = None) -> DataFrame:
@@ -52,9 +63,11 @@ def retrieve(index: DataFrame, query: DataFrame, id_column: str, top_n: int = 3,
         return scored(index, query).limit(0)
     if mode == "mock":
         return mock(mocked, top_n)
-    found = scored(index, query)
-    hits = top(found, top_n, id_column)
-    return with_neighbours(found, hits, id_column) if adjacent else hits
+    hits = top(scored(index, query), top_n, id_column)
+    if not adjacent:
+        return hits
+    near = with_neighbours(index, settled(hits.select(id_column)), id_column)  # the index is scored once, then some rows of it
+    return scored(near, query).orderBy(id_column)
 
 
 def mock(table: DataFrame, top_n: int = 3) -> DataFrame:
@@ -77,7 +90,7 @@ def multi_scored(records: DataFrame, query: DataFrame, weights: Mapping[str, flo
 
 def search(records: DataFrame, query: DataFrame, search_type: str = "multi", top_k: int = 5, weights: Mapping[str, float] | None = None, id_column: str = "vec_id") -> DataFrame:
     """Top-k of all vectors ("multi"), or of one, named with or without its ending "_vector"."""
-    if search_type != "multi":
+    if search_type not in ("multi", "multi_vector"):
         weights = {f"{search_type.removesuffix('_vector')}_vector": 1.0}
     return top(multi_scored(records, query, weights), top_k, id_column)
 
@@ -94,7 +107,7 @@ def adjacent(records: DataFrame, hits: DataFrame, id_column: str, reach: int = 2
     """
     keys = records.select("book_id", "chapter_index", "section_index", id_column)
     places = placed(keys, "book_id", ["chapter_index", "section_index"], id_column)
-    asked = few(places.join(few(hits.select(id_column)), id_column).select("book_id", F.col(id_column).alias("hit"), F.col("chapter_index").alias("hit_chapter"), F.col("pos").alias("hit_pos")))
+    asked = F.broadcast(settled(places.join(few(hits.select(id_column)), id_column).select("book_id", F.col(id_column).alias("hit"), F.col("chapter_index").alias("hit_chapter"), F.col("pos").alias("hit_pos"))))
     near = (F.col("chapter_index") == F.col("hit_chapter")) if chapter else F.col("pos").between(F.col("hit_pos") - reach, F.col("hit_pos") + reach)
     pairs = places.join(asked, "book_id").filter(near)
     first = Window.partitionBy("hit", "chapter_index", "section_index").orderBy("pos")
@@ -102,11 +115,88 @@ def adjacent(records: DataFrame, hits: DataFrame, id_column: str, reach: int = 2
     return once.select("hit", F.col(id_column).alias("adjacent"), (F.col("pos") - F.col("hit_pos")).alias("dist"))
 
 
+def unit_rows(vectors: pa.Array) -> tuple[np.ndarray, dict[int, tuple[np.ndarray, np.ndarray]]]:
+    """Of an array of vectors: their lengths, and for each length the rows that have it and these as unit vectors (zero
+    vectors stay)."""
+    sizes = np.nan_to_num(np.asarray(vectors.value_lengths().to_numpy(zero_copy_only=False), float)).astype(np.int64)
+    flat, ends = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64), np.cumsum(sizes)
+    out = {}
+    for size in set(sizes.tolist()) - {0}:
+        rows = np.flatnonzero(sizes == size)
+        m = flat[(ends[rows] - size)[:, None] + np.arange(size)]
+        norms = np.linalg.norm(m, axis=1, keepdims=True)
+        out[size] = (rows, np.divide(m, norms, out=np.zeros_like(m), where=norms > 0))
+    return sizes, out
+
+
+def asked_blocks(asked: DataFrame, id_column: str | None = None, vector: str = "q") -> Iterator[tuple[list, dict[int, tuple[np.ndarray, np.ndarray]]]]:
+    """The asked vectors in blocks of MOST_QUERIES at most: their ids, and per length what `unit_rows` gives."""
+    own = asked.filter(present(F.col(vector))).select(*([id_column] if id_column else []), F.col(vector).cast("array<double>").alias(vector))
+    blocks = max(1, -(-own.count() // (MOST_QUERIES * 9 // 10)))  # dealt by hash, so a block may be a little larger than the mean
+    for k in range(blocks):
+        part = own if blocks == 1 else own.filter(F.pmod(F.xxhash64(*own.columns), F.lit(blocks)) == k)
+        rows = part.toArrow()
+        yield rows.column(id_column).to_pylist() if id_column else [], unit_rows(rows.column(vector).combine_chunks())[1]
+
+
 def similar_tags(tag_vectors: DataFrame, asked: DataFrame, top_k: int = 10, threshold: float = 0.7) -> DataFrame:
-    """(tag, similarity): each tag's best similarity to any asked vector (q), at least 0, over the threshold."""
-    pairs = tag_vectors.crossJoin(few(asked.select("q"))).withColumn("sim", cosine(F.col("embedding"), F.col("q")))
-    best = pairs.groupBy("tag").agg(F.greatest(F.max("sim"), F.lit(0.0)).alias("similarity")).filter(F.col("similarity") >= threshold)
-    return best.orderBy(F.col("similarity").desc(), "tag").limit(top_k)
+    """(tag, similarity): each tag's best similarity to any asked vector (q), at least 0, over the threshold.
+
+    Asked vectors are taken in blocks; a block is broadcast, and each Arrow batch of tags is multiplied with it, so what
+    comes out is a row a tag and block, not one a pair.
+    """
+    spark, schema = asked.sparkSession, tag_vectors.select("tag", F.lit(0.0).alias("sim")).schema
+    parts = []
+    for _, block in asked_blocks(asked):
+        sent = spark.sparkContext.broadcast({size: m for size, (_, m) in block.items()})
+
+        def best(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                sim = np.zeros(batch.num_rows)
+                for size, (rows, m) in unit_rows(batch.column("embedding"))[1].items():
+                    if size in sent.value:
+                        sim[rows] = np.maximum((m @ sent.value[size].T).max(1), 0)
+                yield pa.RecordBatch.from_arrays([batch.column("tag"), pa.array(sim)], ["tag", "sim"])
+
+        parts.append(tag_vectors.select("tag", F.col("embedding").cast("array<double>").alias("embedding")).mapInArrow(best, schema))
+    every = reduce(DataFrame.unionByName, parts).groupBy("tag").agg(F.max("sim").alias("similarity"))
+    return every.filter(F.col("similarity") >= threshold).orderBy(F.col("similarity").desc(), "tag").limit(top_k)
+
+
+def top_many(index: DataFrame, asked: DataFrame, k: int, id_column: str, asked_id: str = "qid", vector: str = "embedding") -> DataFrame:
+    """(asked_id, id, score, rank): the k rows of the index that are nearest to each asked vector (q); ties by id.
+
+    Each Arrow batch of the index is multiplied with a block of asked vectors and passes on its own k best of each, so
+    k rows a batch and vector are shuffled. Rows and asked vectors of unequal length, or zero, have score 0.
+    """
+    spark, ids = asked.sparkSession, index.schema[id_column].dataType
+    schema = f"{asked_id} {asked.schema[asked_id].dataType.simpleString()}, {id_column} {ids.simpleString()}, score double"
+    parts = []
+    for names, block in asked_blocks(asked, asked_id):
+        sent = spark.sparkContext.broadcast((names, block))
+
+        def nearest(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            names, block = sent.value
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                own, (_, vectors) = batch.column("id"), unit_rows(batch.column("v"))
+                order = np.argsort(own.to_numpy(zero_copy_only=False), kind="stable")
+                for size, (which, m) in block.items():
+                    scores = np.zeros((len(which), batch.num_rows))
+                    if size in vectors:
+                        rows, n = vectors[size]
+                        scores[:, rows] = m @ n.T
+                    scores = scores[:, order]
+                    best = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+                    at = order[best.ravel()]
+                    asked_ids = [names[w] for w in np.repeat(which, best.shape[1]).tolist()]
+                    yield pa.RecordBatch.from_arrays([pa.array(asked_ids), own.take(pa.array(at)), pa.array(np.take_along_axis(scores, best, 1).ravel())], [asked_id, id_column, "score"])
+
+        rows = index.select(F.col(id_column).alias("id"), F.col(vector).cast("array<double>").alias("v"))
+        parts.append(rows.mapInArrow(nearest, schema))
+    order = Window.partitionBy(asked_id).orderBy(F.col("score").desc(), id_column)
+    return reduce(DataFrame.unionByName, parts).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
 def expanded(records: DataFrame, tags: DataFrame, original: DataFrame, id_column: str, vector: str = "patterns_vector", each: int = 2, most: int = 3) -> DataFrame:

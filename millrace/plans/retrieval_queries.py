@@ -110,11 +110,11 @@ def adjacent_chapter(spark: SparkSession, sf_dir: str) -> DataFrame:
 x as (select a.vec_id as hit, b.vec_id as adjacent, row_number() over (partition by a.vec_id, b.chapter_index, b.section_index order by b.pos) as rn from h join p a using (vec_id), p b where abs(b.pos - a.pos) <= 2)
 select cast(h.rank as integer) as rank, h.vec_id, round(h.score, 6) as score, x.adjacent from h join x on x.hit = h.vec_id where x.rn = 1 and x.adjacent not in (select vec_id from h)""")
 def structured_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Flagship: weighted top-5 with what stands beside each hit and is no hit itself."""
+    """Flagship: weighted top-5, computed once, with what stands beside each hit and is no hit itself."""
     from pyspark.sql import Window
 
     r = records(spark, sf_dir)
-    hits = R.search(r, asked(spark, sf_dir)).select("vec_id", "score")
+    hits = R.settled(R.search(r, asked(spark, sf_dir)).select("vec_id", "score"))
     ranked = hits.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "vec_id")))  # five rows
     near = R.adjacent(r, hits, "vec_id").join(F.broadcast(hits.select(F.col("vec_id").alias("adjacent"))), "adjacent", "left_anti")
     return ranked.join(near, ranked.vec_id == near.hit).select("rank", "vec_id", F.round("score", 6).alias("score"), "adjacent")
@@ -143,7 +143,7 @@ u as (select 0 as part, -score as k1, cast(vec_id as double) as k2, vec_id, 'sea
 select cast(row_number() over (order by part, k1, k2) as integer) as rank, vec_id, source from u order by part, k1, k2 limit 8""")
 def tag_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
     r, e = records(spark, sf_dir), index(spark, sf_dir)
-    hits = R.search(r, asked(spark, sf_dir)).select("vec_id", "score")
+    hits = R.settled(R.search(r, asked(spark, sf_dir)).select("vec_id", "score"))
     tags = _similar(spark, sf_dir, 15).join(e.select(F.col("vec_id").alias("tag"), F.slice("embedding", 37, 12).alias("q")), "tag")
     return R.with_expansion(hits, R.expanded(r, tags, hits, "vec_id"), "vec_id", 5)
 
