@@ -19,6 +19,8 @@ from .ordering import placed
 
 #: Query rows that are broadcast at most; a larger set is to be asked in blocks.
 MOST_QUERIES = 10_000
+#: Digits of a similarity that a product of matrices gives: equal vectors score alike, whatever block they are in.
+DIGITS = 12
 #: Weights of the five vectors of a structured record (fixed values).
 WEIGHTS = {"symptoms_vector": 0.3, "organs_vector": 0.2, "formulas_vector": 0.2, "patterns_vector": 0.2, "full_content_vector": 0.1}
 
@@ -155,7 +157,7 @@ def similar_tags(tag_vectors: DataFrame, asked: DataFrame, top_k: int = 10, thre
                 sim = np.zeros(batch.num_rows)
                 for size, (rows, m) in unit_rows(batch.column("embedding"))[1].items():
                     if size in sent.value:
-                        sim[rows] = np.maximum((m @ sent.value[size].T).max(1), 0)
+                        sim[rows] = np.maximum((m @ sent.value[size].T).max(1), 0).round(DIGITS)
                 yield pa.RecordBatch.from_arrays([batch.column("tag"), pa.array(sim)], ["tag", "sim"])
 
         parts.append(tag_vectors.select("tag", F.col("embedding").cast("array<double>").alias("embedding")).mapInArrow(best, schema))
@@ -186,7 +188,7 @@ def top_many(index: DataFrame, asked: DataFrame, k: int, id_column: str, asked_i
                     scores = np.zeros((len(which), batch.num_rows))
                     if size in vectors:
                         rows, n = vectors[size]
-                        scores[:, rows] = m @ n.T
+                        scores[:, rows] = (m @ n.T).round(DIGITS)
                     scores = scores[:, order]
                     best = np.argsort(-scores, axis=1, kind="stable")[:, :k]
                     at = order[best.ravel()]

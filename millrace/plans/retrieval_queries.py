@@ -148,6 +148,37 @@ def tag_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.with_expansion(hits, R.expanded(r, tags, hits, "vec_id"), "vec_id", 5)
 
 
+@query(f"""with {_RECORDS}, {_QUERY}, {_MULTI}, h as (select vec_id, score from s order by score desc, vec_id limit 5), {_TAGS.replace('vec_id as tag', 'a.vec_id as tag')}, {_PLACED},
+k as (select tag, similarity, row_number() over (order by similarity desc, tag) as tr from t order by similarity desc, tag limit 15),
+c as (select tr, r.vec_id, row_number() over (partition by tr order by {_cos('r.patterns_vector', 'w.e[37:48]')} desc, r.vec_id) as rn from r, k join v w on w.vec_id = k.tag),
+d as (select *, row_number() over (partition by vec_id order by tr, rn) as again from c where rn <= 2 and vec_id not in (select vec_id from h)),
+m as (select tr, rn, vec_id from d where again = 1 order by tr, rn limit 3),
+u as (select 0 as part, -score as k1, cast(vec_id as double) as k2, vec_id, 'search' as source, round(score, 6) as score from h union all select 1, tr, rn, vec_id, 'tag', null from m),
+x as (select a.vec_id as hit, b.vec_id as adjacent, b.pos - a.pos as dist, row_number() over (partition by a.vec_id, b.chapter_index, b.section_index order by b.pos) as rn from h join p a using (vec_id), p b where abs(b.pos - a.pos) <= 2),
+n as (select hit, string_agg(cast(adjacent as varchar), ',' order by dist) as near from x where rn = 1 and dist <> 0 group by hit)
+select cast(row_number() over (order by part, k1, k2) as integer) as rank, vec_id, source, score, near from u left join n on hit = vec_id order by part, k1, k2 limit 8""")
+def structured_question(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A whole structured search: five hits, three more by tags, and what stands beside the hits."""
+    from ..operators import serving as S
+
+    r, e = records(spark, sf_dir), index(spark, sf_dir)
+    tags = e.filter(F.col("label").isin(*TAG_LABELS)).select(F.col("vec_id").alias("tag"), "embedding", F.slice("embedding", 37, 12).alias("q"))
+    own = e.filter(F.col("label") == ASKED_LABEL).select(F.col("embedding").alias("q"))
+    order, near = S.searched_by(r, asked(spark, sf_dir), tag_vectors=tags, threshold=TAG_THRESHOLD, asked=own)
+    beside = near.filter("dist <> 0").groupBy(F.col("hit").alias("vec_id")).agg(F.array_sort(F.collect_list(F.struct("dist", "adjacent"))).alias("near"))
+    rows = order.join(beside, "vec_id", "left")
+    return rows.select("rank", "vec_id", "source", F.round("score", 6).alias("score"), F.array_join(F.transform("near", lambda n: n["adjacent"].cast("string")), ",").alias("near"))
+
+
+@query(f"""with {_INDEX}, s as (select q.vec_id as qid, v.vec_id, {_cos('v.e', 'q.e')} as score from v, v q where q.label = {ASKED_LABEL}),
+x as (select *, row_number() over (partition by qid order by score desc, vec_id) as rank from s) select qid, vec_id, round(score, 6) as score, cast(rank as integer) as rank from x where rank <= 3""")
+def many_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three nearest rows to each embedding of one label, in one pass over the index."""
+    e = index(spark, sf_dir)
+    found = R.top_many(e, e.filter(F.col("label") == ASKED_LABEL).select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q")), 3, "vec_id")
+    return found.select("qid", "vec_id", F.round("score", 6).alias("score"), "rank")
+
+
 WORDS = ["the", "tion", "ou", "ch", "de"]
 
 

@@ -74,18 +74,28 @@ def extracted(text: Column, kind: str, words: dict[str, Sequence[str]]) -> Colum
     return run(text)
 
 
-def answered(prompts: DataFrame, prompt: str, chat: Chat = echo_chat, column: str = "answer") -> DataFrame:
-    """prompts with the answers; one that fails is null and its error stands beside it."""
+def one_by_one(call: Callable[[list[str]], Sequence], texts: Sequence[str], size: int = 5) -> list[tuple]:
+    """(result, error) of each text: `size` texts go to the provider at once, and those of a batch that fails one by one,
+    so that one bad text costs only its own result."""
+    out: list[tuple] = []
+    for i in range(0, len(texts), size):
+        some = list(texts[i : i + size])
+        try:
+            got = list(call(some))
+            if len(got) != len(some):
+                raise ValueError(f"{len(got)} results of {len(some)}")
+            out += [(x, None) for x in got]
+        except Exception as e:  # noqa: BLE001  any failure of a provider is a row's result
+            out += one_by_one(call, some, 1) if len(some) > 1 else [(None, f"{type(e).__name__}: {e}")]
+    return out
+
+
+def answered(prompts: DataFrame, prompt: str, chat: Chat = echo_chat, column: str = "answer", size: int = 5) -> DataFrame:
+    """prompts with the answers; one that fails is null and its error stands beside it. `size` go to the provider at once."""
 
     @F.pandas_udf("struct<answer:string,error:string>")
     def run(s: pd.Series) -> pd.DataFrame:
-        rows = []
-        for p in s:
-            try:
-                rows.append((chat([p])[0], None))
-            except Exception as e:  # noqa: BLE001  any failure of a provider is a row's result
-                rows.append((None, f"{type(e).__name__}: {e}"))
-        return pd.DataFrame(rows, columns=["answer", "error"])
+        return pd.DataFrame(one_by_one(chat, s.tolist(), size), columns=["answer", "error"])
 
     return prompts.withColumn("_r", run(F.col(prompt))).withColumns({column: F.col("_r.answer"), "error": F.col("_r.error")}).drop("_r")
 
@@ -99,6 +109,18 @@ def both_languages(answer: Column) -> Column:
     return F.struct(r["chinese_response"].alias("chinese"), r["english_response"].alias("english"), combined.alias("combined"))
 
 
+def called_once(chat: Callable[[list[dict]], Sequence[dict]], messages: list[dict], reminder: str, attempts: int = 3) -> dict | None:
+    """The one tool call of a model's turn; if it makes none or several it is reminded, up to `attempts` turns; else None."""
+    log = [dict(m) for m in messages]
+    for k in range(attempts):
+        calls = chat(log)
+        if len(calls) == 1:
+            return calls[0]
+        if k + 1 < attempts:
+            log[-1]["content"] = f"{log[-1].get('content') or ''}\n{reminder}"
+    return None
+
+
 def parse_arguments(text: str | None) -> dict:
     """Arguments of a tool call; none if they aren't an object of JSON."""
     try:
