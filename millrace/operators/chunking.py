@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import SPACE, bound, cut, is_blank, rfind, strip, token_estimate
+from ..functions.tokens import Counter, counted, looked_up
 
 Tokens = Callable[[Column], Column]
 MAX_TOKENS = 7500
@@ -200,11 +201,31 @@ METHODS: dict[str, tuple[Callable[..., Column], int]] = {
 }
 
 
-def chunked(docs: DataFrame, keys: Sequence[str], method: str = "regular", size: int | None = None, **options) -> DataFrame:
-    """One row per chunk: the keys, chunk_index and the chunk's fields, char_count among them."""
+def register(method: str, cutter: Callable[..., Column], size: int) -> None:
+    """Adds a method: cutter(text, size, **options) gives an array of chunks (see `CHUNK`)."""
+    METHODS[method] = (cutter, size)
+
+
+def measured(text: Column) -> Column:
+    """The distinct texts of a text whose tokens a chunker may ask for: its chapters, its sections, and theirs."""
+
+    def of(found: Column) -> Column:
+        chapters, sections = _blocks(text, _of_kind(found, "chapter")), _blocks(text, _of_kind(found, "section"))
+        inner = F.flatten(F.transform(chapters, lambda c: F.transform(_blocks(c["text"], _of_kind(markers(c["text"]), "section")), lambda s: s["text"])))
+        return F.array_distinct(F.concat(F.transform(chapters, lambda c: c["text"]), F.transform(sections, lambda s: s["text"]), inner))
+
+    return F.coalesce(bound(markers(text), of), F.array().cast("array<string>"))
+
+
+def chunked(docs: DataFrame, keys: Sequence[str], method: str = "regular", size: int | None = None, tokenizer: Counter | None = None, **options) -> DataFrame:
+    """One row per chunk: the keys, chunk_index and the chunk's fields, char_count among them. tokenizer: counts the tokens
+    of a list of texts; without one they are estimated."""
     if method not in METHODS:
         raise ValueError(f"unknown chunking method {method!r}; there are {', '.join(METHODS)}")
     cutter, default = METHODS[method]
+    if tokenizer is not None:
+        docs = docs.withColumn("_texts", measured(F.col("text"))).withColumn("_tokens", counted(F.col("_texts"), tokenizer))
+        options["tokens"] = looked_up(F.col("_tokens"))
     rows = docs.select(*keys, F.posexplode(cutter(F.col("text"), size or default, **options)).alias("chunk_index", "c"))
     return rows.select(*keys, "chunk_index", "c.*").withColumn("char_count", F.length("text"))
 
@@ -225,3 +246,18 @@ def process_documents(files: DataFrame, method: str = "regular", size: int | Non
         F.col("title").alias("chunk_title"),
         "text", "chapter_title", "section_title", "char_count", "token_count", "preserved_complete",
     )
+
+
+# --- texts alone -----------------------------------------------------------------------------------
+
+def texts_of(docs: DataFrame, method: str = "regular", size: int | None = None, **options) -> DataFrame:
+    """Only the texts of the chunks of docs (text), in no order over documents: for callers that need no fields."""
+    return chunked(docs, [], method, size, **options).select("text")
+
+
+def by_chapters(docs: DataFrame, size: int = 2000) -> DataFrame:
+    return texts_of(docs, "chapter", size)
+
+
+def by_sections(docs: DataFrame, size: int = 1500) -> DataFrame:
+    return texts_of(docs, "section", size)
