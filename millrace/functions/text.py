@@ -110,6 +110,11 @@ def numbered_id(prefix: str, n: Column) -> Column:
     return F.format_string(f"{prefix}-%04d", n)
 
 
+def short_id(*seed: Column) -> Column:
+    """Eight hexadecimal digits as the id of a run: those of its seed, or new ones at each run of the plan."""
+    return F.left(F.sha2(F.concat_ws("\x1f", *seed), 256) if seed else F.uuid(), F.lit(8))
+
+
 def token_estimate(text: Column) -> Column:
     """Tokens of a text where no tokeniser is given: a quarter of its characters, rounded up."""
     return F.ceil(F.length(text) / 4).cast("int")

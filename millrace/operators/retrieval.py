@@ -226,6 +226,11 @@ def boosted(rows: DataFrame, words: list[str], text: str = "text", score: str =
     return rows.withColumn("matches", held).withColumn("boosted", F.col(score) * (1 + 0.1 * F.col("matches")))
 
 
+def reranked(rows: DataFrame, words: list[str], id_column: str, text: str = "text", score: str = "score") -> DataFrame:
+    """`boosted` rows in order of the boosted score; ties by id."""
+    return boosted(rows, words, text, score).orderBy(F.desc("boosted"), id_column)
+
+
 def context(rows: DataFrame, group: Column, order: str, source: str, text: str) -> DataFrame:
     """Rows of each group as "From {source}: {text}" lines, in order."""
     line = F.concat(F.lit("From "), F.coalesce(F.col(source), F.lit("Unknown")), F.lit(": "), F.coalesce(F.col(text), F.lit("")))

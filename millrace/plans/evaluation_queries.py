@@ -3,11 +3,12 @@ type error, job status: type), conversations for prompts, labels and events for
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import evaluation as E
+from ..operators import listings as L
 from ..sources import files as S
 from .registry import query, table
 
@@ -74,13 +75,13 @@ def bench_realtime(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("select count(*) as total, count(*) filter (event_type <> 'error') as successful, count(*) filter (event_type = 'error') as failed, round(sum(value), 4) as total_seconds, round(avg(value), 6) as avg_seconds from events")
 def eval_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bad = F.col("event_type") == "error"
-    return table(spark, sf_dir, "events").agg(F.count(F.lit(1)).alias("total"), F.count_if(~bad).alias("successful"), F.count_if(bad).alias("failed"), F.round(F.sum("value"), 4).alias("total_seconds"), F.round(F.avg("value"), 6).alias("avg_seconds"))
+    found = L.outcomes(table(spark, sf_dir, "events"), F.col("event_type") == "error", "value")
+    return found.withColumns({"total_seconds": F.round("total_seconds", 4), "avg_seconds": F.round("avg_seconds", 6)})
 
 
 @query("select event_type, count(*) as n, count(*) filter (value > 50) as over_50, round(avg(coalesce(value, 0)), 6) as avg_used from events group by event_type")
 def success_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("value") > 50).alias("over_50"), F.round(F.avg(F.coalesce("value", F.lit(0.0))), 6).alias("avg_used"))
+    return L.usage(table(spark, sf_dir, "events"), "event_type", "value", 50).withColumnRenamed("over", "over_50").withColumn("avg_used", F.round("avg_used", 6))
 
 
 @query(f"with {_RATED} select count(*) as total_ratings, round(avg(nullif(overall_rating, 0)), 6) as average_overall_rating, " + ", ".join(f"round(avg({c}), 6) as avg_{c}" for c in E.CRITERIA) + " from r")
@@ -109,8 +110,8 @@ def run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("select doc_id, coalesce(nullif(doc_id % 10, 9), 0) as prompt_number, cast(row_number() over (partition by doc_id % 10 order by coalesce(nullif(doc_id % 10, 9), 0), doc_id) as integer) as rank from labels")
 def ratings_sorted(spark: SparkSession, sf_dir: str) -> DataFrame:
     number = F.coalesce(F.nullif(F.col("doc_id") % 10, F.lit(9)), F.lit(0))
-    order = Window.partitionBy(F.col("doc_id") % 10).orderBy(number, "doc_id")
-    return table(spark, sf_dir, "labels").select("doc_id", number.alias("prompt_number"), F.row_number().over(order).alias("rank"))
+    rows = table(spark, sf_dir, "labels").select("doc_id", number.alias("prompt_number"), (F.col("doc_id") % 10).alias("run"))
+    return L.ranked(rows, ["run"], [L.prompt_number(), "doc_id"]).drop("run")
 
 
 _LAST = "j as (select user_id as job, case when event_type = 'purchase' then 'completed' when event_type = 'error' then 'failed' when event_type = 'view' then null else event_type end as status, ts, event_id from (select *, row_number() over (partition by user_id order by ts desc, event_id desc) as rn from events) where rn = 1)"
@@ -165,19 +166,31 @@ def batches_of_five(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("select strftime(ts, '%Y-%m-%d') as run_date, count(*) as n, min(strftime(ts, '%Y%m%d_%H%M%S')) as first_stamp from events group by 1")
 def date_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").groupBy(F.date_format("ts", "yyyy-MM-dd").alias("run_date")).agg(F.count(F.lit(1)).alias("n"), F.min(F.date_format("ts", "yyyyMMdd_HHmmss")).alias("first_stamp"))
+    return L.by_date(table(spark, sf_dir, "events"), "ts")
 
 
 @query("select event_id, round(cast(row_number() over (partition by user_id order by event_id) as double) / count(*) over (partition by user_id), 6) as progress from events")
 def progress(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) / F.count(F.lit(1)).over(Window.partitionBy("user_id"))
-    return table(spark, sf_dir, "events").select("event_id", F.round(done, 6).alias("progress"))
+    return L.progress(table(spark, sf_dir, "events"), ["user_id"], ["event_id"]).select("event_id", F.round("progress", 6).alias("progress"))
 
 
 @query("select event_id, cast(round(sum(value) over (partition by user_id order by event_id rows unbounded preceding), 4) as double) as running_seconds from events")
 def running_duration(spark: SparkSession, sf_dir: str) -> DataFrame:
-    order = Window.partitionBy("user_id").orderBy("event_id").rowsBetween(Window.unboundedPreceding, 0)
-    return table(spark, sf_dir, "events").select("event_id", F.round(F.sum("value").over(order), 4).alias("running_seconds"))
+    rows = L.running_total(table(spark, sf_dir, "events"), ["user_id"], ["event_id"], "value", "running_seconds")
+    return rows.select("event_id", F.round("running_seconds", 4).alias("running_seconds"))
+
+
+@query(f"with {_LAST} select job, status, row_number() over (order by ts desc, event_id desc) as rank from j where status = 'completed' order by ts desc, event_id desc limit 5")
+def jobs_finished(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five newest completed jobs."""
+    five = L.finished(jobs(spark, sf_dir), "ts", "event_id")
+    return L.ranked(five, [F.lit(0)], [F.desc("ts"), F.desc("event_id")]).select("job", "status", F.col("rank").cast("long").alias("rank"))  # five rows
+
+
+@query("select doc_id, quality + 2 * toxic as prompt_number from labels where quality + 2 * toxic = 2")
+def ratings_of_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ratings of one prompt; the labels of a document stand for its number."""
+    return L.of_prompt(table(spark, sf_dir, "labels").select("doc_id", (F.col("quality") + 2 * F.col("toxic")).alias("prompt_number")), 2)
 
 
 # --- what Spark adds for nothing: beyond what such an engine must have ---------------------------

@@ -3,11 +3,12 @@ tags are part types by return flag."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import graph as G
+from ..operators import listings as L
 from ..operators import tags as T
 from .registry import query, table
 
@@ -190,8 +191,7 @@ def upsert_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("select p_partkey, cast(row_number() over (partition by p_brand order by p_partkey) as integer) as rank from part qualify rank <= 2")
 def top_two_per_brand(spark: SparkSession, sf_dir: str) -> DataFrame:
-    order = Window.partitionBy("p_brand").orderBy("p_partkey")
-    return table(spark, sf_dir, "part").select("p_partkey", F.row_number().over(order).alias("rank")).filter("rank <= 2")
+    return L.first_of_each(table(spark, sf_dir, "part").select("p_partkey", "p_brand"), ["p_brand"], ["p_partkey"], 2).drop("p_brand")
 
 
 #: Names of new nodes: chains of customers share one or the other name, some have that of a part.

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import listings as L
 from ..operators import retrieval as R
 from .registry import query, table
 
@@ -191,12 +192,12 @@ def symptom_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"with {_RECORDS} select count(*) as total_records, count(distinct 'book') as books, count(distinct chapter_index) as total_chapters, round(avg(length(cast(vec_id as varchar))), 6) as avg_content_length from r")
 def db_info(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = records(spark, sf_dir)
-    return r.agg(F.count(F.lit(1)).alias("total_records"), F.count_distinct("book_id").alias("books"), F.count_distinct(F.struct("book_id", "chapter_index")).alias("total_chapters"), F.round(F.avg(F.length(F.col("vec_id").cast("string"))), 6).alias("avg_content_length"))
+    return L.structured_summary(r, F.col("vec_id").cast("string")).withColumn("avg_content_length", F.round("avg_content_length", 6))
 
 
 @query("select count(*) as total_chunks, count(distinct source) as sources from documents")
 def flat_info(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").agg(F.count(F.lit(1)).alias("total_chunks"), F.count_distinct("source").alias("sources"))
+    return L.flat_summary(table(spark, sf_dir, "documents"))
 
 
 @query("select conv_id as grp, string_agg('From ' || coalesce(role, 'Unknown') || ': ' || coalesce(text, ''), chr(10) order by turn) as context from conversations group by conv_id")
@@ -206,5 +207,4 @@ def prompt_context(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("select count(*) as chunks, count(*) filter (n_chars > 1500) as large, round(100.0 * count(*) filter (n_chars > 1500) / count(*), 2) as large_share, round(avg(n_chars), 6) as avg_chars, max(n_chars) as max_chars from documents")
 def index_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n, large = F.count(F.lit(1)), F.count_if(F.col("n_chars") > 1500)
-    return table(spark, sf_dir, "documents").agg(n.alias("chunks"), large.alias("large"), F.round(100.0 * large / n, 2).alias("large_share"), F.round(F.avg("n_chars"), 6).alias("avg_chars"), F.max("n_chars").alias("max_chars"))
+    return L.chunk_sizes(table(spark, sf_dir, "documents"), "n_chars").withColumns({"large_share": F.round("large_share", 2), "avg_chars": F.round("avg_chars", 6)})

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import chunking as C
+from ..operators import listings as L
 from ..operators import parsing as P
 from .registry import query, table
 
@@ -101,6 +102,49 @@ def hybrid_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.chunked(mixed, ["doc_id"], "hybrid", max_tokens=1_000_000).groupBy("doc_id", "type").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _all_chunks(spark: SparkSession, sf_dir: str, method: str) -> DataFrame:
+    rows = C.chunked(books(spark, sf_dir), ["doc_id"], method)
+    return rows.select("doc_id", "chunk_index", "type", "title", "chapter_title", "section_title", F.col("char_count").alias("n_chars"), "token_count", F.md5("text").alias("text_md5"))
+
+
+def _named_windows(name: str, source: str, size: int, overlap: int) -> str:
+    return _windows(source, size, overlap).replace("w as (", f"{name} as (").replace("from w where", f"from {name} where")
+
+
+#: What is too long, as rows (doc_id, doc, position, type, title, chapter_title, section_title, text), in pieces.
+_PIECES = lambda w, o: f"select o.doc, o.position, row_number() over (partition by x.doc_id order by x.start) as part, o.type, o.title || ' (Part ' || row_number() over (partition by x.doc_id order by x.start) || ')' as title, o.chapter_title, o.section_title, x.piece, cast(null as integer) as token_count from (select doc_id, start, {_STRIP('substr(text, start + 1, stop - start)')} as piece from {w}) x join {o} o using (doc_id) where x.piece <> ''"
+_TOKENS = "cast(ceil(length(piece) / 4.0) as integer)"
+_CHUNK_ROWS = "select doc as doc_id, cast(row_number() over (partition by doc order by position, part) - 1 as integer) as chunk_index, type, title, chapter_title, section_title, cast(length(piece) as integer) as n_chars, token_count, md5(piece) as text_md5 from u"
+
+
+@query(f"""with recursive {_BOOKS}, {_LINES}, {_CHAPTERS.replace('t as', 'cha as')},
+i as (select cha.doc_id, cha.title as chapter_title, k.title, k.position, cha.position as chapter_at, lead(k.position) over (partition by cha.doc_id, cha.position order by k.position) as next_at, cha.stop
+  from cha join k on k.doc_id = cha.doc_id and k.kind = 'section' and k.position >= cha.position and k.position < coalesce(cha.stop, 1000000000) where {_TOKENS.replace('piece', 'cha.piece')} > 7500),
+j as (select i.doc_id, chapter_title, position, chapter_at, next_at, i.title, {_STRIP('substr(b.text, i.position + 1, coalesce(i.next_at, i.stop, length(b.text)) - i.position)')} as piece from i join b using (doc_id)),
+sec as (select *, case when next_at is null and piece = '#SECTION' then 'Unknown Section' else title end as section_title from j),
+o1 as (select row_number() over () as doc_id, doc_id as doc, position, 'chapter_section_part' as type, chapter_title || ' - ' || section_title as title, chapter_title, section_title, piece as text from sec where {_TOKENS} > 7500
+union all select -row_number() over (), doc_id, position, 'chapter_part', title, title, null, piece from cha where {_TOKENS} > 7500 and (doc_id, position) not in (select (doc_id, chapter_at) from sec)),
+{_named_windows('w1', 'o1', 2000, 200)},
+u as (select doc_id as doc, position, 0 as part, 'semantic_chapter' as type, title, title as chapter_title, cast(null as varchar) as section_title, piece, {_TOKENS} as token_count from cha where piece <> '' and {_TOKENS} <= 7500
+union all select doc_id, position, 0, 'chapter_section', chapter_title || ' - ' || section_title, chapter_title, section_title, piece, {_TOKENS} from sec where {_TOKENS} <= 7500
+union all {_PIECES('w1', 'o1')}) {_CHUNK_ROWS}""")
+def chapter_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All chunks by chapters at the production limit, those of oversize chapters too."""
+    return _all_chunks(spark, sf_dir, "semantic_chapter")
+
+
+@query(f"""with recursive {_BOOKS}, {_LINES}, {_SECTIONS.replace('t as', 'sec as')}, {_CHAPTERS.replace('t as', 'cha as').replace('c as (', 'cc as (').replace('from c join', 'from cc c join')},
+o1 as (select row_number() over () as doc_id, doc_id as doc, position, 'section_part' as type, coalesce(chapter_title, 'Unknown Chapter') || ' - ' || section_title as title, coalesce(chapter_title, 'Unknown Chapter') as chapter_title, section_title, piece as text from sec where {_TOKENS} > 7500),
+o2 as (select row_number() over () as doc_id, doc_id as doc, position, 'chapter_part' as type, title, title as chapter_title, cast(null as varchar) as section_title, piece as text from cha where {_TOKENS} > 7500 and doc_id not in (select doc_id from sec)),
+{_named_windows('w1', 'o1', 1500, 100)}, {_named_windows('w2', 'o2', 1500, 200)},
+u as (select doc_id as doc, position, 0 as part, 'semantic_section' as type, coalesce(chapter_title, 'Unknown Chapter') || ' - ' || section_title as title, coalesce(chapter_title, 'Unknown Chapter') as chapter_title, section_title, piece, {_TOKENS} as token_count from sec where piece <> '' and {_TOKENS} <= 7500
+union all select doc_id, position, 0, 'semantic_chapter', title, title, null, piece, {_TOKENS} from cha where piece <> '' and {_TOKENS} <= 7500 and doc_id not in (select doc_id from sec)
+union all {_PIECES('w1', 'o1')} union all {_PIECES('w2', 'o2')}) {_CHUNK_ROWS}""")
+def section_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All chunks by sections at the production limit, of texts without sections and of oversize ones too."""
+    return _all_chunks(spark, sf_dir, "semantic_section")
+
+
 _PATTERNS = ("Chapter [0-9]+[.]", "Section [0-9]+:")
 _MARKED = "'Chapter ' || (doc_id % 5) || '.' || chr(10) || replace(text, chr(10), chr(10) || 'Section 7:' || chr(10)) || ' Chapter 9. ' || lang || ' Section 1:' || text"
 _TOK = lambda text, pattern: f"string_split('T' || regexp_replace({text}, '({pattern})', chr(1) || 'H' || '\\1' || chr(1) || 'T', 'g'), chr(1))"
@@ -174,7 +218,7 @@ def preview(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("select source, count(*) as files, cast(sum(strlen(text)) as bigint) as total_bytes from documents group by source")
 def doc_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("files"), F.sum(F.octet_length("text")).cast("long").alias("total_bytes"))
+    return L.file_statistics(table(spark, sf_dir, "documents"), "source", F.octet_length("text"))
 
 
 @query("select page_id, case when ext in ('.txt', '.docx', '.doc', '.pdf') then ext[2:] else '' end as extractor from (select page_id, lower(regexp_extract(url, '[^/.](\\.[A-Za-z0-9]+)$', 1)) as ext from pages)")
