@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import io
 import zipfile
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Mapping, Sequence
+from functools import reduce
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import file_name, suffix
@@ -53,22 +54,57 @@ def register_extractor(ending: str, extract: Callable[[bytes], str]) -> None:
     EXTRACTORS[ending.lower()] = extract
 
 
+def any_case(endings: Sequence[str]) -> str:
+    """A glob for files with one of the endings, in any case, so that no other file's content is read."""
+    letters = lambda e: "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in e)
+    return f"*{{{','.join(map(letters, endings))}}}"
+
+
+#: Endings of a book's files, in the order in which they are read (fixed values).
+BOOK_ENDINGS = (".txt", ".docx", ".doc")
+
+
+def book_files(spark: SparkSession, folders: Mapping[str, str], extractors: dict[str, Callable[[bytes], str]] | None = None) -> DataFrame:
+    """(book_id, pos, path, ext, text) of the files of books (book_id -> folder), in the order of their endings and then of
+    their paths. Endings are taken as they are written, and a .txt that isn't UTF-8 has an empty text."""
+    known = {**EXTRACTORS, ".txt": utf8_only, **(extractors or {})}
+    parts = []
+    for book, folder in folders.items():
+        for rank, ending in enumerate(BOOK_ENDINGS):
+            files = spark.read.format("binaryFile").option("pathGlobFilter", f"*{ending}").load(folder)
+            parts.append(files.select(F.lit(book).alias("book_id"), F.lit(rank).alias("rank"), "path", F.lit(ending).alias("ext"), "content"))
+    every = reduce(DataFrame.unionByName, parts)
+
+    def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({**{c: b[c] for c in ("book_id", "rank", "path", "ext")}, "text": [_extracted(known, e, c) for e, c in zip(b.ext, b.content, strict=True)]})
+
+    rows = every.mapInPandas(extract, "book_id string, rank int, path string, ext string, text string")
+    order = Window.partitionBy("book_id").orderBy("rank", "path")
+    return rows.select("book_id", (F.row_number().over(order) - 1).alias("pos"), "path", "ext", "text")
+
+
+def utf8_only(content: bytes) -> str:
+    return content.decode("utf-8")
+
+
+def _extracted(known: Mapping[str, Callable[[bytes], str]], ending: str, content: bytes) -> str:
+    try:
+        return known[ending](content) if ending in known else ""
+    except Exception:  # noqa: BLE001  any extractor may fail on any file
+        return ""
+
+
 def documents(spark: SparkSession, folder: str, endings: tuple[str, ...] = SUPPORTED, extractors: dict[str, Callable[[bytes], str]] | None = None) -> DataFrame:
     """(path, source, ext, size, text) of a folder's own files with these endings, in any case; an extractor that
     fails gives an empty text."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "false").load(folder)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "false").option("pathGlobFilter", any_case(endings)).load(folder)
     files = files.withColumn("ext", suffix(F.col("path"))).filter(F.col("ext").isin(*endings))
     known = {**EXTRACTORS, **(extractors or {})}
 
     def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def text(ext: str, content: bytes) -> str:
-            try:
-                return known[ext](content) if ext in known else ""
-            except Exception:  # noqa: BLE001  any extractor may fail on any file
-                return ""
-
         for b in batches:
-            yield pd.DataFrame({"path": b.path, "ext": b.ext, "size": b.length, "text": [text(e, c) for e, c in zip(b.ext, b.content, strict=True)]})
+            yield pd.DataFrame({"path": b.path, "ext": b.ext, "size": b.length, "text": [_extracted(known, e, c) for e, c in zip(b.ext, b.content, strict=True)]})
 
     rows = files.select("path", "ext", "length", "content").mapInPandas(extract, "path string, ext string, size long, text string")
     return rows.select("path", file_name(F.col("path")).alias("source"), "ext", "size", "text")
@@ -129,8 +165,6 @@ def write_ratings(ratings: DataFrame, folder: str) -> None:
 
 def read_ratings(spark: SparkSession, folders: list[str], schema: str, run_id: str | None = None) -> DataFrame:
     """Ratings of several layouts, of all runs or of one (only its partitions are read)."""
-    from functools import reduce
-
     rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [spark.read.schema(schema).json(f) for f in folders])
     return rows if run_id is None else rows.filter(F.col("run_id") == run_id)
 

@@ -20,18 +20,22 @@ def unprocessed(inputs: DataFrame, done: DataFrame, keys: list[str]) -> DataFram
 
 
 def resumed(spark: SparkSession, inputs: DataFrame, order: str, step: Callable[[DataFrame], DataFrame], folder: str, keys: list[str]) -> DataFrame:
-    """Applies step to what no snapshot in folder covers, one value of `order` after the other, each result added to a
-    new snapshot. A run that was broken off goes on behind the last one that is complete."""
+    """Applies step to what no part in folder covers, one value of `order` after the other, each result written as a part
+    of its own; gives all parts together. A run that was broken off goes on behind the last part that is complete, and
+    what is written stays as it is, however many steps there are."""
     known = versions(spark, folder)
-    done = restore(spark, folder, known[-1]) if known else None
-    left = inputs if done is None else unprocessed(inputs, done, keys)
-    version = known[-1] if known else -1
-    for value in sorted(r[0] for r in left.select(order).distinct().collect()):  # chapters of one book
-        new = step(left.filter(left[order] == value))
-        version += 1
-        snapshot(new if done is None else done.unionByName(new), folder, version)
-        done = restore(spark, folder, version)
-    return step(left) if done is None else done
+    left = unprocessed(inputs, parts(spark, folder, known), keys) if known else inputs
+    for value in sorted(r[0] for r in left.select(order).distinct().collect()):  # steps are taken by the driver, so they are few
+        version = known[-1] + 1 if known else 0
+        snapshot(step(left.filter(left[order] == value)), folder, version)
+        known.append(version)
+    return parts(spark, folder, known) if known else step(left)
+
+
+def parts(spark: SparkSession, folder: str, known: list[int]) -> DataFrame:
+    """The rows of these parts."""
+    first = restore(spark, folder, known[0])
+    return spark.read.schema(first.schema).parquet(*[f"{folder}/version={v}" for v in known])
 
 
 def stream(inputs: DataFrame, step: Callable[[DataFrame], DataFrame], folder: str, checkpoint: str):
@@ -57,16 +61,28 @@ def retried(call: Callable[[], T], attempts: int = 3, delay: Callable[[int], flo
     raise AssertionError
 
 
-def in_batches(rows: DataFrame, call: Callable[[pd.DataFrame], pd.DataFrame], schema: str, size: int = 5, keep_failed: bool = True) -> DataFrame:
-    """call on `size` rows at once, in order within a partition; a batch that fails is left out unless keep_failed."""
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            for i in range(0, len(part), size):
-                try:
-                    yield call(part.iloc[i : i + size])
-                except Exception:  # noqa: BLE001  a provider may fail in any way
-                    if keep_failed:
-                        raise
+def in_batches(rows: DataFrame, call: Callable[[pd.DataFrame], pd.DataFrame], schema: str, size: int = 5, keep_failed: bool = True, order: list[str] | None = None) -> DataFrame:
+    """call on `size` rows at once; a batch that fails is left out unless keep_failed. With an order, batches follow it:
+    ranges of it are dealt to tasks, which go through theirs one batch after the other."""
+    if order:
+        rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for part in batches:
+            held = part if held is None else pd.concat([held, part], ignore_index=True)
+            whole = len(held) // size * size
+            yield from each(held.iloc[:whole])
+            held = held.iloc[whole:]
+        if held is not None:
+            yield from each(held)
+
+    def each(part: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        for i in range(0, len(part), size):
+            try:
+                yield call(part.iloc[i : i + size].reset_index(drop=True))
+            except Exception:  # noqa: BLE001  a provider may fail in any way
+                if keep_failed:
+                    raise
 
     return rows.mapInPandas(run, schema)
