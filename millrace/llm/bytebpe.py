@@ -183,7 +183,7 @@ def round_trip(docs: DataFrame, rank_path: str, pattern: str) -> DataFrame:
     """One row per document: doc_id, n_tokens, ids_sha256 (ids as little-endian u32), decoded_sha256 (decoded bytes).
 
     Null texts are encoded as empty ones: 0 tokens, and both digests are those of no bytes. Repeated rows and
-    null ids stay as they are; other columns are not looked at; an empty table gives an empty result.
+    null ids stay as they are; doc_id is an integer, other columns are not looked at; an empty table gives an empty result.
     """
 
     def batch(rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:

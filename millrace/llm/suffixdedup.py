@@ -168,7 +168,7 @@ def removed_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
     """doc_id, n_bytes, n_removed, n_spans, kept (the bytes left), kept_sha256 of every row.
 
     Null texts are empty; a text under `length` bytes loses nothing. Of rows with one text those with the smallest
-    id keep it; rows that repeat an id and a text are one document. Null ids count as smallest. Other columns
+    id keep it; rows that repeat an id and a text are one document. Null ids count as smallest; doc_id is an integer. Other columns
     are not looked at. An empty table gives an empty result.
     """
     rows, spans, twins = find(docs, byte_windows(length, gram), "suffixdedup", hot)

@@ -100,7 +100,7 @@ def digested(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int |
 
     Words are runs of other than ASCII white space. Null and empty texts have no words and keep nothing; a text
     under `window` words loses nothing. Rows that repeat a text, under whatever id, repeat its windows. Null ids
-    are kept. Other columns are not looked at. An empty table gives an empty result.
+    are kept; doc_id is an integer. Other columns are not looked at. An empty table gives an empty result.
     """
     rows, spans, twins = find(docs, word_windows(window, gram), "superkmer", hot)
 

@@ -91,7 +91,7 @@ def counter(model_path: str) -> TokenCounter:
 def count_tokens(docs: DataFrame, model_path: str, limit: int = 4096) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_tokens, over_limit (n_tokens > limit).
 
-    Null and empty texts have 0 bytes and 0 tokens; repeated rows and null ids stay as they are; other columns
+    Null and empty texts have 0 bytes and 0 tokens; repeated rows and null ids stay as they are; doc_id is an integer, other columns
     are not looked at; an empty table gives an empty result.
     """
 
