@@ -134,5 +134,17 @@ def exported(nodes: DataFrame, edges: DataFrame, side: str) -> DataFrame:
     return nodes.join(links, "id", "left").withColumn(f"{other}s", F.coalesce(f"{other}s", F.array().cast(kind)))
 
 
+def as_json(nodes: DataFrame, edges: DataFrame, side: str) -> DataFrame:
+    """(id, json): each node with its name and its neighbours as the JSON object that graph files hold."""
+    rows = exported(nodes, edges, side).withColumns({"type": F.lit(side), "name": bilingual(F.col("zh"), F.col("en"))}).withColumnsRenamed({"zh": "name_zh", "en": "name_en"})
+    return rows.select("id", F.to_json(F.struct(*[c for c in rows.columns if c != "seq"])).alias("json"))
+
+
+def write_graph(symptoms: DataFrame, syndromes: DataFrame, edges: DataFrame, folder: str) -> None:
+    """Both sides as JSON lines, in a folder each."""
+    for side, nodes in (("symptom", symptoms), ("syndrome", syndromes)):
+        as_json(nodes, edges, side).select("json").write.mode("overwrite").text(f"{folder}/{side}s")
+
+
 def matches_name(name: Column, key: str) -> Column:
     return norm(strip(name)) == key

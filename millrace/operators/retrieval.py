@@ -97,6 +97,11 @@ def search(records: DataFrame, query: DataFrame, search_type: str = "multi", top
     return top(multi_scored(records, query, weights), top_k, id_column)
 
 
+def search_with_tags(records: DataFrame, query: DataFrame, weights: Mapping[str, float] | None = None, top_k: int = 5, use_tags: bool = True) -> DataFrame:
+    """`search` over all vectors: tags don't change what is found first, they only add to it (see `expanded`)."""
+    return search(records, query, "multi", top_k, weights)
+
+
 def search_types(records: DataFrame) -> list[str]:
     return [c.removesuffix("_vector") for c in records.columns if c.endswith("_vector")]
 

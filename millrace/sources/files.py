@@ -169,6 +169,12 @@ def read_ratings(spark: SparkSession, folders: list[str], schema: str, run_id: s
     return rows if run_id is None else rows.filter(F.col("run_id") == run_id)
 
 
+def named(files: DataFrame, prefix: str = "", ending: str = "") -> DataFrame:
+    """files(path) whose name begins and ends so."""
+    name = file_name(F.col("path"))
+    return files.filter(name.startswith(prefix) & name.endswith(ending))
+
+
 def latest_file(files: DataFrame, by_name: bool = True) -> DataFrame:
     """files(path, modified): the one of the largest name, as the stored names sort by time, or of the latest time."""
     order = file_name(F.col("path")) if by_name else F.struct("modified", "path")

@@ -100,6 +100,28 @@ def answered(prompts: DataFrame, prompt: str, chat: Chat = echo_chat, column: st
     return prompts.withColumn("_r", run(F.col(prompt))).withColumns({column: F.col("_r.answer"), "error": F.col("_r.error")}).drop("_r")
 
 
+#: Calls of a turn as a column.
+CALLS = "struct<content:string,tool_calls:array<struct<id:string,name:string,arguments:string>>,error:string>"
+
+
+def with_tools(prompts: DataFrame, prompt: str, chat: Callable[[list[str], list[dict]], Sequence[dict]], tools: list[dict], size: int = 5) -> DataFrame:
+    """prompts with a struct `turn`: what a model says that is offered tools, the calls it makes, or the error.
+
+    chat(prompts, tool schemas) -> {content, tool_calls: [{id, name, arguments (JSON)}]} for each prompt.
+    """
+
+    @F.pandas_udf(CALLS)
+    def run(s: pd.Series) -> pd.DataFrame:
+        rows = []
+        for said, error in one_by_one(lambda some: chat(some, tools), s.tolist(), size):
+            own = said or {}
+            calls = [{"id": c.get("id"), "name": c["name"], "arguments": c.get("arguments") or "{}"} for c in own.get("tool_calls") or []]
+            rows.append((own.get("content"), calls, error))
+        return pd.DataFrame(rows, columns=["content", "tool_calls", "error"])
+
+    return prompts.withColumn("turn", run(F.col(prompt)))
+
+
 def both_languages(answer: Column) -> Column:
     """Struct of the Chinese, the English and the combined answer of a function call's JSON."""
     from ..functions.text import lenient_json
