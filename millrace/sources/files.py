@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import file_name, suffix
+from . import formats
 
 #: Suffixes that have an extractor (fixed values), and encodings tried in this order.
 SUPPORTED = (".txt", ".docx", ".doc", ".pdf")
@@ -46,11 +47,16 @@ def docx_text(content: bytes) -> str:
     return "\n".join("".join(t.text or "" for t in p.iter(f"{space}t")) for p in root.iter(f"{space}p"))
 
 
-EXTRACTORS: dict[str, Callable[[bytes], str]] = {".txt": decoded, ".docx": docx_text, ".doc": docx_text}
+def word_text(content: bytes) -> str:
+    """A .doc file's text; some are .docx files by content."""
+    return docx_text(content) if content[:2] == b"PK" else formats.doc_text(content)
+
+
+EXTRACTORS: dict[str, Callable[[bytes], str]] = {".txt": decoded, ".docx": docx_text, ".doc": word_text, ".pdf": formats.pdf_text}
 
 
 def register_extractor(ending: str, extract: Callable[[bytes], str]) -> None:
-    """For formats whose libraries aren't part of the engine, such as .pdf; without one their text is empty."""
+    """For more formats, or in place of a reader that is there; a file that a reader fails on has an empty text."""
     EXTRACTORS[ending.lower()] = extract
 
 
