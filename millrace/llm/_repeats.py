@@ -150,15 +150,14 @@ def find(docs: DataFrame, kind: Windows, name: str, hot: int | None = None) -> t
     discard(runs)
     discard(shared)
 
-    def packed(part: DataFrame) -> DataFrame:
-        lists = part.groupBy("did", "sig").agg(F.collect_list(F.struct("h", "start", "n", "again")).alias("runs"))
-        return map_batches(rows.join(lists, ["did", "sig"]), lambda b: _packed_rows(b, kind), f"{_RUNS}, s binary")
-
-    dealt, known, done = packed(flagged.filter("not hot")), [], [flagged]
+    lists = flagged.groupBy("did", "sig").agg(F.collect_list(F.struct("h", "start", "n", "again", "hot")).alias("runs"))
+    packed = map_batches(rows.join(lists, ["did", "sig"]), lambda b: _packed_rows(b, kind), f"{_RUNS}, hot boolean, s binary")
+    dealt, known, done = packed.drop("hot"), [], [flagged]
     if not flagged.filter("hot").isEmpty():
-        known, few, more = _grouped(packed(flagged.filter("hot")), kind, name, hot)
-        dealt = dealt.unionByName(few)
-        done += more
+        packed = written(packed, f"{name}-strings")  # texts are moved once for both kinds
+        known, few, more = _grouped(packed.filter("hot").drop("hot"), kind, name, hot)
+        dealt = packed.filter("not hot").drop("hot").unionByName(few)
+        done += [packed, *more]
     found = mapped(dealt.repartition("h").sortWithinPartitions("h"), lambda batches: _buckets(batches, kind), "did long, sig long, a int, b int")
     for part in known:
         found = found.unionByName(part)
@@ -171,7 +170,6 @@ def find(docs: DataFrame, kind: Windows, name: str, hot: int | None = None) -> t
 
 def _grouped(strings: DataFrame, kind: Windows, name: str, hot: int) -> tuple[list[DataFrame], DataFrame, list[DataFrame]]:
     """Of the strings of hot minimisers: ranges known by their bytes, strings still to compare, tables written."""
-    strings = written(strings, f"{name}-strings")
     member = F.struct("did", "start", "sig")
     classes = strings.groupBy("h", "s").agg(F.min(F.struct("did", "start", "sig", "n", "again")).alias("first"), F.max(member).alias("last"))
     classes = written(classes.select("h", "s", "first", (F.struct("first.did", "first.start", "first.sig") != F.col("last")).alias("many")), f"{name}-classes")
@@ -182,7 +180,7 @@ def _grouped(strings: DataFrame, kind: Windows, name: str, hot: int) -> tuple[li
     sizes = classes.groupBy("h").agg(F.count(F.lit(1)).alias("strings"), F.sum(F.octet_length("s")).alias("bytes"))
     too_hot = written(sizes.filter((F.col("strings") > hot) | ((F.col("bytes") > HOT_BYTES) & (F.col("strings") > 1))).select("h"), f"{name}-hot")
     one_each = classes.select("h", "first.did", "first.sig", "first.start", "first.n", "first.again", "s")
-    few, done = one_each.join(too_hot, "h", "left_anti"), [strings, classes, too_hot]
+    few, done = one_each.join(too_hot, "h", "left_anti"), [classes, too_hot]
     if not too_hot.isEmpty():
         many = one_each.join(too_hot, "h")
         single = map_batches(many, lambda b: _digest_rows(b, kind), "w binary, did long, sig long, a int")
@@ -223,24 +221,25 @@ def _anchor_rows(batch: pa.RecordBatch, kind: Windows) -> Iterator[pa.RecordBatc
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h, did[text], sig[text], start.astype(np.int32), n.astype(np.int32), again, size.astype(np.int32))], ["h", "did", "sig", "start", "n", "again", "bytes"])
 
 
-def _per_text(batch: pa.RecordBatch) -> Iterator[tuple[int, int, bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def _per_text(batch: pa.RecordBatch) -> Iterator[tuple[int, int, bytes, tuple[np.ndarray, ...]]]:
+    """did, sig, text, and h, start, n, again, hot of its runs."""
     lists = batch.column("runs")
     flat, at = lists.flatten(), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))])
-    h, start, n, again = (flat.field(k).to_numpy(zero_copy_only=False) for k in range(4))
+    fields = [flat.field(k).to_numpy(zero_copy_only=False) for k in range(5)]
     for i, (did, sig, text) in enumerate(zip(batch.column("did").to_pylist(), batch.column("sig").to_pylist(), batch.column("text").cast(pa.binary()), strict=True)):
         own = slice(at[i], at[i + 1])
-        yield did, sig, text.as_py(), h[own], start[own], n[own], again[own]
+        yield did, sig, text.as_py(), tuple(f[own] for f in fields)
 
 
 def _packed_rows(batch: pa.RecordBatch, kind: Windows) -> Iterator[pa.RecordBatch]:
     for part in range(0, batch.num_rows, 512):
-        hs, dids, sigs, starts, ns, agains, strings = [], [], [], [], [], [], []
-        for did, sig, raw, h, start, n, again in _per_text(batch.slice(part, 512)):
+        columns: list[list[np.ndarray]] = [[] for _ in range(7)]
+        strings: list[bytes] = []
+        for did, sig, raw, (h, start, n, again, hot) in _per_text(batch.slice(part, 512)):
             strings += kind.cut(raw, start.tolist(), n.tolist())
-            hs.append(h), starts.append(start), ns.append(n), agains.append(again)
-            dids.append(np.full(len(h), did)), sigs.append(np.full(len(h), sig))
-        arrays = [pa.array(np.concatenate(x)) for x in (hs, dids, sigs, starts, ns, agains)]
-        yield pa.RecordBatch.from_arrays([*arrays, pa.array(strings, pa.binary())], ["h", "did", "sig", "start", "n", "again", "s"])
+            for own, values in zip(columns, (h, np.full(len(h), did), np.full(len(h), sig), start, n, again, hot), strict=True):
+                own.append(values)
+        yield pa.RecordBatch.from_arrays([*(pa.array(np.concatenate(c)) for c in columns), pa.array(strings, pa.binary())], ["h", "did", "sig", "start", "n", "again", "hot", "s"])
 
 
 def _digest_rows(batch: pa.RecordBatch, kind: Windows) -> Iterator[pa.RecordBatch]:
