@@ -81,6 +81,20 @@ def free_shuffles(spark: SparkSession) -> None:
         time.sleep(0.3)
 
 
+def settled(make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """What make() gives, written; all tables that were written on the way there are deleted."""
+    before = set(_written_paths())
+    out = written(make(), name)
+    for path in [p for p in _written_paths() if p not in before and p != out.written_to]:
+        _delete(out.sparkSession, path)
+        _written.remove((out.sparkSession, path))
+    return out
+
+
+def _written_paths() -> list[str]:
+    return [path for _, path in _written]
+
+
 def discard(df: DataFrame) -> None:
     """Deletes what `written` wrote, once all that was made from it is written too."""
     _delete(df.sparkSession, df.written_to)

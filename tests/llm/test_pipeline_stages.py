@@ -43,3 +43,11 @@ def test_byte_bpe_equals_tiktoken(spark):
         ids = e.encode_ordinary(texts[r.doc_id])
         assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest())
         assert r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest()
+
+
+def test_run_leaves_one_table(spark):
+    from millrace.llm import _common
+
+    before = len(_common._written)
+    corpus_pipeline.run(spark, SMALL).count()
+    assert len(_common._written) == before + 1  # what the last stage reads
