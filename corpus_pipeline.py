@@ -6,11 +6,13 @@ before it kept. All but the last return the columns of `documents`.
 
 from __future__ import annotations
 
+import functools
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from millrace.llm import bytebpe, decontam, jaccard, superkmer, toxicity
-from millrace.llm._common import written
+from millrace.llm._common import discard, settled
 from millrace.llm.queries import id_fold, table
 
 
@@ -52,8 +54,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of sf_dir, each written to the shared folder and read again by the next."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over the documents of sf_dir, each written to the shared folder and read again by the next; what a stage
+    leaves besides, and its input, is deleted once it is written."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        docs = settled(functools.partial(stage, spark, docs, sf_dir), f"pipeline-{name}")
+        if before is not None:
+            discard(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
