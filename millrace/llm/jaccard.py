@@ -249,9 +249,9 @@ def really_similar(s: str, t: str, n: int, percent: int) -> bool:
     return both > 0 and 100 * both >= percent * (len(x) + len(y) - both)
 
 
-def linked(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, apart: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(sets, twins, links): sets(did, sig, n, a, b, rep) of every distinct (id, text); links(u, v) between
-    representatives of different sets, enough of them to connect all that is similar."""
+def linked(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, apart: bool = False) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """(sets, links, done): sets(did, sig, n, a, b, rep) of every distinct (id, text); links(u, v) between representatives
+    of different sets, enough of them to connect all that is similar; tables to discard when the links have been used."""
     rows = docs.select(*_keyed(docs, apart), F.coalesce(F.col("`text`"), F.lit("")).alias("text"))
     spark = docs.sparkSession
     counters = sized(docs.count() // 4, COUNTERS, MOST_COUNTERS)
@@ -259,6 +259,7 @@ def linked(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, apart: boo
     every = rows_of_sets.filter("counters is null")
     classes = written(every.filter("n > 0").groupBy("a", "b", "n").agg(F.min("did").alias("rep")), "jaccard-equal", free=False)
     sets = written(every.select("did", "sig", "n", "a", "b").distinct().join(classes, ["a", "b", "n"], "left"), "jaccard-classes", free=False)
+    discard(classes)
     counts = spark.sparkContext.broadcast(_sketch(rows_of_sets, counters))
     prefixes = written(map_batches(rows, lambda b: _prefix_rows(b, n, percent, counts), "t long, same long, n int, pos int"), "jaccard-prefixes", free=False)
     # written first, so that the join has two plain exchanges and Spark can split a token of many rows
@@ -305,7 +306,7 @@ def linked(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, apart: boo
     own = sets.filter("n > 0").select("did", "rep").distinct()
     several = own.groupBy("did").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).filter("lo != hi").select("did")
     joined = own.join(several, "did").filter("did != rep").select(F.col("did").alias("u"), F.col("rep").alias("v"))
-    return rows, sets, reduce(DataFrame.unionByName, [first, rest, joined])
+    return sets, reduce(DataFrame.unionByName, [first, rest, joined]), [first, rest]
 
 
 def _keyed(docs: DataFrame, apart: bool = False) -> list[F.Column]:
@@ -318,8 +319,10 @@ def _keyed(docs: DataFrame, apart: bool = False) -> list[F.Column]:
 def grouped(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, apart: bool = False) -> DataFrame:
     """did (doc_id, NO_ID for null), sig (xxhash64 of the text, null as empty), n_shingles and root (the did of the
     component) of each distinct id and text; see `report`. apart: null ids aren't one document, see `_keyed`."""
-    _, sets, links = linked(docs, n, percent, apart)
+    sets, links, done = linked(docs, n, percent, apart)
     roots = components(links, "jaccard-components")
+    for df in done:
+        discard(df)
     found = sets.join(roots.withColumnRenamed("node", "rep"), "rep", "left")
     return found.select("did", "sig", F.col("n").alias("n_shingles"), F.coalesce("root", "rep", "did").alias("root"))
 
@@ -329,7 +332,7 @@ def report(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -> DataFra
 
     Texts without words, and null texts, have no shingles and are linked with nothing; a text of fewer words than a
     shingle is one shingle as a whole. Rows of one id are one document: their links are joined. A null id counts
-    as the smallest and stays null. Other columns are not looked at. An empty table gives an empty result.
+    as the smallest and stays null. doc_id is an integer. Other columns are not looked at. An empty table gives an empty result.
     """
     known = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
     found = docs.select(*_keyed(docs)).join(grouped(docs, n, percent), ["did", "sig"])

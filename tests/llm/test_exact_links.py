@@ -55,3 +55,23 @@ def test_very_long_and_empty(spark):
     rows = [(1, long), (2, long + " more"), (3, "é" * 500_000), (4, "é" * 500_000 + " b"), (5, None)]
     assert report(spark, rows) == components(rows)
     assert jaccard.report(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_tokens_of_many_components(spark):
+    """Unlike texts that share frequent shingles, some of them near copies."""
+    import random
+
+    rng = random.Random(1)
+    lines = [" ".join(f"l{k}w{i}" for i in range(12)) for k in range(25)]
+    rows = [(k, " ".join(rng.sample(lines, 6))) for k in range(120)]
+    rows += [(1000 + k, t + (" tail" if k % 2 else "")) for k, t in rows[:30]]
+    assert report(spark, rows) == components(rows)
+
+
+def test_nothing_is_left_behind(spark):
+    from millrace.llm import _common
+
+    before = len(_common._written)
+    text = " ".join(f"w{i}" for i in range(60))
+    jaccard.report(spark.createDataFrame([(1, text), (2, text + " x"), (3, "other")], SCHEMA)).collect()
+    assert len(_common._written) - before == 2  # the sets and the roots, which the result reads
