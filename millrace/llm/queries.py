@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bytebpe, decontam, jaccard, langid, license, quality, suffixdedup, superkmer, tokencount, toxicity
+from . import bytebpe, collocations, decontam, jaccard, langid, license, quality, suffixdedup, superkmer, tokencount, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,5 +60,9 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return superkmer.digested(table(spark, sf_dir, "documents"))
 
 
+def op11_phrase_collocation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mined(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_license_scan, op3_token_counts, op4_ngram_jaccard, op5_byte_bpe, op6_quality_rules, op7_decontamination, op8_suffix_array_dedup, op9_toxicity, op10_substring_dedup)}
+    return {f.__name__: f for f in (op1_language_id, op2_license_scan, op3_token_counts, op4_ngram_jaccard, op5_byte_bpe, op6_quality_rules, op7_decontamination, op8_suffix_array_dedup, op9_toxicity, op10_substring_dedup, op11_phrase_collocation)}

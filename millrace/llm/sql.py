@@ -3,7 +3,7 @@ could match. Language ID, toxicity (models), tokenisers and byte strings are tes
 
 from __future__ import annotations
 
-from . import license, quality
+from . import collocations, license, quality
 
 ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 FILLED = r"[^\x20\x09-\x0D]+"
@@ -90,5 +90,23 @@ def substring_dedup(source: str = "documents") -> str:
     from d left join kept using (r)"""
 
 
+def phrase_collocation(least: int, longest: int, top: int) -> str:
+    join = lambda lo, hi: f"array_to_string(w[{lo} : {hi}], ' ')"
+    return f"""
+    with pieces as (select coalesce(lang, 'und') as lang, unnest(string_split_regex({LOWER}, '[.,;:!?\\x0A-\\x0D]')) as piece from documents),
+    p as (select lang, regexp_extract_all(piece, '[^\\x20\\x09]+') as w from pieces),
+    total as (select lang, cast(sum(len(w)) as hugeint) as n from p group by lang),
+    starts as (select lang, w, m, unnest(range(1, len(w) - m + 2)) as s from p, range(1, {longest + 1}) t(m)),
+    f as (select lang, m, {join("s", "s + m - 1")} as phrase, cast(count(*) as hugeint) as f from starts group by all),
+    c as (select lang, m, phrase, f as a, string_split(phrase, ' ') as w from f where m > 1 and f >= {least}),
+    cuts as (select c.lang, c.phrase, c.a, k, h.f as l, t.f as r, n, (1000 * c.a * n) // (h.f * t.f) as score
+      from (select *, unnest(range(1, m)) as k from c) c join f h on h.lang = c.lang and h.phrase = {join("1", "k")} join f t on t.lang = c.lang and t.phrase = {join("k + 1", "c.m")} join total on total.lang = c.lang),
+    best as (select * from cuts qualify row_number() over (partition by lang, phrase order by score, k) = 1),
+    inner_ as (select lang, a, {join("s", "s + size - 1")} as phrase from (select *, unnest(range(1, m - size + 2)) as s from (select *, unnest(range(2, m)) as size from c))),
+    dropped as (select distinct lang, phrase from best join inner_ i using (lang, phrase) where 100 * i.a >= 100 * best.a),
+    ranked as (select *, row_number() over (partition by lang order by score desc, a desc, encode(phrase)) as rank from best anti join dropped using (lang, phrase))
+    select lang, rank, phrase, cast(a as bigint) as a, cast(l as bigint) as l, cast(r as bigint) as r, cast(n as bigint) as n, cast(score as bigint) as score from ranked where rank <= {top}"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_license_scan": license_scan(), "op4_ngram_jaccard": ngram_jaccard(), "op6_quality_rules": quality_rules(), "op7_decontamination": decontamination(), "op10_substring_dedup": substring_dedup()}
+    return {"op2_license_scan": license_scan(), "op4_ngram_jaccard": ngram_jaccard(), "op6_quality_rules": quality_rules(), "op7_decontamination": decontamination(), "op10_substring_dedup": substring_dedup(), "op11_phrase_collocation": phrase_collocation(collocations.LEAST, collocations.LONGEST, collocations.TOP)}
