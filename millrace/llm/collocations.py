@@ -26,7 +26,7 @@ from ._common import LOWER, U64, chunks, discard, doc_columns, mapped, mixed, se
 
 LONGEST, LEAST, TOP = 5, 100, 2000
 #: Bytes of text in a shard; longer texts are cut at ends of pieces.
-SHARD = 16 << 20
+SHARD = 4 << 20
 #: Bits of the filter of frequent pairs (its only purpose is to save work), least and most: 16 a pair.
 FILTER_BITS, MOST_FILTER_BITS = 1 << 23, 1 << 30
 ENDS_PIECE = separators(b".,;:!?" + bytes(range(0x0A, 0x0E)))
