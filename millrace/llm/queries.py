@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bytebpe, collocations, decontam, jaccard, langid, license, pieces, quality, suffixdedup, superkmer, tokencount, toxicity
+from . import bytebpe, collocations, decontam, jaccard, kdmeans, langid, license, pieces, quality, suffixdedup, superkmer, tokencount, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,5 +68,9 @@ def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kdmeans.clustered(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_license_scan, op3_token_counts, op4_ngram_jaccard, op5_byte_bpe, op6_quality_rules, op7_decontamination, op8_suffix_array_dedup, op9_toxicity, op10_substring_dedup, op11_phrase_collocation, op12_sentencepiece)}
+    return {f.__name__: f for f in (op1_language_id, op2_license_scan, op3_token_counts, op4_ngram_jaccard, op5_byte_bpe, op6_quality_rules, op7_decontamination, op8_suffix_array_dedup, op9_toxicity, op10_substring_dedup, op11_phrase_collocation, op12_sentencepiece, op13_centroid_clustering)}

@@ -3,7 +3,7 @@ could match. Language ID, toxicity (models), tokenisers and byte strings are tes
 
 from __future__ import annotations
 
-from . import collocations, license, quality
+from . import collocations, kdmeans, license, quality
 
 ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 FILLED = r"[^\x20\x09-\x0D]+"
@@ -108,5 +108,24 @@ def phrase_collocation(least: int, longest: int, top: int) -> str:
     select lang, rank, phrase, cast(a as bigint) as a, cast(l as bigint) as l, cast(r as bigint) as r, cast(n as bigint) as n, cast(score as bigint) as score from ranked where rank <= {top}"""
 
 
+def centroid_clustering(k: int, rounds: int, dims: int, scale: int, seed: str) -> str:
+    steps = "".join(
+        f"""
+    a{n} as materialized (select r, c, d from (select r, c, sum((x - y) * (x - y)) as d from e join c{n} using (i) group by r, c) qualify row_number() over (partition by r order by d, c) = 1),
+    c{n + 1} as materialized (select c, i, cast(case when n is null then y else (s - ((s % n) + n) % n) // n end as bigint) as y
+      from c{n} left join (select c, i, sum(x) as s, count(*) as n from e join a{n} using (r) group by c, i) using (c, i)),"""
+        for n in range(rounds)
+    )
+    return f"""
+    with kept as materialized (select row_number() over () as r, vec_id, [cast(floor(cast(x as double) * {scale}) as bigint) for x in embedding] as v from embeddings
+      where len(embedding) = {dims} and len([x for x in embedding if x is not null and isfinite(x)]) = {dims}),
+    e as materialized (select r, unnest(range(1, {dims + 1})) as i, unnest(v) as x from kept),
+    c0 as materialized (select c, unnest(range(1, {dims + 1})) as i, unnest(v) as y from (select v, row_number() over (order by sha256('{seed}' || vec_id) nulls last, v) - 1 as c from kept) where c < {k}),{steps}
+    last as materialized (select r, c, d from (select r, c, sum((x - y) * (x - y)) as d from e join c{rounds} using (i) group by r, c) qualify row_number() over (partition by r order by d, c) = 1),
+    digests as (select c, sha256(string_agg(cast(y as varchar), ',' order by i)) as h from c{rounds} group by c)
+    select vec_id, cast(c as int) as cluster, cast(d as bigint) as distance, cast(sum(d) over (partition by c) as bigint) as cluster_inertia, cast(sum(d) over () as bigint) as inertia, h as centroid_sha256
+    from kept join last using (r) join digests using (c)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_license_scan": license_scan(), "op4_ngram_jaccard": ngram_jaccard(), "op6_quality_rules": quality_rules(), "op7_decontamination": decontamination(), "op10_substring_dedup": substring_dedup(), "op11_phrase_collocation": phrase_collocation(collocations.LEAST, collocations.LONGEST, collocations.TOP)}
+    return {"op2_license_scan": license_scan(), "op4_ngram_jaccard": ngram_jaccard(), "op6_quality_rules": quality_rules(), "op7_decontamination": decontamination(), "op10_substring_dedup": substring_dedup(), "op11_phrase_collocation": phrase_collocation(collocations.LEAST, collocations.LONGEST, collocations.TOP), "op13_centroid_clustering": centroid_clustering(kdmeans.K, kdmeans.ROUNDS, kdmeans.DIMS, kdmeans.SCALE, kdmeans.SEED)}
