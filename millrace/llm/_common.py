@@ -239,10 +239,11 @@ LONG_WORD = 64
 _MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], U64)
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each word, by mixing in 8 bytes after 8 bytes; words of one length up to 8 bytes never collide."""
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, key: int = 0) -> np.ndarray:
+    """64-bit hash of each word, by mixing in 8 bytes after 8 bytes; words of one length up to 8 bytes never collide. With a
+    key that nobody knows beforehand, no one can make words that collide."""
     sizes = ends - starts
-    h = mixed(sizes.astype(U64) * U64(0xA0761D6478BD642F) + U64(_BASE))
+    h = mixed(mixed(sizes.astype(U64) * U64(0xA0761D6478BD642F) + U64(_BASE)) ^ U64(key)) if key else mixed(sizes.astype(U64) * U64(0xA0761D6478BD642F) + U64(_BASE))
     padded = np.concatenate([data, np.zeros(8, np.uint8)])
     eight = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))  # the 8 bytes from each place on
     live = np.flatnonzero(sizes <= LONG_WORD)
@@ -253,7 +254,7 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
         h[live] = mixed(h[live] ^ (eight[starts[live] + k] & _MASKS[np.minimum(left, 8)]))
         live = live[left > 8]
     for i in np.flatnonzero(sizes > LONG_WORD).tolist():
-        h[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
+        h[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8, key=key.to_bytes(8, "little") if key else b"").digest(), "little")
     return h
 
 

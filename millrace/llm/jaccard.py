@@ -9,9 +9,9 @@ document's tokens). Candidates must do so under every one of three orders:
 2. a hash order: candidates' prefixes under it are joined to them and must overlap, before any text is moved;
 3. another hash order, compared when the texts are there, before the exact intersection.
 
-Equal token sets (by a 128-bit digest) fold into one representative first. Tokens are 64-bit hashes that mix every byte; a
-link between different sets counts only after the shingles' words themselves have been compared. Then the candidates of a token are compared with one pivot
-(its smallest id) only, linked ones become one component, and what is left to compare are pairs of different
+Texts of equal words (by a 128-bit digest of the words themselves) fold into one node first. Tokens are 64-bit hashes that mix
+every byte under a key drawn for each run; a link between nodes counts only after the shingles' words themselves have been
+compared. The candidates of a token are compared with one pivot (its smallest node) only, linked ones become one component, and what is left to compare are pairs of different
 components in a common token, as far as that token can be the first that a similar pair has in common. So a large group of
 near copies isn't expanded into pairs, and no link between components is lost.
 """
@@ -19,8 +19,8 @@ near copies isn't expanded into pairs, and no link between components is lost.
 from __future__ import annotations
 
 import hashlib
+import secrets
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -41,11 +41,14 @@ _ORDERS = (U64(0x8CB92BA72F3D8DD7), U64(0xC6A4A7935BD1E995))
 
 # --- shingles ------------------------------------------------------------------------------------
 
-def shingles(data: np.ndarray, offsets: np.ndarray, n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+def shingles(data: np.ndarray, offsets: np.ndarray, n: int = SHINGLE, key: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of each text's distinct shingles (sorted within the text), and the texts' offsets in them."""
     data = LOWER[data]
-    starts, ends, of_text = words(data, offsets, IS_WHITE)
-    h = word_hashes(data, starts, ends)
+    return _shingles(data, *words(data, offsets, IS_WHITE), n, key)
+
+
+def _shingles(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, of_text: np.ndarray, n: int, key: int) -> tuple[np.ndarray, np.ndarray]:
+    h = word_hashes(data, starts, ends, key)
     counts = np.diff(of_text)
     sizes = np.where(counts >= n, counts - n + 1, np.minimum(counts, 1))
     text = np.repeat(np.arange(len(counts)), sizes)
@@ -79,11 +82,26 @@ def least_overlap(n: int, m: int, percent: int) -> int:
     return -(-percent * (n + m) // (100 + percent))
 
 
-def _texts(batch: pa.RecordBatch, n: int) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
+def _texts(batch: pa.RecordBatch, n: int, key: int) -> Iterator[tuple[slice, np.ndarray, np.ndarray, np.ndarray]]:
+    """Rows with the shingles of their texts, these texts' offsets in them, and the marks of the texts' words."""
     data, offsets = text_bytes(batch.column("text"))
     for i, j in chunks(offsets):
-        grams, at = shingles(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], n)
-        yield slice(i, j), grams, at
+        low = LOWER[data[offsets[i] : offsets[j]]]
+        found = words(low, offsets[i : j + 1] - offsets[i], IS_WHITE)
+        yield slice(i, j), *_shingles(low, *found, n, key), _marks(low, *found)
+
+
+def _marks(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, of_text: np.ndarray) -> np.ndarray:
+    """128 bits, as two numbers, that identify each text's words: a digest of the words themselves."""
+    sizes = ends - starts + 1
+    places = np.concatenate([[0], np.cumsum(sizes)])
+    joined = np.full(places[-1], 32, np.uint8)
+    letters = np.ones(len(joined), bool)
+    letters[places[1:] - 1] = False
+    joined[letters] = data[~IS_WHITE[data]]
+    raw, cuts = memoryview(joined), places[of_text].tolist()
+    digests = b"".join(hashlib.blake2b(raw[i:j], digest_size=16).digest() for i, j in zip(cuts, cuts[1:], strict=False))
+    return np.frombuffer(digests, np.int64).reshape(-1, 2)
 
 
 def sized(n: int, least: int, most: int) -> int:
@@ -105,7 +123,7 @@ FILTER_BITS, MOST_FILTER_BITS = 1 << 23, 1 << 28
 
 
 def among(rows: DataFrame, ids: DataFrame) -> DataFrame:
-    """rows(did, text), most of those left out whose did isn't among ids(id): a filter of bounded size, without shuffle."""
+    """rows(did, sig, text), most of those left out whose did isn't among ids(id): a filter of bounded size, without shuffle."""
     size = sized(8 * ids.count(), FILTER_BITS, MOST_FILTER_BITS)
     spot = lambda c: F.pmod(F.xxhash64(c), F.lit(size))
     bits = ids.select(spot("id").alias("at")).groupBy((F.col("at") / 32768).cast("int").alias("page")).agg(F.bitmap_construct_agg(F.col("at") % 32768).alias("bits"))
@@ -117,9 +135,9 @@ def among(rows: DataFrame, ids: DataFrame) -> DataFrame:
     def batch(part: pa.RecordBatch) -> pa.RecordBatch:
         at = part.column("at").to_numpy()
         keep = pa.array((table.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1)
-        return pa.RecordBatch.from_arrays([part.column("did").filter(keep), part.column("text").filter(keep)], ["did", "text"])
+        return pa.RecordBatch.from_arrays([part.column(c).filter(keep) for c in ("did", "sig", "text")], ["did", "sig", "text"])
 
-    return map_batches(rows.select("did", "text", spot("did").alias("at")), batch, "did long, text string")
+    return map_batches(rows.select("did", "sig", "text", spot("did").alias("at")), batch, "did long, sig long, text string")
 
 
 # --- components ----------------------------------------------------------------------------------
@@ -148,40 +166,31 @@ def components(edges: DataFrame, name: str) -> DataFrame:
 
 # --- the join ------------------------------------------------------------------------------------
 
-def _prefix_rows(batch: pa.RecordBatch, n: int, percent: int, counts) -> Iterator[pa.RecordBatch]:
-    """(t, same, n, pos) of the tokens in each text's prefix under the first order; same: the first mark of its set."""
-    for _, grams, at in _texts(without_copies(batch), n):
+def _prefix_rows(batch: pa.RecordBatch, n: int, percent: int, key: int, counts) -> Iterator[pa.RecordBatch]:
+    """(t, same, n, pos) of the tokens in each text's prefix under the first order; same: the first mark of its words."""
+    for _, grams, at, marks in _texts(without_copies(batch), n, key):
         sizes = np.diff(at)
         text = np.repeat(np.arange(len(sizes)), sizes)
         order = np.lexsort((mixed(grams), counts.value[(grams & U64(len(counts.value) - 1)).astype(np.int64)], text))
         pos = np.arange(len(grams)) - np.repeat(at[:-1], sizes)
         keep = pos < np.repeat(prefix_size(sizes, percent), sizes)
-        same, _ = _set_marks(grams, at)
         t, text, pos = grams[order][keep], text[keep], pos[keep]
-        columns = (signed(t), same[text], sizes[text].astype(np.int32), pos.astype(np.int32))
+        columns = (signed(t), marks[text, 0], sizes[text].astype(np.int32), pos.astype(np.int32))
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["t", "same", "n", "pos"])
 
 
-def _set_marks(grams: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """128 bits, as two numbers, that identify each set: a digest of its sorted shingles."""
-    raw, ends = memoryview(grams.tobytes()), (8 * at).tolist()
-    digests = b"".join(hashlib.blake2b(raw[i:j], digest_size=16).digest() for i, j in zip(ends, ends[1:], strict=False))
-    marks = np.frombuffer(digests, np.int64).reshape(-1, 2)
-    return marks[:, 0].copy(), marks[:, 1].copy()
-
-
 _SET = "did long, sig long, n long, a long, b long, second array<long>, counters array<int>, counts array<long>"
 
 
-def _set_rows(batch: pa.RecordBatch, n: int, percent: int, counters: int) -> Iterator[pa.RecordBatch]:
-    """(did, sig, n, a, b, second): the size and marks of each text's set, its prefix under the second order. One more
+def _set_rows(batch: pa.RecordBatch, n: int, percent: int, key: int, counters: int) -> Iterator[pa.RecordBatch]:
+    """(did, sig, n, a, b, second): the size of each text's set, the marks of its words, its prefix under the second order. One more
     row has only counters and counts, the batch's part of the frequency sketch."""
     did, sig = (batch.column(c).to_numpy() for c in ("did", "sig"))
     names = [x.split()[0] for x in _SET.split(", ")]
     total = np.zeros(counters, np.int64)
-    for part, grams, at in _texts(batch, n):
+    for part, grams, at, marks in _texts(batch, n, key):
         sizes = np.diff(at)
-        a, b = _set_marks(grams, at)
+        a, b = marks[:, 0].copy(), marks[:, 1].copy()
         total += np.bincount((grams & U64(counters - 1)).astype(np.int64), minlength=counters)
         empty = [pa.nulls(len(sizes), pa.list_(t)) for t in (pa.int32(), pa.int64())]
         yield pa.RecordBatch.from_arrays([pa.array(did[part]), pa.array(sig[part]), pa.array(sizes.astype(np.int64)), pa.array(a), pa.array(b), _prefixes(grams, at, percent, 0), *empty], names)
@@ -202,26 +211,25 @@ def _prefixes(grams: np.ndarray, at: np.ndarray, percent: int, order: int) -> pa
 class _Sets:
     """Distinct shingles of texts, the last few hundred kept: pivots come again and again."""
 
-    def __init__(self, n: int) -> None:
-        self.n, self.kept = n, {}
+    def __init__(self, n: int, key: int) -> None:
+        self.n, self.key, self.kept = n, key, {}
 
     def __call__(self, key: int, text: str) -> np.ndarray:
         if key not in self.kept:
             if len(self.kept) >= 256:
                 self.kept.pop(next(iter(self.kept)))
             raw = np.frombuffer(text.encode(), np.uint8)
-            self.kept[key] = shingles(raw, np.array([0, len(raw)]), self.n)[0]
+            self.kept[key] = shingles(raw, np.array([0, len(raw)]), self.n, self.key)[0]
         return self.kept[key]
 
 
-def _verified(batches: Iterator[pa.RecordBatch], n: int, percent: int) -> Iterator[pa.RecordBatch]:
-    sets = _Sets(n)
+def _verified(batches: Iterator[pa.RecordBatch], n: int, percent: int, key: int) -> Iterator[pa.RecordBatch]:
+    sets = _Sets(n, key)
     for batch in batches:
         u, v, keep = batch.column("u"), batch.column("v"), []
         for k, (a, b) in enumerate(zip(u.to_pylist(), v.to_pylist(), strict=True)):
-            # ids may come with several texts; a text's own hash tells which set is kept
             s, t = (batch.column(c)[k].as_py() for c in ("text_u", "text_v"))
-            near = similar(sets((a, hash(s)), s), sets((b, hash(t)), t), percent)
+            near = similar(sets(a, s), sets(b, t), percent)
             keep.append(near and really_similar(s, t, n, percent))
         mask = pa.array(keep, pa.bool_())
         yield pa.RecordBatch.from_arrays([u.filter(mask), v.filter(mask)], ["u", "v"])
@@ -249,23 +257,23 @@ def really_similar(s: str, t: str, n: int, percent: int) -> bool:
     return both > 0 and 100 * both >= percent * (len(x) + len(y) - both)
 
 
-def linked(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, apart: bool = False) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
-    """(sets, links, done): sets(did, sig, n, a, b, rep) of every distinct (id, text); links(u, v) between representatives
-    of different sets, enough of them to connect all that is similar; tables to discard when the links have been used."""
+def linked(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, apart: bool = False) -> tuple[DataFrame, DataFrame, DataFrame, list[DataFrame]]:
+    """(sets, nodes, links, done): sets(did, sig, n, node) of every distinct (id, text); nodes(node, did, sig): of each node,
+    all texts of the same words, the smallest row; links(u, v) between nodes, enough of them to connect all that is similar;
+    tables to discard when the links have been used. A text without words has no node."""
     rows = docs.select(*_keyed(docs, apart), F.coalesce(F.col("`text`"), F.lit("")).alias("text"))
-    spark = docs.sparkSession
+    spark, key = docs.sparkSession, secrets.randbits(63) + 1
     counters = sized(docs.count() // 4, COUNTERS, MOST_COUNTERS)
-    rows_of_sets = written(map_batches(rows, lambda b: _set_rows(b, n, percent, counters), _SET), "jaccard-sets", free=False)
+    rows_of_sets = written(map_batches(rows, lambda b: _set_rows(b, n, percent, key, counters), _SET), "jaccard-sets", free=False)
     every = rows_of_sets.filter("counters is null")
-    classes = written(every.filter("n > 0").groupBy("a", "b", "n").agg(F.min("did").alias("rep")), "jaccard-equal", free=False)
-    sets = written(every.select("did", "sig", "n", "a", "b").distinct().join(classes, ["a", "b", "n"], "left"), "jaccard-classes", free=False)
-    discard(classes)
+    classes = every.filter("n > 0").groupBy("a", "b").agg(F.min(F.struct("did", "sig")).alias("least"))
+    nodes = written(classes.select(F.monotonically_increasing_id().alias("node"), "a", "b", "least.*"), "jaccard-nodes", free=False)
+    sets = written(every.select("did", "sig", "n", "a", "b").distinct().join(nodes.select("a", "b", "node"), ["a", "b"], "left").drop("a", "b"), "jaccard-classes", free=False)
     counts = spark.sparkContext.broadcast(_sketch(rows_of_sets, counters))
-    prefixes = written(map_batches(rows, lambda b: _prefix_rows(b, n, percent, counts), "t long, same long, n int, pos int"), "jaccard-prefixes", free=False)
+    prefixes = written(map_batches(rows, lambda b: _prefix_rows(b, n, percent, key, counts), "t long, same long, n int, pos int"), "jaccard-prefixes", free=False)
     # written first, so that the join has two plain exchanges and Spark can split a token of many rows
     shared = written(prefixes.groupBy("t").agg(F.min("same").alias("lo"), F.max("same").alias("hi")).filter("lo != hi").select("t"), "jaccard-tokens")
-    reps = sets.filter("did = rep").select("did", F.col("a").alias("same")).distinct()
-    found = written(prefixes.join(shared, "t").join(reps, "same").select("t", "did", "n", "pos").distinct(), "jaccard-shared")
+    found = written(prefixes.join(shared, "t").join(nodes.select("node", F.col("a").alias("same")), "same").select("t", "node", "n", "pos").distinct(), "jaccard-shared")
     discard(prefixes)
     discard(shared)
 
@@ -276,37 +284,36 @@ def linked(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, apart: boo
         room = F.least(nx - px, ny - py)
         return (100 * F.least(nx, ny) >= percent * F.greatest(nx, ny)) & (room * (100 + percent) >= percent * (nx + ny))
 
-    second = every.select("did", "second").join(sets.filter("did = rep").select("did").distinct(), "did", "left_semi")
+    second = every.select("did", "sig", "second").join(nodes.select("did", "sig", "node"), ["did", "sig"]).select("node", "second")
 
     def checked(pairs: DataFrame, name: str) -> DataFrame:
         """Pairs (u, v) that also share a prefix token under the second order, then those that are similar."""
-        near = pairs.join(second.select(F.col("did").alias("u"), F.col("second").alias("su")), "u").join(second.select(F.col("did").alias("v"), F.col("second").alias("sv")), "v")
+        near = pairs.join(second.select(F.col("node").alias("u"), F.col("second").alias("su")), "u").join(second.select(F.col("node").alias("v"), F.col("second").alias("sv")), "v")
         near = written(near.filter(F.arrays_overlap("su", "sv")).select("u", "v").distinct(), f"{name}-near")
-        text = among(rows, near.select(F.explode(F.array("u", "v")).alias("id")))
-        sides = near.join(text.select(F.col("did").alias("v"), F.col("text").alias("text_v")), "v").join(text.select(F.col("did").alias("u"), F.col("text").alias("text_u")), "u")
-        found = written(mapped(sides, lambda b: _verified(b, n, percent), "u long, v long").distinct(), name)
+        needed = nodes.join(near.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "node").select("node", "did", "sig")
+        # a row of each: an id may have the same text many times
+        text = among(rows, needed.select(F.col("did").alias("id"))).join(needed, ["did", "sig"]).groupBy("node").agg(F.first("text").alias("text"))
+        sides = near.join(text.select(F.col("node").alias("v"), F.col("text").alias("text_v")), "v").join(text.select(F.col("node").alias("u"), F.col("text").alias("text_u")), "u")
+        found = written(mapped(sides, lambda b: _verified(b, n, percent, key), "u long, v long").distinct(), name)
         discard(near)
         return found
 
-    pivots = found.groupBy("t").agg(F.min(F.struct("did", "n", "pos")).alias("pivot"))
-    stars = found.alias("x").join(pivots.select("t", "pivot.*").alias("y"), "t").filter((F.col("x.did") != F.col("y.did")) & fits("x", "y"))
-    first = checked(stars.select(F.col("x.did").alias("u"), F.col("y.did").alias("v")).distinct(), "jaccard-stars")
+    pivots = found.groupBy("t").agg(F.min(F.struct("node", "n", "pos")).alias("pivot"))
+    stars = found.alias("x").join(pivots.select("t", "pivot.*").alias("y"), "t").filter((F.col("x.node") != F.col("y.node")) & fits("x", "y"))
+    first = checked(stars.select(F.col("x.node").alias("u"), F.col("y.node").alias("v")).distinct(), "jaccard-stars")
     roots = components(first, "jaccard-roots")
-    placed = found.join(roots.withColumnRenamed("node", "did"), "did", "left").withColumn("root", F.coalesce("root", "did"))
+    placed = found.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     # of a token's components the largest isn't compared within, so a pair has one side at least outside it
     sizes = placed.groupBy("t", "root").agg(F.count(F.lit(1)).alias("size"))
     largest = written(sizes.groupBy("t").agg(F.max_by("root", F.struct("size", "root")).alias("largest"), F.count(F.lit(1)).alias("roots")).filter("roots > 1").select("t", "largest"), "jaccard-open", free=False)
     tokens = written(placed.join(largest, "t").withColumn("outside", F.col("root") != F.col("largest")).drop("largest"), "jaccard-placed")
     x, y = tokens.alias("x"), tokens.filter("outside").alias("y")
-    once = ~F.col("x.outside") | (F.col("x.did") > F.col("y.did"))
+    once = ~F.col("x.outside") | (F.col("x.node") > F.col("y.node"))
     cross = x.join(y, (F.col("x.t") == F.col("y.t")) & (F.col("x.root") != F.col("y.root")) & once & fits("x", "y"))
-    rest = checked(cross.select(F.col("x.did").alias("u"), F.col("y.did").alias("v")).distinct(), "jaccard-rest")
+    rest = checked(cross.select(F.col("x.node").alias("u"), F.col("y.node").alias("v")).distinct(), "jaccard-rest")
     for done in (largest, tokens, found, rows_of_sets, roots):
         discard(done)
-    own = sets.filter("n > 0").select("did", "rep").distinct()
-    several = own.groupBy("did").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).filter("lo != hi").select("did")
-    joined = own.join(several, "did").filter("did != rep").select(F.col("did").alias("u"), F.col("rep").alias("v"))
-    return sets, reduce(DataFrame.unionByName, [first, rest, joined]), [first, rest]
+    return sets, nodes, first.unionByName(rest), [first, rest]
 
 
 def _keyed(docs: DataFrame, apart: bool = False) -> list[F.Column]:
@@ -316,15 +323,23 @@ def _keyed(docs: DataFrame, apart: bool = False) -> list[F.Column]:
     return [F.coalesce(F.col("`doc_id`").cast("long"), none).alias("did"), sig.alias("sig")]
 
 
-def grouped(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, apart: bool = False) -> DataFrame:
-    """did (doc_id, NO_ID for null), sig (xxhash64 of the text, null as empty), n_shingles and root (the did of the
-    component) of each distinct id and text; see `report`. apart: null ids aren't one document, see `_keyed`."""
-    sets, links, done = linked(docs, n, percent, apart)
-    roots = components(links, "jaccard-components")
+def grouped(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """did (doc_id, NO_ID for null), sig (xxhash64 of the text, null as empty), n_shingles and root (the smallest did of the
+    component) of each distinct id and text; the texts of an id are one document."""
+    sets, nodes, links, done = linked(docs, n, percent)
+    own = sets.filter("node is not null").select("did", "node").distinct()
+    several = own.groupBy("did").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo != hi").select("did", "lo")
+    joined = own.join(several, "did").filter("node != lo").select(F.col("node").alias("u"), F.col("lo").alias("v"))
+    roots = components(links.unionByName(joined), "jaccard-components")
     for df in done:
         discard(df)
-    found = sets.join(roots.withColumnRenamed("node", "rep"), "rep", "left")
-    return found.select("did", "sig", F.col("n").alias("n_shingles"), F.coalesce("root", "rep", "did").alias("root"))
+    placed = nodes.join(roots, "node", "left").select("node", "did", F.coalesce("root", "node").alias("root"))
+    least = placed.groupBy("root").agg(F.min("did").alias("least"))
+    of_id = own.join(placed.select("node", "root"), "node").join(least, "root").groupBy("did").agg(F.min("least").alias("least"))
+    out = written(sets.join(of_id, "did", "left").select("did", "sig", F.col("n").alias("n_shingles"), F.coalesce("least", "did").alias("root")), "jaccard-grouped", free=False)
+    for df in (sets, nodes, roots):
+        discard(df)
+    return out
 
 
 def report(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -340,12 +355,20 @@ def report(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -> DataFra
 
 
 def kept(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """The rows of docs, with their own columns, of which one is left of each component: that of the smallest id.
+    """The rows of docs, with their own columns, of which one is left of each group of similar texts: that of the smallest id.
 
-    Rows of a null id are documents of their own, linked by similarity only; they stand before all ids from 0 on. If
-    another id has several rows, the one whose text has the least hash stays, and of equal texts any one.
+    Here each text is a document, whatever its id: texts that share an id, or have none, are linked by similarity only. Null ids
+    stand before all ids from 0 on; if an id has several texts of a group, the one with the least hash stays. Of equal rows one
+    stays, of texts without words one of each id (null and empty ones count as the same text).
     """
-    first = grouped(docs, n, percent, apart=True).filter("did = root").groupBy("did").agg(F.min("sig").alias("sig"))
+    sets, nodes, links, done = linked(docs, n, percent, apart=True)
+    roots = components(links, "jaccard-components")
+    for df in done:
+        discard(df)
+    groups = nodes.join(roots, "node", "left").groupBy(F.coalesce("root", "node")).agg(F.min(F.struct("did", "sig")).alias("least")).select("least.*")
+    first = written(groups.unionByName(sets.filter("node is null").select("did", "sig")), "jaccard-kept", free=False)
+    for df in (sets, nodes, roots):
+        discard(df)
     rows = docs.select(*_keyed(docs, apart=True), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     left = rows.join(first, ["did", "sig"]).dropDuplicates(["did", "sig"])
     return left.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])

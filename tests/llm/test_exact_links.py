@@ -5,6 +5,7 @@ from __future__ import annotations
 import collections
 
 import numpy as np
+import pytest
 from test_pairs import components
 
 from millrace.llm import _common as C
@@ -42,6 +43,25 @@ def test_words_decide_when_hashes_collide():
     assert not jaccard.really_similar(s, t, 5, 80) and jaccard.really_similar(s, s.upper(), 5, 80) and not jaccard.really_similar("", "", 5, 80)
 
 
+@pytest.mark.parametrize("one, other", [("licenseddocument", "txpkwjlv){`%$j-["), ("licenseddocument and more words here", "txpkwjlv){`%$j-[ and more words here")])
+def test_words_of_one_hash(spark, one, other):
+    """Two words whose unkeyed hashes are equal: the texts share nothing, or too little, and stay apart."""
+    raw = np.frombuffer(f"{one.split()[0]} {other.split()[0]}".encode(), np.uint8)
+    starts, ends, _ = C.words(raw, np.array([0, len(raw)]), C.IS_WHITE)
+    assert len(set(C.word_hashes(raw, starts, ends).tolist())) == 1
+    assert len(set(C.word_hashes(raw, starts, ends, 12345).tolist())) == 2
+    rows = [(1, one), (2, other), (3, f"{one} {other}")]
+    assert report(spark, rows) == components(rows)
+    assert {r[2] for r in report(spark, rows)} == {1, 2, 3}
+
+
+def test_sets_fold_by_words(spark):
+    """Equal sets of other word orders aren't folded, but linked as any similar texts."""
+    base = " ".join(f"w{i}" for i in range(30))
+    rows = [(1, base), (2, f"  {base.upper()} "), (3, f"{base} {base}"), (4, f"{base} {base} {base}"), (5, " ".join(f"w{i}" for i in range(29, -1, -1)))]
+    assert report(spark, rows) == components(rows)
+
+
 def test_one_id_with_many_texts(spark):
     """An id joins the components of all its texts, not only of two."""
     text = lambda k: " ".join(f"{k}w{i}" for i in range(20))
@@ -74,4 +94,4 @@ def test_nothing_is_left_behind(spark):
     before = len(_common._written)
     text = " ".join(f"w{i}" for i in range(60))
     jaccard.report(spark.createDataFrame([(1, text), (2, text + " x"), (3, "other")], SCHEMA)).collect()
-    assert len(_common._written) - before == 2  # the sets and the roots, which the result reads
+    assert len(_common._written) - before == 1  # what the result reads

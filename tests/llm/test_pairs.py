@@ -58,9 +58,26 @@ def test_components(docs):
 
 
 def test_one_of_each_component_is_kept(docs):
+    """Each distinct id and text is a document of its own, so two unlike texts of one id both stay."""
     kept = jaccard.kept(docs)
     assert kept.columns == docs.columns
-    assert collections.Counter(r.doc_id for r in kept.collect()) == collections.Counter({c for _, _, c in components(pair_cases())})
+    own = list(dict.fromkeys((d, t or "") for d, t in pair_cases()))
+    order = sorted(range(len(own)), key=lambda i: (own[i][0] is not None, own[i][0] or 0))
+    groups = collections.defaultdict(list)
+    for i, _, root in components([(k, own[i][1]) for k, i in enumerate(order)]):
+        groups[root].append(own[order[i]])
+    got = collections.Counter((r.doc_id, r.text or "") for r in kept.collect())
+    assert sum(got.values()) == len(groups) == len(got)
+    assert collections.Counter(d for d, _ in got) == collections.Counter(g[0][0] for g in map(lambda g: sorted(g, key=lambda x: (x[0] is not None, x[0] or 0)), groups.values()))
+    assert {t for d, t in got if d == 7} == {t for d, t in own if d == 7 and t != "a b"}  # "a b" is like the text of id 4
+    assert all(sum(x in g for x in got) == 1 for g in groups.values())
+
+
+def test_unlike_texts_of_one_id_are_kept(spark):
+    text = lambda k: " ".join(f"{k}x{i}" for i in range(60))
+    rows = [(1, text(1)), (1, text(2)), (1, text(1) + " more"), (2, text(2) + " more"), (2, text(3)), (2, text(3)), (2, None)]
+    got = collections.Counter((r.doc_id, (r.text or "").split("x")[0]) for r in jaccard.kept(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == {(1, "1"): 1, (1, "2"): 1, (2, "3"): 1, (2, ""): 1}
 
 
 def test_texts_of_null_ids_are_kept(spark):
