@@ -12,16 +12,21 @@ LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghij
 
 def license_scan() -> str:
     phrases = " union all ".join(f"select '{label}' as label, ['{"', '".join(p.split())}'] as p" for p, label in license.PHRASES.items())
-    templates = " union all ".join(f"select '{label}' as label, list_distinct(['{"', '".join(t.split())}']) as t" for label, t in license.TEMPLATES)
+    templates = " union all ".join(f"select {k} as tid, '{label}' as label, {-(-100 * len(t.split()) // license.PERCENT)} as run, list_distinct(['{"', '".join(t.split())}']) as t" for k, (label, t) in enumerate(license.TEMPLATES))
+    # one count for each word of a template, of the distinct ones in the run that begins with it; runs differ in length
+    runs = " union all ".join(f"select r, tid, count(distinct word) over (partition by r, tid order by s range between current row and {run - 1} following) as shared from places where run = {run}" for run in sorted({-(-100 * len(t.split()) // license.PERCENT) for _, t in license.TEMPLATES}))
     return f"""
     with d as (select row_number() over () as r, doc_id, {LOWER} as low from documents),
     w as (select r, doc_id, low, regexp_extract_all(low, '{ALNUM}') as w from d),
     phrases as ({phrases}), templates as ({templates}),
     base as (select r, label, s from (select r, w, label, p, unnest(range(1, len(w) - len(p) + 2)) as s from w, phrases) where w[s : s + len(p) - 1] = p),
     based as (select r, count(*) as n, min(s) - 1 as lo, max(s) - 1 as hi, array_to_string(list_sort(list(distinct label)), ',') as labels from base group by r),
-    lines as (select r, list_distinct(regexp_extract_all(line, '{ALNUM}')) as b from (select r, unnest(string_split(low, chr(10))) as line from d)),
-    parts as (select r, label, len(list_intersect(b, t)) as shared, len(t) as size from lines, templates where 100 * len(list_intersect(b, t)) >= {license.PERCENT} * len(t)),
-    best as (select r, max(shared / size) as part from parts group by r),
+    vocabulary as (select tid, run, len(t) as size, unnest(t) as word from templates),
+    enough as (select r, tid from (select r, unnest(list_distinct(w)) as word from w) join vocabulary using (word) group by r, tid, size having 100 * count(*) >= {license.PERCENT} * size),
+    places as (select r, tid, run, s, word from (select r, unnest(w) as word, unnest(range(1, len(w) + 1)) as s from w where r in (select r from enough)) join vocabulary using (word) join enough using (r, tid)),
+    runs as ({runs}),
+    parts as (select r, label, shared / len(t) as part from (select r, tid, max(shared) as shared from runs group by r, tid) join templates using (tid) where 100 * shared >= {license.PERCENT} * len(t)),
+    best as (select r, max(part) as part from parts group by r),
     named as (select r, array_to_string(list_sort(list(distinct label)), ',') as labels from (select r, label from base union select r, label from parts) group by r)
     select w.doc_id, cast(len(w.w) as bigint) as n_words, cast(coalesce(based.n, 0) as bigint) as n_base, cast(based.lo as bigint) as first_word, cast(based.hi as bigint) as last_word,
       coalesce(based.labels, '') as base_labels, coalesce(named.labels, '') as labels, cast(case when based.n > 0 then 1.0 else coalesce(best.part, 0.0) end as double) as score

@@ -51,3 +51,22 @@ def test_kin_are_told_apart(spark):
     }
     got = {r.doc_id: set(r.labels.split(",")) - {""} for r in license.scan(spark.createDataFrame(list(enumerate(kin)), "doc_id long, text string")).collect()}
     assert [got[k] - ({"gpl"} if "General Public License" in t else set()) for k, t in enumerate(kin)] == [v - ({"gpl"} if "General Public License" in t else set()) for t, v in kin.items()]
+
+
+def test_scattered_words_are_no_notice(spark):
+    """All words of a statement, 300 others between each two of them, on one line or on many: no label."""
+    words = dict(license.TEMPLATES)["cc0"].split()
+    rows = [(k, sep.join(w + sep + sep.join(f"x{i}" for i in range(300)) for w in words)) for k, sep in enumerate((" ", "\n"))]
+    assert {(r.labels, r.score) for r in license.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == {("", 0.0)}
+
+
+@pytest.mark.parametrize("width", [1_000_000, 78])
+def test_whole_texts_of_licenses(spark, width):
+    """Whole license texts in the middle of a long one, and with a tenth of their words lost, one line or wrapped."""
+    prose = " ".join(f"prose{i % 97}" for i in range(3000))
+    whole = [(label, t) for label, t in license.TEMPLATES if len(t.split()) > 80]
+    less = lambda t: " ".join(w for i, w in enumerate(t.split()) if i % 10)
+    rows = [(k, "\n".join(textwrap.wrap(f"{prose} {f(t)} {prose}", width))) for k, (f, t) in enumerate([(f, t) for f in (str, less) for _, t in whole])]
+    got = {r.doc_id: r for r in license.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for k, (label, _) in enumerate(whole * 2):
+        assert label in got[k].labels.split(",") and got[k].score >= 0.8
