@@ -18,8 +18,14 @@ MOST_LOST = 40
 MOST_MARKS = 10
 #: Words of a repeated window, and the share of words in such windows that a document may have.
 WINDOW, MOST_REPEATED, LEAST_WORDS = 5, 20, 10
+#: Letters, marks and digits of any script are what words are made of; the same in Java's regular expressions and in RE2.
+W, NOT_W = r"[\p{L}\p{M}\p{N}_]", r"[^\p{L}\p{M}\p{N}_]"
+#: Scripts that write no spaces between words (Thai, kana, Han): how many such characters a line of navigation or boilerplate has at most.
+SOLID, MOST_SOLID = r"[\x{0E00}-\x{0E7F}\x{3040}-\x{30FF}\x{3400}-\x{9FFF}\x{20000}-\x{3FFFF}]", 12
+#: Characters of a line of navigation or boilerplate at most.
+SHORT = 300
 #: Phrases of navigation, where they begin a line of six words at most (fixed values).
-NAVIGATION = r"^\W*(?:home|menu|log ?in|sign in|sign up|next|previous|back to top|skip to content|read more|share this|search|site ?map|startseite|zurück|weiterlesen|accueil|suivant|inicio|siguiente|leer más)(?:\W+\w+){0,4}\W*$"
+NAVIGATION = rf"^{NOT_W}*(?:home|menu|log ?in|sign in|sign up|next|previous|back to top|skip to content|read more|share this|search|site ?map|startseite|zurück|weiterlesen|accueil|suivant|inicio|siguiente|leer más)(?:{NOT_W}+{W}+){{0,4}}{NOT_W}*$"
 #: Phrases of boilerplate (fixed values), where they are a line but for a few words: prose that mentions one stays.
 PHRASES = (
     "all rights reserved|privacy policy|terms of (?:use|service)|lorem ipsum|click here|subscribe to|powered by|copyright(?: ©| \\(c\\))? \\d{4}"
@@ -29,7 +35,7 @@ PHRASES = (
 )
 #: Words that may stand before, and behind, such a phrase.
 AROUND = 6
-BOILERPLATE = rf"^\W*(?:\w+\W+){{0,{AROUND}}}(?:{PHRASES})(?:\W+\w+){{0,{AROUND}}}\W*$"
+BOILERPLATE = rf"^{NOT_W}*(?:{W}+{NOT_W}+){{0,{AROUND}}}(?:{PHRASES})(?:{NOT_W}+{W}+){{0,{AROUND}}}{NOT_W}*$"
 
 
 def words(text: Column) -> Column:
@@ -48,8 +54,8 @@ def fails(line: Column) -> Column:
     bars = F.length(line) - F.length(F.replace(line, F.lit(" | "), F.lit("  ")))
     low = F.lower(line)
     punctuation = (chars == 0) | (100 * marks > MOST_MARKS * chars)
-    navigation = (bars >= 3) | low.rlike(NAVIGATION)
-    return punctuation | navigation | low.rlike(BOILERPLATE)
+    short = (F.length(line) <= SHORT) & (F.length(line) - F.length(F.regexp_replace(line, SOLID, "")) <= MOST_SOLID)
+    return punctuation | (bars >= 3) | short & (low.rlike(NAVIGATION) | low.rlike(BOILERPLATE))
 
 
 def cleaned_lines(text: Column) -> Column:

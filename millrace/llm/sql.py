@@ -46,7 +46,8 @@ def quality_rules() -> str:
     judged as (select r, line, {text("line")} as chars, {text("line")} - {text("regexp_replace(line, '[!?#*$%&|<>~^_=+{}\\[\\]\\\\]', '', 'g')")} as marks,
       length(line) - length(replace(line, ' | ', '  ')) as bars, lower(line) as low from lines),
     failing as (select r, sum(chars) as lost from judged where chars = 0 or 100 * marks > {quality.MOST_MARKS} * chars or bars >= 3
-      or regexp_matches(low, '{navigation}') or regexp_matches(low, '{quality.BOILERPLATE}') group by r),
+      or (length(line) <= {quality.SHORT} and length(line) - length(regexp_replace(line, '{quality.SOLID}', '', 'g')) <= {quality.MOST_SOLID}
+        and (regexp_matches(low, '{navigation}') or regexp_matches(low, '{quality.BOILERPLATE}'))) group by r),
     dup as (select r, count(*) - count(distinct line) as n from lines group by r),
     counted as (select w.doc_id, len(w.w) as n_words, length(array_to_string(w.w, '')) as word_chars, length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) as n_symbols,
       coalesce(dup.n, 0) as n_dup_lines, coalesce(again.n, 0) as n_repeat_words, coalesce(failing.lost, 0) as lost
