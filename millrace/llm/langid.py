@@ -5,9 +5,11 @@ product of their numbers of n-grams. A Nyström map over landmark texts makes ke
 one-versus-rest kernel ridge regression has one column per language. Texts are scored by two products of matrices:
 presence by the landmarks' presence, and kernel rows by the fitted coefficients.
 
-Grams are those that landmarks have, so presence is a matrix of texts by grams. Only the fit is bounded, in labelled
-rows: SAMPLE and LANDMARKS texts a language, whole and whatever their length, SAMPLES and ALL_LANDMARKS together (of many
-languages each gets an equal share, one at least). The letters and the languages are all that those texts have.
+Grams are those that landmarks have. They are kept as postings, gram by gram the landmarks that have it; where all cells of
+grams by landmarks are few the product is one of dense matrices, else a text's kernel row is summed up from the postings of
+its grams. Only the fit is bounded, in labelled rows: SAMPLE and LANDMARKS texts a language, whole and whatever their length,
+SAMPLES and ALL_LANDMARKS together, and the landmarks' GRAMS (of many languages each gets an equal share, one text at least;
+of landmarks with too many grams the longest go). The letters and the languages are all that those texts have.
 Executors turn training texts into grams and kernel rows; the driver holds these, and no text.
 """
 
@@ -29,10 +31,12 @@ from ._common import chunks, discard, doc_columns, map_batches, mapped, text_byt
 SAMPLE, SAMPLES = 150, 20_000
 #: Landmarks of a language, and of all languages, at most (but one of each).
 LANDMARKS, ALL_LANDMARKS = 16, 2_048
+#: Grams of all landmarks together, at most (but those of one landmark of each language): ten bytes each.
+GRAMS = 1 << 24
 #: Numbers of grams are looked up in a table up to this size, beyond it by bisection; both find the same.
 TABLE = 1 << 24
-#: Cells of a presence matrix that is worked on at once.
-CELLS = 4 << 20
+#: Cells of a presence matrix that is worked on at once, and of the landmarks' matrix if it is made.
+CELLS, DENSE = 4 << 20, 8 << 20
 RIDGE = 1e-3
 
 
@@ -63,13 +67,16 @@ class Model:
     langs: list[str]
     letters: np.ndarray  # code points that landmarks have, sorted
     grams: np.ndarray  # numbers of the grams that landmarks have, sorted
-    landmarks: np.ndarray  # grams by landmarks, scaled
+    at: np.ndarray  # where each gram's landmarks begin and end in `marks`
+    marks: np.ndarray  # numbers of landmarks
+    sizes: np.ndarray  # grams of each landmark
+    own: np.ndarray | None = field(default=None, repr=False)  # the landmarks' kernels, for the fit
     weights: np.ndarray | None = None  # landmarks by languages
     bias: np.ndarray | None = None
     tables: tuple | None = field(default=None, repr=False)
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"tables": None}  # made where they are needed
+        return self.__dict__ | {"tables": None, "own": None}  # made where they are needed
 
     @property
     def base(self) -> int:
@@ -84,8 +91,13 @@ class Model:
             if self.base**3 <= TABLE:
                 table = np.full(self.base**3, len(self.grams), np.int32)
                 table[self.grams] = np.arange(len(self.grams))
-            self.tables = (of_point, table)
-        of_point, table = self.tables
+            dense = None
+            if len(self.grams) * len(self.sizes) <= DENSE:
+                dense = np.zeros((len(self.grams), len(self.sizes)), np.float32)
+                dense[np.repeat(np.arange(len(self.grams)), np.diff(self.at)), self.marks] = 1
+                dense /= np.sqrt(self.sizes)
+            self.tables = (of_point, table, dense)
+        of_point, table, _ = self.tables
         points = np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "surrogatepass"), np.uint32)
         found = grams_of(of_point[points], self.base)
         if table is not None:
@@ -106,30 +118,47 @@ def presence(model: Model, texts: list[str]) -> np.ndarray:
 
 def kernel(model: Model, texts: list[str]) -> np.ndarray:
     """texts by landmarks, a bounded number of presence cells at a time."""
+    if not texts:
+        return np.zeros((0, len(model.sizes)), np.float32)
+    model.columns("")  # makes the tables
+    dense = model.tables[2]
+    if dense is None:
+        return np.stack([posted(model, np.unique(model.columns(t))) for t in texts])
     step = max(1, CELLS // (len(model.grams) + 1))
-    parts = [presence(model, texts[i : i + step]) @ model.landmarks for i in range(0, len(texts), step)]
-    return np.concatenate(parts) if parts else np.zeros((0, model.landmarks.shape[1]), np.float32)
+    return np.concatenate([presence(model, texts[i : i + step]) @ dense for i in range(0, len(texts), step)])
+
+
+def posted(model: Model, columns: np.ndarray) -> np.ndarray:
+    """The kernel row of a text with these distinct grams, summed up from their postings."""
+    columns = columns[columns < len(model.grams)]
+    first, n = model.at[columns], np.diff(model.at)[columns]
+    spots = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
+    common = np.bincount(model.marks[spots], minlength=len(model.sizes))
+    return (common / np.sqrt(model.sizes) / np.sqrt(max(len(columns), 1))).astype(np.float32)
 
 
 def from_landmarks(langs: list[str], marks: list[np.ndarray]) -> Model:
     """A model yet without weights. marks: the distinct grams of each landmark, as `grams_of` its code points."""
-    every = np.unique(np.concatenate(marks))
-    last = every % POINTS - 1
-    letters = np.unique(last[last > 0])
+    last = np.unique(np.concatenate([np.unique(m % POINTS) for m in marks])).astype(np.int64) - 1
+    letters = last[last > 0]
     own = lambda g: np.where(g, np.where(g > 1, np.searchsorted(letters, g - 1) + 2, 0) + 1, 0)  # noqa: E731  symbol + 1, or 0 for none
     base = len(letters) + 3
     # a gram has its first symbols in its upper bits
     numbered = [np.unique((own(m // POINTS**2) * base + own(m // POINTS % POINTS)) * base + own(m % POINTS)) for m in marks]
-    grams = np.unique(np.concatenate(numbered))
-    rows = np.zeros((len(marks), len(grams)), np.float32)
-    for i, m in enumerate(numbered):
-        rows[i, np.searchsorted(grams, m)] = 1
-    return Model(langs, letters, grams, (rows / np.sqrt(rows.sum(1, keepdims=True))).T.copy())
+    sizes = np.array([len(m) for m in numbered])
+    every = np.concatenate(numbered)
+    order = np.argsort(every, kind="stable")
+    of = np.repeat(np.arange(len(sizes), dtype=np.uint16 if len(sizes) <= 1 << 16 else np.int32), sizes)[order]
+    every = every[order]
+    at = np.flatnonzero(np.append(True, every[1:] != every[:-1]))
+    model = Model(langs, letters, every[at], np.append(at, len(every)), of, sizes)
+    model.own = np.stack([posted(model, np.searchsorted(model.grams, m)) for m in numbered])
+    return model
 
 
 def fitted(model: Model, labels: list[str], rows: np.ndarray) -> Model:
     """The model with the weights of a ridge regression on kernel rows of labelled texts."""
-    values, vectors = np.linalg.eigh((model.landmarks.T @ model.landmarks).astype(np.float64))
+    values, vectors = np.linalg.eigh(model.own.astype(np.float64))
     keep = values > 1e-6 * values.max()
     root = vectors[:, keep] / np.sqrt(values[keep])
     features = rows.astype(np.float64) @ root
@@ -176,6 +205,18 @@ def training_rows(rows: DataFrame, sample: int = SAMPLE) -> list[tuple[str, int,
     return sorted((r.lang, r.sig, r.least.doc_id, r.least.bytes) for r in found)
 
 
+def within(sizes: dict[tuple[str, int], int], most: int) -> list[tuple[str, int]]:
+    """Landmarks (lang, sig) of `most` grams together at most: each language has an equal share, its longest ones go first, and
+    one of it stays."""
+    langs = sorted({lang for lang, _ in sizes})
+    out = []
+    for lang in langs:
+        own = sorted((k for k in sizes if k[0] == lang), key=lambda k: (sizes[k], k))
+        total = np.cumsum([sizes[k] for k in own])
+        out += own[: max(1, int(np.searchsorted(total, most // len(langs), side="right")))]
+    return sorted(out)
+
+
 def fit(docs: DataFrame, keep: F.Column) -> Model | None:
     """The model of the rows with a lang and a letter that `keep` leaves; None without any."""
     sig = F.xxhash64("text").alias("sig")
@@ -199,8 +240,13 @@ def fit(docs: DataFrame, keep: F.Column) -> Model | None:
         lists = [np.unique(grams_of(letters_of(t), POINTS)) for t in batch.column("text").to_pylist()]
         return pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("sig"), pa.array(lists, pa.list_(pa.int64()))], ["lang", "sig", "grams"])
 
-    got = {(r.lang, r.sig): r.grams for r in map_batches(sample.filter("mark"), grams, "lang string, sig long, grams array<long>").toLocalIterator()}
-    model = from_landmarks(langs, [np.array(got[k], np.int64) for k in sorted(got)])
+    found = written(map_batches(sample.filter("mark"), grams, "lang string, sig long, grams array<long>"), "langid-grams", free=False)
+    sizes = {(r.lang, r.sig): r.n for r in found.select("lang", "sig", F.size("grams").alias("n")).collect()}  # ALL_LANDMARKS narrow rows
+    few = within(sizes, GRAMS)
+    got = {(r.lang, r.sig): np.array(r.grams, np.int64) for r in found.join(F.broadcast(spark.createDataFrame(few, "lang string, sig long")), ["lang", "sig"]).toLocalIterator()}
+    discard(found)
+    model = from_landmarks(langs, [got[k] for k in sorted(got)])
+    del got
     sent = spark.sparkContext.broadcast(model)
 
     def kernels(batch: pa.RecordBatch) -> pa.RecordBatch:

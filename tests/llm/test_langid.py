@@ -16,9 +16,11 @@ def grams(symbols):
     return {symbols[i : i + n] for n in (1, 2, 3) for i in range(len(symbols) - n + 1)}
 
 
+@pytest.mark.parametrize("dense", [langid.DENSE, 0])
 @pytest.mark.parametrize("table", [langid.TABLE, 0])
-def test_kernel_equals_sets_of_grams(monkeypatch, table):
+def test_kernel_equals_sets_of_grams(monkeypatch, table, dense):
     monkeypatch.setattr(langid, "TABLE", table)
+    monkeypatch.setattr(langid, "DENSE", dense)
     blank = lambda t: "".join(c if c.isalpha() else " " for c in f" {t.lower()} ")
     model = langid.from_landmarks(["x"], [np.unique(langid.grams_of(langid.letters_of(t), langid.POINTS)) for t in MARKS])
     known, letters = set().union(*(grams(blank(t)) for t in MARKS)), {c for t in MARKS for c in blank(t)}
@@ -28,6 +30,50 @@ def test_kernel_equals_sets_of_grams(monkeypatch, table):
         assert np.allclose(langid.kernel(model, [text])[0], want, atol=1e-6)
 
 
+def marks_of(texts):
+    return [np.unique(langid.grams_of(langid.letters_of(t), langid.POINTS)) for t in texts]
+
+
+def test_regression_equals_an_exact_solve():
+    """Nystroem features and ridge regression, from kernels by sets of grams and the dual form, give the same scores."""
+    rng = np.random.default_rng(6)
+    word = lambda abc: "".join(rng.choice(list(abc), rng.integers(2, 6)))
+    texts = [" ".join(word(abc) for _ in range(12)) for abc in ("abcde", "defgh", "xyzab") for _ in range(15)]
+    labels = [lang for lang in "pqr" for _ in range(15)]
+    marks, new = texts[::4], [texts[3][:20], texts[20][5:], "abc xyz"]
+    model = langid.from_landmarks(["p", "q", "r"], marks_of(marks))
+    model = langid.fitted(model, labels, langid.kernel(model, texts))
+    known = set().union(*(grams(f" {t} ") for t in marks))
+
+    def exact(a, b):
+        return np.array([[len((x := grams(f" {s} ") & known) & (y := grams(f" {t} ") & known)) / np.sqrt(len(x) * len(y)) for t in b] for s in a])
+
+    values, vectors = np.linalg.eigh(exact(marks, marks))
+    x, z = (exact(t, marks) @ vectors[:, values > 1e-6 * values.max()] / np.sqrt(values[values > 1e-6 * values.max()]) for t in (texts, new))
+    y = np.where(np.array(labels)[:, None] == np.array(list("pqr")), 1.0, -1.0)
+    middle = x.mean(0)
+    dual = np.linalg.solve((x - middle) @ (x - middle).T + langid.RIDGE * len(x) * np.eye(len(x)), y - y.mean(0))
+    assert np.allclose(langid.score(model, new), (z - middle) @ (x - middle).T @ dual + y.mean(0), atol=1e-3)
+
+
+def test_landmarks_fit_into_memory():
+    """2,048 landmarks of 20,000 Chinese letters each: what is chosen of them, and the model made of it, stay within 1 GB."""
+    import tracemalloc
+
+    sizes = {("zh", k): 40_000 + k for k in range(2048)}
+    few = langid.within(sizes, langid.GRAMS)
+    assert sum(sizes[k] for k in few) <= langid.GRAMS < sum(sizes.values()) and few == sorted(few)
+    assert langid.within({("a", 1): 10**9, ("b", 2): 5, ("b", 3): 7}, 24) == [("a", 1), ("b", 2), ("b", 3)]
+    rng = np.random.default_rng(8)
+    marks = [np.unique(langid.grams_of(rng.integers(0x4E00, 0x9FFF, 20_000), langid.POINTS)) for _ in range(len(few) // 8)]
+    tracemalloc.start()
+    model = langid.from_landmarks(["zh"], marks)
+    held, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert 8 * peak < 1 << 30 and 8 * held < 1 << 29
+    assert np.allclose(np.diag(model.own), 1, atol=1e-5)
+
+
 def test_long_texts_are_learned_from(spark):
     """A language that has only long texts is learned as others are, and rare scripts keep their letters."""
     rows = [(k, f"der hund und die katze {k} schlafen " * 800, "de") for k in range(20)] + [(100 + k, f"the cat sat on the mat {k}", "en") for k in range(20)]
