@@ -65,7 +65,9 @@ def test_landmarks_fit_into_memory():
     assert sum(sizes[k] for k in few) <= langid.GRAMS < sum(sizes.values()) and few == sorted(few)
     assert langid.within({("a", 1): 10**9, ("b", 2): 5, ("b", 3): 7}, 24) == [("a", 1), ("b", 2), ("b", 3)]
     rng = np.random.default_rng(8)
-    marks = [np.unique(langid.grams_of(rng.integers(0x4E00, 0x9FFF, 20_000), langid.POINTS)) for _ in range(len(few) // 8)]
+    marks = []
+    while sum(map(len, marks)) < langid.GRAMS // 8:  # an eighth of what is chosen
+        marks.append(np.unique(langid.grams_of(rng.integers(0x4E00, 0x9FFF, 20_000), langid.POINTS)))
     tracemalloc.start()
     model = langid.from_landmarks(["zh"], marks)
     held, peak = tracemalloc.get_traced_memory()
