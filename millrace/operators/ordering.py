@@ -2,20 +2,54 @@
 
 from __future__ import annotations
 
+import atexit
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import shared_folder
 
 
+_folders: list[tuple[SparkSession, str]] = []
+
+
+def folder(spark: SparkSession, name: str) -> str:
+    """A folder of its own in the shared one; it is deleted when the session's process ends, if `discard` hasn't done so."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    if not _folders:
+        atexit.register(_clean)
+    _folders.append((spark, path))
+    return path
+
+
 def written(rows: DataFrame, name: str) -> DataFrame:
     """rows, written to the shared folder and read again: the same whenever they are read, and with a plan of one scan."""
-    path = f"{shared_folder(rows.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = folder(rows.sparkSession, name)
     rows.write.parquet(path)
-    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+    out = rows.sparkSession.read.schema(rows.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes what `written` wrote, once all that was made from it is written too; other frames are left alone."""
+    for df in tables:
+        if (path := getattr(df, "written_to", None)) and (df.sparkSession, path) in _folders:
+            _folders.remove((df.sparkSession, path))
+            _delete(df.sparkSession, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def _clean() -> None:
+    for spark, path in _folders:
+        if spark.sparkContext._jsc is not None:
+            _delete(spark, path)
 
 
 def consecutive(rows: DataFrame, order: Sequence[str], name: str = "vec_id") -> DataFrame:

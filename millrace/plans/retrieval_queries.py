@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import cells as C
 from ..operators import listings as L
+from ..operators import ordering as O
 from ..operators import retrieval as R
 from .registry import query, table
 
@@ -208,3 +210,36 @@ def prompt_context(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("select count(*) as chunks, count(*) filter (n_chars > 1500) as large, round(100.0 * count(*) filter (n_chars > 1500) / count(*), 2) as large_share, round(avg(n_chars), 6) as avg_chars, max(n_chars) as max_chars from documents")
 def index_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.chunk_sizes(table(spark, sf_dir, "documents"), "n_chars").withColumns({"large_share": F.round("large_share", 2), "avg_chars": F.round("avg_chars", 6)})
+
+
+# --- the index of cells: asked is every embedding whose id is divisible by 100 --------------------
+
+def _cells(spark: SparkSession, sf_dir: str) -> tuple[C.CellIndex, DataFrame, DataFrame]:
+    e = index(spark, sf_dir)
+    return C.built(e, O.folder(spark, "cells"), "vec_id"), e, e.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q"))
+
+
+_HUNDREDTH = f"""with {_INDEX}, s as (select q.vec_id as qid, v.vec_id, {_cos('v.e', 'q.e')} as score from v, v q where q.vec_id % 100 = 0),
+x as (select *, row_number() over (partition by qid order by round(score, 12) desc, vec_id) as rank from s) """
+
+
+@query(_HUNDREDTH + "select qid, vec_id, round(score, 6) as score, cast(rank as integer) as rank from x where rank <= 10")
+def cells_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest rows by the index of cells, all cells searched: exact."""
+    cells, _, asked = _cells(spark, sf_dir)
+    found = C.nearest(spark, cells, asked, 10, probes=len(cells.centroids), exact=True)
+    return found.select("qid", "vec_id", F.round("score", 6).alias("score"), "rank")
+
+
+@query()
+def cells_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by the cells and candidates that the index has chosen: approximate, so there is no SQL for it."""
+    cells, _, asked = _cells(spark, sf_dir)
+    return C.nearest(spark, cells, asked, 10).select("qid", "vec_id", F.round("score", 6).alias("score"), "rank")
+
+
+@query(_HUNDREDTH + "select count(*) as wanted, true as enough from x where rank <= 10")
+def cells_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of the exact ten nearest rows, and whether the approximate search finds nine in ten of them."""
+    cells, e, asked = _cells(spark, sf_dir)
+    return C.recall(C.nearest(spark, cells, asked, 10), R.top_many(e, asked, 10, "vec_id"), ["qid", "vec_id"]).select("wanted", (F.col("recall") >= 0.9).alias("enough"))
