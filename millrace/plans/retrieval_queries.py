@@ -243,3 +243,30 @@ def cells_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of the exact ten nearest rows, and whether the approximate search finds nine in ten of them."""
     cells, e, asked = _cells(spark, sf_dir)
     return C.recall(C.nearest(spark, cells, asked, 10), R.top_many(e, asked, 10, "vec_id"), ["qid", "vec_id"]).select("wanted", (F.col("recall") >= 0.9).alias("enough"))
+
+
+_QUESTIONS = "q as (select vec_id as qid, e, " + ", ".join(f"e[{a}:{a + n - 1}] as {k}" for k, (a, n) in SLICES.items()) + " from v where vec_id % 100 = 0)"
+
+
+@query(f"""with {_RECORDS}, {_QUESTIONS}, s as (select q.qid, r.vec_id, round(({_PARTS}) / {sum(R.WEIGHTS.values())!r}, 12) as score from r, q),
+h as (select *, row_number() over (partition by qid order by score desc, vec_id) as hr from s qualify hr <= 5), {_PLACED},
+t as (select q.qid, a.vec_id as tag, round(greatest({_cos('a.e', 'q.e')}, 0), 12) as similarity from v a, q where a.label in {TAG_LABELS}),
+k as (select *, row_number() over (partition by qid order by similarity desc, tag) as tr from t where similarity >= {TAG_THRESHOLD} qualify tr <= 15),
+w as (select tag, r.vec_id, row_number() over (partition by tag order by round({_cos('r.patterns_vector', 'v.e[37:48]')}, 12) desc, r.vec_id) as rn from (select distinct tag from k) g join v on v.vec_id = g.tag, r qualify rn <= 2),
+c as (select k.qid, tr, rn, vec_id from k join w using (tag) where (k.qid, vec_id) not in (select (qid, vec_id) from h)),
+d as (select *, row_number() over (partition by qid, vec_id order by tr, rn) as again from c qualify again = 1),
+m as (select *, row_number() over (partition by qid order by tr, rn) as n from d qualify n <= 3),
+u as (select qid, 0 as part, hr as k1, 0 as k2, vec_id, 'search' as source, round(score, 6) as score from h union all select qid, 1, tr, rn, vec_id, 'tag', null from m),
+x as (select a.vec_id as hit, b.vec_id as adjacent, b.pos - a.pos as dist, row_number() over (partition by a.vec_id, b.chapter_index, b.section_index order by b.pos) as rn from (select distinct vec_id from h) o join p a using (vec_id), p b where abs(b.pos - a.pos) <= 2),
+n as (select hit, string_agg(cast(adjacent as varchar), ',' order by dist) as near from x where rn = 1 and dist <> 0 group by hit)
+select qid, cast(row_number() over (partition by qid order by part, k1, k2) as integer) as rank, vec_id, source, score, case when source = 'search' then near end as near from u left join n on hit = vec_id""")
+def structured_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole structured searches for every embedding whose id is divisible by 100: five hits, three more by tags, neighbours."""
+    from ..operators import many as M
+
+    r, e = records(spark, sf_dir), index(spark, sf_dir)
+    own = e.filter("vec_id % 100 = 0")
+    tags = e.filter(F.col("label").isin(*TAG_LABELS)).select(F.col("vec_id").alias("tag"), "embedding", F.slice("embedding", 37, 12).alias("q"))
+    questions = own.select(F.col("vec_id").alias("qid"), *[F.slice("embedding", a, n).alias(k) for k, (a, n) in SLICES.items()])
+    found = M.answered(r, questions, tag_vectors=tags, tags_asked=own.select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q")), threshold=TAG_THRESHOLD)
+    return found.select("qid", "rank", "vec_id", "source", F.round("score", 6).alias("score"), F.array_join(F.transform("near", lambda n: n.cast("string")), ",").alias("near"))
