@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import evaluation_queries, graph_queries, result_queries, retrieval_queries, text_queries  # noqa: F401  queries register on import
+from . import evaluation_queries, graph_queries, result_queries, retrieval_queries, stream_queries, text_queries  # noqa: F401  queries register on import
 from .registry import ORACLES, QUERIES
 
 
