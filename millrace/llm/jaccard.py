@@ -267,7 +267,9 @@ def linked(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, apart: boo
     rows_of_sets = written(map_batches(rows, lambda b: _set_rows(b, n, percent, key, counters), _SET), "jaccard-sets", free=False)
     every = rows_of_sets.filter("counters is null")
     classes = every.filter("n > 0").groupBy("a", "b").agg(F.min(F.struct("did", "sig")).alias("least"))
-    nodes = written(classes.select(F.monotonically_increasing_id().alias("node"), "a", "b", "least.*"), "jaccard-nodes", free=False)
+    # numbered in order of ids: a pivot, its smallest node, is what stood there first, of which copies are likelier made than of them
+    in_order = classes.select("a", "b", "least.*").orderBy("did", "sig")
+    nodes = written(in_order.select(F.monotonically_increasing_id().alias("node"), "a", "b", "did", "sig"), "jaccard-nodes", free=False)
     sets = written(every.select("did", "sig", "n", "a", "b").distinct().join(nodes.select("a", "b", "node"), ["a", "b"], "left").drop("a", "b"), "jaccard-classes", free=False)
     counts = spark.sparkContext.broadcast(_sketch(rows_of_sets, counters))
     prefixes = written(map_batches(rows, lambda b: _prefix_rows(b, n, percent, key, counts), "t long, same long, n int, pos int"), "jaccard-prefixes", free=False)
