@@ -45,8 +45,20 @@ def regular_spans(text: Column, size: int = 500, overlap: int = 50) -> Column:
         grown = bound(end_of(blocks, s["start"]), lambda end: F.struct(F.greatest(end - overlap, s["start"] + 1).alias("start"), F.concat(s["spans"], F.array(F.struct(s["start"].alias("start"), end.alias("end")))).alias("spans")))
         return F.when(s["start"] < n, grown).otherwise(s)
 
-    steps = F.sequence(F.lit(1), F.floor(n / least).cast("int") + 1)
-    return bound(blocked(text, size), lambda blocks: F.aggregate(steps, state, lambda s, _: step(blocks, s))["spans"])
+    # steps in segments of about the root of their number, each with spans of its own: no array of all spans is copied again and again
+    length = F.ceil(F.sqrt(F.floor(n / least) + 1)).cast("int")
+    segment = F.sequence(F.lit(1), length)
+    several = F.struct(F.lit(0).alias("start"), F.array().cast("array<array<struct<start:int,end:int>>>").alias("parts"))
+
+    def fold(blocks: Column) -> Column:
+        def further(s: Column) -> Column:
+            own = F.aggregate(segment, F.struct(s["start"].alias("start"), state["spans"].alias("spans")), lambda t, _: step(blocks, t))
+            grown = bound(own, lambda t: F.struct(t["start"].alias("start"), F.concat(s["parts"], F.array(t["spans"])).alias("parts")))
+            return F.when(s["start"] < n, grown).otherwise(s)
+
+        return F.flatten(F.aggregate(segment, several, lambda s, _: further(s))["parts"])
+
+    return bound(blocked(text, size), fold)
 
 
 def blocked(text: Column, size: int) -> Column:
@@ -92,10 +104,13 @@ _INLINE = SPACE.replace(r"[\t-\r", r"[\t\x0b-\r")  # white space within a line
 _AT_MARKER = rf"(?md)^(?={_INLINE}*(?:{'|'.join(MARKERS)}){_INLINE}*$)"
 
 
-def markers(text: Column) -> Column:
-    """Array of (kind, position, line_number, title) of the lines that are #CHAPTER, #SECTION or #FORMULA when
-    stripped; the title is the next line, stripped. The text is parted at these lines, so the fold goes over markers."""
-    state = F.struct(F.lit(0).alias("i"), F.lit(0).alias("at"), F.lit(0).alias("line"), F.array().cast("array<struct<kind:string,position:int,line_number:int,title:string>>").alias("found"))
+_MARKER = "kind:string,position:int,line_number:int,title:string"
+
+
+def parted(text: Column) -> Column:
+    """(pieces, found): the text parted at its marker lines, and its markers in order with `i`, the piece that each begins, and
+    `chapter`, the title of the last chapter up to it. The fold goes over pieces, and takes the chapter along."""
+    state = F.struct(F.lit(0).alias("i"), F.lit(0).alias("at"), F.lit(0).alias("line"), F.lit(None).cast("string").alias("chapter"), F.array().cast(f"array<struct<{_MARKER},i:int,chapter:string>>").alias("found"))
 
     def read(pieces: Column) -> Column:
         def step(s: Column, piece: Column) -> Column:
@@ -104,16 +119,26 @@ def markers(text: Column) -> Column:
             after = F.get(pieces, s["i"] + 1)  # begins with a marker's line
             line = F.when(F.length(piece) > F.length(head), F.substring_index(F.when((behind == "") & after.isNotNull(), after).otherwise(behind), "\n", 1))
             kind = F.coalesce(*[F.when(strip(head) == mark, F.lit(kind)) for mark, kind in MARKERS.items()])
-            title = F.coalesce(strip(line), F.concat(F.lit("Unknown "), F.initcap(kind)))
-            found = F.struct(kind.alias("kind"), s["at"].alias("position"), (s["line"] + 1).alias("line_number"), title.alias("title"))
-            lines = F.length(piece) - F.length(F.replace(piece, F.lit("\n"), F.lit("")))
-            return F.struct((s["i"] + 1).alias("i"), (s["at"] + F.length(piece)).alias("at"), (s["line"] + lines).alias("line"), F.when(kind.isNotNull(), F.concat(s["found"], F.array(found))).otherwise(s["found"]).alias("found"))
 
-        return F.aggregate(pieces, state, step)["found"]
+            def grown(named: Column) -> Column:
+                chapter = F.when(named["kind"] == "chapter", named["title"]).otherwise(s["chapter"])
+                found = F.struct(named["kind"].alias("kind"), s["at"].alias("position"), (s["line"] + 1).alias("line_number"), named["title"].alias("title"), s["i"].alias("i"), chapter.alias("chapter"))
+                lines = F.length(piece) - F.length(F.replace(piece, F.lit("\n"), F.lit("")))
+                return F.struct((s["i"] + 1).alias("i"), (s["at"] + F.length(piece)).alias("at"), (s["line"] + lines).alias("line"), chapter.alias("chapter"), F.when(named["kind"].isNotNull(), F.concat(s["found"], F.array(found))).otherwise(s["found"]).alias("found"))
+
+            return bound(F.struct(kind.alias("kind"), F.coalesce(strip(line), F.concat(F.lit("Unknown "), F.initcap(kind))).alias("title")), grown)
+
+        return F.struct(pieces.alias("pieces"), F.aggregate(pieces, state, step)["found"].alias("found"))
 
     return bound(F.split(text, _AT_MARKER), read)
 
 
+def markers(text: Column) -> Column:
+    """Array of (kind, position, line_number, title) of the lines that are #CHAPTER, #SECTION or #FORMULA when
+    stripped; the title is the next line, stripped."""
+    return F.transform(parted(text)["found"], lambda m: F.struct(*[m[c].alias(c) for c in ("kind", "position", "line_number", "title")]))
+
+
 def marker_rows(docs: DataFrame, keys: Sequence[str]) -> DataFrame:
     """One row per marker: the keys, kind, position, line_number, title."""
     return docs.select(*keys, F.explode(markers(F.col("text"))).alias("m")).select(*keys, "m.*")
@@ -123,10 +148,12 @@ def _of_kind(found: Column, kind: str) -> Column:
     return F.filter(found, lambda m: m["kind"] == kind)
 
 
-def _blocks(text: Column, heads: Column) -> Column:
-    """Each marker with the stripped text from it to the next of its kind."""
-    end = lambda i: F.coalesce(F.get(heads, i + 1)["position"], F.length(text))
-    return F.transform(heads, lambda m, i: F.struct(m["title"].alias("title"), m["position"].alias("position"), strip(cut(text, m["position"], end(i))).alias("text")))
+def _blocks(read: Column, kind: str) -> Column:
+    """Each marker of a kind with the stripped text from it to the next of its kind: its pieces put together, so that all
+    texts are read once. read: what `parted` gives."""
+    pieces = read["pieces"]
+    end = lambda heads, i: F.coalesce(F.get(heads, i + 1)["i"], F.size(pieces))
+    return bound(_of_kind(read["found"], kind), lambda heads: F.transform(heads, lambda m, i: F.struct(m["title"].alias("title"), m["chapter"].alias("chapter"), strip(F.array_join(F.slice(pieces, m["i"] + 1, end(heads, i) - m["i"]), "")).alias("text"))))
 
 
 # --- by chapter and section ----------------------------------------------------------------------
@@ -137,45 +164,40 @@ def chapter_chunks(text: Column, fallback: int = 2000, max_tokens: int = MAX_TOK
     left out."""
 
     def of_chapter(c: Column) -> Column:
-        def by_section(found: Column) -> Column:
+        def by_section(read: Column) -> Column:
             def of_section(s: Column) -> Column:
                 title = F.concat(c["title"], F.lit(" - "), s["title"])
                 whole = F.array(_chunk(s["text"], F.lit("chapter_section"), title, c["title"], s["title"], tokens(s["text"]), F.lit(True)))
                 return F.when(tokens(s["text"]) <= max_tokens, whole).otherwise(_parts(s["text"], fallback, overlap, "chapter_section_part", title, c["title"], s["title"]))
 
-            sections = _blocks(c["text"], found)
             pieces = _parts(c["text"], fallback, overlap, "chapter_part", c["title"], c["title"], _null())
-            return F.when(F.size(found) > 0, F.flatten(F.transform(sections, of_section))).otherwise(pieces)
+            return bound(_blocks(read, "section"), lambda sections: F.when(F.size(sections) > 0, F.flatten(F.transform(sections, of_section))).otherwise(pieces))
 
         whole = F.array(_chunk(c["text"], F.lit("semantic_chapter"), c["title"], c["title"], _null(), tokens(c["text"]), F.lit(True)))
-        return F.when(tokens(c["text"]) <= max_tokens, whole).otherwise(bound(_of_kind(markers(c["text"]), "section"), by_section))
+        return F.when(tokens(c["text"]) <= max_tokens, whole).otherwise(bound(parted(c["text"]), by_section))
 
-    def cut_up(found: Column) -> Column:
-        chapters = F.filter(_blocks(text, found), lambda c: c["text"] != "")
+    def cut_up(read: Column) -> Column:
         pieces = _parts(text, fallback, overlap, "regular", None, _null(), _null())
-        return F.when(F.size(found) > 0, F.flatten(F.transform(chapters, of_chapter))).otherwise(pieces)
+        return bound(_blocks(read, "chapter"), lambda chapters: F.when(F.size(chapters) > 0, F.flatten(F.transform(F.filter(chapters, lambda c: c["text"] != ""), of_chapter))).otherwise(pieces))
 
-    return F.when(is_blank(text), F.array().cast(f"array<{CHUNK}>")).otherwise(bound(_of_kind(markers(text), "chapter"), cut_up))
+    return F.when(is_blank(text), F.array().cast(f"array<{CHUNK}>")).otherwise(bound(parted(text), cut_up))
 
 
 def section_chunks(text: Column, fallback: int = 1500, max_tokens: int = MAX_TOKENS, tokens: Tokens = token_estimate) -> Column:
     """Chunks of whole sections, titled with the last chapter before them; too long ones in pieces of fixed size; a
     text without sections by chapters. Text before the first section is left out."""
 
-    def cut_up(found: Column) -> Column:
-        heads, chapters = _of_kind(found, "section"), _of_kind(found, "chapter")
-
+    def cut_up(read: Column) -> Column:
         def of_section(s: Column) -> Column:
-            above = F.filter(chapters, lambda c: c["position"] <= s["position"])
-            chapter = F.coalesce(F.get(above, F.size(above) - 1)["title"], F.lit("Unknown Chapter"))
+            chapter = F.coalesce(s["chapter"], F.lit("Unknown Chapter"))
             title = F.concat(chapter, F.lit(" - "), s["title"])
             whole = F.array(_chunk(s["text"], F.lit("semantic_section"), title, chapter, s["title"], tokens(s["text"]), F.lit(True)))
             return F.when(tokens(s["text"]) <= max_tokens, whole).otherwise(_parts(s["text"], fallback, 100, "section_part", title, chapter, s["title"]))
 
-        sections = F.filter(_blocks(text, heads), lambda s: s["text"] != "")
-        return F.when(F.size(heads) > 0, F.flatten(F.transform(sections, of_section))).otherwise(chapter_chunks(text, fallback, max_tokens, tokens))
+        by_chapter = chapter_chunks(text, fallback, max_tokens, tokens)
+        return bound(_blocks(read, "section"), lambda sections: F.when(F.size(sections) > 0, F.flatten(F.transform(F.filter(sections, lambda s: s["text"] != ""), of_section))).otherwise(by_chapter))
 
-    return F.when(is_blank(text), F.array().cast(f"array<{CHUNK}>")).otherwise(bound(markers(text), cut_up))
+    return F.when(is_blank(text), F.array().cast(f"array<{CHUNK}>")).otherwise(bound(parted(text), cut_up))
 
 
 def hybrid_chunks(text: Column, by: str = "section", size: int = 1000, max_tokens: int = MAX_TOKENS, tokens: Tokens = token_estimate) -> Column:
@@ -209,12 +231,12 @@ def register(method: str, cutter: Callable[..., Column], size: int) -> None:
 def measured(text: Column) -> Column:
     """The distinct texts of a text whose tokens a chunker may ask for: its chapters, its sections, and theirs."""
 
-    def of(found: Column) -> Column:
-        chapters, sections = _blocks(text, _of_kind(found, "chapter")), _blocks(text, _of_kind(found, "section"))
-        inner = F.flatten(F.transform(chapters, lambda c: F.transform(_blocks(c["text"], _of_kind(markers(c["text"]), "section")), lambda s: s["text"])))
+    def of(read: Column) -> Column:
+        chapters, sections = _blocks(read, "chapter"), _blocks(read, "section")
+        inner = F.flatten(F.transform(chapters, lambda c: F.transform(bound(parted(c["text"]), lambda own: _blocks(own, "section")), lambda s: s["text"])))
         return F.array_distinct(F.concat(F.transform(chapters, lambda c: c["text"]), F.transform(sections, lambda s: s["text"]), inner))
 
-    return F.coalesce(bound(markers(text), of), F.array().cast("array<string>"))
+    return F.coalesce(bound(parted(text), of), F.array().cast("array<string>"))
 
 
 def chunked(docs: DataFrame, keys: Sequence[str], method: str = "regular", size: int | None = None, tokenizer: Counter | None = None, **options) -> DataFrame:

@@ -232,3 +232,15 @@ def extractor_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
 def prompt_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "documents").select("doc_id", F.explode(X.prompt_lines(F.col("text"))).alias("line"))
     return rows.groupBy("doc_id", "line").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""with {_BOOKS}, {_LINES} select k.doc_id, k.position, k.title as section_title,
+(select max_by(c.title, c.position) from k c where c.doc_id = k.doc_id and c.kind = 'chapter' and c.position <= k.position) as chapter_title from k where kind = 'section'""")
+def sections_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sections with the chapter that they stand in, as rows: an as-of join of two kinds of markers."""
+    from ..operators.asof import as_of
+
+    found = C.marker_rows(books(spark, sf_dir), ["doc_id"])
+    chapters = found.filter("kind = 'chapter'").select("doc_id", "position", F.col("title").alias("chapter_title"))
+    sections = found.filter("kind = 'section'").select("doc_id", "position", F.col("title").alias("section_title"))
+    return as_of(sections, chapters, "doc_id", "position", ["chapter_title"])
