@@ -27,11 +27,10 @@ def regular_spans(text: Column, size: int = 500, overlap: int = 50) -> Column:
     else after the last blank line among their last 200; each begins `overlap` before the end of the one before."""
     if size <= overlap:
         raise ValueError("size must exceed overlap")
-    n = F.length(text)
     least = max(1, size - 197 - overlap)
     state = F.struct(F.lit(0).alias("start"), F.array().cast("array<struct<start:int,end:int>>").alias("spans"))
 
-    def end_of(blocks: Column, start: Column) -> Column:
+    def end_of(blocks: Column, n: Column, start: Column) -> Column:
         hard = start + size
         window = within(blocks, start, hard, size)
 
@@ -41,24 +40,26 @@ def regular_spans(text: Column, size: int = 500, overlap: int = 50) -> Column:
 
         return F.when(hard < n, bound(window, soft)).otherwise(hard)
 
-    def step(blocks: Column, s: Column) -> Column:
-        grown = bound(end_of(blocks, s["start"]), lambda end: F.struct(F.greatest(end - overlap, s["start"] + 1).alias("start"), F.concat(s["spans"], F.array(F.struct(s["start"].alias("start"), end.alias("end")))).alias("spans")))
+    def step(blocks: Column, n: Column, s: Column) -> Column:
+        grown = bound(end_of(blocks, n, s["start"]), lambda end: F.struct(F.greatest(end - overlap, s["start"] + 1).alias("start"), F.concat(s["spans"], F.array(F.struct(s["start"].alias("start"), end.alias("end")))).alias("spans")))
         return F.when(s["start"] < n, grown).otherwise(s)
 
     # steps in segments of about the root of their number, each with spans of its own: no array of all spans is copied again and again
-    length = F.ceil(F.sqrt(F.floor(n / least) + 1)).cast("int")
-    segment = F.sequence(F.lit(1), length)
     several = F.struct(F.lit(0).alias("start"), F.array().cast("array<array<struct<start:int,end:int>>>").alias("parts"))
 
-    def fold(blocks: Column) -> Column:
+    def fold(known: Column) -> Column:
+        blocks, n, segment = known["blocks"], known["n"], known["segment"]
+
         def further(s: Column) -> Column:
-            own = F.aggregate(segment, F.struct(s["start"].alias("start"), state["spans"].alias("spans")), lambda t, _: step(blocks, t))
+            own = F.aggregate(segment, F.struct(s["start"].alias("start"), state["spans"].alias("spans")), lambda t, _: step(blocks, n, t))
             grown = bound(own, lambda t: F.struct(t["start"].alias("start"), F.concat(s["parts"], F.array(t["spans"])).alias("parts")))
             return F.when(s["start"] < n, grown).otherwise(s)
 
         return F.flatten(F.aggregate(segment, several, lambda s, _: further(s))["parts"])
 
-    return bound(blocked(text, size), fold)
+    # what the steps ask again and again is computed once, the length of the text too
+    segment = F.sequence(F.lit(1), F.ceil(F.sqrt(F.floor(F.length(text) / least) + 1)).cast("int"))
+    return bound(F.struct(blocked(text, size).alias("blocks"), F.length(text).alias("n"), segment.alias("segment")), fold)
 
 
 def blocked(text: Column, size: int) -> Column:

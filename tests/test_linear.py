@@ -72,3 +72,21 @@ def test_windows_of_blocks(spark):
     for size, overlap in ((500, 50), (1000, 100), (210, 3)):
         got = chunking.chunked(spark.createDataFrame([(1, text)], "doc_id long, text string"), ["doc_id"], size=size, overlap=overlap).orderBy("chunk_index").collect()
         assert [r.text for r in got] == spans(size, overlap)
+
+
+@pytest.mark.parametrize("method", ["semantic_section", "semantic_chapter"])
+def test_semantic_chunks(spark, method):
+    def run(n):
+        rows = chunking.chunked(spark.createDataFrame([(1, book(n))], "doc_id long, text string"), ["doc_id"], method, max_tokens=100)
+        assert rows.count() >= n
+
+    small, large = seconds(run, 2_000, 4_000)
+    assert large < 3 * small + 1
+
+
+def test_regular_chunks(spark):
+    def run(n):
+        assert chunking.chunked(spark.createDataFrame([(1, "word. " * n)], "doc_id long, text string"), ["doc_id"], size=60, overlap=5).count() > n / 20
+
+    small, large = seconds(run, 20_000, 80_000)
+    assert large < 8 * small + 1
