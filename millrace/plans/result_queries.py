@@ -71,3 +71,16 @@ def names_memory(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("select (select count(*) from part) as total_tags, (select count(distinct p_brand) from part) as chapters, (select string_agg(t, ',' order by t) from (select distinct p_type as t from part order by 1 limit 5)) as first_tags")
 def expansion_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.expansion_statistics(table(spark, sf_dir, "part").select(F.col("p_type").alias("tag_zh"), F.col("p_brand").alias("chapter_id")))
+
+
+@query("""select coalesce(d.doc_id, l.doc_id) as doc_id, coalesce(cast(d.n_chars % 7 as int), l.quality) as quality, l.quality as quality_before
+from (select distinct doc_id, n_chars from documents) d full join labels l on l.doc_id = d.doc_id""")
+def merged_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels in a table of commits, upserted by a row of each document, beside the version before."""
+    from ..operators.ordering import folder
+    from ..sources.commits import CommitTable
+
+    labels = CommitTable(spark, folder(spark, "labels"))
+    first = labels.append(table(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("int").alias("quality")))
+    labels.upsert(table(spark, sf_dir, "documents").select("doc_id", (F.col("n_chars") % 7).cast("int").alias("quality")).distinct(), ["doc_id"])
+    return labels.read().join(labels.read(first).select("doc_id", F.col("quality").alias("quality_before")), "doc_id", "left")

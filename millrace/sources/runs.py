@@ -8,10 +8,12 @@ from __future__ import annotations
 
 import json
 import re
+import uuid
 from collections.abc import Callable, Mapping, Sequence
 from datetime import datetime
 from typing import Any
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,7 +29,7 @@ class Store:
     """Files and folders at paths of any file system that Spark reads."""
 
     def __init__(self, spark: SparkSession) -> None:
-        self.jvm, self.conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        self.jvm, self.gateway, self.conf = spark.sparkContext._jvm, spark.sparkContext._gateway, spark.sparkContext._jsc.hadoopConfiguration()
 
     def _at(self, path: str):
         p = self.jvm.org.apache.hadoop.fs.Path(path)
@@ -56,16 +58,44 @@ class Store:
             stream.close()
 
     def write(self, path: str, text: str) -> None:
-        """Writes beside the path and renames, so that a reader never sees half a file."""
-        fs, p = self._at(path)
-        beside = self.jvm.org.apache.hadoop.fs.Path(f"{path}.part")
-        stream = fs.create(beside, True)
+        """Writes beside the path and renames over it in one step: a reader sees the old file or the new one, whenever the writer
+        dies."""
+        self._renamed(self._beside(path, text), path, "OVERWRITE")
+
+    def write_new(self, path: str, text: str) -> bool:
+        """The same, only if nothing is there; whether it was so. Of several writers one finds it so."""
+        beside = self._beside(path, text)
+        try:
+            self._renamed(beside, path, "NONE")
+            return True
+        except Py4JJavaError as e:
+            self.delete(beside)
+            if "FileAlreadyExistsException" in str(e.java_exception) or self.exists(path):
+                return False
+            raise
+
+    def _beside(self, path: str, text: str) -> str:
+        beside = f"{path}.{uuid.uuid4().hex}.part"
+        fs, p = self._at(beside)
+        fs.mkdirs(p.getParent())
+        stream = fs.create(p, True)
         try:
             stream.write(bytearray(text.encode()))
         finally:
             stream.close()
-        fs.delete(p, True)
-        fs.rename(beside, p)
+        return beside
+
+    def _renamed(self, old: str, new: str, how: str) -> None:
+        fs, target = self._at(new)
+        options = self.gateway.new_array(getattr(self.jvm.org.apache.hadoop.fs, "Options$Rename"), 1)
+        options[0] = getattr(getattr(self.jvm.org.apache.hadoop.fs, "Options$Rename"), how)
+        source, target = (fs.makeQualified(self.jvm.org.apache.hadoop.fs.Path(p)) for p in (old, new))
+        self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), self.conf).rename(source, target, options)
+
+    def modified(self, path: str) -> float:
+        """When a file was last changed, in seconds."""
+        fs, p = self._at(path)
+        return fs.getFileStatus(p).getModificationTime() / 1000
 
     def delete(self, path: str) -> None:
         fs, p = self._at(path)
@@ -246,12 +276,17 @@ def checkpoint(tables: Mapping[str, DataFrame], folder: str, next_chapter: int,
 
 
 def resumed(spark: SparkSession, folder: str) -> tuple[dict[str, DataFrame], int]:
-    """The tables of the latest checkpoint and the chapter to go on with; ({}, 0) where there is none."""
-    store, path = Store(spark), f"{folder}/checkpoint_latest.json"
-    if not store.exists(path):
-        return {}, 0
-    state = json.loads(store.read(path))
-    return {name: restore(spark, f"{folder}/{name}", v) for name, v in state["versions"].items()}, int(state["next_chapter_idx"])
+    """The tables of the latest checkpoint and the chapter to go on with; ({}, 0) where there is none. If the latest state is
+    missing, can't be read or names tables that aren't whole, that of the newest time that can be used."""
+    store = Store(spark)
+    for path in [f"{folder}/checkpoint_latest.json", *store.found(f"{folder}/checkpoint_[0-9]*_[0-9]*.json")[::-1]]:
+        try:
+            state = json.loads(store.read(path)) if store.exists(path) else {}
+            if all(v in versions(spark, f"{folder}/{name}") for name, v in state["versions"].items()):
+                return {name: restore(spark, f"{folder}/{name}", v) for name, v in state["versions"].items()}, int(state["next_chapter_idx"])
+        except (ValueError, KeyError):  # not the JSON of a state
+            continue
+    return {}, 0
 
 
 # --- sinks of results ---------------------------------------------------------------------------------
