@@ -54,3 +54,33 @@ where a.event_type = 'click' and b.event_type = 'purchase' and b.ts between a.ts
 def request_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").withColumnRenamed("event_id", "id")
     return W.answered_within(e.filter("event_type = 'click'"), e.filter("event_type = 'purchase'"), "user_id", ANSWER_SECONDS).select("user_id", "request", "response")
+
+
+def _sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sketches of all events a type and day, stored and read again."""
+    from ..operators import sketches as K
+    from ..operators.ordering import written
+
+    return written(K.sketched(table(spark, sf_dir, "events"), ["event_type"], F.col("ts").cast("timestamp"), F.col("user_id"), F.col("value")), "sketches")
+
+
+@query("select event_type, count(*) as n, true as close from events group by event_type")
+def sketched_distincts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users a type by merged sketches of days: whether they are within the stated error of the exact number."""
+    from ..operators import sketches as K
+
+    found = K.estimated(K.merged(_sketches(spark, sf_dir), ["event_type"]), ["event_type"])
+    exact = table(spark, sf_dir, "events").groupBy("event_type").agg(F.countDistinct("user_id").alias("exact"))
+    return found.join(exact, "event_type").select("event_type", "n", (F.abs(F.col("distinct") - F.col("exact")) <= K.DISTINCT_ERROR * F.col("exact")).alias("close"))
+
+
+@query("""select event_type, cast(s * 25 as int) as percent, true as close from (select distinct event_type from events), range(1, 4) t(s)""")
+def sketched_quartiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quartiles a type by merged sketches of days: whether their rank is within the stated error."""
+    from ..operators import sketches as K
+
+    events = table(spark, sf_dir, "events")
+    found = K.estimated(K.merged(_sketches(spark, sf_dir), ["event_type"]), ["event_type"]).select("event_type", F.posexplode("quantiles").alias("i", "q"))
+    ranked = events.join(F.broadcast(found), "event_type").groupBy("event_type", "i").agg((F.count_if(F.col("value") < F.col("q")) / F.count("value")).alias("below"), (F.count_if(F.col("value") <= F.col("q")) / F.count("value")).alias("upto"))  # three rows a type
+    share = (F.col("i") + 1) / 4
+    return ranked.select("event_type", ((F.col("i") + 1) * 25).alias("percent"), ((share >= F.col("below") - K.RANK_ERROR) & (share <= F.col("upto") + K.RANK_ERROR)).alias("close"))

@@ -13,7 +13,7 @@ from ..functions import text as X
 from ..operators import chunking as C
 from ..operators import listings as L
 from ..operators import parsing as P
-from .registry import query, table
+from .registry import ORACLES, query, table
 
 _SP = X.SPACE
 _STRIP = lambda x: f"regexp_replace({x}, '^{_SP}+|{_SP}+$', '', 'g')"
@@ -244,3 +244,25 @@ def sections_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     chapters = found.filter("kind = 'chapter'").select("doc_id", "position", F.col("title").alias("chapter_title"))
     sections = found.filter("kind = 'section'").select("doc_id", "position", F.col("title").alias("section_title"))
     return as_of(sections, chapters, "doc_id", "position", ["chapter_title"])
+
+
+def _registered(spark: SparkSession) -> None:
+    from ..functions.tables import register
+
+    register(spark)
+
+
+@query(ORACLES["regular_chunks"])
+def chunks_in_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chunks of regular_chunks by a table function in SQL."""
+    _registered(spark)
+    return spark.sql("select d.doc_id, c.chunk_index, c.n_chars, c.text, c.title from {documents} d, lateral chunks(d.text, 'regular') c", documents=table(spark, sf_dir, "documents"))
+
+
+@query(f"""with {_BOOKS}, {_LINES} select k.doc_id, k.line_number, k.title as section_title,
+(select max_by(c.title, c.position) from k c where c.doc_id = k.doc_id and c.kind = 'chapter' and c.position <= k.position) as chapter_title from k where kind = 'section'""")
+def sections_in_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sections by a table function over the lines of each book, in order."""
+    _registered(spark)
+    lines = books(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "\n")).alias("at", "line")).selectExpr("doc_id", "at + 1 as line_number", "line")
+    return spark.sql("select doc_id, line_number, section_title, chapter_title from sections(table(select * from {lines}) partition by doc_id order by line_number)", lines=lines)
