@@ -11,7 +11,7 @@ from ..functions.text import comma_list, is_blank, word_count
 from ..sources.providers import Chat, Providers, answered, both_languages, embedded, extracted, one_by_one
 from . import chunking, parsing, retrieval, tags
 from .oplog import apply_log  # noqa: F401  part of what a service offers
-from .ordering import consecutive
+from .ordering import consecutive, discard, written
 
 NOTHING_FOUND = "未找到相关内容。\n\n---\n\nNo relevant content was found."
 WORKFLOWS = ("no_rag", "chunk_rag", "tag_rag")
@@ -21,8 +21,10 @@ def flat_index(files: DataFrame, providers: Providers, method: str = "regular",
     """Chunks of files (path, text) with vec_id, their position, and embedding; blank ones and those that can't be
     embedded are left out. vec_id numbers the chunks in order of file and place."""
     rows = chunking.process_documents(files, method, size, **options).filter(~is_blank(F.col("text")))
-    vectors = rows.withColumn("embedding", embedded(F.col("text"), providers.embed)).filter("embedding is not null")
-    return consecutive(vectors, ["file_path", "chunk_index"])
+    vectors = written(rows.withColumn("embedding", embedded(F.col("text"), providers.embed)).filter("embedding is not null"), "embedded")
+    out = consecutive(vectors, ["file_path", "chunk_index"])  # deals rows in ranges, for which it reads them twice: written before
+    discard(vectors)
+    return out
 
 
 def structured_index(books: DataFrame, providers: Providers, chapter_pattern: str, section_pattern: str, tagged: DataFrame | None = None, kinds: Sequence[str] = ("symptoms", "organs", "formulas", "patterns")) -> DataFrame:
@@ -34,7 +36,10 @@ def structured_index(books: DataFrame, providers: Providers, chapter_pattern: st
     rows = rows.withColumn("full_content", tags.enhanced(F.col("content"), F.col("tags")))
     for kind in kinds:
         rows = rows.withColumn(kind, extracted(F.col("content"), kind, providers.words)).withColumn(f"{kind}_vector", embedded(F.col(kind), providers.embed))
-    return consecutive(rows.withColumn("full_content_vector", embedded(F.col("full_content"), providers.embed)), ["book_id", "pos", "inner_pos", "subsection_index"])
+    vectors = written(rows.withColumn("full_content_vector", embedded(F.col("full_content"), providers.embed)), "embedded")
+    out = consecutive(vectors, ["book_id", "pos", "inner_pos", "subsection_index"])
+    discard(vectors)
+    return out
 
 
 def prompt_of(context: Column, question: Column) -> Column:

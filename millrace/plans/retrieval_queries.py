@@ -9,7 +9,7 @@ from ..operators import cells as C
 from ..operators import listings as L
 from ..operators import ordering as O
 from ..operators import retrieval as R
-from .registry import query, table
+from .registry import ORACLES, query, table
 
 #: Slices of an embedding that stand for a record's vectors: first dimension and length.
 SLICES = {"symptoms_vector": (1, 12), "organs_vector": (13, 12), "formulas_vector": (25, 12), "patterns_vector": (37, 12), "full_content_vector": (49, 16)}
@@ -270,3 +270,16 @@ def structured_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     questions = own.select(F.col("vec_id").alias("qid"), *[F.slice("embedding", a, n).alias(k) for k, (a, n) in SLICES.items()])
     found = M.answered(r, questions, tag_vectors=tags, tags_asked=own.select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q")), threshold=TAG_THRESHOLD)
     return found.select("qid", "rank", "vec_id", "source", F.round("score", 6).alias("score"), F.array_join(F.transform("near", lambda n: n.cast("string")), ",").alias("near"))
+
+
+@query(ORACLES["adjacent_sections"])
+def adjacent_shelved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The neighbours of adjacent_sections from a table bucketed by shelf."""
+    import uuid
+
+    from ..operators import shelves as B
+
+    r = records(spark, sf_dir)
+    shelves = B.shelved(r, f"shelves_{uuid.uuid4().hex}", O.folder(spark, "shelves"), "vec_id")
+    hits = R.settled(R.search(r, asked(spark, sf_dir)).select("vec_id"))
+    return B.adjacent(spark, shelves, B.places_of(spark, shelves, hits))
