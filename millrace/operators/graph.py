@@ -8,11 +8,12 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import bilingual, halves, name_keys, norm, numbered_id, strip
-from .ordering import consecutive, written
+from .ordering import consecutive, discard, written
 
 
 def name_index(nodes: DataFrame) -> DataFrame:
@@ -33,27 +34,76 @@ def added(nodes: DataFrame, new: DataFrame, prefix: str, start: int) -> DataFram
     """New nodes (zh, en, seq, description) that no node has a name of, with ids from start + 1 on in order of seq.
 
     As if they were added one after the other: a new node is left out if a node that was added before it has one of its
-    names. Those whose names no undecided node before them has are added, whatever shares a name with them is left out,
-    and so on until all are decided, so there are as many rounds as the longest chain of shared names, each written.
+    names. In a few rounds those whose names no undecided node before them has are added, and whatever shares a name with them
+    is left out: that settles names which very many share. What is left are chains of shared names; each connected group of
+    them is decided in order, by one fold a group, so the number of rounds doesn't grow with the chains.
     """
     keys = new.select("seq", F.explode(name_keys(bilingual(F.col("zh"), F.col("en")), F.col("zh"), F.col("en"))).alias("key"))
     known = keys.join(name_index(nodes), "key", "left_semi").select("seq").distinct()
     undecided = written(keys.join(known, "seq", "left_anti"), "undecided")
     chosen = []
-    while not undecided.isEmpty():
+    for _ in range(ROUNDS):
+        if undecided.isEmpty():
+            break
         owner = undecided.groupBy("key").agg(F.min("seq").alias("owner"))
         first = undecided.join(owner, "key").groupBy("seq").agg(F.min("owner").alias("least")).filter("least = seq").select("seq")
         first = written(first, "added")
         taken = undecided.join(first, "seq", "left_semi").select("key").distinct()
         out = undecided.join(taken, "key", "left_semi").select("seq").distinct()
-        undecided = written(undecided.join(out, "seq", "left_anti"), "undecided")
+        left = written(undecided.join(out, "seq", "left_anti"), "undecided")
+        discard(undecided)
+        undecided = left
         chosen.append(first)
-    if not chosen:
-        chosen = [new.select("seq").limit(0)]
-    rows = consecutive(new.join(reduce(DataFrame.unionByName, chosen), "seq"), ["seq"], "n")
+    if not undecided.isEmpty():
+        owner = undecided.groupBy("key").agg(F.min("seq").alias("v"))
+        roots = components(undecided.join(owner, "key").select(F.col("seq").alias("u"), "v"))
+        grouped = undecided.join(roots.withColumnRenamed("node", "seq"), "seq", "left").withColumn("root", F.coalesce("root", "seq"))
+        chosen.append(written(grouped.groupBy("root").applyInPandas(_decided, "seq long"), "added"))
+        discard(roots)
+    every = reduce(DataFrame.unionByName, chosen) if chosen else new.select("seq").limit(0)
+    rows = consecutive(new.join(every, "seq"), ["seq"], "n")
+    discard(undecided, *chosen)  # `consecutive` has written what it needs
     return rows.select(numbered_id(prefix, (F.col("n") + start + 1).cast("int")).alias("id"), "zh", "en", "seq", "description")
 
 
+#: Rounds that names which many share are settled by, before connected groups are folded.
+ROUNDS = 3
+
+
+def _decided(group: pd.DataFrame) -> pd.DataFrame:
+    """Which nodes of a connected group are added, one after the other."""
+    taken: set[str] = set()
+    chosen = []
+    for seq, names in group.sort_values("seq").groupby("seq", sort=False)["key"]:
+        if taken.isdisjoint(names):
+            taken.update(names)
+            chosen.append(seq)
+    return pd.DataFrame({"seq": chosen}, dtype="int64")
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, root): the smallest node that each node of edges (u, v) reaches, as a written table. Each step ties nodes to the
+    smallest neighbour of theirs, and that one's to it, so chains halve."""
+    down = lambda df: df.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u != v").distinct()
+    now, before = written(down(edges), "components"), None
+    while True:
+        state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if state == before or not state[0]:
+            out = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
+            out.written_to = now.written_to
+            return out
+        before = state
+        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("low"))
+        # neighbours above a node go to the smallest one around it, then those below it too
+        large = down(both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("low").alias("v")))
+        own = large.groupBy("u").agg(F.min("v").alias("low"))
+        small = down(large.join(own, "u").select(F.col("v").alias("u"), F.col("low").alias("v")).unionByName(own.select("u", F.col("low").alias("v"))))
+        after = written(small, "components")
+        discard(now)
+        now = after
+
+
 def edited(nodes: DataFrame, changes: DataFrame) -> DataFrame:
     """nodes with the non-empty fields of changes(id, new_zh, new_en, new_desc_zh, new_desc_en, and for nodes that have
     herbal_treatments new_herbal_zh, new_herbal_en) in place of theirs; a half that is empty keeps what was."""
