@@ -38,7 +38,7 @@ def batch_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("prompt_index", F.col("r.custom_id").alias("custom_id"), content(1).alias("prompt"), content(0).alias("system_prompt"))
 
 
-_RESULTS = "x as (select event_id, event_type = 'error' as failed, case when event_type = 'error' then 0 else cast(floor(value) as integer) + 1 end as tokens_used from events where event_id % 9 <> 0)"
+_RESULTS = "x as (select event_id, event_type = 'error' as failed, case when event_type = 'error' then 0 else cast(floor(value) as integer) + 1 end as tokens_used from events where event_type <> 'view')"
 
 
 def _results(spark: SparkSession, sf_dir: str, by_rank: bool = False) -> DataFrame:
@@ -46,7 +46,7 @@ def _results(spark: SparkSession, sf_dir: str, by_rank: bool = False) -> DataFra
     bad = F.col("event_type") == "error"
     body = F.struct(F.lit("some-model").alias("model"), F.array(F.struct(F.struct(F.concat(F.lit("answer "), F.col("event_id").cast("string")).alias("content")).alias("message"))).alias("choices"), F.struct(F.floor("value").cast("int").alias("prompt_tokens"), F.lit(1).alias("completion_tokens")).alias("usage"))
     line = F.to_json(F.struct(F.concat(F.lit("request-"), F.col("event_id").cast("string")).alias("custom_id"), F.when(bad, F.struct(F.lit("quota").alias("message"))).alias("error"), F.when(~bad, F.struct(body.alias("body"))).alias("response")))
-    lines = events.filter("event_id % 9 <> 0").select(line.alias("value"))
+    lines = events.filter("event_type <> 'view'").select(line.alias("value"))
     prompts = events.select(F.col("event_id").alias("prompt_index"), F.concat(F.lit("prompt "), F.col("event_id").cast("string")).alias("prompt"))
     return E.batch_results(lines, prompts, by_rank)
 

@@ -77,10 +77,10 @@ def section_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("o_orderkey", F.size("tags").cast("long").alias("n_tags"), T.enhanced(F.concat(F.lit("text of "), F.col("o_orderkey").cast("string")), F.col("tags")).alias("content"))
 
 
-@query("select p_partkey, p_type as tag_zh from part where p_type in (select p_type from part where p_partkey % 10 = 0 and p_name <> '' and p_type <> '')")
+@query("select p_partkey, p_type as tag_zh from part where p_type in (select p_type from part where p_size <= 5 and p_name <> '' and p_type <> '')")
 def tag_semi_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     tags = table(spark, sf_dir, "part").select("p_partkey", F.col("p_type").alias("tag_zh"))
-    names = table(spark, sf_dir, "part").filter("p_partkey % 10 = 0 and p_name <> '' and p_type <> ''").select(F.col("p_type").alias("tag_zh"))
+    names = table(spark, sf_dir, "part").filter("p_size <= 5 and p_name <> '' and p_type <> ''").select(F.col("p_type").alias("tag_zh"))
     return T.selected(tags, names).select("p_partkey", "tag_zh")
 
 
@@ -152,12 +152,12 @@ def link_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.link_status(asked).select("o_orderkey", "status")
 
 
-@query("""with c as (select p_partkey as id, case when p_partkey % 2 = 0 then 'N' || p_partkey else '' end as zh, case when p_partkey % 4 = 0 then 'E' || p_partkey end as en, case when p_partkey % 3 = 0 then 'D' || p_partkey end as dz from part where p_partkey % 5 = 0)
+@query("""with c as (select p_partkey as id, case when p_partkey % 2 = 0 then 'N' || p_partkey else '' end as zh, case when p_partkey % 4 = 0 then 'E' || p_partkey end as en, case when p_partkey % 3 = 0 then 'D' || p_partkey end as dz from part)
 select p_partkey as id, case when c.zh <> '' then c.zh else p_brand end || ' / ' || coalesce(c.en, p_name) as name, case when c.dz is not null then c.dz else p_type end || ' / ' || p_brand as description from part left join c on c.id = p_partkey""")
 def edit_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("p_partkey")
     named = lambda letter: F.concat(F.lit(letter), key.cast("string"))
-    changes = table(spark, sf_dir, "part").filter(key % 5 == 0).select(key.alias("id"), F.when(key % 2 == 0, named("N")).otherwise("").alias("new_zh"), F.when(key % 4 == 0, named("E")).alias("new_en"), F.when(key % 3 == 0, named("D")).alias("new_desc_zh"), F.lit(None).cast("string").alias("new_desc_en"))
+    changes = table(spark, sf_dir, "part").select(key.alias("id"), F.when(key % 2 == 0, named("N")).otherwise("").alias("new_zh"), F.when(key % 4 == 0, named("E")).alias("new_en"), F.when(key % 3 == 0, named("D")).alias("new_desc_zh"), F.lit(None).cast("string").alias("new_desc_en"))
     return G.edited(nodes(spark, sf_dir), changes).select("id", "name", "description")
 
 
@@ -172,9 +172,9 @@ def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.catalog_lines(nodes(spark, sf_dir))
 
 
-@query(f"with {_EDGES} select syndrome, symptom, coalesce(p_brand || ' / ' || p_name, '<missing>') as name from edges left join part on p_partkey = symptom and p_partkey % 4 <> 0")
+@query(f"with {_EDGES} select syndrome, symptom, coalesce(p_brand || ' / ' || p_name, '<missing>') as name from edges left join part on p_partkey = symptom and p_brand <> 'Brand#13'")
 def hydrated_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.hydrated(edges(spark, sf_dir), nodes(spark, sf_dir).filter("id % 4 <> 0")).select("syndrome", "symptom", "name")
+    return G.hydrated(edges(spark, sf_dir), nodes(spark, sf_dir).filter("zh <> 'Brand#13'")).select("syndrome", "symptom", "name")
 
 
 @query(f"with {_EDGES} select p_partkey as id, coalesce(array_to_string(list_sort(list(syndrome) filter (syndrome is not null)), ','), '') as syndromes from part left join edges on symptom = p_partkey group by p_partkey")
