@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..errors import InvalidInput
 from ..functions.vectors import cosine, present
 from .retrieval import DIGITS, asked_blocks, unit_rows
 
@@ -84,7 +85,7 @@ def built(rows: DataFrame, path: str, id_column: str, vector: str = "embedding",
     own = rows.select(F.col(id_column), F.col(vector).cast("array<double>").alias("v")).filter(present(F.col("v")))
     some = own.orderBy(F.xxhash64(id_column), id_column).limit(sample).select("v").toArrow().column("v").combine_chunks()  # SAMPLE vectors
     if not len(some):
-        raise ValueError("no vectors to index")
+        raise InvalidInput("no vectors to index")
     dims = len(some[0])
     points = unit_rows(some)[1][dims][1]
     n = own.count()

@@ -12,6 +12,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..errors import InvalidInput
 from ..functions.text import SPACE, bound, cut, is_blank, rfind, strip, token_estimate
 from ..functions.tokens import Counter, counted, looked_up
 
@@ -26,7 +27,7 @@ def regular_spans(text: Column, size: int = 500, overlap: int = 50) -> Column:
     """Array of (start, end): windows of `size` that end after the last full stop among their last 100 characters, or
     else after the last blank line among their last 200; each begins `overlap` before the end of the one before."""
     if size <= overlap:
-        raise ValueError("size must exceed overlap")
+        raise InvalidInput("size must exceed overlap")
     least = max(1, size - 197 - overlap)
     state = F.struct(F.lit(0).alias("start"), F.array().cast("array<struct<start:int,end:int>>").alias("spans"))
 
@@ -244,7 +245,7 @@ def chunked(docs: DataFrame, keys: Sequence[str], method: str = "regular", size:
     """One row per chunk: the keys, chunk_index and the chunk's fields, char_count among them. tokenizer: counts the tokens
     of a list of texts; without one they are estimated."""
     if method not in METHODS:
-        raise ValueError(f"unknown chunking method {method!r}; there are {', '.join(METHODS)}")
+        raise InvalidInput(f"unknown chunking method {method!r}; there are {', '.join(METHODS)}")
     cutter, default = METHODS[method]
     if tokenizer is not None:
         docs = docs.withColumn("_texts", measured(F.col("text"))).withColumn("_tokens", counted(F.col("_texts"), tokenizer))

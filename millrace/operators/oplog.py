@@ -15,6 +15,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..errors import InvalidInput
 from ..functions.text import bilingual, id_number, name_keys
 from ..sources.providers import Chat, parse_arguments
 from . import graph
@@ -152,7 +153,7 @@ class Fold:
     def asked(self, node: Node, notes: str) -> dict:
         """A model's longer description; without an answer in JSON the old halves stay."""
         if self.chat is None:
-            raise ValueError("expanding a node needs a chat provider")
+            raise InvalidInput("expanding a node needs a chat provider")
         fields = ["description_zh", "description_en"] + (["herbal_zh", "herbal_en"] if node.kind == "syndrome" else [])
         lines = [f"Write a fuller description of this {node.kind} of traditional Chinese medicine: Chinese, then the same in English.", f"Answer with one JSON object that has the keys {', '.join(fields)} and nothing else.", f"Name: {node.name}", f"Description: {node.description}"]
         lines += [f"Herbal treatments: {node.herbal}"] if node.kind == "syndrome" else []
@@ -186,6 +187,10 @@ def _text(x) -> str:
     return x if isinstance(x, str) else ""
 
 
+#: Names in one log at most: they, and the nodes that have them, are on the driver while it is folded.
+MOST_NAMED = 100_000
+
+
 def apply_log(nodes: DataFrame, edges: DataFrame, log: Sequence[dict], chat: Chat | None = None, context: str = "") -> tuple[DataFrame, DataFrame, list[str]]:
     """Applies tool calls ({op, args}) in order to the nodes and edges of a graph, with a message for each; an unknown or
     failing call changes nothing. Calls see what those before them did. A split copies the edges that its parent has at
@@ -223,7 +228,9 @@ def _fold_over(nodes: DataFrame, edges: DataFrame, keys: list[str], chat: Chat |
     spark = nodes.sparkSession
     row = F.struct("id", "kind", "zh", "en", "seq", "description", HERBAL).alias("node")
     named = nodes.select("kind", "seq", row, F.explode(name_keys(bilingual(F.col("zh"), F.col("en")), F.col("zh"), F.col("en"))).alias("key"))
-    asked = F.broadcast(spark.createDataFrame([(k,) for k in keys], "key string"))  # the names in one log
+    if len(keys) > MOST_NAMED:
+        raise InvalidInput(f"a log of more than {MOST_NAMED} names: apply it in parts, one after the other")
+    asked = F.broadcast(spark.createDataFrame([(k,) for k in keys], "key string"))  # MOST_NAMED names at most, and a node of each kind for each
     found = named.join(asked, "key").groupBy("kind", "key").agg(F.max_by("node", "seq").alias("node")).collect()
     index: dict[str, dict[str, str]] = {k: {} for k in KINDS}
     own: dict[str, Node] = {}

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..errors import InvalidInput
 from ..functions.text import is_blank
 from .evaluation import ratio
 
@@ -80,14 +81,14 @@ def require(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """df, if it has all the columns; else an error that names those it lacks."""
     missing = [k for k in keys if k not in df.columns]
     if missing:
-        raise ValueError(f"{', '.join(missing)} required")
+        raise InvalidInput(f"{', '.join(missing)} required")
     return df
 
 
 def write_run(responses: DataFrame, benchmark: DataFrame, folder: str, run_id: str, batch: bool = False) -> None:
     """Both tables of a run as JSON, in a folder each whose name tells the kind of run."""
     if not run_id:
-        raise ValueError("a run needs an id")
+        raise InvalidInput("a run needs an id")
     kind = "batch_" if batch else ""
     responses.write.mode("overwrite").json(f"{folder}/responses_{kind}{run_id}")
     benchmark.write.mode("overwrite").json(f"{folder}/benchmark_{kind}{run_id}")

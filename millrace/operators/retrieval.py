@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..errors import InvalidInput
 from ..functions.vectors import cosine, norm, present, weighted
 from .ordering import placed
 
@@ -28,7 +29,7 @@ WEIGHTS = {"symptoms_vector": 0.3, "organs_vector": 0.2, "formulas_vector": 0.2,
 def few(queries: DataFrame) -> DataFrame:
     """queries, marked for broadcast once their number has been checked."""
     if queries.limit(MOST_QUERIES + 1).count() > MOST_QUERIES:
-        raise ValueError(f"more than {MOST_QUERIES} queries: ask them in blocks")
+        raise InvalidInput(f"more than {MOST_QUERIES} queries: ask them in blocks")
     return F.broadcast(queries)
 
 
@@ -36,7 +37,7 @@ def settled(rows: DataFrame, most: int = MOST_QUERIES) -> DataFrame:
     """Few rows, computed once: whatever is made of them doesn't scan the index again."""
     found = rows.limit(most + 1).collect()
     if len(found) > most:
-        raise ValueError(f"more than {most} rows")
+        raise InvalidInput(f"more than {most} rows")
     return rows.sparkSession.createDataFrame(found, rows.schema)
 
 

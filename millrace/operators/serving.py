@@ -130,10 +130,10 @@ def ask_many(index: DataFrame, questions: Sequence[str], providers: Providers, t
     spark = index.sparkSession
     vectors = one_by_one(providers.embed, questions, 1)  # a question that fails fails alone
     asked = spark.createDataFrame([(k, q, v or None, e) for k, (q, (v, e)) in enumerate(zip(questions, vectors, strict=True))], "qid long, question string, q array<double>, failed string")
-    hits = retrieval.settled(retrieval.top_many(index, asked.select("qid", "q"), top_n, "vec_id").select("qid", "vec_id"), most=max(retrieval.MOST_QUERIES, top_n * len(questions)))
+    hits = written(retrieval.top_many(index, asked.select("qid", "q"), top_n, "vec_id").select("qid", "vec_id"), "hits")  # searched once
     if adjacent:
         hits = hits.select("qid", F.explode(F.array(*[F.col("vec_id") + d for d in (-1, 0, 1)])).alias("vec_id")).distinct()
-    rows = index.select("vec_id", "source", "text").join(F.broadcast(hits), "vec_id")  # a few ids a question
+    rows = index.select("vec_id", "source", "text").join(hits, "vec_id")
     contexts = retrieval.context(rows, F.col("qid"), "vec_id", "source", "text").withColumnRenamed("grp", "qid")
     used = rows.groupBy("qid").agg(F.count(F.lit(1)).alias("chunks_used"))
     joined = asked.drop("q").join(contexts, "qid", "left").join(used, "qid", "left").na.fill(0, ["chunks_used"])

@@ -161,16 +161,18 @@ x as (select a.vec_id as hit, b.vec_id as adjacent, b.pos - a.pos as dist, row_n
 n as (select hit, string_agg(cast(adjacent as varchar), ',' order by dist) as near from x where rn = 1 and dist <> 0 group by hit)
 select cast(row_number() over (order by part, k1, k2) as integer) as rank, vec_id, source, score, near from u left join n on hit = vec_id order by part, k1, k2 limit 8""")
 def structured_question(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A whole structured search: five hits, three more by tags, and what stands beside the hits."""
-    from ..operators import serving as S
+    """A whole structured search: five hits, three more by tags, and what stands beside the hits; the records are scanned once."""
+    from ..operators import many as M
 
     r, e = records(spark, sf_dir), index(spark, sf_dir)
-    tags = e.filter(F.col("label").isin(*TAG_LABELS)).select(F.col("vec_id").alias("tag"), "embedding", F.slice("embedding", 37, 12).alias("q"))
-    own = e.filter(F.col("label") == ASKED_LABEL).select(F.col("embedding").alias("q"))
-    order, near = S.searched_by(r, asked(spark, sf_dir), tag_vectors=tags, threshold=TAG_THRESHOLD, asked=own)
-    beside = near.filter("dist <> 0").groupBy(F.col("hit").alias("vec_id")).agg(F.array_sort(F.collect_list(F.struct("dist", "adjacent"))).alias("near"))
-    rows = order.join(beside, "vec_id", "left")
-    return rows.select("rank", "vec_id", "source", F.round("score", 6).alias("score"), F.array_join(F.transform("near", lambda n: n["adjacent"].cast("string")), ",").alias("near"))
+    question = e.filter("vec_id = 0").select(F.col("vec_id").alias("qid"), *[F.slice("embedding", a, n).alias(k) for k, (a, n) in SLICES.items()])
+    own = e.filter(F.col("label") == ASKED_LABEL).select(F.lit(0).cast("long").alias("qid"), F.col("embedding").alias("q"))
+    found = M.answered(r, question, tag_vectors=_tag_vectors(e), tags_asked=own, threshold=TAG_THRESHOLD)
+    return found.select("rank", "vec_id", "source", F.round("score", 6).alias("score"), F.array_join(F.transform("near", lambda n: n.cast("string")), ",").alias("near"))
+
+
+def _tag_vectors(e: DataFrame) -> DataFrame:
+    return e.filter(F.col("label").isin(*TAG_LABELS)).select(F.col("vec_id").alias("tag"), "embedding", F.slice("embedding", 37, 12).alias("q"))
 
 
 @query(f"""with {_INDEX}, s as (select q.vec_id as qid, v.vec_id, {_cos('v.e', 'q.e')} as score from v, v q where q.label = {ASKED_LABEL}),
@@ -266,9 +268,8 @@ def structured_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     r, e = records(spark, sf_dir), index(spark, sf_dir)
     own = e.filter("vec_id % 100 = 0")
-    tags = e.filter(F.col("label").isin(*TAG_LABELS)).select(F.col("vec_id").alias("tag"), "embedding", F.slice("embedding", 37, 12).alias("q"))
     questions = own.select(F.col("vec_id").alias("qid"), *[F.slice("embedding", a, n).alias(k) for k, (a, n) in SLICES.items()])
-    found = M.answered(r, questions, tag_vectors=tags, tags_asked=own.select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q")), threshold=TAG_THRESHOLD)
+    found = M.answered(r, questions, tag_vectors=_tag_vectors(e), tags_asked=own.select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q")), threshold=TAG_THRESHOLD)
     return found.select("qid", "rank", "vec_id", "source", F.round("score", 6).alias("score"), F.array_join(F.transform("near", lambda n: n.cast("string")), ",").alias("near"))
 
 

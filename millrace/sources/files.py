@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..errors import InvalidInput
 from ..functions.text import file_name, suffix
 from . import formats
 
@@ -133,7 +134,7 @@ def prompts(spark: SparkSession, path: str) -> tuple[str, DataFrame]:
     """System prompt and (prompt_index, prompt) of an uploaded file; both keys must be there."""
     row = spark.read.text(path, wholetext=True).select(F.from_json("value", "struct<system_prompt:string,prompts:array<string>>").alias("v")).first()
     if row is None or row.v is None or row.v.system_prompt is None or row.v.prompts is None:
-        raise ValueError("a prompts file needs system_prompt and prompts")
+        raise InvalidInput("a prompts file needs system_prompt and prompts")
     return row.v.system_prompt, cases(spark, path)
 
 

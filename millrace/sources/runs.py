@@ -17,6 +17,7 @@ from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..errors import InvalidInput
 from ..functions.text import file_name
 from .files import restore, run_of, snapshot, versions
 
@@ -116,7 +117,7 @@ def config(spark: SparkSession, path: str, defaults: Mapping[str, Any] | None =
     store = Store(spark)
     found = json.loads(store.read(path)) if store.exists(path) else {}
     if not isinstance(found, dict):
-        raise ValueError(f"{path} isn't a JSON object")
+        raise InvalidInput(f"{path} isn't a JSON object")
     return {**(defaults or {}), **found}
 
 
@@ -163,7 +164,7 @@ def runs(spark: SparkSession, folder: str) -> DataFrame:
 def delete_run(spark: SparkSession, run_id: str, ratings: str, responses: str, benchmarks: str) -> list[str]:
     """Deletes the ratings, responses and benchmarks of exactly this run, in all layouts; gives the paths."""
     if not run_id or "/" in run_id:
-        raise ValueError("a run needs an id")
+        raise InvalidInput("a run needs an id")
     store, name = Store(spark), re.escape(run_id)
     gone = [p for p, _ in store.children(ratings) if re.fullmatch(rf"(run_id=)?{name}|rating_{name}_\d+\.json", p.rsplit("/", 1)[1])]
     for folder, kind in ((responses, "responses"), (benchmarks, "benchmark")):

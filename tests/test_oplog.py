@@ -106,3 +106,10 @@ def test_schemas(spark):
     kind = schemas.arguments_type("split_symptom_node", schemas.graph_tools())
     assert kind.simpleString() == "struct<original_name:string,children:array<struct<name_zh:string,name_en:string,description_zh:string,description_en:string>>>"
     assert len(schemas.arguments_type("tag_section", offered).names) == 12
+
+
+def test_a_log_of_too_many_names(spark, monkeypatch):
+    monkeypatch.setattr(oplog, "MOST_NAMED", 3)
+    calls = [{"op": "add_symptom_node", "args": {"name_zh": f"甲{k}", "name_en": f"a{k}"}} for k in range(4)]
+    with pytest.raises(ValueError, match="in parts"):
+        oplog.apply_log(*base(spark), calls)
