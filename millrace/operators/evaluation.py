@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..settings import Settings
 from .ordering import consecutive
 
 #: Criteria of a rating besides the overall one (fixed values).
@@ -12,6 +13,7 @@ CRITERIA = ("accuracy_rating", "completeness_rating", "clarity_rating", "clinica
 #: States in which a batch job isn't active any more (fixed values).
 ENDED = ("completed", "failed", "cancelled")
 
+#: Fields of a request's and of a result's line (fixed values).
 RESULT = "struct<custom_id:string,error:struct<message:string>,response:struct<body:struct<model:string,choices:array<struct<message:struct<content:string>>>,usage:struct<prompt_tokens:int,completion_tokens:int>>>>"
 
 
@@ -30,6 +32,11 @@ def batch_requests(prompts: DataFrame, model: str, system_prompt: str, temperatu
     return prompts.select("prompt_index", F.to_json(request).alias("line"))
 
 
+def requests_of(prompts: DataFrame, settings: Settings, system_prompt: str) -> DataFrame:
+    """`batch_requests` with the model, temperature and length of the settings."""
+    return batch_requests(prompts, settings.model, system_prompt, settings.temperature, settings.max_tokens)
+
+
 def batch_results(lines: DataFrame, prompts: DataFrame, by_rank: bool = False) -> DataFrame:
     """Responses of result lines (value) with their prompts, joined by the number in custom_id (or by rank, as results
     of an incomplete batch would shift): prompt_index, prompt, response, failed, tokens_used."""

@@ -65,3 +65,15 @@ def test_graph_as_json(spark, tmp_path):
 def test_named_files(spark):
     rows = spark.createDataFrame([("x/responses_1.json",), ("x/responses_1.txt",), ("responses_x/a.json",)], "path string")
     assert [r.path for r in files.named(rows, "responses_", ".json").collect()] == ["x/responses_1.json"]
+
+
+def test_requests_follow_the_settings(spark, tmp_path):
+    import json
+
+    from millrace import settings
+    from millrace.operators import evaluation
+
+    (tmp_path / "s.json").write_text('{"model": "m", "temperature": 0.1, "max_tokens": 7}')
+    prompts = spark.createDataFrame([(0, "p")], "prompt_index long, prompt string")
+    body = json.loads(evaluation.requests_of(prompts, settings.load(spark, str(tmp_path / "s.json")), "be brief").first().line)["body"]
+    assert (body["model"], body["temperature"], body["max_tokens"]) == ("m", 0.1, 7)
