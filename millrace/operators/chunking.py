@@ -158,7 +158,7 @@ def _blocks(read: Column, kind: str) -> Column:
     return bound(_of_kind(read["found"], kind), lambda heads: F.transform(heads, lambda m, i: F.struct(m["title"].alias("title"), m["chapter"].alias("chapter"), strip(F.array_join(F.slice(pieces, m["i"] + 1, end(heads, i) - m["i"]), "")).alias("text"))))
 
 
-# --- by chapter and section ----------------------------------------------------------------------
+# --- by chapter and section (types of chunks and the forms of titles are fixed values) ------------
 
 def chapter_chunks(text: Column, fallback: int = 2000, max_tokens: int = MAX_TOKENS, tokens: Tokens = token_estimate, overlap: int = 200) -> Column:
     """Chunks of whole chapters. A chapter of too many tokens is cut at its sections, and what is still too long, or

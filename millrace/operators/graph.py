@@ -128,6 +128,7 @@ def linked(edges: DataFrame, new: DataFrame) -> DataFrame:
     return edges.unionByName(new).groupBy("syndrome", "symptom").agg(F.min("pos").alias("pos"))
 
 
+# messages of links and of ids that aren't there, here and below, are fixed values
 def link_status(asked: DataFrame) -> DataFrame:
     """asked(syndrome_name, syndrome, symptom_name, symptom): ids are null where nothing was found; a message each."""
     no_syn, no_sym = F.col("syndrome").isNull(), F.col("symptom").isNull()

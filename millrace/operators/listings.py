@@ -82,7 +82,7 @@ def running_total(rows: DataFrame, group: Sequence[str], order: Sequence[str], v
     return rows.withColumn(name, F.sum(value).over(Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
 
 
-# --- summaries -----------------------------------------------------------------------------------
+# --- summaries (the names of their fields are fixed values) ---------------------------------------
 
 def outcomes(rows: DataFrame, failed: Column, seconds: str) -> DataFrame:
     """One row: how many, how many succeeded and failed, seconds in all and on average."""

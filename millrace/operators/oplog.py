@@ -122,6 +122,7 @@ class Fold:
     # --- calls: each gives a message
 
     def apply(self, op: str, args: dict) -> str:
+        # messages that begin with OK: or WARNING:, and the fields of the JSON reply, are fixed values
         name = TOOLS.get(op, op)
         args = {_ALIASES.get(k, k): v for k, v in args.items()}
         if name in ("add_symptom", "add_syndrome"):

@@ -126,6 +126,7 @@ def config(spark: SparkSession, path: str, defaults: Mapping[str, Any] | None =
 def file_of(kind: str, run_id: str | None, at: datetime, batch: bool = False) -> str:
     """Name of a run's file: by its id, or by the time for batches and runs without an id."""
     stamp = at.strftime("%Y%m%d_%H%M%S")
+    # the forms of file names, here and below, are fixed values
     return f"{kind}_{'batch_' + stamp if batch and run_id else run_id or stamp}.json"
 
 
