@@ -22,6 +22,8 @@ from .ordering import placed
 MOST_QUERIES = 10_000
 #: Digits of a similarity that a product of matrices gives: equal vectors score alike, whatever block they are in.
 DIGITS = 12
+#: Similarities that a task holds at once (8 bytes each): questions are multiplied with a batch in tiles of so many.
+TILE = 1 << 19
 #: Weights of the five vectors of a structured record (fixed values).
 WEIGHTS = {"symptoms_vector": 0.3, "organs_vector": 0.2, "formulas_vector": 0.2, "patterns_vector": 0.2, "full_content_vector": 0.1}
 
@@ -147,6 +149,72 @@ def asked_blocks(asked: DataFrame, id_column: str | None = None, vector: str = "
         yield rows.column(id_column).to_pylist() if id_column else [], unit_rows(rows.column(vector).combine_chunks())[1]
 
 
+def tiles(n: int, rows: int) -> Iterator[tuple[int, int]]:
+    """(a, b) of parts of n questions that have TILE similarities to `rows` rows at most, one question at least."""
+    step = max(1, TILE // max(1, rows))
+    return ((a, min(a + step, n)) for a in range(0, n, step))
+
+
+def part_of(block: tuple[np.ndarray, np.ndarray], a: int, b: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of (questions in order, vectors) those of questions a to b, counted from a."""
+    which, m = block
+    i, j = np.searchsorted(which, [a, b])
+    return which[i:j] - a, m[i:j]
+
+
+class Best:
+    """The k rows of highest score of each of n questions, among what a task has seen; of equal scores those of lowest id. Scores
+    of -inf don't count, NaN counts as the highest, as in ORDER BY. once: an id has its best score only."""
+
+    def __init__(self, n: int, k: int, once: bool = False):
+        self.k, self.once = k, once
+        self.scores, self.ids, self.seen = np.full((n, k), -np.inf), None, np.zeros(n, np.int64)
+
+    def add(self, a: int, scores: np.ndarray, ids: pa.Array) -> None:
+        """scores: of the questions from a on to rows with these ids; changed."""
+        if not scores.size or not self.k:
+            return
+        n, own = len(scores), slice(a, a + len(scores))
+        scores[np.isnan(scores)] = np.inf
+        least = self.scores[own, -1]  # -inf until there are k
+        if scores.shape[1] > 4 * self.k and (scores >= least[:, None]).sum() > 4 * self.k * n and (not self.once or len(ids.unique()) == len(ids)):
+            least = np.maximum(least, np.partition(scores, -self.k, axis=1)[:, -self.k])
+        q, at = np.nonzero((scores >= least[:, None]) & (scores > -np.inf))
+        if not len(q):
+            return
+        new = ids.to_numpy(zero_copy_only=False) if not ids.null_count else np.array(ids.to_pylist(), object)
+        if self.ids is None:
+            self.ids = np.zeros(self.scores.shape, new.dtype)
+        elif new.dtype != self.ids.dtype:
+            self.ids = self.ids.astype(object)
+        held_q, held_at = np.nonzero(np.arange(self.k) < self.seen[own, None])
+        q = np.concatenate([held_q, q])
+        score = np.concatenate([self.scores[own][held_q, held_at], scores[q[len(held_q) :], at]])
+        rows = np.concatenate([self.ids[own][held_q, held_at], new[at]])
+        place = rows
+        if rows.dtype == object:
+            order = {x: i for i, x in enumerate(sorted(set(rows.tolist()), key=lambda x: (x is not None, x)))}
+            place = np.array([order[x] for x in rows.tolist()])
+        if self.once:
+            by = np.lexsort((-score, place, q))
+            by = by[np.concatenate([[True], (q[by][1:] != q[by][:-1]) | (place[by][1:] != place[by][:-1])])]
+            q, score, rows, place = q[by], score[by], rows[by], place[by]
+        by = np.lexsort((place, -score, q))
+        q, score, rows = q[by], score[by], rows[by]
+        counts = np.bincount(q, minlength=n)
+        rank = np.arange(len(q)) - np.repeat(np.cumsum(counts) - counts, counts)
+        stays = rank < self.k
+        self.scores[q[stays] + a, rank[stays]], self.ids[q[stays] + a, rank[stays]] = score[stays], rows[stays]
+        self.seen[own] = np.minimum(counts, self.k)
+
+    def rows(self, kind: pa.DataType | None = None) -> tuple[np.ndarray, pa.Array, pa.Array]:
+        """Question, id and score of each row that stays."""
+        q, rank = np.nonzero(np.arange(self.k) < self.seen[:, None])
+        score = self.scores[q, rank]
+        score[score == np.inf] = np.nan
+        return q, pa.array(self.ids[q, rank] if len(q) else [], kind, from_pandas=False), pa.array(score, pa.float64(), from_pandas=False)
+
+
 def similar_tags(tag_vectors: DataFrame, asked: DataFrame, top_k: int = 10, threshold: float = 0.7) -> DataFrame:
     """(tag, similarity): each tag's best similarity to any asked vector (q), at least 0, over the threshold.
 
@@ -174,8 +242,8 @@ def similar_tags(tag_vectors: DataFrame, asked: DataFrame, top_k: int = 10, thre
 def top_many(index: DataFrame, asked: DataFrame, k: int, id_column: str, asked_id: str = "qid", vector: str = "embedding") -> DataFrame:
     """(asked_id, id, score, rank): the k rows of the index that are nearest to each asked vector (q); ties by id.
 
-    Each Arrow batch of the index is multiplied with a block of asked vectors and passes on its own k best of each, so
-    k rows a batch and vector are shuffled. Rows and asked vectors of unequal length, or zero, have score 0.
+    Each Arrow batch of the index is multiplied with a block of asked vectors, in tiles, and each task passes on its own k best of
+    each, so k rows a task and vector are shuffled. Rows and asked vectors of unequal length, or zero, have score 0.
     """
     spark, ids = asked.sparkSession, index.schema[id_column].dataType
     schema = f"{asked_id} {asked.schema[asked_id].dataType.simpleString()}, {id_column} {ids.simpleString()}, score double"
@@ -185,21 +253,19 @@ def top_many(index: DataFrame, asked: DataFrame, k: int, id_column: str, asked_i
 
         def nearest(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             names, block = sent.value
+            best, kind = Best(len(names), k), None
             for batch in batches:
-                if not batch.num_rows:
-                    continue
-                own, (_, vectors) = batch.column("id"), unit_rows(batch.column("v"))
-                order = np.argsort(own.to_numpy(zero_copy_only=False), kind="stable")
-                for size, (which, m) in block.items():
-                    scores = np.zeros((len(which), batch.num_rows))
-                    if size in vectors:
-                        rows, n = vectors[size]
-                        scores[:, rows] = (m @ n.T).round(DIGITS)
-                    scores = scores[:, order]
-                    best = np.argsort(-scores, axis=1, kind="stable")[:, :k]
-                    at = order[best.ravel()]
-                    asked_ids = [names[w] for w in np.repeat(which, best.shape[1]).tolist()]
-                    yield pa.RecordBatch.from_arrays([pa.array(asked_ids), own.take(pa.array(at)), pa.array(np.take_along_axis(scores, best, 1).ravel())], [asked_id, id_column, "score"])
+                kind, (_, vectors) = batch.column("id").type, unit_rows(batch.column("v"))
+                for a, b in tiles(len(names), batch.num_rows):
+                    scores = np.zeros((b - a, batch.num_rows))
+                    for size, (rows, n) in vectors.items():
+                        if size in block:
+                            which, m = part_of(block[size], a, b)
+                            scores[np.ix_(which, rows)] = (m @ n.T).round(DIGITS)
+                    best.add(a, scores, batch.column("id"))
+            which, found, score = best.rows(kind)
+            if len(which):
+                yield pa.RecordBatch.from_arrays([pa.array([names[w] for w in which.tolist()]), found, score], [asked_id, id_column, "score"])
 
         rows = index.select(F.col(id_column).alias("id"), F.col(vector).cast("array<double>").alias("v"))
         parts.append(rows.mapInArrow(nearest, schema))
