@@ -1,7 +1,7 @@
 """Many structured questions at once: weighted search over five vectors, neighbours and tag expansion, keyed by question.
 
 One scan of the records multiplies each Arrow batch with all questions of a block, vector by vector, and in the same scan with
-the vectors that tags are searched by; of each question and tag only its best rows of the batch go on. Everything after that is
+the vectors that tags are searched by, in tiles; of each question and tag only its best rows of the task go on. Everything after that is
 joins and windows by question, so no question waits for another and nothing of them is held by the driver.
 """
 
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.vectors import present
 from .ordering import placed
-from .retrieval import DIGITS, MOST_QUERIES, WEIGHTS, asked_blocks, unit_rows
+from .retrieval import DIGITS, MOST_QUERIES, WEIGHTS, Best, asked_blocks, part_of, tiles, unit_rows
 
 
 def _blocks(asked: DataFrame, key: str, vectors: list[str]) -> Iterator[tuple[list, dict[str, dict[int, tuple[np.ndarray, np.ndarray]]]]]:
@@ -30,17 +30,13 @@ def _blocks(asked: DataFrame, key: str, vectors: list[str]) -> Iterator[tuple[li
         yield rows.column(key).to_pylist(), {v: unit_rows(rows.column(v).combine_chunks())[1] for v in vectors}
 
 
-def _best(scores: np.ndarray, k: int) -> np.ndarray:
-    return np.argsort(-scores, axis=1, kind="stable")[:, :k]
-
-
 def searched(records: DataFrame, asked: DataFrame, id_column: str, top_k: int = 5, weights: Mapping[str, float] | None = None, tag_queries: DataFrame | None = None, tag_vector: str = "patterns_vector", each: int = 2, key: str = "qid") -> tuple[DataFrame, DataFrame | None]:
     """(hits, by_tag) from one scan of the records.
 
     hits(key, id, score, rank): the top_k records of each question of asked(key, a vector of the name of each vector column),
     by weighted similarity: a vector that a record lacks counts nothing, one that the question lacks neither; a record
     without any is left out. by_tag(tag, id, rn): the `each` records nearest to each of tag_queries(tag, q) in `tag_vector`.
-    Ties by id. A row of either goes on from each batch for each rank, so about top_k rows a batch and question are shuffled.
+    Ties by id. A row of either goes on from each task for each rank, so about top_k rows a task and question are shuffled.
     """
     spark = records.sparkSession
     used = {k: float(w) for k, w in (WEIGHTS if weights is None else weights).items() if w > 0 and k in records.columns}
@@ -59,28 +55,25 @@ def searched(records: DataFrame, asked: DataFrame, id_column: str, top_k: int =
         def found(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             question, tag = sent.value
             types = pa.schema([(key, pa_of(q_kind)), ("tag", pa_of(t_kind)), (id_column, pa_of(ids)), ("score", pa.float64())])
+            asks, tagged = Best(len(question[0]) if question else 0, top_k), Best(len(tag[0]) if tag else 0, each)
             for batch in batches:
-                if not batch.num_rows:
-                    continue
-                batch = pa.RecordBatch.from_struct_array(batch.to_struct_array().take(pa.array(np.argsort(batch.column("id").to_numpy(zero_copy_only=False), kind="stable"))))
-                units = {c: unit_rows(batch.column(c)) for c in needed}
-                some = [(question[0], _weighted(question[1], units, used, total, len(question[0])), top_k, True)] if question and question[0] else []
-                if tag and tag[0]:
-                    scores = np.full((len(tag[0]), batch.num_rows), -np.inf)
-                    scores[:, units[tag_vector][0] > 0] = 0.0
-                    for size, (which, m) in tag[1].items():
-                        if size in units[tag_vector][1]:
-                            at, n = units[tag_vector][1][size]
+                own, units = batch.column("id"), {c: unit_rows(batch.column(c)) for c in needed}
+                for a, b in tiles(len(asks.seen), batch.num_rows):
+                    asks.add(a, _weighted(question[1], units, used, total, a, b), own)
+                for a, b in tiles(len(tagged.seen), batch.num_rows):
+                    sizes, vectors = units[tag_vector]
+                    scores = np.full((b - a, batch.num_rows), -np.inf)
+                    scores[:, sizes > 0] = 0.0
+                    for size, (at, n) in vectors.items():
+                        if size in tag[1]:
+                            which, m = part_of(tag[1][size], a, b)
                             scores[np.ix_(which, at)] = (m @ n.T).round(DIGITS)
-                    some.append((tag[0], scores, each, False))
-                for names, scores, most, asks in some:
-                    best = _best(scores, most)
-                    values = np.take_along_axis(scores, best, 1).ravel()
-                    there = values > -np.inf
-                    own = pa.array([names[i] for i in np.repeat(np.arange(len(names)), best.shape[1])[there].tolist()], types.field(0 if asks else 1).type)
-                    none = pa.nulls(len(own), types.field(1 if asks else 0).type)
-                    columns = [own, none] if asks else [none, own]
-                    yield pa.RecordBatch.from_arrays([*columns, batch.column("id").take(pa.array(best.ravel()[there])).cast(types.field(2).type), pa.array(values[there])], schema=types)
+                    tagged.add(a, scores, own)
+            for best, names, at in ((asks, question and question[0], 0), (tagged, tag and tag[0], 1)):
+                which, rows, scores = best.rows(types.field(2).type)
+                if len(which):
+                    columns = [pa.array([names[i] for i in which.tolist()], types.field(at).type), pa.nulls(len(which), types.field(1 - at).type)]
+                    yield pa.RecordBatch.from_arrays([*(columns if at == 0 else columns[::-1]), rows, scores], schema=types)
 
         parts.append(rows.mapInArrow(found, schema))
     every = reduce(DataFrame.unionByName, parts).withColumn("asks", F.col(key).isNotNull())
@@ -95,16 +88,16 @@ def pa_of(kind: str) -> pa.DataType:
     return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
 
 
-def _weighted(question: dict[str, dict[int, tuple[np.ndarray, np.ndarray]]], units: dict[str, tuple], used: dict[str, float], total: float, n: int) -> np.ndarray:
-    """questions by records; -inf where a record has none of the vectors."""
+def _weighted(question: dict[str, dict[int, tuple[np.ndarray, np.ndarray]]], units: dict[str, tuple], used: dict[str, float], total: float, a: int, b: int) -> np.ndarray:
+    """Questions a to b by records; -inf where a record has none of the vectors."""
     there = np.zeros(len(next(iter(units.values()))[0]), bool)
-    out = np.zeros((n, len(there)))
+    out = np.zeros((b - a, len(there)))
     for name, weight in used.items():
         sizes, blocks = units[name]
         there |= sizes > 0
-        for size, (which, m) in question[name].items():
+        for size, block in question[name].items():
             if size in blocks:
-                at, own = blocks[size]
+                (which, m), (at, own) = part_of(block, a, b), blocks[size]
                 out[np.ix_(which, at)] += weight * (m @ own.T)
     out = (out / total).round(DIGITS)
     out[:, ~there] = -np.inf

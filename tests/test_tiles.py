@@ -48,3 +48,11 @@ def test_many_questions_over_a_batch(spark, functions):
     R.top_many(index, asked(spark), 3, "vec_id")
     held, rows = most_held(functions[-1], ["id", "v"])
     assert held < 60 and rows == 3 * QUESTIONS  # of the task, not of each batch
+
+
+def test_structured_questions_over_a_batch(spark, functions):
+    records = spark.createDataFrame([(0, [1.0] * 4)], "vec_id long, patterns_vector array<double>")
+    tags = asked(spark, "tag")
+    M.searched(records, asked(spark, name="patterns_vector"), "vec_id", 5, {"patterns_vector": 1.0}, tags)
+    held, rows = most_held(functions[-1], ["id", "patterns_vector"])
+    assert held < 60 and rows == (5 + 2) * QUESTIONS
