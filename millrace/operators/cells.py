@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from ..errors import InvalidInput
 from ..functions.vectors import cosine, present
-from .retrieval import DIGITS, asked_blocks, unit_rows
+from .retrieval import DIGITS, asked_blocks, tiles, unit_rows
 
 #: Vectors that cells and code words are fitted on at most, and those of them that recall is measured with.
 SAMPLE, MEASURED = 10_000, 200
@@ -179,7 +179,7 @@ def nearest(spark: SparkSession, index: CellIndex, asked: DataFrame, k: int, ask
 
 
 def _scanned(batches: Iterator[pa.RecordBatch], sent, most: int, exact: bool, columns: list[str]) -> Iterator[pa.RecordBatch]:
-    """Of each batch and cell the best rows of each question that searches the cell."""
+    """Of each batch and cell the best rows of each question that searches the cell; questions in tiles."""
     names, m, near, words = sent.value
     products = None if exact else _products(m, words)
     for batch in batches:
@@ -192,14 +192,18 @@ def _scanned(batches: Iterator[pa.RecordBatch], sent, most: int, exact: bool, co
             some = some.sort_by("id") if hasattr(some, "sort_by") else some
             if exact:
                 at, unit = unit_rows(some.column("x"))[1][m.shape[1]]
-                scores = np.zeros((len(asked), some.num_rows))
-                scores[:, at] = (m[asked] @ unit.T).round(DIGITS)
             else:
                 codes = np.frombuffer(b"".join(some.column("x").to_pylist()), np.uint8).reshape(some.num_rows, -1)
-                scores = _by_codes(products[asked], codes)
-            best = np.argsort(-scores, axis=1, kind="stable")[:, :most]
-            own = [names[a] for a in np.repeat(asked, best.shape[1]).tolist()]
-            yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(np.full(best.size, cell, np.int32)), some.column("id").take(pa.array(best.ravel())), pa.array(np.take_along_axis(scores, best, 1).ravel())], columns)
+            for i, j in tiles(len(asked), some.num_rows):
+                part = asked[i:j]
+                if exact:
+                    scores = np.zeros((len(part), some.num_rows))
+                    scores[:, at] = (m[part] @ unit.T).round(DIGITS)
+                else:
+                    scores = _by_codes(products[part], codes)
+                best = np.argsort(-scores, axis=1, kind="stable")[:, :most]
+                own = [names[a] for a in np.repeat(part, best.shape[1]).tolist()]
+                yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(np.full(best.size, cell, np.int32)), some.column("id").take(pa.array(best.ravel())), pa.array(np.take_along_axis(scores, best, 1).ravel())], columns)
 
 
 def recall(found: DataFrame, exact: DataFrame, keys: list[str]) -> DataFrame:

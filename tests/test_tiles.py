@@ -56,3 +56,18 @@ def test_structured_questions_over_a_batch(spark, functions):
     M.searched(records, asked(spark, name="patterns_vector"), "vec_id", 5, {"patterns_vector": 1.0}, tags)
     held, rows = most_held(functions[-1], ["id", "patterns_vector"])
     assert held < 60 and rows == (5 + 2) * QUESTIONS
+
+
+@pytest.mark.parametrize("exact", [False, True])
+def test_cells_scanned_by_many_questions(exact):
+    class Sent:
+        m = R.unit_rows(vectors(QUESTIONS))[1][4][1]
+        value = (list(range(QUESTIONS)), m, np.zeros((QUESTIONS, 1), np.int64), np.random.default_rng(1).normal(size=(2, 8, 2)))
+
+    x = vectors(ROWS) if exact else pa.array([bytes([i % 8, i // 8 % 8]) for i in range(ROWS)], pa.binary())
+    batch = pa.RecordBatch.from_arrays([pa.array(np.zeros(ROWS, np.int32)), pa.array(np.arange(ROWS)), x], ["cell", "id", "x"])
+    tracemalloc.start()
+    rows = sum(b.num_rows for b in C._scanned(iter([batch]), Sent, 10, exact, ["qid", "cell", "vec_id", "score"]))
+    peak = tracemalloc.get_traced_memory()[1] / MB
+    tracemalloc.stop()
+    assert peak < 60 and rows == 10 * QUESTIONS
