@@ -112,18 +112,31 @@ def similar_tags(tag_vectors: DataFrame, asked: DataFrame, top_k: int = 15, thre
     parts = []
     for names, block in asked_blocks(asked, key):
         known = {name: i for i, name in enumerate(dict.fromkeys(names))}
-        sent = spark.sparkContext.broadcast((list(known), np.array([known[x] for x in names], np.int64), block))
+        of = np.array([known[x] for x in names], np.int64)
+        owned = {}
+        for size, (which, m) in block.items():  # a question's vectors stand together
+            order = np.argsort(of[which], kind="stable")
+            owned[size] = (of[which][order], m[order])
+        sent = spark.sparkContext.broadcast((list(known), owned))
 
         def best(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            keys, of, block = sent.value
+            keys, owned = sent.value
+            found = Best(len(keys), top_k, once=True)  # who is among the best of all is so in each block and task that gives its best score
             for batch in batches:
-                sim = np.zeros((len(keys), batch.num_rows))
-                for size, (rows, m) in unit_rows(batch.column("embedding"))[1].items():
-                    if size in block:
-                        which, own = block[size]
-                        np.maximum.at(sim, (of[which][:, None], rows[None, :]), (own @ m.T).round(DIGITS))
-                at, tag = np.nonzero(sim >= threshold)
-                yield pa.RecordBatch.from_arrays([pa.array([keys[i] for i in at.tolist()], pa_of(q_kind)), batch.column("tag").take(pa.array(tag)), pa.array(sim[at, tag])], [key, "tag", "similarity"])
+                _, vectors = unit_rows(batch.column("embedding"))
+                for a, b in tiles(len(keys), batch.num_rows):
+                    sim = np.zeros((b - a, batch.num_rows))
+                    for size, (rows, m) in vectors.items():
+                        which, own = part_of(owned[size], a, b) if size in owned else (np.zeros(0, np.int64), m[:0])
+                        for i, j in tiles(len(own), len(rows)):
+                            firsts = np.flatnonzero(np.append(True, which[i + 1 : j] != which[i : j - 1]))
+                            at = np.ix_(which[i:j][firsts], rows)
+                            sim[at] = np.maximum(sim[at], np.maximum.reduceat((own[i:j] @ m.T).round(DIGITS), firsts, axis=0))
+                    sim[~(sim >= threshold)] = -np.inf
+                    found.add(a, sim, batch.column("tag"))
+            at, tag, similarity = found.rows(pa_of(t_kind))
+            if len(at):
+                yield pa.RecordBatch.from_arrays([pa.array([keys[i] for i in at.tolist()], pa_of(q_kind)), tag, similarity], [key, "tag", "similarity"])
 
         rows = tag_vectors.select("tag", F.col("embedding").cast("array<double>").alias("embedding"))
         parts.append(rows.mapInArrow(best, f"`{key}` {q_kind}, tag {t_kind}, similarity double"))

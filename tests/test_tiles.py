@@ -71,3 +71,31 @@ def test_cells_scanned_by_many_questions(exact):
     peak = tracemalloc.get_traced_memory()[1] / MB
     tracemalloc.stop()
     assert peak < 60 and rows == 10 * QUESTIONS
+
+
+@pytest.mark.parametrize("keys", [1, QUESTIONS])
+def test_tags_of_questions_over_a_batch(spark, functions, keys):
+    from pyspark.sql import functions as F
+
+    tags = spark.createDataFrame([(0, [1.0] * 4)], "tag long, embedding array<double>")
+    M.similar_tags(tags, asked(spark).withColumn("qid", F.col("qid") % keys), 15, 0.2)
+    held, rows = most_held(functions[-1], ["tag", "embedding"])
+    assert held < 90 and rows == 15 * keys
+
+
+def test_tags_in_tiles_equal_a_full_product(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    tags = [(k % 30, rng.integers(-2, 3, 4 if k % 5 else 3).astype(float).tolist()) for k in range(60)] + [(99, None)]  # a tag has two vectors
+    own = [(k % 7, rng.integers(-2, 3, 4 if k % 3 else 3).astype(float).tolist()) for k in range(40)]
+    cos = lambda a, b: float(np.dot(a, b) / (np.linalg.norm(a) * np.linalg.norm(b))) if a and len(a) == len(b) and np.any(a) and np.any(b) else 0.0
+    t, q = spark.createDataFrame(tags, "tag long, embedding array<double>").repartition(3), spark.createDataFrame(own, "qid long, q array<double>")
+    for most, least in ((8, 0.3), (40, 0.0)):
+        want = {}
+        for k in range(7):
+            best = {}
+            for tag, e in tags:
+                best[tag] = max([best.get(tag, 0.0), *(round(cos(e, v), 12) for i, v in own if i == k)])
+            ranked = sorted((-s, tag) for tag, s in best.items() if s >= least)[:most]
+            want |= {(k, i + 1): (tag, round(-s, 9)) for i, (s, tag) in enumerate(ranked)}
+        got = {(r.qid, r.tag_rank): (r.tag, round(r.similarity, 9)) for r in M.similar_tags(t, q, most, least).collect()}
+        assert got == want
