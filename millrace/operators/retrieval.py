@@ -230,8 +230,9 @@ def similar_tags(tag_vectors: DataFrame, asked: DataFrame, top_k: int = 10, thre
             for batch in batches:
                 sim = np.zeros(batch.num_rows)
                 for size, (rows, m) in unit_rows(batch.column("embedding"))[1].items():
-                    if size in sent.value:
-                        sim[rows] = np.maximum((m @ sent.value[size].T).max(1), 0).round(DIGITS)
+                    own = sent.value.get(size, m[:0])
+                    for a, b in tiles(len(own), len(rows)):
+                        sim[rows] = np.maximum(sim[rows], (m @ own[a:b].T).max(1).round(DIGITS))
                 yield pa.RecordBatch.from_arrays([batch.column("tag"), pa.array(sim)], ["tag", "sim"])
 
         parts.append(tag_vectors.select("tag", F.col("embedding").cast("array<double>").alias("embedding")).mapInArrow(best, schema))

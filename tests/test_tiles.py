@@ -99,3 +99,22 @@ def test_tags_in_tiles_equal_a_full_product(spark, monkeypatch):
             want |= {(k, i + 1): (tag, round(-s, 9)) for i, (s, tag) in enumerate(ranked)}
         got = {(r.qid, r.tag_rank): (r.tag, round(r.similarity, 9)) for r in M.similar_tags(t, q, most, least).collect()}
         assert got == want
+
+
+def test_similar_tags_over_a_batch(spark, functions):
+    tags = spark.createDataFrame([(0, [1.0] * 4)], "tag long, embedding array<double>")
+    R.similar_tags(tags, asked(spark).select("q"), 10, 0.2)
+    held, rows = most_held(functions[-1], ["tag", "embedding"])
+    assert held < 60 and rows == 2 * ROWS
+
+
+def test_best_takes_ids_of_any_kind_and_ties_by_id():
+    for ids in ([3, 1, 2, 1], ["c", "a", "b", "a"], [None, "b", "a", "b"]):
+        best, twice = R.Best(2, 2), R.Best(1, 2, once=True)
+        order = sorted(ids, key=lambda x: (x is not None, x))
+        for i in ids:
+            best.add(0, np.array([[1.0], [-np.inf]]), pa.array([i], pa.int64() if isinstance(i, int) else pa.string()))
+            twice.add(0, np.array([[0.5]]), pa.array([i], pa.int64() if isinstance(i, int) else pa.string()))
+        q, got, scores = best.rows()
+        assert q.tolist() == [0, 0] and got.to_pylist() == order[:2] and scores.to_pylist() == [1.0, 1.0]
+        assert twice.rows()[1].to_pylist() == list(dict.fromkeys(order))[:2]
