@@ -10,8 +10,10 @@ minimiser travel together, as one packed string (super-k-mer), to the minimiser'
    identical strings fold first, and the caller's `bucket` compares the windows of those that differ.
 4. A minimiser of more than HOT strings, or HOT_BYTES, doesn't go to one task. Its strings are grouped by their bytes
    first, pre-aggregated before the shuffle: all windows of a string that stands twice are repeated, and one of
-   each is enough to compare with others. If a minimiser has too many different strings even so, their windows are
-   dealt one by one, by a digest of their content, pre-aggregated too.
+   each is enough to compare with others. If a minimiser has too many different strings even so, these are cut once more,
+   by the least hash of longer grams (`finer`), and the pieces go through steps 2 to 4 again: most differ around what the
+   strings share, and are dropped as they stand at one place. Only windows of pieces that are too many by the longest grams
+   are dealt one by one, by a digest of their content, pre-aggregated too.
 
 A super-k-mer has LONGEST windows at most, so a periodic text doesn't travel as one string.
 
@@ -52,6 +54,7 @@ class Windows:
     anchors: texts' bytes and offsets -> (text index, first window, windows, minimiser, again, bytes) of all super-k-mers.
     cut: a text's bytes, first windows, numbers of windows -> packed strings.
     digests: a packed string, its number of windows -> 16 bytes that identify each window's content.
+    finer: as anchors, by longer and longer grams, for packed strings of which there are too many.
     bucket: strings (distinct), their place (document, first window) -> flags of their windows, one array each.
     first_stays: the earliest place of a window isn't repeated, only the others are.
     """
@@ -61,6 +64,7 @@ class Windows:
     digests: Callable
     bucket: Callable
     first_stays: bool
+    finer: tuple[Callable, ...] = ()
 
 
 def identity() -> list[F.Column]:
@@ -88,6 +92,16 @@ def copies(rows: DataFrame, name: str) -> DataFrame:
     return twins
 
 
+def longer(gram: int, window: int) -> list[int]:
+    """Two lengths of grams between `gram` and `window`, each halfway from the one before."""
+    out, last = [], gram
+    for _ in range(2):
+        last += (window - last + 1) // 2
+        if gram < last < window and last not in out:
+            out.append(last)
+    return out
+
+
 def minimisers(hashes: np.ndarray, width: int) -> np.ndarray:
     """For each run of `width` grams, the index of its least hash (by 40 bits), the first of equals. len(hashes) - width + 1."""
     n = len(hashes)
@@ -155,7 +169,7 @@ def find(docs: DataFrame, kind: Windows, name: str, hot: int | None = None) -> t
     dealt, known, done = packed.drop("hot"), [], [flagged]
     if not flagged.filter("hot").isEmpty():
         packed = written(packed, f"{name}-strings")  # texts are moved once for both kinds
-        known, few, more = _grouped(packed.filter("hot").drop("hot"), kind, name, hot)
+        known, few, more = _grouped(packed.filter("hot").drop("hot"), kind, name, hot, kind.finer)
         dealt = packed.filter("not hot").drop("hot").unionByName(few)
         done += [packed, *more]
     found = mapped(dealt.repartition("h").sortWithinPartitions("h"), lambda batches: _buckets(batches, kind), "did long, sig long, a int, b int")
@@ -168,7 +182,7 @@ def find(docs: DataFrame, kind: Windows, name: str, hot: int | None = None) -> t
     return rows, spans, twins
 
 
-def _grouped(strings: DataFrame, kind: Windows, name: str, hot: int) -> tuple[list[DataFrame], DataFrame, list[DataFrame]]:
+def _grouped(strings: DataFrame, kind: Windows, name: str, hot: int, finer: tuple[Callable, ...]) -> tuple[list[DataFrame], DataFrame, list[DataFrame]]:
     """Of the strings of hot minimisers: ranges known by their bytes, strings still to compare, tables written."""
     member = F.struct("did", "start", "sig")
     classes = strings.groupBy("h", "s").agg(F.min(F.struct("did", "start", "sig", "n", "again")).alias("first"), F.max(member).alias("last"))
@@ -181,8 +195,16 @@ def _grouped(strings: DataFrame, kind: Windows, name: str, hot: int) -> tuple[li
     too_hot = written(sizes.filter((F.col("strings") > hot) | ((F.col("bytes") > HOT_BYTES) & (F.col("strings") > 1))).select("h"), f"{name}-hot")
     one_each = classes.select("h", "first.did", "first.sig", "first.start", "first.n", "first.again", "s")
     few, done = one_each.join(too_hot, "h", "left_anti"), [classes, too_hot]
-    if not too_hot.isEmpty():
-        many = one_each.join(too_hot, "h")
+    if too_hot.isEmpty():
+        return known, few, done
+    many = one_each.join(too_hot, "h")
+    if finer:
+        pieces = written(map_batches(many, lambda b: _finer_rows(b, kind, finer[0]), f"{_RUNS}, s binary"), f"{name}-pieces", free=False)
+        place = F.xxhash64("sig", "start")
+        shared = pieces.groupBy("h").agg(F.min(place).alias("lo"), F.max(place).alias("hi"), F.max("again").alias("again")).filter("lo != hi or again")
+        more, others, made = _grouped(pieces.join(shared.select("h"), "h"), kind, name, hot, finer[1:])
+        known, few, done = [*known, *more], few.unionByName(others), [*done, pieces, *made]
+    else:
         single = map_batches(many, lambda b: _digest_rows(b, kind), "w binary, did long, sig long, a int")
         seen = single.groupBy("w").agg(F.min(F.struct("did", "a", "sig")).alias("lo"), F.max(F.struct("did", "a", "sig")).alias("hi")).filter("lo != hi")
         seen = written(seen.select("w", "lo"), f"{name}-seen")
@@ -242,6 +264,18 @@ def _packed_rows(batch: pa.RecordBatch, kind: Windows) -> Iterator[pa.RecordBatc
         yield pa.RecordBatch.from_arrays([*(pa.array(np.concatenate(c)) for c in columns), pa.array(strings, pa.binary())], ["h", "did", "sig", "start", "n", "again", "hot", "s"])
 
 
+def _finer_rows(batch: pa.RecordBatch, kind: Windows, anchors: Callable) -> Iterator[pa.RecordBatch]:
+    """Packed strings cut into those of the runs that `anchors` finds."""
+    data, offsets = text_bytes(batch.column("s"))
+    strings = batch.column("s").to_pylist()
+    did, sig, start = (batch.column(c).to_numpy() for c in ("did", "sig", "start"))
+    for of, first, n, h, again, _ in anchors(data, offsets):
+        cuts = np.append(np.flatnonzero(np.append(True, of[1:] != of[:-1])), len(of)).tolist()
+        pieces = [s for i, j in zip(cuts, cuts[1:], strict=False) for s in kind.cut(strings[of[i]], first[i:j].tolist(), n[i:j].tolist())]
+        columns = [pa.array(x) for x in (h, did[of], sig[of], (start[of] + first).astype(np.int32), n.astype(np.int32), again)]
+        yield pa.RecordBatch.from_arrays([*columns, pa.array(pieces, pa.binary())], ["h", "did", "sig", "start", "n", "again", "s"])
+
+
 def _digest_rows(batch: pa.RecordBatch, kind: Windows) -> Iterator[pa.RecordBatch]:
     for did, sig, start, n, string in zip(*(batch.column(c).to_pylist() for c in ("did", "sig", "start", "n", "s")), strict=True):
         places = np.arange(start, start + n, dtype=np.int32)

@@ -10,13 +10,14 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from ._common import U64, chunks, map_batches, merged, mixed
-from ._repeats import Windows, digest, doc_id, find, spans_of, super_runs
+from ._repeats import Windows, digest, doc_id, find, longer, spans_of, super_runs
 
 LENGTH, GRAM = 100, 32
 #: Ends a string in a bucket's text; UTF-8 has no such byte.
@@ -24,13 +25,15 @@ END = 0xFF
 
 
 def gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
-    """Hash of the `gram` bytes (a power of two) at each place, by doubling."""
+    """Hash of the `gram` bytes at each place, by doubling; where that goes beyond, of two parts that overlap."""
     h = mixed(np.arange(1, 257, dtype=U64) * U64(0x9FB21C651E98DF25))[data]
     span, factor = 1, 0xD6E8FEB86659FD93
-    while span < gram:
+    while span * 2 <= gram:
         h = h[: len(h) - span] * U64(factor) + h[span:]
         factor = factor * factor % (1 << 64)
         span *= 2
+    if span < gram:
+        h = h[: len(h) - (gram - span)] * U64(factor) + h[gram - span :]
     return mixed(h)
 
 
@@ -126,7 +129,7 @@ def common_prefixes(data: np.ndarray, order: np.ndarray, limit: int) -> np.ndarr
 
 
 def byte_windows(length: int = LENGTH, gram: int = GRAM) -> Windows:
-    def anchors(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+    def anchors(data: np.ndarray, offsets: np.ndarray, gram: int = gram) -> Iterator[tuple[np.ndarray, ...]]:
         for i, j in chunks(offsets):
             part, own = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
             counts = np.maximum(np.diff(own) - length + 1, 0)
@@ -161,7 +164,7 @@ def byte_windows(length: int = LENGTH, gram: int = GRAM) -> Windows:
         out[who[ranks]] = later
         return out
 
-    return Windows(anchors, cut, digests, bucket, first_stays=True)
+    return Windows(anchors, cut, digests, bucket, first_stays=True, finer=tuple(partial(anchors, gram=g) for g in longer(gram, length)))
 
 
 def removed_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int | None = None) -> DataFrame:

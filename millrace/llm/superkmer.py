@@ -8,6 +8,7 @@ counts them exactly.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -15,13 +16,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import IS_WHITE, U64, chunks, map_batches, merged, span_hashes, window_starts, word_hashes, words
-from ._repeats import Windows, digest, doc_id, find, identity, spans_of, super_runs
+from ._repeats import Windows, digest, doc_id, find, identity, longer, spans_of, super_runs
 
 WINDOW, GRAM = 35, 12
 
 
 def word_windows(window: int = WINDOW, gram: int = GRAM) -> Windows:
-    def anchors(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+    def anchors(data: np.ndarray, offsets: np.ndarray, gram: int = gram) -> Iterator[tuple[np.ndarray, ...]]:
         for i, j in chunks(offsets):
             part = data[offsets[i] : offsets[j]]
             starts, ends, of_text = words(part, offsets[i : j + 1] - offsets[i], IS_WHITE)
@@ -49,7 +50,7 @@ def word_windows(window: int = WINDOW, gram: int = GRAM) -> Windows:
         at = np.repeat(np.cumsum(sizes) - sizes, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         return repeated(numbers, at, window)
 
-    return Windows(anchors, cut, digests, bucket, first_stays=False)
+    return Windows(anchors, cut, digests, bucket, first_stays=False, finer=tuple(partial(anchors, gram=g) for g in longer(gram, window)))
 
 
 def repeated(numbers: np.ndarray, at: np.ndarray, window: int) -> np.ndarray:

@@ -160,3 +160,37 @@ def test_hot_windows_are_joined_or_looked_up(spark, monkeypatch, most):
     df = spark.createDataFrame(cases()[:45], "doc_id long, text string")
     assert collections.Counter(map(tuple, suffixdedup.removed_spans(df, hot=1).drop("kept").collect())) == brute_bytes(cases()[:45])
     assert collections.Counter(map(tuple, superkmer.digested(df, hot=1).collect())) == brute_words(cases()[:45])
+
+
+def in_one_line(n=300):
+    """A line that all texts have, between words of their own; some texts have more in common."""
+    rng = random.Random(5)
+    own = lambda k: "".join(rng.choice("abcdefgh ") for _ in range(k))
+    line = own(80)
+    rows = [(k, f"{own(150)}{line}{own(150)}") for k in range(n)]
+    return [*rows, *[(n + k, own(40) + rows[k][1][60 + k % 40 : 300 - k % 30] + own(60)) for k in range(0, n, 10)]]
+
+
+def test_strings_of_one_minimiser_are_cut_again_before_their_windows(spark, monkeypatch):
+    from millrace.llm import _repeats
+
+    digested, pieces = [], []
+    real, kind = _repeats.map_batches, suffixdedup.byte_windows()
+    monkeypatch.setattr(_repeats, "map_batches", lambda df, f, schema, *more: ((digested if schema.startswith("w binary") else pieces if "s binary" in schema else []).append(df), real(df, f, schema, *more))[1])
+    df = spark.createDataFrame(in_one_line(), "doc_id long, text string")
+    assert collections.Counter(map(tuple, suffixdedup.removed_spans(df, hot=50).drop("kept").collect())) == brute_bytes(in_one_line())
+    assert len(pieces) >= 2 and not digested  # before: a row for each window of each string
+    data = b"".join(t.encode() for _, t in in_one_line()[:2])
+    offsets = np.array([0, len(in_one_line()[0][1]), len(data)])
+    want = {(t, k) for t in (0, 1) for k in range(offsets[t + 1] - offsets[t] - 99)}
+    for anchors in (kind.anchors, *kind.finer):
+        got = [(t, k) for part in anchors(data=np.frombuffer(data, np.uint8), offsets=offsets) for t, s, n in zip(*(x.tolist() for x in part[:3])) for k in range(s, s + n)]
+        assert len(got) == len(want) and set(got) == want
+
+
+@pytest.mark.parametrize("gram", [32, 66, 83])
+def test_hashes_of_grams_of_any_length(gram):
+    rng = np.random.default_rng(1)
+    data = np.tile(rng.integers(0, 4, 120).astype(np.uint8), 3)
+    h = suffixdedup.gram_hashes(data, gram)
+    assert len(h) == len(data) - gram + 1 and h[:120].tolist() == h[120:240].tolist() and len(set(h[:120].tolist())) == 120
