@@ -93,9 +93,9 @@ def copies(rows: DataFrame, name: str) -> DataFrame:
 
 
 def longer(gram: int, window: int) -> list[int]:
-    """Two lengths of grams between `gram` and `window`, each halfway from the one before."""
+    """Lengths of grams between `gram` and `window`, four at most, each halfway from the one before."""
     out, last = [], gram
-    for _ in range(2):
+    for _ in range(4):
         last += (window - last + 1) // 2
         if gram < last < window and last not in out:
             out.append(last)
